@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyledger.llm import best_fit_packing, common, sst_shards
+from skyledger.llm import best_fit_packing, common, pii_semicrf, simhash_gray, sst_shards
 
 WORDS = "word_bpe_49k.json"
 
@@ -28,6 +28,18 @@ def op8_sst_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sst_shards.read_shards(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op9_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_gray.near_duplicates(common.table(spark, sf_dir, "documents"))
+
+
+def op10_pii_semicrf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    found = pii_semicrf.find(docs, pii_semicrf.fit(docs))
+    listed = lambda name: F.array_join(F.transform(F.col(f"found.{name}"), lambda s: F.concat_ws(":", s["kind"], s["begin"].cast("string"), s["end"].cast("string"))), ",")
+    count = lambda kind: F.size(F.filter(F.col("found.base"), lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, pii_semicrf.KINDS), F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
