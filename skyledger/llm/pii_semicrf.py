@@ -278,3 +278,26 @@ def joined(spans: list[Span]) -> str:
 
 def digest(spans: list[Span]) -> str:
     return hashlib.sha256(joined(spans).encode()).hexdigest()
+
+
+def masked(text: str, spans: list[Span]) -> str:
+    """The text with each span, or run of spans that overlap, replaced by its first kind's name."""
+    out, at = [], 0
+    for kind, begin, end in sorted(spans, key=lambda s: (s[1], -s[2], KINDS.index(s[0]))):
+        if begin >= at:
+            out += [text[at:begin], f"<{kind.upper()}>"]
+        at = max(at, end)
+    return "".join(out) + text[at:]
+
+
+def redact(docs: DataFrame, model: SemiMarkov) -> DataFrame:
+    """`docs` with all spans in `text` masked; a null text stays null."""
+    shared = docs.sparkSession.sparkContext.broadcast(model.weights)
+
+    @F.arrow_udf("string")
+    def mask(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        crf = SemiMarkov(shared.value)
+        for column in texts:
+            yield pa.array([text if not text else masked(text, crf.spans(text)[1]) for text in column.to_pylist()], pa.string())
+
+    return docs.withColumn("text", mask(F.col("text").cast("string")))

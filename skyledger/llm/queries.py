@@ -8,11 +8,33 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyledger.llm import best_fit_packing, common, pii_semicrf, simhash_gray, sst_shards
+from skyledger.llm import best_fit_packing, common, language_id, pii_semicrf, simhash_gray, sst_shards, toxicity_mil
 
 WORDS = "word_bpe_49k.json"
 
 
+def fold(n: int):
+    """The remainder by which the contracts hold documents out."""
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.fit(docs.where(fold(4) != 2).select("text", "lang"))
+    return language_id.identify(docs, model).select("doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity_mil.InstanceModel:
+    marks = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    return toxicity_mil.fit(docs.select("doc_id", "text").where(fold(5) != 0).join(marks, "doc_id").select("text", "toxic"))
+
+
+def op5_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity_model(docs, common.table(spark, sf_dir, "labels"))
+    return toxicity_mil.score(docs, model).select("doc_id", (fold(5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(common.table(spark, sf_dir, "documents"))
 
