@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyledger.llm import best_fit_packing, common, language_id, pii_semicrf, simhash_gray, sst_shards, toxicity_mil
+from skyledger.llm import best_fit_packing, common, language_id, maxscore_topk, nn_descent, pii_semicrf, simhash_gray, sst_shards, toxicity_mil
 
 WORDS = "word_bpe_49k.json"
 
@@ -35,6 +35,10 @@ def op5_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_mil.score(docs, model).select("doc_id", (fold(5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op2_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.near_duplicates(common.table(spark, sf_dir, "embeddings"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(common.table(spark, sf_dir, "documents"))
 
@@ -44,6 +48,12 @@ def packed(docs: DataFrame) -> DataFrame:
     return best_fit_packing.pack(common.keep(parts, "pieces"))
 
 
+def op7_maxscore_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = maxscore_topk.quantised(common.table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    rows = common.keep(rows, "weights")
+    return maxscore_topk.top_k(rows, rows.where("id % 50 = 0"))
+
+
 def op8_sst_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{common.shared_dir(spark)}/sst-{uuid.uuid4().hex}"
     manifest = sst_shards.write_shards(common.table(spark, sf_dir, "documents"), folder, public_tokenizers.path(WORDS))
