@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -77,9 +80,32 @@ def components(edges: DataFrame) -> DataFrame:
     return found
 
 
-def binaries(column: pa.Array) -> list[bytes]:
-    return column.to_pylist()
+def positions(rows: DataFrame, group: str, order: list[str], name: str = "position") -> DataFrame:
+    """`rows` with its place, from 0, in its group by `order`, whatever a group's size.
 
-
-def struct(names: list[str], arrays: list[pa.Array]) -> pa.StructArray:
-    return pa.StructArray.from_arrays(arrays, names)
+    Rows are dealt by ranges of (group, order), so a large group spans many tasks; each task counts
+    its own rows, and a running sum over the tasks of a group (a row each) gives where each begins.
+    """
+    spark = rows.sparkSession
+    plain = rows.columns
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, now, at = TaskContext.get().partitionId(), object(), 0
+        for batch in batches:
+            places = []
+            for value in batch.column(group).to_pylist():
+                at = at + 1 if value == now else 0
+                now = value
+                places.append(at)
+            table = pa.Table.from_batches([batch]).append_column("_part", pa.array([part] * len(places), pa.int64())).append_column("_place", pa.array(places, pa.int64()))
+            yield from table.to_batches()
+
+    keys = [group, *order]
+    dealt = rows.repartitionByRange(partitions(spark), *keys).sortWithinPartitions(*keys)
+    shape = StructType([*rows.schema.fields, StructField("_part", LongType()), StructField("_place", LongType())])
+    counted = keep(dealt.mapInArrow(number, shape), "positions")
+    sizes = counted.groupBy(F.col(group).alias("_group"), F.col("_part").alias("_of")).count()
+    before = Window.partitionBy("_group").orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("_before", F.coalesce(F.sum("count").over(before), F.lit(0))).where("_before > 0")
+    joined = counted.join(sizes, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_part") == F.col("_of")), "left")
+    return joined.select(*plain, (F.col("_place") + F.coalesce("_before", F.lit(0))).alias(name))

@@ -8,9 +8,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyledger.llm import best_fit_packing, common, language_id, maxscore_topk, nn_descent, pii_semicrf, simhash_gray, sst_shards, toxicity_mil
+from skyledger.llm import best_fit_packing, common, language_id, maxscore_topk, nn_descent, pii_semicrf, quote_threads, simhash_gray, sst_shards, suffix_pieces, toxicity_mil
 
 WORDS = "word_bpe_49k.json"
+PIECES = "piece_bpe_32k.model"
+
+
+def op1_quote_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quote_threads.conversations(common.table(spark, sf_dir, "conversations"))
+
+
+def op3_suffix_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path(PIECES)
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    coded = docs.withColumn("ids", suffix_pieces.encode(F.col("text"), model))
+    decoded = coded.withColumn("decoded", suffix_pieces.decode(F.col("ids"), model))
+    return decoded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_pieces"), F.crc32("ids").alias("ids_crc32"), (F.col("decoded") == F.col("text")).alias("round_trip"))
 
 
 def fold(n: int):
