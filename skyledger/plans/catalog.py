@@ -403,12 +403,12 @@ def incremental_gate(c: Catalog) -> DataFrame:
     return changes.to_scan(c.locations().select("volume", "path", "mtime"), known)
 
 
-@plan("""SELECT volume, path, CASE WHEN id % 31 = 0 THEN 'unreadable' WHEN id % 7 = 0 THEN 'new copy' WHEN id % 6 = 0 THEN 'rebound' WHEN present = 0 THEN 'refreshed' ELSE 'unchanged' END AS action FROM location""")
+@plan("""SELECT volume, path, CASE WHEN id % 31 = 0 THEN 'unreadable' WHEN id % 7 = 0 THEN 'new copy' WHEN id % 6 = 0 AND frame_id <> 1 THEN 'rebound' WHEN present = 0 THEN 'refreshed' ELSE 'unchanged' END AS action FROM location""")
 def ingest_actions(c: Catalog) -> DataFrame:
     rows = c.locations().join(c.frames().select(F.col("id").alias("frame_id"), "sha1_data"), "frame_id")
     known = rows.where("id % 7 <> 0").withColumn("frame_sha1", F.col("sha1_data"))
     scanned = rows.select("volume", "path", F.when(F.col("id") % 6 == 0, F.sha1(F.lit("1"))).otherwise(F.col("sha1_data")).alias("sha1_data"), "mtime", F.when(F.col("id") % 31 == 0, "broken").alias("error"), "id")
-    return changes.classified(scanned.where("not (id % 6 = 0 and frame_id_is_one)") if False else scanned, c.frames(), known)
+    return changes.classified(scanned, c.frames(), known)
 
 
 @plan("SELECT id, CASE WHEN id % 9 = 0 THEN 'added' WHEN id % 10 = 0 THEN 'removed' ELSE 'changed' END AS change FROM frame WHERE id % 9 = 0 OR id % 10 = 0 OR id % 8 = 0 AND filter_canon IS DISTINCT FROM 'L'")
@@ -509,11 +509,11 @@ def dt_delta_median(c: Catalog) -> DataFrame:
     return facets.time_differences(rows, F.col("date_ts"), F.col("mtime"))
 
 
-@plan("""SELECT id, CASE WHEN price IS NOT NULL AND gain <> 0 THEN round(price / gain, 4) + (-7 - 3 * floor(-7 / 3.0)) END AS value, CASE WHEN price IS NULL THEN 'no PRICE' WHEN gain = 0 THEN 'division by zero' END AS reason
+@plan("""SELECT id, CASE WHEN price IS NOT NULL AND gain <> 0 THEN round(price / gain, 7) + (-7 - 3 * floor(-7 / 3.0)) END AS value, CASE WHEN price IS NULL THEN 'no PRICE' WHEN gain = 0 THEN 'division by zero' END AS reason
 FROM (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 <> 0 THEN o_totalprice END AS price, o_orderkey % 3 * 100 AS gain FROM orders)""")
 def macro_compute_set(c: Catalog) -> DataFrame:
     wide = facets.pivot(c.frames(), c.cards(), ["PRICE", "GAIN"]).select("id", F.col("PRICE_num").alias("PRICE"), F.col("GAIN_num").alias("GAIN"))
-    return edits.evaluated(wide, "value", "PRICE / GAIN + -7 % 3").select("id", F.round("value", 4).alias("value"), "reason")
+    return edits.evaluated(wide, "value", "PRICE / GAIN + -7 % 3").select("id", F.round("value", 7).alias("value"), "reason")
 
 
 @plan("""SELECT coalesce(reason, 'edited') AS outcome, count(*) AS n FROM (SELECT frame_id, CASE WHEN count(*) FILTER (present = 1) = 0 THEN 'no present copy' WHEN count(*) FILTER (present = 1) > 1 THEN 'several copies'
