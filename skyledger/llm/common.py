@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -51,6 +51,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Values of a batch that are Python objects at a time.
+SLICE_ROWS = 256
+
+
+def by_slices(column: pa.Array, f: Callable[[list], pa.Array]) -> pa.Array:
+    """`f` over a column a few rows at a time, so a batch of long texts is never held twice."""
+    cuts = range(0, max(1, len(column)), SLICE_ROWS)
+    return pa.concat_arrays([f(column.slice(at, SLICE_ROWS).to_pylist()) for at in cuts])
+
+
+def sampled(rows: DataFrame, n: int, labels: int) -> list[tuple]:
+    """(label, rows of that label, text) of at most `n` distinct texts for each of the most frequent `labels`.
+
+    Texts are taken by least hash. A first pass counts each label's rows and, roughly, its texts;
+    the share of hashes that holds `n` of them for certain is all that the second pass shuffles, and
+    copies of a text are one row before the shuffle. So a task gets a few thousand rows at most,
+    however large the table is or however often a text repeats.
+    """
+    spark = rows.sparkSession
+    rows = rows.select("label", "text", F.xxhash64("text").alias("h"))
+    stats = rows.groupBy("label").agg(F.count("*").alias("rows"), F.approx_count_distinct("h").alias("kinds")).orderBy(F.desc("rows"), "label").limit(labels).collect()
+    if not stats:
+        return []
+    # The rough count is off by less than a quarter; six deviations of what falls below a cut.
+    ample = 1.25 * (n + 6 * n**0.5 + 20)
+    cuts = [(r.label, r.rows, min((1 << 63) - 1, int(ample / max(1, r.kinds) * (1 << 64)) - (1 << 63))) for r in stats]
+    kind = rows.schema["label"].dataType.simpleString()
+    known = F.broadcast(spark.createDataFrame(cuts, f"label {kind}, rows long, cut long"))
+    few = rows.join(known, "label").where("h <= cut").groupBy("label", "rows", "h").agg(F.min("text").alias("text"))
+    place = F.row_number().over(Window.partitionBy("label").orderBy("h"))
+    chosen = few.withColumn("place", place).where(F.col("place") <= n).orderBy("label", "h")
+    return [(r.label, r.rows, r.text) for r in chosen.toLocalIterator()]
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of `edges(a, b)` as `(id, component)`, component = smallest id.
 

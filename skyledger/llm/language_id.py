@@ -6,7 +6,7 @@ Nyström map of it, on which one-versus-rest kernel ridge regression is solved i
 kernel to the landmarks is linear in a text's presence vector, so map and regression fold into one
 matrix a model, and a batch of texts is scored by one product of presence and model matrices.
 
-The model is fitted on a bounded sample: at most `TRAIN_DOCS` labelled documents a language, of which
+The model is fitted on a bounded sample: at most `TRAIN_DOCS` distinct labelled texts a language, of which
 `LANDMARKS` are landmarks, and `LANGUAGES` languages, the most frequent; always by least hash.
 
 Defined results: `und` and score 0 where the text is null or holds no letter, or nothing could be
@@ -21,9 +21,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skyledger.llm import common
+
 ALPHABET, LONGEST = 96, 3
 TRAIN_DOCS, LANDMARKS, LANGUAGES = 300, 40, 200
 RIDGE, JITTER, BATCH = 1e-3, 1e-6, 64
@@ -111,11 +113,8 @@ def fit_rows(rows: list[tuple[str, str]]) -> KernelModel:
 def fit(labelled: DataFrame) -> KernelModel:
     """Fits on a bounded sample of `labelled(text, lang)`; rows without a letter or language are left out."""
     rows = labelled.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).withColumn("h", F.xxhash64("text"))
-    common = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select("lang")
-    first = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
-    sample = rows.join(F.broadcast(common), "lang").withColumn("n", first).where(F.col("n") <= TRAIN_DOCS).orderBy("lang", "n")
-    return fit_rows([(r.lang, r.text) for r in sample.select("lang", "text").toLocalIterator()])
+    rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    return fit_rows([(lang, text) for lang, _, text in common.sampled(rows.withColumnRenamed("lang", "label"), TRAIN_DOCS, LANGUAGES)])
 
 
 def judge(docs: DataFrame, model: KernelModel) -> DataFrame:
@@ -125,9 +124,12 @@ def judge(docs: DataFrame, model: KernelModel) -> DataFrame:
     @F.arrow_udf("struct<lang_pred:string,score:double>")
     def predict(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = KernelModel(*shared.value)
-        for column in texts:
-            found = own.predict(column.to_pylist())
-            yield pa.StructArray.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["lang_pred", "score"])
+
+        def rows(some: list[str | None]) -> pa.Array:
+            found = own.predict(some)
+            return pa.StructArray.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["lang_pred", "score"])
+
+        yield from (common.by_slices(column, rows) for column in texts)
 
     return docs.withColumn(FOUND, predict(F.col("text").cast("string")))
 

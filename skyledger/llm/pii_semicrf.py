@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skyledger.llm import common
+
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE_DOCS, EPOCHS, RATE, DECAY = 1500, 3, 0.3, 1e-4
 MAX_WORDS, POSTERIOR = 4, 0.9
@@ -247,12 +249,12 @@ def _logsum(values: list[float]) -> float:
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> SemiMarkov:
     """Trains on the texts of at most `sample_docs` documents that hold a digit or an at sign.
 
-    The sample is the documents with the least hash of text, from all rows; texts over 20,000
+    The sample is the distinct texts of least hash, from all rows; texts over 20,000
     characters don't serve as examples.
     """
     rows = docs.select(F.col("text").cast("string").alias("text")).where(F.col("text").rlike("[0-9@]") & (F.length("text") <= 20_000))
-    rows = rows.select("text", F.xxhash64("text").alias("h")).orderBy("h").limit(sample_docs)
-    return SemiMarkov().train([r.text for r in rows.toLocalIterator()])
+    found = common.sampled(rows.withColumn("label", F.lit("")), sample_docs, 1)
+    return SemiMarkov().train([text for *_, text in found])
 
 
 def find(docs: DataFrame, model: SemiMarkov) -> DataFrame:
@@ -265,9 +267,12 @@ def find(docs: DataFrame, model: SemiMarkov) -> DataFrame:
     def locate(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         crf = SemiMarkov(shared.value)
         as_rows = lambda spans: [{"kind": k, "begin": b, "end": e} for k, b, e in spans]
-        for column in texts:
-            both = [crf.spans(text or "") for text in column.to_pylist()]
-            yield pa.StructArray.from_arrays([pa.array([as_rows(x[i]) for x in both], pa.list_(item)) for i in (0, 1)], ["base", "spans"])
+
+        def rows(some: list[str | None]) -> pa.Array:
+            both = [crf.spans(text or "") for text in some]
+            return pa.StructArray.from_arrays([pa.array([as_rows(x[i]) for x in both], pa.list_(item)) for i in (0, 1)], ["base", "spans"])
+
+        yield from (common.by_slices(column, rows) for column in texts)
 
     return docs.withColumn("found", locate(F.col("text").cast("string")))
 
@@ -298,6 +303,6 @@ def redact(docs: DataFrame, model: SemiMarkov) -> DataFrame:
     def mask(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         crf = SemiMarkov(shared.value)
         for column in texts:
-            yield pa.array([text if not text else masked(text, crf.spans(text)[1]) for text in column.to_pylist()], pa.string())
+            yield common.by_slices(column, lambda some: pa.array([text if not text else masked(text, crf.spans(text)[1]) for text in some], pa.string()))
 
     return docs.withColumn("text", mask(F.col("text").cast("string")))

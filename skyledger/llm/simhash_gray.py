@@ -50,7 +50,7 @@ def fingerprint_of(text: str | None, words: int = SHINGLE) -> int:
 
 @F.arrow_udf(LongType())
 def fingerprint(texts: pa.Array) -> pa.Array:
-    return pa.array(np.array([fingerprint_of(t) for t in texts.to_pylist()], np.uint64).view(np.int64))
+    return common.by_slices(texts, lambda some: pa.array(np.array([fingerprint_of(t) for t in some], np.uint64).view(np.int64)))
 
 
 def gray_rank(fp: Column) -> Column:
@@ -158,7 +158,8 @@ def _forest(left: np.ndarray, right: np.ndarray | None, distance: int) -> np.nda
 
 def _links(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for a, b, left, right in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "left", "right"))):
+        for k in range(batch.num_rows):
+            a, b, left, right = (batch.column(c)[k].as_py() for c in ("a", "b", "left", "right"))
             found = _forest(np.frombuffer(left, np.uint64), None if a == b else np.frombuffer(right, np.uint64), distance)
             if len(found):
                 one, two = found.T.copy().view(np.int64)

@@ -5,8 +5,7 @@ first letters (`PREFIXES` of them, so inflected forms count) weigh; a document's
 its sentences, 1 - prod(1 - p). Only documents are labelled: weights are trained by gradient on the
 documents' likelihood through the noisy-or, and then the sentence scores locate what offends.
 
-The model is fitted on a bounded sample (`TRAIN_DOCS` labelled documents a class, by least hash of
-the text; class weights restore their shares); its words and prefixes are at most `FEATURES`, those
+The model is fitted on a bounded sample (`TRAIN_DOCS` distinct labelled texts a class, by least hash; class weights restore their shares); its words and prefixes are at most `FEATURES`, those
 most tied to the label by a chi-square test.
 
 Defined results: a text that is null, empty or without a word has no sentence and scores 0; equal
@@ -23,9 +22,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skyledger.llm import common
+
 TRAIN_DOCS, FEATURES, LEAST_DOCS, LEAST_CHI = 2000, 2000, 5, 20.0
 PREFIXES, KEPT_WORDS = range(3, 8), 300_000
 STEPS, RATE, PENALTY, FIRST_BIAS, LEAST_WEIGHT = 300, 0.1, 1e-4, -6.0, 0.1
@@ -138,11 +139,9 @@ def fit_rows(rows: list[tuple[int, float, str]]) -> InstanceModel:
 def fit(labelled: DataFrame) -> InstanceModel:
     """Fits on a bounded sample of `labelled(text, toxic)`; other labels than 0 and 1 are left out."""
     rows = labelled.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic"))
-    rows = rows.where("toxic in (0, 1)")
-    total = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
-    first = F.row_number().over(Window.partitionBy("toxic").orderBy("h", "text"))
-    sample = rows.withColumn("h", F.xxhash64("text")).withColumn("n", first).where(F.col("n") <= TRAIN_DOCS).orderBy("toxic", "n")
-    return fit_rows([(r.toxic, total[r.toxic] / min(total[r.toxic], TRAIN_DOCS), r.text) for r in sample.select("toxic", "text").toLocalIterator()])
+    found = common.sampled(rows.where("toxic in (0, 1)").withColumnRenamed("toxic", "label"), TRAIN_DOCS, 2)
+    taken = Counter(label for label, *_ in found)
+    return fit_rows([(label, n / taken[label], text) for label, n, text in found])
 
 
 def judge(docs: DataFrame, model: InstanceModel) -> DataFrame:
@@ -153,10 +152,13 @@ def judge(docs: DataFrame, model: InstanceModel) -> DataFrame:
     @F.arrow_udf("struct<score:double,offending:array<struct<begin:bigint,end:bigint,score:double>>>")
     def rate(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = InstanceModel(*shared.value)
-        for column in texts:
-            found = [own.score(text) for text in column.to_pylist()]
+
+        def rows(some: list[str | None]) -> pa.Array:
+            found = [own.score(text) for text in some]
             spans = [[{"begin": b, "end": e, "score": p} for b, e, p in x[1]] for x in found]
-            yield pa.StructArray.from_arrays([pa.array([x[0] for x in found], pa.float64()), pa.array(spans, pa.list_(item))], ["score", "offending"])
+            return pa.StructArray.from_arrays([pa.array([x[0] for x in found], pa.float64()), pa.array(spans, pa.list_(item))], ["score", "offending"])
+
+        yield from (common.by_slices(column, rows) for column in texts)
 
     return docs.withColumn(FOUND, rate(F.col("text").cast("string")))
 

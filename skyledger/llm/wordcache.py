@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Chunks and ids a worker keeps; beyond them the memory is emptied and filled anew.
-KEPT_CHUNKS, KEPT_IDS = 800_000, 6_000_000
+KEPT_CHUNKS, KEPT_IDS = 400_000, 3_000_000
 #: Characters of text that are split at a time, and words in one call.
 SLICE_CHARS, JOINED_WORDS = 8_000_000, 256
 MARKS = ".,;:!?"
