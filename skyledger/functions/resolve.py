@@ -156,12 +156,16 @@ def solar(raw: Column) -> Column:
 def sky_object(raw: Column) -> Column:
     """struct(canon, source): solar system first, then catalogue designations, then common names."""
     raw = text.to_text(raw)
-    own = designation(raw)
-    named, body = common_name(raw), solar(raw)
     answer = lambda canon, source: F.struct(canon.alias("canon"), source.alias("source"))
-    is_body = body.isin(*set(BODIES.values()))
-    return (
-        F.when(body.isNotNull(), answer(body, F.when(is_body, "solar").otherwise("comet")))
-        .when(own.isNotNull(), answer(preferred(own), F.when(preferred(own) == own, "header").otherwise("catalog_xref")))
-        .when(named.isNotNull(), answer(preferred(named), F.lit("common_name")))
-    )
+
+    def first(found: Column) -> Column:
+        body, own, named = found["body"], found["own"], found["named"]
+        return (
+            F.when(body.isNotNull(), answer(body, F.when(body.isin(*sorted(set(BODIES.values()))), "solar").otherwise("comet")))
+            .when(own.isNotNull(), answer(preferred(own), F.when(preferred(own) == own, "header").otherwise("catalog_xref")))
+            .when(named.isNotNull(), answer(preferred(named), F.lit("common_name")))
+        )
+
+    # An array of one, so that each way is worked out once and not wherever its answer is used.
+    ways = F.struct(solar(raw).alias("body"), designation(raw).alias("own"), common_name(raw).alias("named"))
+    return F.get(F.transform(F.array(ways), first), F.lit(0))

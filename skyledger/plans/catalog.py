@@ -530,7 +530,7 @@ def commit_plan(c: Catalog) -> DataFrame:
     return changes.commit_status(staged, now)
 
 
-@plan("SELECT frame_id, keyword, row_number() OVER (PARTITION BY frame_id, keyword ORDER BY idx) - 1 AS idx, value_raw FROM cards WHERE keyword = 'HISTORY'")
+@plan("SELECT frame_id, keyword, (row_number() OVER (PARTITION BY frame_id, keyword ORDER BY idx) - 1)::INTEGER AS idx, value_raw FROM cards WHERE keyword = 'HISTORY'")
 def cards_occurrence_idx(c: Catalog) -> DataFrame:
     from skyledger.sources import headers
 
