@@ -61,16 +61,19 @@ def by_slices(column: pa.Array, f: Callable[[list], pa.Array]) -> pa.Array:
     return pa.concat_arrays([f(column.slice(at, SLICE_ROWS).to_pylist()) for at in cuts])
 
 
-def sampled(rows: DataFrame, n: int, labels: int) -> list[tuple]:
+def sampled(rows: DataFrame, n: int, labels: int, texts: DataFrame | None = None) -> list[tuple]:
     """(label, rows of that label, text) of at most `n` distinct texts for each of the most frequent `labels`.
 
     Texts are taken by least hash. A first pass counts each label's rows and, roughly, its texts;
     the share of hashes that holds `n` of them for certain is all that the second pass shuffles, and
     copies of a text are one row before the shuffle. So a task gets a few thousand rows at most,
     however large the table is or however often a text repeats.
+
+    `rows` holds label and text; or, with `texts(text)`, label and the text's `h`, so that a join
+    which gives the labels doesn't have to move texts.
     """
     spark = rows.sparkSession
-    rows = rows.select("label", "text", F.xxhash64("text").alias("h"))
+    rows = rows.select("label", "text", F.xxhash64("text").alias("h")) if texts is None else rows.select("label", "h")
     stats = rows.groupBy("label").agg(F.count("*").alias("rows"), F.approx_count_distinct("h").alias("kinds")).orderBy(F.desc("rows"), "label").limit(labels).collect()
     if not stats:
         return []
@@ -79,10 +82,13 @@ def sampled(rows: DataFrame, n: int, labels: int) -> list[tuple]:
     cuts = [(r.label, r.rows, min((1 << 63) - 1, int(ample / max(1, r.kinds) * (1 << 64)) - (1 << 63))) for r in stats]
     kind = rows.schema["label"].dataType.simpleString()
     known = F.broadcast(spark.createDataFrame(cuts, f"label {kind}, rows long, cut long"))
-    few = rows.join(known, "label").where("h <= cut").groupBy("label", "rows", "h").agg(F.min("text").alias("text"))
+    few = rows.join(known, "label").where("h <= cut").groupBy("label", "rows", "h").agg(*([F.min("text").alias("text")] if texts is None else [F.count("*").alias("copies")]))
     place = F.row_number().over(Window.partitionBy("label").orderBy("h"))
-    chosen = few.withColumn("place", place).where(F.col("place") <= n).orderBy("label", "h")
-    return [(r.label, r.rows, r.text) for r in chosen.toLocalIterator()]
+    chosen = few.withColumn("place", place).where(F.col("place") <= n)
+    if texts is not None:  # at most n for each label
+        wanted = F.broadcast(chosen.select("label", "rows", "h"))
+        chosen = texts.select("text", F.xxhash64("text").alias("h")).join(wanted, "h").groupBy("label", "rows", "h").agg(F.min("text").alias("text"))
+    return [(r.label, r.rows, r.text) for r in chosen.orderBy("label", "h").toLocalIterator()]
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -39,7 +39,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity_mil.InstanceModel:
     marks = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return toxicity_mil.fit(docs.select("doc_id", "text").where(fold(5) != 0).join(marks, "doc_id").select("text", "toxic"))
+    return toxicity_mil.fit(docs.where(fold(5) != 0), marks)
 
 
 def op5_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:

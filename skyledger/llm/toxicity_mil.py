@@ -136,10 +136,15 @@ def fit_rows(rows: list[tuple[int, float, str]]) -> InstanceModel:
     return InstanceModel({word: float(x) for word, x in zip(kept, w) if abs(x) >= LEAST_WEIGHT}, float(bias))
 
 
-def fit(labelled: DataFrame) -> InstanceModel:
-    """Fits on a bounded sample of `labelled(text, toxic)`; other labels than 0 and 1 are left out."""
-    rows = labelled.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic"))
-    found = common.sampled(rows.where("toxic in (0, 1)").withColumnRenamed("toxic", "label"), TRAIN_DOCS, 2)
+def fit(docs: DataFrame, labels: DataFrame) -> InstanceModel:
+    """Fits on a bounded sample of `docs(doc_id, text)` by `labels(doc_id, toxic)`, a row for each id.
+
+    Other labels than 0 and 1 are left out. Labels meet the texts' hashes; only chosen texts are read.
+    """
+    texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    marks = labels.select("doc_id", F.col("toxic").cast("int").alias("label")).where("label in (0, 1)")
+    rows = texts.select("doc_id", F.xxhash64("text").alias("h")).join(marks, "doc_id")
+    found = common.sampled(rows, TRAIN_DOCS, 2, texts)
     taken = Counter(label for label, *_ in found)
     return fit_rows([(label, n / taken[label], text) for label, n, text in found])
 

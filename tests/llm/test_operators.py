@@ -280,19 +280,24 @@ def test_folded_kernel_equals_kernel():
     assert np.allclose(marks @ marks.T / language_id.LONGEST, kernel, atol=1e-5)
 
 
+def _apart(labelled):
+    """Documents and labels of labelled documents."""
+    return labelled.select("doc_id", "text"), labelled.where("doc_id is not null").groupBy("doc_id").agg({"toxic": "max"}).toDF("doc_id", "toxic")
+
+
 def test_toxicity(spark, docs, empty):
     rng = random.Random(1)
     sentence = lambda bad: " ".join(rng.choice(["thing", "ounder", "la", "rest"]) for _ in range(6)) + (f" {rng.choice(['idiot', 'morons'])} " if bad else "") + "."
     made = [(k, k % 3 == 0, " ".join(sentence(k % 3 == 0 and s == 2) for s in range(5))) for k in range(240)]
     labelled = spark.createDataFrame([(k, int(y), t) for k, y, t in made] + [(None, 1, None), (900, None, "x"), (901, 7, "y")], "doc_id long, toxic int, text string")
-    model = toxicity_mil.fit(labelled.where("doc_id < 160 or doc_id is null"))
+    model = toxicity_mil.fit(*_apart(labelled.where("doc_id < 160 or doc_id is null")))
     rows = toxicity_mil.score(labelled.where("doc_id between 160 and 239"), model).join(labelled, "doc_id").collect()
     assert all(r.predicted == r.toxic for r in rows)
     for r in rows:
         assert [any(w in r.text[o.begin : o.end] for w in ("idiot", "moron")) for o in r.offending] == [True] * r.toxic
     assert toxicity_mil.score(empty, model).count() == 0
     assert all(0 <= r.score < 0.5 for r in toxicity_mil.score(docs, model).collect())
-    untaught = toxicity_mil.fit(labelled.where("toxic = 1"))
+    untaught = toxicity_mil.fit(*_apart(labelled.where("toxic = 1")))
     assert {r.score for r in toxicity_mil.score(docs, untaught).collect()} == {0.0}
 
 
