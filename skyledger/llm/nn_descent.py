@@ -7,7 +7,8 @@ other, and pairs that improve a list replace what is there. A list keeps its `LI
 doubled while it is saturated with links, up to `LONGEST`. Only neighbours within twice the angle of
 a link are kept, as no two links in a row lead further. An audit compares a bounded set of vertices
 with all others exactly; while too few of their links are inside their component, more tables and
-refinements follow.
+refinements follow. A list drops links once it is full, so in the end all vertices are compared with all
+others, and components that a link joins become one.
 
 Links hang vertices together to components. Within a component, in blocks of bounded size, links
 are counted exactly, so a count never depends on how long a list was and no pairs are written out.
@@ -24,16 +25,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyledger.llm import common, vectors
+from skyledger.llm import common, simhash_gray, vectors
 
 THRESHOLD = 0.9
 TABLES, CODE_BITS, WINDOW = 8, 24, 4
 LIST, LONGEST, ROUNDS, STILL = 8, 64, 4, 0.01
 AUDITED, RECALL, MORE_TABLES = 256, 0.995, 3
 BLOCK = 1024
+#: Vertices in a block of the closing pass, and how many of them are compared at a time.
+CLOSING, SLICE = 4096, 512
 
 
 def _unit(df: DataFrame, id_column: str, vector_column: str) -> DataFrame:
@@ -146,6 +150,66 @@ def _audit(nodes: DataFrame, groups: DataFrame, threshold: float) -> float:
     return 1.0 if not total.found else total.inside / total.found
 
 
+def _missed(placed: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) between components of `placed(node, unit, component)`, a forest for every two blocks.
+
+    All vertices are compared with all others, block by block, so no link between two components is left
+    out, however the search went. Blocks are read from the shared folder, not shuffled.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seq, where, units = TaskContext.get().partitionId() << 32, 0, [], []
+
+        def block(n: int) -> pa.RecordBatch:
+            own = vectors.matrix(units[:n])
+            row = [part + seq], [np.array(where[:n], "<i8").tobytes()], [np.ascontiguousarray(own).tobytes()], [own.shape[1]]
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int64(), pa.binary(), pa.binary(), pa.int64()))], ["block", "comps", "units", "dims"])
+
+        for batch in batches:
+            where += batch.column("component").to_pylist()
+            units += batch.column("unit").to_pylist()
+            while len(where) >= CLOSING:
+                yield block(CLOSING)
+                seq += 1
+                del where[:CLOSING], units[:CLOSING]
+        if where:
+            yield block(len(where))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = {name: batch.column(name)[k].as_py() for name in batch.schema.names}
+                comps = [np.frombuffer(row[f"{x}_comps"], "<i8") for x in "ab"]
+                units = [np.frombuffer(row[f"{x}_units"], "<f8").reshape(len(c), row[f"{x}_dims"]) for x, c in zip("ab", comps)]
+                width = min(u.shape[1] for u in units)  # a shorter vector ends in zeros
+                names, at = np.unique(np.concatenate(comps), return_inverse=True)
+                left, right = at[: len(comps[0])], at[len(comps[0]) :]
+                label = np.arange(len(names))
+                for begin in range(0, len(left), SLICE):
+                    own = left[begin : begin + SLICE]
+                    link = units[0][begin : begin + SLICE, :width] @ units[1][:, :width].T >= threshold
+                    i, j = np.nonzero(link)
+                    apart = label[own[i]] != label[right[j]]
+                    simhash_gray.hook(label, own[i[apart]], right[j[apart]])
+                moved = np.flatnonzero(label != np.arange(len(label)))
+                yield pa.RecordBatch.from_arrays([pa.array(names[moved]), pa.array(names[label[moved]])], ["a", "b"])
+
+    tasks = max(1, -(-placed.count() // CLOSING))
+    blocks = common.keep(placed.select("component", "unit").repartition(tasks).mapInArrow(cut, "block long, comps binary, units binary, dims long"), "closing-blocks")
+    one, two = (blocks.select(*(F.col(c).alias(f"{x}_{c}") for c in blocks.columns)) for x in "ab")
+    pairs = one.hint("shuffle_replicate_nl").join(two, F.col("a_block") <= F.col("b_block"))
+    return pairs.mapInArrow(compare, "a long, b long")
+
+
+def _closed(nodes: DataFrame, groups: DataFrame, threshold: float) -> DataFrame:
+    """`groups(id, component)` of the search, merged by the links that it missed."""
+    found = groups.select(F.col("id").alias("node"), "component", F.lit(True).alias("linked"))
+    placed = nodes.select("node", "unit").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    more = common.components(common.keep(_missed(placed, threshold), "missed-links")).select(F.col("id").alias("component"), F.col("component").alias("next"))
+    merged = placed.drop("unit").join(more, "component", "left").where("linked or next is not null")
+    return common.cut(merged.select(F.col("node").alias("id"), F.coalesce("next", "component").alias("component")))
+
+
 def _counts(members: DataFrame, threshold: float) -> DataFrame:
     """(node, near): the weight of each vertex's links, from `members(component, node, unit, weight)`.
 
@@ -194,6 +258,7 @@ def near_duplicates(df: DataFrame, id_column: str = "vec_id", vector_column: str
         groups = common.cut(common.components(lists.where(F.col("s") >= threshold).select("a", "b")))
         if _audit(nodes, groups, threshold) >= RECALL:
             break
+    groups = _closed(nodes, groups, threshold)
     placed = groups.withColumnRenamed("id", "node").join(nodes, "node")
     counted = common.keep(_counts(placed.select("component", "node", "unit", "weight"), threshold), "link-counts")
     whole = nodes.join(groups.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))

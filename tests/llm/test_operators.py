@@ -327,6 +327,27 @@ def test_nn_descent(spark):
     assert nn_descent.near_duplicates(vectors_table(spark, [])).count() == 0
 
 
+def against_force(spark, made):
+    unit = np.stack([v / np.linalg.norm(v) for v in made])
+    link = unit @ unit.T >= 0.9
+    np.fill_diagonal(link, False)
+    simhash_gray.hook(label := np.arange(len(made)), *np.nonzero(link))
+    found = nn_descent.near_duplicates(vectors_table(spark, [(i, v.tolist(), "c") for i, v in enumerate(made)])).collect()
+    assert len(found) == len(made)
+    assert not [r for r in found if (r.n_links, r.component_id) != (int(link[r.vec_id].sum()), int(label[r.vec_id]))]
+    return link
+
+
+def test_two_dense_groups_with_links_across(spark, monkeypatch):
+    monkeypatch.setattr(nn_descent, "CLOSING", 100)
+    rng = np.random.default_rng(8)
+    apart = np.arccos(0.915)
+    axes = np.eye(64)[0], np.cos(apart) * np.eye(64)[0] + np.sin(apart) * np.eye(64)[1]
+    near = lambda axis: axis + np.concatenate([np.zeros(2), rng.standard_normal(62)]) * 0.0223
+    link = against_force(spark, [near(axes[k % 2]) for k in range(300)])
+    assert 0 < link[::2, 1::2].sum() < 100
+
+
 def test_blocks_of_a_large_component(spark, monkeypatch):
     monkeypatch.setattr(nn_descent, "BLOCK", 16)
     rng = np.random.default_rng(3)
