@@ -1,14 +1,16 @@
 """Near-duplicate embeddings by NN-descent on a neighbour graph.
 
 Exact copies become one vertex with a weight. Vertices get first neighbours from sorted sequences of
-random sign codes, several tables at a time, each vertex with the `WINDOW` next ones. Then the graph is
+random sign codes, in several tables, each vertex with the `WINDOW` next ones. Then the graph is
 refined: every vertex compares the neighbours that its lists hold, forward and backward, with each
 other, and pairs that improve a list replace what is there. A list keeps its `LIST` best and is
 doubled while it is saturated with links, up to `LONGEST`. Only neighbours within twice the angle of
-a link are kept, as no two links in a row lead further. An audit compares a bounded set of vertices
-with all others exactly; while too few of their links are inside their component, more tables and
-refinements follow. A list drops links once it is full, so in the end all vertices are compared with all
-others, and components that a link joins become one.
+a link are kept, as no two links in a row lead further.
+
+The search gives most links cheaply but none for certain: a list drops links once it is full, and a
+pair with no neighbours around it is found only by luck. So in the end all vertices are compared with
+all others, block by block, and components that a link joins become one. Results don't depend on how
+far the search came; the work of this last pass grows with the square of the distinct vectors.
 
 Links hang vertices together to components. Within a component, in blocks of bounded size, links
 are counted exactly, so a count never depends on how long a list was and no pairs are written out.
@@ -34,7 +36,6 @@ from skyledger.llm import common, simhash_gray, vectors
 THRESHOLD = 0.9
 TABLES, CODE_BITS, WINDOW = 8, 24, 4
 LIST, LONGEST, ROUNDS, STILL = 8, 64, 4, 0.01
-AUDITED, RECALL, MORE_TABLES = 256, 0.995, 3
 BLOCK = 1024
 #: Vertices in a block of the closing pass, and how many of them are compared at a time.
 CLOSING, SLICE = 4096, 512
@@ -129,27 +130,6 @@ def _refined(lists: DataFrame, nodes: DataFrame, floor: float) -> DataFrame:
     return joined.groupBy("a").applyInArrow(meet, "a long, b long, s double").distinct()
 
 
-def _audit(nodes: DataFrame, groups: DataFrame, threshold: float) -> float:
-    """The share of the exact links of a bounded set of vertices that are inside a component."""
-    placed = nodes.join(groups.withColumnRenamed("id", "node"), "node", "left").select("node", "unit", F.coalesce("component", "node").alias("component"))
-    asked = placed.orderBy(F.xxhash64("node"), "node").limit(AUDITED).collect()
-    sample = placed.sparkSession.sparkContext.broadcast((np.array([r.node for r in asked]), np.array([r.component for r in asked]), [bytes(r.unit) for r in asked]))
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, where, blobs = sample.value
-        found = inside = 0
-        for batch in batches:
-            both = vectors.matrix(blobs + batch.column("unit").to_pylist())
-            link = both[: len(ids)] @ both[len(ids) :].T >= threshold
-            link &= ids[:, None] != batch.column("node").to_numpy()[None, :]
-            found += int(link.sum())
-            inside += int((link & (where[:, None] == batch.column("component").to_numpy()[None, :])).sum())
-        yield pa.RecordBatch.from_arrays([pa.array([found]), pa.array([inside])], ["found", "inside"])
-
-    total = placed.mapInArrow(compare, "found long, inside long").agg(F.sum("found").alias("found"), F.sum("inside").alias("inside")).first()
-    return 1.0 if not total.found else total.inside / total.found
-
-
 def _missed(placed: DataFrame, threshold: float) -> DataFrame:
     """Links (a, b) between components of `placed(node, unit, component)`, a forest for every two blocks.
 
@@ -244,20 +224,15 @@ def near_duplicates(df: DataFrame, id_column: str = "vec_id", vector_column: str
     distinct = rows.where("unit is not null").groupBy("unit").agg(F.count("*").alias("weight"), F.min("id").alias("first"))
     nodes = common.keep(distinct.withColumn("node", F.monotonically_increasing_id()), "vertices")
     floor = float(np.cos(min(np.pi, 2 * np.arccos(threshold))))
-    lists = None
-    for attempt in range(MORE_TABLES):
-        seeds = _seeds(nodes, attempt * TABLES, TABLES, floor)
-        lists = common.cut(_lists(seeds if lists is None else lists.union(seeds)))
-        before = lists.count()
-        for _ in range(ROUNDS):
-            lists = common.cut(_lists(lists.union(_refined(lists, nodes, floor))))
-            now = lists.count()
-            if now - before <= STILL * before:
-                break
-            before = now
-        groups = common.cut(common.components(lists.where(F.col("s") >= threshold).select("a", "b")))
-        if _audit(nodes, groups, threshold) >= RECALL:
+    lists = common.cut(_lists(_seeds(nodes, 0, TABLES, floor)))
+    before = lists.count()
+    for _ in range(ROUNDS):
+        lists = common.cut(_lists(lists.union(_refined(lists, nodes, floor))))
+        now = lists.count()
+        if now - before <= STILL * before:
             break
+        before = now
+    groups = common.cut(common.components(lists.where(F.col("s") >= threshold).select("a", "b")))
     groups = _closed(nodes, groups, threshold)
     placed = groups.withColumnRenamed("id", "node").join(nodes, "node")
     counted = common.keep(_counts(placed.select("component", "node", "unit", "weight"), threshold), "link-counts")

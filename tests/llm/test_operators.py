@@ -348,6 +348,16 @@ def test_two_dense_groups_with_links_across(spark, monkeypatch):
     assert 0 < link[::2, 1::2].sum() < 100
 
 
+def test_isolated_pairs_among_many_vectors(spark):
+    rng = np.random.default_rng(6)
+    made = rng.standard_normal((2500, 64))
+    made /= np.linalg.norm(made, axis=1)[:, None]
+    for k in range(60):  # planted pairs at 0.905
+        side = made[k + 1000] - (made[k + 1000] @ made[k]) * made[k]
+        made[k + 1000] = 0.905 * made[k] + np.sqrt(1 - 0.905**2) * side / np.linalg.norm(side)
+    assert against_force(spark, list(made)).sum() == 120
+
+
 def test_blocks_of_a_large_component(spark, monkeypatch):
     monkeypatch.setattr(nn_descent, "BLOCK", 16)
     rng = np.random.default_rng(3)
