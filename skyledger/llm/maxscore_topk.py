@@ -99,11 +99,12 @@ def search(queries: np.ndarray, query_ids: np.ndarray, shard: np.ndarray, shard_
     floor = least.copy()
     essential = next((n for n in range(PROBE_TERMS, width, PROBE_TERMS) if (rest[:, n] < np.maximum(floor, rest[:, 0] / 2)).all()), width)
     partial = weights[:, :essential] @ posts[:essential]
+    partial[shard_ids[None, :] == query_ids[:, None]] = -np.inf  # rows of the query's own id are no candidates
     at = essential
     while True:
-        if partial.shape[1] > k:  # the query itself may be among the best
-            floor = np.maximum(floor, np.partition(partial, -k - 1, 1)[:, -k - 1] + lack[:, at])
-        alive = partial + rest[:, at, None] >= floor[:, None]
+        if partial.shape[1] >= k:
+            floor = np.maximum(floor, np.partition(partial, -k, 1)[:, -k] + lack[:, at])
+        alive = (partial + rest[:, at, None] >= floor[:, None]) & (partial > -np.inf)
         if at >= width or alive.mean() < DENSE:
             break
         partial += weights[:, at : at + PROBE_TERMS] @ posts[at : at + PROBE_TERMS]
@@ -116,9 +117,7 @@ def search(queries: np.ndarray, query_ids: np.ndarray, shard: np.ndarray, shard_
         at = min(at + PROBE_TERMS, width)
         keep = score + rest[q, at] >= floor[q]
         q, d, score = q[keep], d[keep], score[keep]
-    other = shard_ids[d] != query_ids[q]
-    q, ids, score = q[other], shard_ids[d[other]], score[other].astype(np.int64)
-    return _best(q, ids, score, k)
+    return _best(q, shard_ids[d], score.astype(np.int64), k)
 
 
 def _best(q: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -385,6 +385,22 @@ def test_top_k(spark, monkeypatch):
     assert maxscore_topk.top_k(table.where("false"), table.where("false")).count() == 0
 
 
+def test_top_k_with_repeated_ids(spark):
+    rng = np.random.default_rng(3)
+    made = rng.standard_normal((200, 16))
+    rows = [(i, v.tolist(), "c") for i, v in enumerate(made)] + [(i, made[i].tolist(), "c") for i in (0, 50, 100) for _ in range(3 + i // 10)]
+    table = maxscore_topk.quantised(vectors_table(spark, rows), "vec_id", "embedding")
+    whole = [(i, np.floor(np.array(v) * maxscore_topk.SCALE).astype(int)) for i, v, _ in rows]
+    found = {}
+    for r in maxscore_topk.top_k(table, table.where("id % 50 = 0")).collect():
+        found.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    asked = [x for x in whole if x[0] % 50 == 0]
+    for query in {i for i, _ in asked}:
+        best = sorted((-int(v @ dict(asked)[query]), i) for i, v in whole if i != query)[:5]
+        wanted = [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
+        assert sorted(found[query]) == sorted(wanted * sum(i == query for i, _ in asked))
+
+
 def test_quotation_threads(spark):
     rows = [
         (1, 0, "user", "The first point.\n\nAnother thing to say."), (1, 1, "assistant", "An answer of mine"), (1, 2, "user", "Anna wrote:\n> Another THING, to say\nI disagree."),
