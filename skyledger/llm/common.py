@@ -149,3 +149,16 @@ def positions(rows: DataFrame, group: str, order: list[str], name: str = "positi
     sizes = sizes.withColumn("_before", F.coalesce(F.sum("count").over(before), F.lit(0))).where("_before > 0")
     joined = counted.join(sizes, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_part") == F.col("_of")), "left")
     return joined.select(*plain, (F.col("_place") + F.coalesce("_before", F.lit(0))).alias(name))
+
+
+def numbered(blocks: DataFrame) -> DataFrame:
+    """Stored `blocks(part, seq, ...)`, seq counting from 0 in each part, with `block`, its place by (part, seq).
+
+    Only the parts' numbers of blocks are brought together, a row a task; the blocks stay where they are.
+    """
+    before, known = 0, []
+    for row in blocks.groupBy("part").count().orderBy("part").collect():
+        known.append((row["part"], before))
+        before += row["count"]
+    offsets = F.broadcast(blocks.sparkSession.createDataFrame(known, "part long, _before long"))
+    return blocks.join(offsets, "part").withColumn("block", F.col("seq") + F.col("_before")).drop("part", "seq", "_before")

@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,28 +56,26 @@ def _blocks(rows: DataFrame, size: int, label: str) -> DataFrame:
     """Bounded blocks (block, ids, weights, dims) of rows; a task cuts its own rows."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, weights = [], []
+        part, seq, ids, weights = TaskContext.get().partitionId(), 0, [], []
 
         def block(n: int) -> pa.RecordBatch:
             own = vectors.matrix(weights[:n], "<i8")
-            row = [np.array(ids[:n], "<i8").tobytes()], [np.ascontiguousarray(own).tobytes()], [own.shape[1]]
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.binary(), pa.binary(), pa.int64()))], ["ids", "weights", "dims"])
+            row = [part], [seq], [np.array(ids[:n], "<i8").tobytes()], [np.ascontiguousarray(own).tobytes()], [own.shape[1]]
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64()))], ["part", "seq", "ids", "weights", "dims"])
 
         for batch in batches:
             ids += batch.column("id").to_pylist()
             weights += batch.column("weights").to_pylist()
             while len(ids) >= size:
                 yield block(size)
+                seq += 1
                 del ids[:size], weights[:size]
         if ids:
             yield block(len(ids))
 
     tasks = max(1, -(-rows.count() // (4 * size)))
     dealt = rows.repartition(tasks, "id", "weights").sortWithinPartitions("id", "weights")
-    cut_up = common.keep(dealt.mapInArrow(cut, "ids binary, weights binary, dims long"), label)
-    # One row for hundreds of vectors, numbered by its first bytes.
-    numbered = cut_up.withColumn("block", (F.row_number().over(Window.orderBy("ids", "weights")) - 1).cast("long"))
-    return common.keep(numbered, f"{label}-numbered")
+    return common.numbered(common.keep(dealt.mapInArrow(cut, "part long, seq long, ids binary, weights binary, dims long"), label))
 
 
 def search(queries: np.ndarray, query_ids: np.ndarray, shard: np.ndarray, shard_ids: np.ndarray, k: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
@@ -170,9 +170,7 @@ def fingerprint_links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """A forest (a, b) of distinct fingerprints `fps(fp)` that hangs together as the links do."""
     spark = fps.sparkSession
     blocks = common.keep(_blocks(fps), "gray-blocks")
-    # One row for thousands of fingerprints, numbered in Gray order.
-    numbered = blocks.withColumn("block", F.row_number().over(Window.orderBy("part", "seq")) - 1)
-    numbered = common.keep(numbered.select(F.col("block").cast("long").alias("block"), "lo", "hi", "fps"), "gray-numbered")
+    numbered = common.numbered(blocks)  # in Gray order
     pairs = _block_pairs(numbered.drop("fps"), distance)
     members = numbered.select("block", "fps")
     shipped = (

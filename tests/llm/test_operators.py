@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from skyledger.llm import (
     best_fit_packing,
@@ -401,6 +402,20 @@ def test_top_k_with_repeated_ids(spark):
         assert sorted(found[query]) == sorted(wanted * sum(i == query for i, _ in asked))
 
 
+def test_blocks_are_numbered_without_bringing_them_together(spark, monkeypatch):
+    monkeypatch.setattr(maxscore_topk, "SHARD_ROWS", 10)
+    monkeypatch.setattr(simhash_gray, "BLOCK", 10)
+    plans, keep = [], common.keep
+    monkeypatch.setattr(common, "keep", lambda df, label: plans.append(df._jdf.queryExecution().toString()) or keep(df, label))
+    rows = spark.range(200).select("id", F.lit(b"12345678").alias("weights"))
+    blocks = maxscore_topk._blocks(rows, 10, "test-shards").collect()
+    assert sorted(r.block for r in blocks) == list(range(len(blocks)))
+    assert sorted(i for r in blocks for i in np.frombuffer(r.ids, "<i8")) == list(range(200))
+    simhash_gray.fingerprint_links(spark.range(200).select(F.col("id").alias("fp")))
+    assert plans and not any("Window [" in plan for plan in plans)
+    assert common.numbered(spark.createDataFrame([], "part long, seq long, x string")).columns == ["x", "block"]
+
+
 def test_quotation_threads(spark):
     rows = [
         (1, 0, "user", "The first point.\n\nAnother thing to say."), (1, 1, "assistant", "An answer of mine"), (1, 2, "user", "Anna wrote:\n> Another THING, to say\nI disagree."),
