@@ -14,24 +14,33 @@ A chunk is a run of spaces with what follows up to the next space; no piece of s
 space after another character, and none crosses a character that it can't hold.
 
 Defined results: a null or empty text has no ids and decodes to an empty text; equal rows have equal
-results; an empty table gives no row; other columns are left alone.
+results; an empty column gives none. Columns are made of columns, so others are left alone. A model
+that merges otherwise or normalises its input is refused.
 """
 
 from __future__ import annotations
 
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from skyledger.llm import common
+
 SPACE = "▁"
-SLICE_CHARS, INDEX_CHARS = 2_000_000, 400_000
-KEPT_CHUNKS, KEPT_IDS, KEPT_PAIRS = 500_000, 4_000_000, 1_500_000
+#: Characters of text that are split at a time, and of new chunks in one index.
+SLICE_CHARS, INDEX_CHARS = 500_000, 100_000
+#: What a worker remembers: some 25 MB of chunks, 5 MB of ids and 10 MB of pairs; then it begins anew.
+KEPT_CHUNKS, KEPT_IDS, KEPT_PAIRS = 120_000, 1_200_000, 1_000_000
 _OTHER = 0xFFFF
+#: Texts by which a model is told that this encoder doesn't serve: other merging, or a normaliser.
+_PROBES = ["The quick brown fox  jumps", "ﬁne Ａ½ é e\u0301", " a\tb\nc ", "unbelievably internationalisation"]
 
 _codecs: dict[str, PieceCodec] = {}
 
@@ -58,14 +67,14 @@ class PieceCodec:
                 ids.append(i)
                 self.pieces.append(piece)
         self.ids = np.array(ids, np.uint32)
-        self.score = {piece: (-model.get_score(int(i)), k) for k, (piece, i) in enumerate(zip(self.pieces, ids))}
+        self.rank = {piece: -model.get_score(int(i)) for piece, i in zip(self.pieces, ids)}.get
         if any(SPACE in piece.lstrip(SPACE) for piece in self.pieces):
             raise ValueError("a piece has a space after another character")
         letters = sorted({c for piece in self.pieces for c in piece})
         self.table = np.full(0x110000, _OTHER, np.uint16)
         self.table[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
         self.longest = max(map(len, self.pieces))
-        self.lengths = np.array([len(p) for p in self.pieces])
+        self.lengths = np.array([len(p) for p in self.pieces], np.int32)
         keys = np.zeros((len(self.pieces), self.longest), ">u2")
         for k, piece in enumerate(self.pieces):
             keys[k, : len(piece)] = self.table[[ord(c) for c in piece]]
@@ -74,8 +83,14 @@ class PieceCodec:
         #: Characters that end a chunk on both sides, as no piece holds them.
         breaks = "".join(c for c in "\n\t\r" if self.table[ord(c)] == _OTHER)
         self.chunk = re.compile(f"{SPACE}*[^{SPACE}{breaks}]+|{SPACE}+|[{breaks}]" if breaks else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-        self.pairs: dict[int, bool] = {}
+        self._forget_pairs()
         self._empty()
+        if any(own.tolist() != model.encode(text) for text, own in zip(_PROBES, self.encode(_PROBES))):
+            raise ValueError(f"{path} is no byte-pair model of plain text")
+
+    def _forget_pairs(self) -> None:
+        #: Pairs of pieces met so far, ascending, and whether they may follow one another.
+        self.pairs, self.fine = np.zeros(0, np.int64), np.zeros(0, bool)
 
     def _empty(self) -> None:
         self.place: dict[str, int] = {}
@@ -83,54 +98,59 @@ class PieceCodec:
 
     def merged(self, text: str) -> list[str]:
         """Byte-pair merging of a short text: the best pair first, the leftmost of equals."""
-        parts = list(text)
+        parts, rank = list(text), self.rank
         while len(parts) > 1:
-            best = min((self.score[a + b][0], k) if (a + b) in self.score else (np.inf, k) for k, (a, b) in enumerate(zip(parts, parts[1:])))
-            if best[0] == np.inf:
+            costs = [rank(a + b, np.inf) for a, b in zip(parts, parts[1:])]
+            least = min(costs)
+            if least == np.inf:
                 break
-            parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
+            k = costs.index(least)
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
         return parts
 
     def _follows(self, before: np.ndarray, piece: np.ndarray) -> np.ndarray:
         """Whether each piece may follow the one before; -1 there is the start, -2 a character as bytes."""
-        codes, inverse = np.unique((before + 2) * len(self.pieces) + piece, return_inverse=True)
-        known, out = self.pairs, np.empty(len(codes), bool)
-        for k, code in enumerate(codes.tolist()):
-            ok = known.get(code)
-            if ok is None:
+        codes, inverse = np.unique((before.astype(np.int64) + 2) * len(self.pieces) + piece, return_inverse=True)
+        at = np.searchsorted(self.pairs, codes)
+        known = np.append(self.pairs, -1)[at] == codes
+        new = codes[~known]
+        if len(new):
+            fine = []
+            for code in new.tolist():
                 a, b = divmod(code, len(self.pieces))
                 two = [self.pieces[b]] if a < 2 else [self.pieces[a - 2], self.pieces[b]]
-                ok = known[code] = self.merged("".join(two)) == two
-            out[k] = ok
-        return out[inverse]
+                fine.append(self.merged("".join(two)) == two)
+            self.pairs, self.fine = np.insert(self.pairs, at[~known], new), np.insert(self.fine, at[~known], fine)
+            at = np.searchsorted(self.pairs, codes)
+        return self.fine[at][inverse]
 
     def _edges(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All occurrences of pieces as (begin, piece), by a suffix array of the codes."""
         padded = np.concatenate([codes, np.zeros(self.longest, np.uint16)]).astype(">u2")
         windows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, self.longest)[: len(codes)]).view(self.keys.dtype).ravel()
-        suffixes = np.argsort(windows, kind="stable")
+        suffixes = np.argsort(windows, kind="stable").astype(np.int32)
         ordered = windows[suffixes]
         low, high = np.searchsorted(ordered, self.keys, "left"), np.searchsorted(ordered, self.ends, "right")
         counts = np.maximum(high - low, 0)
-        piece = np.repeat(np.arange(len(counts)), counts)
-        at = np.arange(len(piece)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(low, counts)
+        piece = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+        at = np.arange(len(piece), dtype=np.int32) + np.repeat((low - np.cumsum(counts) + counts).astype(np.int32), counts)
         return suffixes[at], piece
 
     def _index(self, chunks: list[str]) -> None:
         """Encodes new chunks and keeps their ids."""
         if len(self.pairs) > KEPT_PAIRS:
-            self.pairs.clear()
+            self._forget_pairs()
         points = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32)
         sizes = np.array([len(c) for c in chunks])
         # A character that no piece holds stands between chunks, so no edge crosses.
-        first = np.cumsum(sizes + 1) - (sizes + 1)
+        first = (np.cumsum(sizes + 1) - (sizes + 1)).astype(np.int32)
         at = np.arange(len(points)) + np.repeat(np.arange(len(chunks)), sizes)
         codes = np.full(len(points) + len(chunks), _OTHER, np.uint16)
         codes[at] = self.table[points]
         begin, piece = self._edges(codes)
         lone = at[codes[at] == _OTHER]
-        begin, piece = np.concatenate([begin, lone]), np.concatenate([piece, np.full(len(lone), -2)])
-        length = np.where(piece < 0, 1, self.lengths[piece])
+        begin, piece = np.concatenate([begin, lone.astype(np.int32)]), np.concatenate([piece, np.full(len(lone), -2, np.int32)])
+        length = np.where(piece < 0, np.int32(1), self.lengths[piece])
         # By the distance of their ends from the chunk's start: all that end k characters in, together.
         origin = np.repeat(first, sizes + 1)
         reach = begin + length - origin[begin]
@@ -182,7 +202,7 @@ class PieceCodec:
             self._empty()
         head = SPACE if self.dummy else ""
         split = [self.chunk.findall(head + t.replace(" ", SPACE)) if t else [] for t in texts]
-        new = sorted({c for own in split for c in own}.difference(self.place))
+        new = sorted(set().union(*split).difference(self.place))
         begin = size = 0
         for k, chunk in enumerate(new):
             size += len(chunk)
@@ -190,21 +210,15 @@ class PieceCodec:
                 self._index(new[begin : k + 1])
                 begin, size = k + 1, 0
         counts = [len(own) for own in split]
-        at = np.fromiter((self.place[c] for own in split for c in own), np.int64, sum(counts))
+        at = np.fromiter(map(self.place.__getitem__, chain.from_iterable(split)), np.int64, sum(counts))
         starts, found = np.array(self.starts, np.int64), np.array(self.found, np.uint32)
         first, sizes = starts[at], starts[at + 1] - starts[at]
         ends = np.concatenate([[0], np.cumsum(sizes)])
         return found[np.repeat(first - ends[:-1], sizes) + np.arange(ends[-1])], ends[np.concatenate([[0], np.cumsum(counts)]).astype(int)]
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        out, begin, size = [], 0, 0
-        for k, text in enumerate(texts):
-            size += len(text or "")
-            if size >= SLICE_CHARS or k + 1 == len(texts):
-                ids, bounds = self._slice([t or "" for t in texts[begin : k + 1]])
-                out += [ids[a:b] for a, b in zip(bounds, bounds[1:])]
-                begin, size = k + 1, 0
-        return out
+        ids, bounds = self._slice([t or "" for t in texts])
+        return [ids[a:b] for a, b in zip(bounds, bounds[1:])]
 
     def decode(self, ids) -> str:
         text = b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
@@ -217,16 +231,47 @@ def codec(path: str) -> PieceCodec:
     return _codecs[path]
 
 
+def _slices(column: pa.Array) -> Iterator[list[str | None]]:
+    """The texts of a column, about SLICE_CHARS characters at a time."""
+    lengths = np.append(pc.fill_null(pc.utf8_length(column), 0).to_numpy(zero_copy_only=False).cumsum(), 0)
+    begin = 0
+    while begin < len(column):
+        past = lengths[begin - 1] + SLICE_CHARS
+        end = max(begin + 1, int(np.searchsorted(lengths[:-1], past, "right")))
+        yield column.slice(begin, end - begin).to_pylist()
+        begin = end
+
+
+def _column(shape: str, kind: pa.DataType, rows: Callable[[PieceCodec, list], pa.Array], model: str):
+    """An Arrow UDF that turns a column of texts into another, a slice at a time."""
+
+    @F.arrow_udf(shape)
+    def turned(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        own = codec(model)
+        for column in columns:
+            yield pa.concat_arrays([pa.array([], kind), *(rows(own, some) for some in _slices(column))])
+
+    return turned
+
+
+def _bytes(ids: list[np.ndarray]) -> pa.Array:
+    return pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())
+
+
 def encode(text: Column, model: str) -> Column:
     """The ids of each text as little-endian unsigned 32-bit numbers in a binary column."""
+    return _column("binary", pa.binary(), lambda own, some: _bytes(own.encode(some)), model)(text.cast("string"))
 
-    @F.arrow_udf("binary")
-    def ids(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        own = codec(model)
-        for column in texts:
-            yield pa.array([x.astype("<u4").tobytes() for x in own.encode(column.to_pylist())], pa.binary())
 
-    return ids(text.cast("string"))
+def encode_and_decode(text: Column, model: str) -> Column:
+    """(ids, decoded) of each text: its ids, and the text that they decode to, in one pass."""
+    kind = pa.struct([("ids", pa.binary()), ("decoded", pa.string())])
+
+    def rows(own: PieceCodec, some: list[str | None]) -> pa.Array:
+        ids = own.encode(some)
+        return pa.StructArray.from_arrays([_bytes(ids), pa.array([own.decode(x.tolist()) for x in ids], pa.string())], fields=list(kind))
+
+    return _column("struct<ids:binary,decoded:string>", kind, rows, model)(text.cast("string"))
 
 
 def decode(ids: Column, model: str) -> Column:
@@ -235,7 +280,7 @@ def decode(ids: Column, model: str) -> Column:
     @F.arrow_udf("string")
     def text(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = codec(model)
-        for column in columns:
-            yield pa.array([own.decode(np.frombuffer(x or b"", "<u4").tolist()) for x in column.to_pylist()], pa.string())
+        rows = lambda some: pa.array([own.decode(np.frombuffer(x or b"", "<u4").tolist()) for x in some], pa.string())
+        yield from (common.by_slices(column, rows) for column in columns)
 
     return text(ids)
