@@ -1,16 +1,20 @@
 """Near-duplicate embeddings by NN-descent on a neighbour graph.
 
 Exact copies become one vertex with a weight. Vertices get first neighbours from sorted sequences of
-random sign codes, in several tables, each vertex with the `WINDOW` next ones. Then the graph is
-refined: every vertex compares the neighbours that its lists hold, forward and backward, with each
-other, and pairs that improve a list replace what is there. A list keeps its `LIST` best and is
-doubled while it is saturated with links, up to `LONGEST`. Only neighbours within twice the angle of
-a link are kept, as no two links in a row lead further.
-
-The search gives most links cheaply but none for certain: a list drops links once it is full, and a
-pair with no neighbours around it is found only by luck. So in the end all vertices are compared with
-all others, block by block, and components that a link joins become one. Results don't depend on how
-far the search came; the work of this last pass grows with the square of the distinct vectors.
+random sign codes, in several tables, each vertex with the `WINDOW` next ones (of the same task; what
+a task's border parts stands together in other tables). Then the graph is refined: every vertex
+compares the neighbours that its lists hold, forward and backward, with each other, each of which
+keeps its best of them, and pairs that improve a list replace what is there. A list keeps its `LIST`
+best and is doubled while it is saturated with links, up to `LONGEST`. Only neighbours within twice
+the angle of a link are kept, as no two links in a row lead further. Lists steer the search only:
+every link that it meets goes to the components, as a forest for each vertex's neighbours.
+
+Then recall is audited: a sample of vertices is compared with all vertices, and grows until `LINKED`
+of them have a link. Recall is the share of their links that lead into their own component, by link
+and by vertex, the lesser of both. While it is under `RECALL`, more tables are searched and another
+sample is asked; what an audit finds is kept. If recall stays low, or links are so rare that the
+largest sample holds too few, every vertex is compared with every other, block by block. So the
+quadratic work is done only where the search can't be shown to have found the links without it.
 
 Links hang vertices together to components. Within a component, in blocks of bounded size, links
 are counted exactly, so a count never depends on how long a list was and no pairs are written out.
@@ -24,6 +28,7 @@ no row; other columns are left alone.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +41,12 @@ from skyledger.llm import common, simhash_gray, vectors
 THRESHOLD = 0.9
 TABLES, CODE_BITS, WINDOW = 8, 24, 4
 LIST, LONGEST, ROUNDS, STILL = 8, 64, 4, 0.01
-BLOCK = 1024
-#: Vertices in a block of the closing pass, and how many of them are compared at a time.
-CLOSING, SLICE = 4096, 512
+#: Searches before every pair is compared; recall that ends them, and linked vertices that show it.
+ATTEMPTS, RECALL, LINKED = 3, 0.995, 200
+#: Vertices in the first and in the largest sample of an audit, and most bytes of them.
+AUDIT, AUDIT_MOST, AUDIT_BYTES = 2048, 8192, 16_000_000
+#: Vertices in a block of link counts and of the closing pass, and how many are compared at a time.
+BLOCK, CLOSING, SLICE = 4096, 4096, 512
 
 
 def _unit(df: DataFrame, id_column: str, vector_column: str) -> DataFrame:
@@ -114,8 +122,12 @@ def _lists(pairs: DataFrame) -> DataFrame:
     return ranked.join(full, "a").where(F.col("rank") <= length).select("a", "b", "s")
 
 
-def _refined(lists: DataFrame, nodes: DataFrame, floor: float) -> DataFrame:
-    """Pairs found by comparing the neighbours of every vertex with each other."""
+def _refined(lists: DataFrame, nodes: DataFrame, floor: float, threshold: float) -> DataFrame:
+    """Pairs (a, b, s, link) found by comparing the neighbours of every vertex with each other.
+
+    Of a vertex's neighbours each gives its `LIST` best pairs, and all links among them are given as
+    a forest (`link` true), so a group of near copies never writes all its pairs.
+    """
     around = lists.select("a", "b").union(lists.select("b", "a")).toDF("a", "b").distinct()
     order = Window.partitionBy("a").orderBy(F.xxhash64("a", "b"))
     around = around.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= 2 * LONGEST)
@@ -123,18 +135,83 @@ def _refined(lists: DataFrame, nodes: DataFrame, floor: float) -> DataFrame:
 
     def meet(group: pa.Table) -> pa.Table:
         keys, rows = group["b"].to_numpy(), vectors.matrix(group["unit"].to_pylist())
-        near = np.triu(rows @ rows.T, 1)
-        i, j = np.nonzero(near >= floor)
-        return pa.table({"a": np.minimum(keys[i], keys[j]), "b": np.maximum(keys[i], keys[j]), "s": near[i, j]})
+        near = rows @ rows.T
+        np.fill_diagonal(near, -2.0)
+        best = np.argpartition(-near, min(LIST, len(keys)) - 1, 1)[:, :LIST]
+        i, j = np.repeat(np.arange(len(keys)), best.shape[1]), best.ravel()
+        fine = near[i, j] >= floor
+        i, j = np.unique(np.sort(np.stack([i[fine], j[fine]]), 0), axis=1)
+        simhash_gray.hook(label := np.arange(len(keys)), *np.nonzero(near >= threshold))
+        moved = np.flatnonzero(label != np.arange(len(keys)))
+        a, b, s = np.concatenate([keys[i], keys[moved]]), np.concatenate([keys[j], keys[label[moved]]]), np.concatenate([near[i, j], np.ones(len(moved))])
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "s": s, "link": np.arange(len(a)) >= len(i)})
+
+    return joined.groupBy("a").applyInArrow(meet, "a long, b long, s double, link boolean").distinct()
+
+
+def _search(nodes: DataFrame, lists: DataFrame | None, first_table: int, threshold: float) -> tuple[DataFrame, list[DataFrame]]:
+    """The lists after seeds from `TABLES` more tables and rounds of refinement, and all links met."""
+    floor = float(np.cos(min(np.pi, 2 * np.arccos(threshold))))
+    seeds = common.keep(_seeds(nodes, first_table, TABLES, floor), "seeds")
+    links = [seeds.where(F.col("s") >= threshold).select("a", "b")]
+    lists = common.cut(_lists(seeds if lists is None else lists.union(seeds)))
+    for _ in range(ROUNDS):
+        found = common.keep(_refined(lists, nodes, floor, threshold), "refined")
+        links.append(found.where("link").select("a", "b"))
+        better = common.cut(_lists(lists.union(found.where("not link").drop("link"))))
+        replaced = better.join(lists, ["a", "b"], "left_anti").count()
+        lists = better
+        if replaced <= STILL * lists.count():
+            break
+    return lists, links
+
 
-    return joined.groupBy("a").applyInArrow(meet, "a long, b long, s double").distinct()
+def _audit(placed: DataFrame, n: int, size: int, seed: int, threshold: float) -> tuple[int, float, DataFrame]:
+    """Of `size` vertices out of `n`: how many have a link, the share of links within components, and the others.
+
+    The sample, bounded by `AUDIT_MOST` and `AUDIT_BYTES`, is broadcast and meets all vertices of
+    `placed(node, unit, component)`; a batch gives a row a vertex asked and each pair of components once.
+    """
+    spark = placed.sparkSession
+    # By least hash; what is left out before the sort is far above the sample's last hash.
+    share = (1.25 * size + 100) / max(1, n)
+    rows = placed.withColumn("h", F.xxhash64("node", F.lit(seed))).where(F.col("h") <= min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63)))
+    asked = rows.orderBy("h", "node").limit(size).collect()
+    nodes, comps = (np.array([r[name] for r in asked], np.int64) for name in ("node", "component"))
+    shared = spark.sparkContext.broadcast((nodes, comps, vectors.matrix([r["unit"] for r in asked])))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nodes, comps, queries = shared.value
+        for batch in batches:
+            links, same, apart = np.zeros(len(nodes), np.int64), np.zeros(len(nodes), np.int64), []
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                own, where, units = part.column("node").to_numpy(), part.column("component").to_numpy(), vectors.matrix(part.column("unit").to_pylist())
+                width = min(queries.shape[1], units.shape[1])  # a shorter vector ends in zeros
+                i, j = np.nonzero(queries[:, :width] @ units[:, :width].T >= threshold)
+                other = nodes[i] != own[j]
+                i, j = i[other], j[other]
+                inside = comps[i] == where[j]
+                links += np.bincount(i, minlength=len(nodes))
+                same += np.bincount(i[inside], minlength=len(nodes))
+                apart.append(np.stack([comps[i[~inside]], where[j[~inside]]]))
+            hit = np.flatnonzero(links)
+            pairs = np.unique(np.concatenate([np.zeros((2, 0), np.int64), *apart], 1), axis=1)
+            gone = [None] * pairs.shape[1]
+            rows = {"a": [*nodes[hit].tolist(), *pairs[0].tolist()], "b": [None] * len(hit) + pairs[1].tolist(), "links": [*links[hit].tolist(), *gone], "same": [*same[hit].tolist(), *gone]}
+            yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64()) for k, v in rows.items()})
+
+    found = common.keep(placed.select("node", "component", "unit").mapInArrow(ask, "a long, b long, links long, same long"), "audit")
+    each = found.where("b is null").groupBy("a").agg(F.sum("links").alias("links"), F.sum("same").alias("same"))
+    n, by_vertex, links, same = each.agg(F.count("*"), F.avg(F.col("same") / F.col("links")), F.sum("links"), F.sum("same")).first()
+    return n, min(by_vertex, same / links) if n else 1.0, found.where("b is not null").select("a", "b")
 
 
 def _missed(placed: DataFrame, threshold: float) -> DataFrame:
     """Links (a, b) between components of `placed(node, unit, component)`, a forest for every two blocks.
 
     All vertices are compared with all others, block by block, so no link between two components is left
-    out, however the search went. Blocks are read from the shared folder, not shuffled.
+    out, however the search went. Blocks are rows of bounded size in the shared folder.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,13 +258,42 @@ def _missed(placed: DataFrame, threshold: float) -> DataFrame:
     return pairs.mapInArrow(compare, "a long, b long")
 
 
-def _closed(nodes: DataFrame, groups: DataFrame, threshold: float) -> DataFrame:
-    """`groups(id, component)` of the search, merged by the links that it missed."""
-    found = groups.select(F.col("id").alias("node"), "component", F.lit(True).alias("linked"))
-    placed = nodes.select("node", "unit").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    more = common.components(common.keep(_missed(placed, threshold), "missed-links")).select(F.col("id").alias("component"), F.col("component").alias("next"))
-    merged = placed.drop("unit").join(more, "component", "left").where("linked or next is not null")
-    return common.cut(merged.select(F.col("node").alias("id"), F.coalesce("next", "component").alias("component")))
+def _placed(nodes: DataFrame, links: list[DataFrame]) -> DataFrame:
+    """`nodes` with the component that the links give each."""
+    groups = common.components(reduce(DataFrame.union, links)).withColumnRenamed("id", "node")
+    return common.keep(nodes.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
+
+
+def _merged(placed: DataFrame, pairs: DataFrame) -> DataFrame:
+    """`placed` after pairs of its components have been joined."""
+    more = common.components(pairs).select(F.col("id").alias("component"), F.col("component").alias("next"))
+    joined = placed.join(more, "component", "left").withColumn("component", F.coalesce("next", "component"))
+    return common.keep(joined.drop("next"), "merged")
+
+
+def _grouped(nodes: DataFrame, threshold: float) -> tuple[DataFrame, float]:
+    """`nodes` with their components, and the recall that was shown (1 where every vertex was asked)."""
+    n, width = nodes.agg(F.count("*"), F.max(F.octet_length("unit"))).first()
+    most = max(1, min(AUDIT_MOST, AUDIT_BYTES // max(1, width or 0)))
+    lists, links, size = None, [], min(AUDIT, most)
+    for attempt in range(ATTEMPTS):
+        lists, found = _search(nodes, lists, attempt * TABLES, threshold)
+        links += found
+        placed = _placed(nodes, links)
+        while True:
+            linked, recall, missed = _audit(placed, n, size, attempt, threshold)
+            if linked >= LINKED or size >= min(n, most):
+                break
+            size = min(4 * size, most)
+        if size >= n:
+            return _merged(placed, missed), 1.0
+        if linked < LINKED:
+            break
+        if recall >= RECALL:
+            return _merged(placed, missed), recall
+        # A component is named by one of its vertices, so what was missed is a link for the next attempt.
+        links.append(missed)
+    return _merged(placed, common.keep(_missed(placed, threshold), "missed-links")), 1.0
 
 
 def _counts(members: DataFrame, threshold: float) -> DataFrame:
@@ -200,6 +306,8 @@ def _counts(members: DataFrame, threshold: float) -> DataFrame:
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     pairs = dealt.select("component", "node", "unit", "weight", "own", other)
     pairs = pairs.select("component", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), (F.col("own") > F.col("other")).alias("right"), "node", "unit", "weight")
+    # Dealt by all three: left to itself Spark keeps a component's pairs of blocks in one task.
+    pairs = pairs.repartition(common.partitions(members.sparkSession), "component", "one", "two")
 
     def count(group: pa.Table) -> pa.Table:
         rows, ids = vectors.matrix(group["unit"].to_pylist()), group["node"].to_numpy()
@@ -207,40 +315,36 @@ def _counts(members: DataFrame, threshold: float) -> DataFrame:
         same = group["one"][0].as_py() == group["two"][0].as_py()
         left = np.arange(len(ids)) if same else np.flatnonzero(~right)
         there = left if same else np.flatnonzero(right)
-        link = rows[left] @ rows[there].T >= threshold
-        link &= ids[left][:, None] != ids[there][None, :]
-        near = link @ weight[there]
+        near, back, units = [], np.zeros(len(there), np.int64), rows[there].T
+        for at in range(0, len(left), SLICE):
+            own = left[at : at + SLICE]
+            link = rows[own] @ units >= threshold
+            link &= ids[own][:, None] != ids[there][None, :]
+            near.append(link @ weight[there])
+            back += weight[own] @ link
+        near = np.concatenate([np.zeros(0, np.int64), *near])
         if same:
             return pa.table({"node": ids, "near": near})
-        return pa.table({"node": np.concatenate([ids[left], ids[there]]), "near": np.concatenate([near, weight[left] @ link])})
+        return pa.table({"node": np.concatenate([ids[left], ids[there]]), "near": np.concatenate([near, back])})
 
     return pairs.groupBy("component", "one", "two").applyInArrow(count, "node long, near long").groupBy("node").agg(F.sum("near").alias("near"))
 
 
 def near_duplicates(df: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
-    """For every row: vec_id, n_links, component_id, kept."""
+    """For every row: vec_id, n_links, component_id, kept, and the audited recall of the search."""
     rows = common.keep(_unit(df, id_column, vector_column), "units")
     # A vertex is a distinct vector, named by a number of its own.
     distinct = rows.where("unit is not null").groupBy("unit").agg(F.count("*").alias("weight"), F.min("id").alias("first"))
     nodes = common.keep(distinct.withColumn("node", F.monotonically_increasing_id()), "vertices")
-    floor = float(np.cos(min(np.pi, 2 * np.arccos(threshold))))
-    lists = common.cut(_lists(_seeds(nodes, 0, TABLES, floor)))
-    before = lists.count()
-    for _ in range(ROUNDS):
-        lists = common.cut(_lists(lists.union(_refined(lists, nodes, floor))))
-        now = lists.count()
-        if now - before <= STILL * before:
-            break
-        before = now
-    groups = common.cut(common.components(lists.where(F.col("s") >= threshold).select("a", "b")))
-    groups = _closed(nodes, groups, threshold)
-    placed = groups.withColumnRenamed("id", "node").join(nodes, "node")
-    counted = common.keep(_counts(placed.select("component", "node", "unit", "weight"), threshold), "link-counts")
-    whole = nodes.join(groups.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = whole.groupBy("component").agg(F.min("first").alias("component_id"))
-    classes = whole.join(least, "component").join(counted, "node", "left")
+    whole, recall = _grouped(nodes, threshold)
+    sizes = whole.groupBy("component").agg(F.min("first").alias("component_id"), F.count("*").alias("vertices"))
+    whole = common.keep(whole.join(sizes, "component"), "classes")
+    counted = common.keep(_counts(whole.where("vertices > 1").select("component", "node", "unit", "weight"), threshold), "link-counts")
+    classes = whole.join(counted, "node", "left")
     classes = classes.select("unit", "component_id", (F.coalesce("near", F.lit(0)) + F.col("weight") - 1).cast("long").alias("n_links"))
     linked = rows.where("unit is not null").join(classes, "unit").select("id", "n_links", "component_id")
     alone = rows.where("unit is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     found = linked.unionByName(alone)
-    return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return found.select(
+        F.col("id").alias("vec_id"), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"), F.lit(recall).alias("recall")
+    )
