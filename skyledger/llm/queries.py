@@ -63,7 +63,7 @@ def packed(docs: DataFrame) -> DataFrame:
 
 def op7_maxscore_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = maxscore_topk.quantised(common.table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
-    rows = common.keep(rows, "weights")
+    rows = common.keep(rows.withColumn("row", F.monotonically_increasing_id()), "weights")
     return maxscore_topk.top_k(rows, rows.where("id % 50 = 0"))
 
 
