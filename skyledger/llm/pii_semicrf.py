@@ -7,8 +7,11 @@ boundaries and kinds jointly: outside words are segments of length one, an entit
 `MAX_WORDS` words long. Segments that it adds are kept where its posterior is high and no base span
 is touched; base spans always stay.
 
-The model is trained on a bounded sample of documents (`SAMPLE_DOCS`), with the patterns' own spans
-as labels and everything else between as outside, by stochastic gradient on the segment likelihood.
+The model is trained on a bounded sample of documents (`SAMPLE_DOCS`), by stochastic gradient on the
+segment likelihood. The patterns' own spans are labels; but so that the model learns more than the
+patterns know, some of them are rewritten as people write them to be told or to hide them (`altered`:
+"a (at) b (dot) c", dotted or slashed digits, a number without its plus), spans of both sorts are put
+among the words of texts that have none, and all that isn't a span counts as outside.
 
 Defined results: a null text counts as empty, which has no spans; offsets count code points, end
 exclusive; equal rows have equal results; an empty table gives no row; other columns are left alone.
@@ -18,7 +21,9 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 import re
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -30,7 +35,7 @@ from skyledger.llm import common
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE_DOCS, EPOCHS, RATE, DECAY = 1500, 3, 0.3, 1e-4
-MAX_WORDS, POSTERIOR = 4, 0.9
+MAX_WORDS, POSTERIOR = 7, 0.9
 
 Span = tuple[str, int, int]
 
@@ -40,9 +45,11 @@ _DOTTED = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3,}+")
 _DIGITS = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-#: What may stand where digits are: a cheap test before any word is looked at.
-_TRIGGER = re.compile(r"[0-9@]")
+#: What may stand where a span is: a cheap test before any word is looked at.
+_TRIGGER = re.compile(r"[0-9@]|[(\[](?:at|dot)[)\]]")
 _WORD = re.compile(r"\S+")
+#: Words that are a sign or a mark for one, and those that may stand between two parts of a span.
+_ALONE, _BETWEEN = re.compile(r"@|[(\[](?:at|dot)[)\]]"), re.compile(r"[.,/-]")
 #: Words that announce a kind, a fixed list.
 CUES = {"mail": "email", "email": "email", "e-mail": "email", "ip": "ip", "host": "ip", "card": "card", "visa": "card", "tel": "phone", "phone": "phone", "call": "phone", "fax": "phone"}
 
@@ -96,12 +103,14 @@ def base_spans(text: str) -> list[Span]:
     return found
 
 
+_RUNS, _LETTERS = re.compile(r"[0-9]+"), re.compile(r"[^\W\d_]")
 _SHAPE = [(re.compile(r"[0-9]+"), "9"), (re.compile(r"[A-Za-zÀ-\U0010ffff]+"), "a")]
+_OTHERS, _MARKS = re.compile(r"[^0-9]+"), re.compile(r"[(\[](?:at|dot)[)\]]")
 _TRIM = ".,;:!?|\"'()[]{}<>"
 
 
 def _trim(text: str, begin: int, end: int) -> tuple[int, int]:
-    """Without the marks that end a clause; what opens a phone number stays."""
+    """Without the marks that end a clause; what opens a phone number, or is a mark for a sign, stays."""
     while begin < end and text[begin] in _TRIM and not (text[begin] == "(" and text[begin + 1 : begin + 2].isdigit()):
         begin += 1
     while end > begin and text[end - 1] in _TRIM:
@@ -109,10 +118,71 @@ def _trim(text: str, begin: int, end: int) -> tuple[int, int]:
     return begin, end
 
 
+def altered(kind: str, span: str, rng: random.Random) -> str:
+    """A span written in a way that no pattern matches."""
+    if kind == "email":
+        glue = rng.choice([(" (at) ", " (dot) "), ("(at)", "(dot)"), (" [at] ", " [dot] "), ("[at]", "."), (" @ ", "."), ("(at)", ".")])
+        local, _, domain = span.partition("@")
+        return local + glue[0] + domain.replace(".", glue[1])
+    if kind == "ip":
+        return span.replace(".", rng.choice([" . ", "[.]", "(.)"]))
+    if kind == "card":
+        digits, glue = re.sub("[^0-9]", "", span), rng.choice([".", "/", "_"])
+        return glue.join(digits[k : k + 4] for k in range(0, len(digits), 4))
+    plain = span.lstrip("+")
+    return rng.choice([re.sub(r"[^0-9+]+", "/", span), "00" + plain, "00" + re.sub("[^0-9]", "", span), re.sub(r"[^0-9+]+", "_", span)])
+
+
+def invented(kind: str, rng: random.Random) -> str:
+    """A span that its kind's pattern matches."""
+    word = lambda: "".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(rng.randrange(3, 9)))
+    figures = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    if kind == "email":
+        return f"{word()}{rng.choice(['', '.' + word(), figures(2)])}@{word()}.{rng.choice(['com', 'org', 'example.net', 'de'])}"
+    if kind == "ip":
+        return ".".join(str(rng.randrange(256)) for _ in range(4))
+    if kind == "card":
+        body = rng.choice("3456") + figures(14)
+        whole = next(body + d for d in "0123456789" if luhn(body + d))
+        glue = rng.choice(["", " ", "-"])
+        return glue.join(whole[k : k + 4] for k in range(0, 16, 4))
+    country, area, rest = rng.choice(["1", "44", "49", "33"]), figures(3), figures(7)
+    return rng.choice([f"+{country} ({area}) {rest[:3]}-{rest[3:]}", f"+{country} {area} {rest}", f"+{country}-{area}-{rest[:3]}-{rest[3:]}", f"+{country}{area}{rest}"])
+
+
+def lesson(text: str, rng: random.Random) -> tuple[str, set[tuple[tuple[int, int], str]]]:
+    """A text to learn from with its true spans: some are rewritten, and a few are put in."""
+    out, gold, at, size = [], set(), 0, 0
+
+    def add(part: str, kind: str | None = None) -> None:
+        nonlocal size
+        if kind:
+            gold.add(((size, size + len(part)), kind))
+        out.append(part)
+        size += len(part)
+
+    spans = sorted(base_spans(text), key=lambda s: (s[1], -s[2]))
+    gaps = [m.end() for m in re.finditer(r"\s+", text) if not any(b < m.end() < e for _, b, e in spans)]
+    new = {gap: rng.choice(KINDS) for gap in rng.sample(gaps, min(len(gaps), 2))}
+    for begin, end, kind in sorted([(b, e, k) for k, b, e in spans] + [(gap, gap, kind) for gap, kind in new.items()]):
+        if begin < at:
+            continue
+        add(text[at:begin])
+        own = text[begin:end] or invented(kind, rng)
+        add(altered(kind, own, rng) if rng.random() < 0.5 else own, kind)
+        if begin == end:
+            add(" ")
+        at = end
+    add(text[at:])
+    whole = "".join(out)
+    # What patterns find beside (a card within a run of figures) is no mistake of the model.
+    return whole, gold | {(span[1:], span[0]) for span in base_spans(whole)}
+
+
 def features(text: str, begin: int, end: int, before: str, n_words: int) -> list[str]:
     """Of a whole candidate span; kinds are crossed with them in the weights."""
     own = text[begin:end]
-    digits = "".join(c for c in own if "0" <= c <= "9")
+    digits = _OTHERS.sub("", own)
     shape = own[:80]
     for pattern, mark in _SHAPE:
         shape = pattern.sub(mark, shape)
@@ -121,13 +191,18 @@ def features(text: str, begin: int, end: int, before: str, n_words: int) -> list
         "bias", f"words={n_words}", f"digits={min(len(digits), 24)}", f"shape={shape[:24]}", f"first={'9' if own[:1].isdigit() else own[:1] if not own[:1].isalpha() else 'a'}",
         f"at={own.count('@')}", f"dots={min(own.count('.'), 6)}", f"share={len(digits) * 4 // max(1, len(own))}", f"luhn={len(digits) >= 12 and luhn(digits)}",
         f"quad={len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p) < 4 and int(p) < 256 for p in parts)}",
+        f"marks={min(len(_MARKS.findall(own)), 3)}", f"last={own[-1:].isalnum()}", f"groups={min(len(_RUNS.findall(own)), 8)}", f"letters={bool(_LETTERS.search(own))}",
     ]
     cue = CUES.get(before.lower().strip(_TRIM))
     return out + ([f"cue={cue}"] if cue else [])
 
 
 def islands(text: str) -> Iterator[list[tuple[int, int]]]:
-    """Runs of words around digits and at signs: what lies between can hold no entity."""
+    """Runs of words around digits, at signs and marks for signs: what lies between can hold no entity.
+
+    A sign that stands alone takes the words beside it in, and a lone dot or dash between two such
+    words does not part them.
+    """
     run: list[tuple[int, int]] = []
     begin = -1
     for hit in _TRIGGER.finditer(text):
@@ -136,15 +211,26 @@ def islands(text: str) -> Iterator[list[tuple[int, int]]]:
         left = hit.start()
         while left > 0 and not text[left - 1].isspace():
             left -= 1
-        right = _WORD.match(text, left).end()
-        if run and text[run[-1][1] : left].strip():
-            yield run
-            run = []
-        run.append((left, right))
-        begin = right
-        if len(run) >= 64:
-            yield run
-            run = []
+        own = [_WORD.match(text, left).span()]
+        if _ALONE.fullmatch(text, *own[0]):
+            end = left
+            while end > 0 and text[end - 1].isspace():
+                end -= 1
+            left = end
+            while left > 0 and not text[left - 1].isspace():
+                left -= 1
+            after = _WORD.search(text, own[0][1])
+            own = [w for w in ((left, end), *own, after.span() if after else (0, 0)) if w[0] < w[1]]
+        own = [w for w in own if not run or w[0] >= run[-1][1]]
+        if run and own:
+            gap = [m.span() for m in _WORD.finditer(text, run[-1][1], own[0][0])] if own[0][0] - run[-1][1] < 8 else [(0, 0)] * 2
+            if len(gap) == 1 and _BETWEEN.fullmatch(text, *gap[0]):
+                own = gap + own
+            elif gap:
+                yield run
+                run = []
+        run += own
+        begin = run[-1][1]
     if run:
         yield run
 
@@ -163,7 +249,7 @@ class SemiMarkov:
             before = text[max(0, words[i][0] - 24) : words[i][0]].split()
             for j in range(i + 1, min(n, i + MAX_WORDS) + 1):
                 begin, end = _trim(text, words[i][0], words[j - 1][1])
-                if end - begin >= 4 and end - begin <= 80:
+                if end - begin >= 4:
                     found[j].append((i, (begin, end), features(text, begin, end, before[-1] if before else "", j - i)))
         return found
 
@@ -214,7 +300,7 @@ class SemiMarkov:
         for epoch in range(EPOCHS):
             rate = RATE / (1 + epoch)
             for text in texts:
-                gold = {(span[1:], span[0]) for span in base_spans(text)}
+                text, gold = lesson(text, random.Random(zlib.crc32(text.encode("utf-8", "surrogatepass")) + epoch))
                 for words in islands(text):
                     change = defaultdict(float)
                     for span, kind, p, names, *_ in self.posteriors(text, words):
@@ -253,12 +339,17 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> SemiMarkov:
     characters don't serve as examples.
     """
     rows = docs.select(F.col("text").cast("string").alias("text")).where(F.col("text").rlike("[0-9@]") & (F.length("text") <= 20_000))
-    found = common.sampled(rows.withColumn("label", F.lit("")), sample_docs, 1)
+    found = common.sampled(rows.withColumn("label", F.lit("")), sample_docs)
     return SemiMarkov().train([text for *_, text in found])
 
 
-def find(docs: DataFrame, model: SemiMarkov) -> DataFrame:
-    """`docs` with columns base and spans: arrays of (kind, begin, end) by kind, then begin."""
+def find(docs: DataFrame, model: SemiMarkov, column: str = "found") -> DataFrame:
+    """`docs` with one more column (base, spans): arrays of (kind, begin, end) by kind, then begin.
+
+    Where `docs` has a column of that name already, the new one has underscores before it.
+    """
+    while column.lower() in (c.lower() for c in docs.columns):
+        column = "_" + column
     shared = docs.sparkSession.sparkContext.broadcast(model.weights)
     item = pa.struct([("kind", pa.string()), ("begin", pa.int64()), ("end", pa.int64())])
     shape = "array<struct<kind:string,begin:bigint,end:bigint>>"
@@ -274,7 +365,7 @@ def find(docs: DataFrame, model: SemiMarkov) -> DataFrame:
 
         yield from (common.by_slices(column, rows) for column in texts)
 
-    return docs.withColumn("found", locate(F.col("text").cast("string")))
+    return docs.withColumn(column, locate(F.col("text").cast("string")))
 
 
 def joined(spans: list[Span]) -> str:
