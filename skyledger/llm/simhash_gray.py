@@ -29,6 +29,8 @@ from skyledger.llm import common
 
 BITS, DISTANCE, SHINGLE, SEED = 64, 3, 3, 42
 BLOCK, GROUP, FAN_OUT_BITS = 8192, 32, 3
+#: Most left blocks that a task holds while right ones pass, and ways that right blocks are dealt.
+HELD, WAYS = 64, 4
 
 
 def fingerprint_of(text: str | None, words: int = SHINGLE) -> int:
@@ -156,30 +158,40 @@ def _forest(left: np.ndarray, right: np.ndarray | None, distance: int) -> np.nda
     return np.stack([nodes[moved], nodes[label[moved]]], 1)
 
 
-def _links(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for k in range(batch.num_rows):
-            a, b, left, right = (batch.column(c)[k].as_py() for c in ("a", "b", "left", "right"))
-            found = _forest(np.frombuffer(left, np.uint64), None if a == b else np.frombuffer(right, np.uint64), distance)
-            if len(found):
-                one, two = found.T.copy().view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two)], ["a", "b"])
-
-
 def fingerprint_links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """A forest (a, b) of distinct fingerprints `fps(fp)` that hangs together as the links do."""
+    """A forest (a, b) of distinct fingerprints `fps(fp)` that hangs together as the links do.
+
+    Left blocks are dealt to groups of a few; a right block is sent once to each group that asks for it.
+    """
     spark = fps.sparkSession
     blocks = common.keep(_blocks(fps), "gray-blocks")
     numbered = common.numbered(blocks)  # in Gray order
     pairs = _block_pairs(numbered.drop("fps"), distance)
     members = numbered.select("block", "fps")
-    shipped = (
-        pairs.join(members.select(F.col("block").alias("a"), F.col("fps").alias("left")), "a")
-        .join(members.select(F.col("block").alias("b"), F.col("fps").alias("right")), "b")
-        .select("a", "b", "left", "right")
-        .repartition(common.partitions(spark))
-    )
-    return shipped.mapInArrow(lambda batches: _links(batches, distance), "a long, b long")
+    held = max(1, min(HELD, members.count() // 8))
+    place = [F.floor(F.col("a") / held).cast("long").alias("group"), F.pmod("b", F.lit(WAYS)).alias("way")]
+    asked = pairs.groupBy(*place, F.col("b").alias("block")).agg(F.collect_list("a").alias("asks"))  # at most `held` of them
+    left = pairs.select(*place, F.col("a").alias("block")).distinct().withColumn("asks", F.lit(None).cast("array<long>"))
+    sent = asked.unionByName(left).join(members, "block")
+    dealt = sent.withColumn("right", F.col("asks").isNotNull()).repartition(common.partitions(spark), "group", "way").sortWithinPartitions("group", "way", "right", "block")
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, lefts = None, {}
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = {name: batch.column(name)[k].as_py() for name in ("group", "way", "block", "asks", "fps")}
+                if (row["group"], row["way"]) != now:
+                    now, lefts = (row["group"], row["way"]), {}
+                values = np.frombuffer(row["fps"], np.uint64)
+                if row["asks"] is None:
+                    lefts[row["block"]] = values
+                for a in row["asks"] or []:
+                    found = _forest(lefts[a], None if a == row["block"] else values, distance)
+                    if len(found):
+                        one, two = found.T.copy().view(np.int64)
+                        yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two)], ["a", "b"])
+
+    return dealt.mapInArrow(links, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
