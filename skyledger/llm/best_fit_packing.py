@@ -4,7 +4,8 @@ Pieces are dealt over tasks, each task packs its own by best fit (largest first,
 sequence with the least room that takes it), nearly full sequences are final, and the underfull
 ones go on as single items into a round with fewer tasks, a tree of merges, until one round no
 longer saves any. An item of a later round is a whole underfull sequence, so its pieces move
-together. A task never holds more than about `task_rows` pieces.
+together. A task holds about `task_rows` pieces at first and `FAN_IN` times as many later, of their
+ids' place and length only.
 
 Defined results: a null text counts as empty; every document has its separator, so at least one
 token; equal rows are separate pieces; an empty table gives no row; other columns are left alone.
@@ -111,10 +112,11 @@ def pack(rows: DataFrame, length: int = 2048, nearly_full: int | None = None, ta
         return one_task
 
     done: list[DataFrame] = []
-    todo, number, key, before = rows, 0, [F.col("doc_id"), F.col("piece")], None
+    # Pieces are dealt in turn, so equal ids don't meet in one task; later rounds keep sequences together.
+    todo, number, key, before = rows, 0, [], None
     while True:
         left = todo.count() if number == 0 else items
-        tasks = max(1, -(-left // task_rows), 0 if before is None else -(-before // FAN_IN))
+        tasks = max(1, -(-left // (task_rows * (FAN_IN if number else 1))), 0 if before is None else -(-before // FAN_IN))
         last = number > 0 and (tasks == 1 or before is not None and tasks >= before)
         packed = common.keep(todo.repartition(tasks, *key).mapInArrow(pack_round(number, last), shape), f"pack-{number}")
         done.append(packed if last else packed.where("final"))
@@ -129,7 +131,8 @@ def pack(rows: DataFrame, length: int = 2048, nearly_full: int | None = None, ta
 
 def pack_documents(docs: DataFrame, tokenizer: str, separator: int = 0, length: int = 2048) -> DataFrame:
     """Pieces of all documents with their ids and their place in a sequence."""
-    return pack(common.keep(pieces(docs, tokenizer, separator, length), "pieces"), length)
+    parts = common.keep(pieces(docs, tokenizer, separator, length).withColumn("row", F.monotonically_increasing_id()), "pieces")
+    return pack(parts.drop("ids"), length).join(parts.select("row", "ids"), "row").drop("row")
 
 
 def sequences(packed: DataFrame) -> DataFrame:

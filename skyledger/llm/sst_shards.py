@@ -169,6 +169,12 @@ class ShardReader:
         n = int.from_bytes(tail[-8:-4], "little")
         self.footer = json.loads(tail[-8 - n : -8])
 
+    def __enter__(self) -> ShardReader:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.file.close()
+
     def _at(self, offset: int, size: int) -> bytes:
         return self.file.read_at(size, offset)
 
@@ -265,12 +271,13 @@ def read_shards(manifest: DataFrame) -> DataFrame:
         for batch in batches:
             for path, base in zip(batch.column("path").to_pylist(), batch.column("base").to_pylist()):
                 at, rows, size = base, [], 0
-                for key, ids in ShardReader(path).documents():
-                    rows.append((id_of(key), at, len(ids), ids.tobytes()))
-                    at, size = at + len(ids), size + 4 * len(ids)
-                    if size > 8_000_000:
-                        yield _batch(rows)
-                        rows, size = [], 0
+                with ShardReader(path) as reader:
+                    for key, ids in reader.documents():
+                        rows.append((id_of(key), at, len(ids), ids.tobytes()))
+                        at, size = at + len(ids), size + 4 * len(ids)
+                        if size > 8_000_000:
+                            yield _batch(rows)
+                            rows, size = [], 0
                 if rows:
                     yield _batch(rows)
 

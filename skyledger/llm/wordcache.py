@@ -17,9 +17,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Chunks and ids a worker keeps; beyond them the memory is emptied and filled anew.
-KEPT_CHUNKS, KEPT_IDS = 400_000, 3_000_000
+KEPT_CHUNKS, KEPT_IDS = 150_000, 1_200_000
 #: Characters of text that are split at a time, and words in one call.
-SLICE_CHARS, JOINED_WORDS = 8_000_000, 256
+SLICE_CHARS, JOINED_WORDS = 2_000_000, 256
 MARKS = ".,;:!?"
 #: Letters whose lower case is one letter that NFC leaves alone.
 LATIN, LATIN_LOWER = "^[A-Za-zÀ-ÖØ-öø-ÿ]+$", "^[a-zß-öø-ÿ]+$"
