@@ -18,11 +18,13 @@ CHECKPOINT_KEY = "spark.checkpoint.dir"
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the session names it.
 
-    Only where the session names none (tests on one machine) a temporary folder is set.
+    Only where the session names none and runs on one machine (tests) a temporary folder is set.
     """
     context = spark.sparkContext
     named = context.getConf().get(CHECKPOINT_KEY) or context.getCheckpointDir()
     if not named:
+        if not context.master.startswith("local"):
+            raise ValueError(f"{CHECKPOINT_KEY} must name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="skyledger-")
         context.setCheckpointDir(named)
     elif not context.getCheckpointDir():
@@ -61,8 +63,10 @@ def by_slices(column: pa.Array, f: Callable[[list], pa.Array]) -> pa.Array:
     return pa.concat_arrays([f(column.slice(at, SLICE_ROWS).to_pylist()) for at in cuts])
 
 
-def sampled(rows: DataFrame, n: int, labels: int, texts: DataFrame | None = None) -> list[tuple]:
-    """(label, rows of that label, text) of at most `n` distinct texts for each of the most frequent `labels`.
+def sampled(rows: DataFrame, n: int, most: int | None = None, texts: DataFrame | None = None) -> list[tuple]:
+    """(label, rows of that label, text) of at most `n` distinct texts for each label, and of `most` in all.
+
+    Where labels are so many that `n` texts each are over `most`, each has fewer, one at least.
 
     Texts are taken by least hash. A first pass counts each label's rows and, roughly, its texts;
     the share of hashes that holds `n` of them for certain is all that the second pass shuffles, and
@@ -74,9 +78,10 @@ def sampled(rows: DataFrame, n: int, labels: int, texts: DataFrame | None = None
     """
     spark = rows.sparkSession
     rows = rows.select("label", "text", F.xxhash64("text").alias("h")) if texts is None else rows.select("label", "h")
-    stats = rows.groupBy("label").agg(F.count("*").alias("rows"), F.approx_count_distinct("h").alias("kinds")).orderBy(F.desc("rows"), "label").limit(labels).collect()
+    stats = rows.groupBy("label").agg(F.count("*").alias("rows"), F.approx_count_distinct("h").alias("kinds")).collect()
     if not stats:
         return []
+    n = n if most is None else max(1, min(n, most // len(stats)))
     # The rough count is off by less than a quarter; six deviations of what falls below a cut.
     ample = 1.25 * (n + 6 * n**0.5 + 20)
     cuts = [(r.label, r.rows, min((1 << 63) - 1, int(ample / max(1, r.kinds) * (1 << 64)) - (1 << 63))) for r in stats]

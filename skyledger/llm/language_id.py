@@ -6,8 +6,13 @@ Nyström map of it, on which one-versus-rest kernel ridge regression is solved i
 kernel to the landmarks is linear in a text's presence vector, so map and regression fold into one
 matrix a model, and a batch of texts is scored by one product of presence and model matrices.
 
-The model is fitted on a bounded sample: at most `TRAIN_DOCS` distinct labelled texts a language, of which
-`LANDMARKS` are landmarks, and `LANGUAGES` languages, the most frequent; always by least hash.
+The model is fitted on a bounded sample, by least hash: at most `TRAIN_DOCS` distinct labelled texts a
+language, of which `LANDMARKS` are landmarks, and fewer of each where languages are so many that it
+would be over `MOST_DOCS` and `MOST_LANDMARKS` in all. Every language that has a labelled text is a class.
+
+How much of a text the model knows is the share of its distinct longest n-grams that a landmark has;
+`least_known` is half of what is usual for texts of the sample that are no landmarks. A text under it
+is of no learned language, whatever the best score is.
 
 Defined results: `und` and score 0 where the text is null or holds no letter, or nothing could be
 learned; equal rows have equal results; an empty table gives no row; other columns are left alone.
@@ -15,7 +20,6 @@ learned; equal rows have equal results; an empty table gives no row; other colum
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -27,20 +31,18 @@ from pyspark.sql import functions as F
 from skyledger.llm import common
 
 ALPHABET, LONGEST = 96, 3
-TRAIN_DOCS, LANDMARKS, LANGUAGES = 300, 40, 200
+TRAIN_DOCS, LANDMARKS, MOST_DOCS, MOST_LANDMARKS = 300, 40, 60_000, 4_000
 RIDGE, JITTER, BATCH = 1e-3, 1e-6, 64
 UNKNOWN = "und"
 #: The column that holds what was found; no column of the input is touched.
 FOUND = "_language"
 
-_LETTER = re.compile(r"[^\W\d_]")
-
 
 class KernelModel:
     """Letters (code point to 1..), grams (code to place), weights (places x languages) by n."""
 
-    def __init__(self, languages: list[str], letters: np.ndarray, places: np.ndarray, weights: np.ndarray):
-        self.languages, self.letters, self.places, self.weights = languages, letters, places, weights
+    def __init__(self, languages: list[str], letters: np.ndarray, places: np.ndarray, weights: np.ndarray, least_known: float = 0.0):
+        self.languages, self.letters, self.places, self.weights, self.least_known = languages, letters, places, weights, least_known
         size = len(letters) + 1
         table = np.zeros(0x110000, np.uint8)
         table[letters] = np.arange(1, size)
@@ -61,24 +63,30 @@ class KernelModel:
         return out
 
     def presence(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), len(self.places)), np.float32)
+        return self.read(texts)[0]
+
+    def read(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """A row a text of what it has, and the share of its longest n-grams that is known."""
+        out, known = np.zeros((len(texts), len(self.places)), np.float32), np.zeros(len(texts))
         for k, text in enumerate(texts):
             for own in self.grams(text):
                 at = self.lookup[own]
-                out[k, at[at >= 0]] = 1 / np.sqrt(max(1, len(own)))
-        return out
-
-    def scores(self, texts: list[str]) -> np.ndarray:
-        return self.presence(texts) @ self.weights
-
-    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        out = [(UNKNOWN, 0.0)] * len(texts)
-        known = [k for k, t in enumerate(texts) if t and self.languages and _LETTER.search(t)]
-        for at in range(0, len(known), BATCH):
-            own = known[at : at + BATCH]
-            for k, row in zip(own, self.scores([texts[k] for k in own])):
+                held = at[at >= 0]
+                out[k, held] = 1 / np.sqrt(max(1, len(own)))
+                if len(own):  # the longest that the text has is last
+                    known[k] = len(held) / len(own)
+        return out, known
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float, float]]:
+        """The language, its score, and how much of the text is known."""
+        out = [(UNKNOWN, 0.0, 0.0)] * len(texts)
+        lettered = [k for k, t in enumerate(texts) if t and self.languages and any(map(str.isalpha, t))]
+        for at in range(0, len(lettered), BATCH):
+            own = lettered[at : at + BATCH]
+            held, known = self.read([texts[k] for k in own])
+            for k, row, share in zip(own, held @ self.weights, known.tolist()):
                 best = int(row.argmax())
-                out[k] = (self.languages[best], float(np.clip((row[best] + 1) / 2, 0, 1)))
+                out[k] = (self.languages[best], float(np.clip((row[best] + 1) / 2, 0, 1)), share)
         return out
 
 
@@ -93,7 +101,9 @@ def fit_rows(rows: list[tuple[str, str]]) -> KernelModel:
     if not languages:
         return model
     seen: Counter[str] = Counter()
-    landmarks = [text for lang, text in rows if (seen.update([lang]) or seen[lang] <= LANDMARKS)]
+    each = max(1, min(LANDMARKS, MOST_LANDMARKS // len(languages)))
+    marked = [bool(seen.update([lang]) or seen[lang] <= each) for lang, _ in rows]
+    landmarks = [text for (_, text), own in zip(rows, marked) if own]
     held = [model.grams(text) for text in landmarks]
     places = np.unique(np.concatenate([g for grams in held for g in grams]))
     model = KernelModel(languages, letters, places, np.zeros((len(places), len(languages)), np.float32))
@@ -102,7 +112,13 @@ def fit_rows(rows: list[tuple[str, str]]) -> KernelModel:
     values, vectors = np.linalg.eigh(kernel + JITTER * np.eye(len(kernel)))
     root = vectors / np.sqrt(np.maximum(values, JITTER)) @ vectors.T
     texts, wanted = [text for _, text in rows], np.array([[1.0 if lang == own else -1.0 for own in languages] for lang, _ in rows])
-    mapped = np.concatenate([model.presence(texts[i : i + BATCH]).astype(np.float64) @ marks.T / LONGEST @ root for i in range(0, len(texts), BATCH)])
+    mapped, usual = [], []
+    for i in range(0, len(texts), BATCH):
+        held, known = model.read(texts[i : i + BATCH])
+        mapped.append(held.astype(np.float64) @ marks.T / LONGEST @ root)
+        usual.append(known)
+    mapped, usual = np.concatenate(mapped), np.concatenate(usual)[~np.array(marked)]
+    model.least_known = float(np.median(usual)) / 2 if len(usual) else 0.0
     # Every language weighs the same.
     weight = 1 / np.array([sum(lang == own for own, _ in rows) for lang, _ in rows])
     solved = np.linalg.solve(mapped.T @ (mapped * weight[:, None]) + RIDGE * np.eye(mapped.shape[1]), mapped.T @ (wanted * weight[:, None]))
@@ -114,20 +130,21 @@ def fit(labelled: DataFrame) -> KernelModel:
     """Fits on a bounded sample of `labelled(text, lang)`; rows without a letter or language are left out."""
     rows = labelled.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    return fit_rows([(lang, text) for lang, _, text in common.sampled(rows.withColumnRenamed("lang", "label"), TRAIN_DOCS, LANGUAGES)])
+    return fit_rows([(lang, text) for lang, _, text in common.sampled(rows.withColumnRenamed("lang", "label"), TRAIN_DOCS, MOST_DOCS)])
 
 
 def judge(docs: DataFrame, model: KernelModel) -> DataFrame:
-    """`docs` with one more column `FOUND`: lang_pred and score, from its text alone."""
+    """`docs` with one more column `FOUND`: lang_pred, score and known, from its text alone."""
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.letters, model.places, model.weights))
 
-    @F.arrow_udf("struct<lang_pred:string,score:double>")
+    @F.arrow_udf("struct<lang_pred:string,score:double,known:double>")
     def predict(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = KernelModel(*shared.value)
 
         def rows(some: list[str | None]) -> pa.Array:
             found = own.predict(some)
-            return pa.StructArray.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["lang_pred", "score"])
+            columns = [pa.array([x[i] for x in found], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.float64()))]
+            return pa.StructArray.from_arrays(columns, ["lang_pred", "score", "known"])
 
         yield from (common.by_slices(column, rows) for column in texts)
 

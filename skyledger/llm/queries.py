@@ -27,8 +27,8 @@ def op3_suffix_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fold(n: int):
-    """The remainder by which the contracts hold documents out."""
-    return F.crc32(F.col("doc_id").cast("string")) % n
+    """The remainder by which the contracts hold documents out; a null id counts as an empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % n
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +79,7 @@ def op9_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_pii_semicrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    found = pii_semicrf.find(docs, pii_semicrf.fit(docs))
+    found = pii_semicrf.find(docs, pii_semicrf.fit(docs), "found")
     listed = lambda name: F.array_join(F.transform(F.col(f"found.{name}"), lambda s: F.concat_ws(":", s["kind"], s["begin"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda kind: F.size(F.filter(F.col("found.base"), lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", *map(count, pii_semicrf.KINDS), F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))

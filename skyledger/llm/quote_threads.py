@@ -31,8 +31,8 @@ from skyledger.llm import common
 
 _QUOTE = re.compile(r"[ \t]*((?:>[ \t]?)+)")
 _PLAIN = re.compile(r"[\W_]+")
-#: The line that announces a quotation.
-_ANNOUNCES = re.compile(r"^.{0,200}\b(?:wrote|writes|schrieb|escribió|a écrit)\s*:\s*$", re.IGNORECASE)
+#: How the line that announces a quotation ends.
+_ANNOUNCES = re.compile(r"\b(?:wrote|writes|schrieb|escribió|a écrit)\s*:\s*$", re.IGNORECASE)
 
 
 def lines(text: str) -> list[tuple[int, str]]:
@@ -63,7 +63,7 @@ def parse(text: str | None) -> tuple[str, dict[bytes, int], list[tuple[int, byte
     own, quoted, said, run = [], [], {}, []
     for k, (level, line) in enumerate(rows):
         ahead = next((above for above, other in rows[k + 1 : k + 3] if above or other.strip()), 0)
-        if level == 0 and ahead and _ANNOUNCES.match(line):
+        if level == 0 and ahead and line.rstrip().endswith(":") and _ANNOUNCES.search(line):
             level, line = 0, None
         if level == 0:
             own += [] if line is None else [line]

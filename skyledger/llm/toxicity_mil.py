@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from skyledger.llm import common
 
 TRAIN_DOCS, FEATURES, LEAST_DOCS, LEAST_CHI = 2000, 2000, 5, 20.0
-PREFIXES, KEPT_WORDS = range(3, 8), 300_000
+PREFIXES, KEPT_WORDS = range(3, 8), 120_000
 STEPS, RATE, PENALTY, FIRST_BIAS, LEAST_WEIGHT = 300, 0.1, 1e-4, -6.0, 0.1
 OFFENDING = THRESHOLD = 0.5
 #: The column that holds what was found; no column of the input is touched.
@@ -144,7 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> InstanceModel:
     texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     marks = labels.select("doc_id", F.col("toxic").cast("int").alias("label")).where("label in (0, 1)")
     rows = texts.select("doc_id", F.xxhash64("text").alias("h")).join(marks, "doc_id")
-    found = common.sampled(rows, TRAIN_DOCS, 2, texts)
+    found = common.sampled(rows, TRAIN_DOCS, texts=texts)
     taken = Counter(label for label, *_ in found)
     return fit_rows([(label, n / taken[label], text) for label, n, text in found])
 
