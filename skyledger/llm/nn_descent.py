@@ -41,6 +41,8 @@ from skyledger.llm import common, simhash_gray, vectors
 THRESHOLD = 0.9
 TABLES, CODE_BITS, WINDOW = 8, 24, 4
 LIST, LONGEST, ROUNDS, STILL = 8, 64, 4, 0.01
+#: Neighbours of a vertex that meet in a round, others in each, and ways that a component is dealt.
+MEETING, SALTS = 24, 16
 #: Searches before every pair is compared; recall that ends them, and linked vertices that show it.
 ATTEMPTS, RECALL, LINKED = 3, 0.995, 200
 #: Vertices in the first and in the largest sample of an audit, and most bytes of them.
@@ -122,15 +124,15 @@ def _lists(pairs: DataFrame) -> DataFrame:
     return ranked.join(full, "a").where(F.col("rank") <= length).select("a", "b", "s")
 
 
-def _refined(lists: DataFrame, nodes: DataFrame, floor: float, threshold: float) -> DataFrame:
-    """Pairs (a, b, s, link) found by comparing the neighbours of every vertex with each other.
+def _refined(lists: DataFrame, nodes: DataFrame, floor: float, threshold: float, turn: int) -> DataFrame:
+    """Pairs (a, b, s, link) found by comparing neighbours of every vertex with each other.
 
-    Of a vertex's neighbours each gives its `LIST` best pairs, and all links among them are given as
+    `MEETING` of them meet, by a hash that each turn changes. Of a vertex's neighbours each gives its `LIST` best pairs, and all links among them are given as
     a forest (`link` true), so a group of near copies never writes all its pairs.
     """
     around = lists.select("a", "b").union(lists.select("b", "a")).toDF("a", "b").distinct()
-    order = Window.partitionBy("a").orderBy(F.xxhash64("a", "b"))
-    around = around.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= 2 * LONGEST)
+    order = Window.partitionBy("a").orderBy(F.xxhash64("a", "b", F.lit(turn)))
+    around = around.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= MEETING)
     joined = around.join(nodes.select(F.col("node").alias("b"), "unit"), "b").select("a", "b", "unit")
 
     def meet(group: pa.Table) -> pa.Table:
@@ -155,8 +157,8 @@ def _search(nodes: DataFrame, lists: DataFrame | None, first_table: int, thresho
     seeds = common.keep(_seeds(nodes, first_table, TABLES, floor), "seeds")
     links = [seeds.where(F.col("s") >= threshold).select("a", "b")]
     lists = common.cut(_lists(seeds if lists is None else lists.union(seeds)))
-    for _ in range(ROUNDS):
-        found = common.keep(_refined(lists, nodes, floor, threshold), "refined")
+    for turn in range(ROUNDS):
+        found = common.keep(_refined(lists, nodes, floor, threshold, first_table + turn), "refined")
         links.append(found.where("link").select("a", "b"))
         better = common.cut(_lists(lists.union(found.where("not link").drop("link"))))
         replaced = better.join(lists, ["a", "b"], "left_anti").count()
@@ -297,12 +299,13 @@ def _grouped(nodes: DataFrame, threshold: float) -> tuple[DataFrame, float]:
 
 
 def _counts(members: DataFrame, threshold: float) -> DataFrame:
-    """(node, near): the weight of each vertex's links, from `members(component, node, unit, weight)`.
+    """(node, near): the weight of each vertex's links, from `members(component, node, unit, weight, vertices)`.
 
-    A component is dealt into blocks by hash, and every two blocks of it meet once.
+    A component, of which `vertices` counts the members, is dealt into blocks by hash, and every two
+    blocks of it meet once.
     """
-    sizes = members.groupBy("component").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    dealt = members.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    blocks = F.ceil(F.col("vertices") / F.lit(BLOCK)).cast("int")
+    dealt = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     pairs = dealt.select("component", "node", "unit", "weight", "own", other)
     pairs = pairs.select("component", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), (F.col("own") > F.col("other")).alias("right"), "node", "unit", "weight")
@@ -337,9 +340,12 @@ def near_duplicates(df: DataFrame, id_column: str = "vec_id", vector_column: str
     distinct = rows.where("unit is not null").groupBy("unit").agg(F.count("*").alias("weight"), F.min("id").alias("first"))
     nodes = common.keep(distinct.withColumn("node", F.monotonically_increasing_id()), "vertices")
     whole, recall = _grouped(nodes, threshold)
-    sizes = whole.groupBy("component").agg(F.min("first").alias("component_id"), F.count("*").alias("vertices"))
-    whole = common.keep(whole.join(sizes, "component"), "classes")
-    counted = common.keep(_counts(whole.where("vertices > 1").select("component", "node", "unit", "weight"), threshold), "link-counts")
+    # Components of more than one vertex are dealt in several ways, so that a large one is no single task.
+    sizes = whole.groupBy("component").agg(F.min("first").alias("component_id"), F.count("*").alias("vertices")).where("vertices > 1")
+    sizes = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = whole.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    whole = common.keep(salted.join(sizes, ["component", "salt"], "left").drop("salt").withColumn("component_id", F.when(F.col("vertices") > 1, F.col("component_id")).otherwise(F.col("first"))), "classes")
+    counted = common.keep(_counts(whole.where("vertices > 1").select("component", "node", "unit", "weight", "vertices"), threshold), "link-counts")
     classes = whole.join(counted, "node", "left")
     classes = classes.select("unit", "component_id", (F.coalesce("near", F.lit(0)) + F.col("weight") - 1).cast("long").alias("n_links"))
     linked = rows.where("unit is not null").join(classes, "unit").select("id", "n_links", "component_id")
