@@ -76,8 +76,10 @@ def night_bounds(date: str) -> tuple[str, str]:
 
 
 def exposure_token(seconds: Column) -> Column:
-    """Seconds below a million with six significant digits and no trailing zeros, for names."""
-    whole = F.greatest(F.lit(0), F.floor(F.log10(F.greatest(F.abs(seconds), F.lit(1.0)))).cast("int"))
-    ways = [F.when(whole == 5 - k, F.format_string(f"%.{k}f", seconds)) for k in range(6)]
-    written = F.coalesce(*ways, F.format_string("%.0f", seconds))
-    return F.concat(F.when(F.contains(written, F.lit(".")), F.regexp_replace(written, r"\.?0+$", "")).otherwise(written), F.lit("s"))
+    """Seconds with six significant digits and no trailing zeros, as a power of ten from a million and below 0.0001."""
+    scientific = F.regexp_replace(F.regexp_replace(F.lower(F.format_string("%.5e", seconds)), r"\.?0+e", "e"), r"e([+-])(\d)$", "e$1 0$2")
+    power = F.regexp_extract(F.format_string("%.5e", seconds), r"e([+-]\d+)$", 1).cast("int")
+    ways = [F.when(power == p, F.format_string(f"%.{max(0, 5 - p)}f", seconds)) for p in range(-4, 6)]
+    written = F.coalesce(*ways)
+    plain = F.when(F.contains(written, F.lit(".")), F.regexp_replace(written, r"\.?0+$", "")).otherwise(written)
+    return F.concat(F.when(seconds == 0, "0").when(written.isNull(), F.replace(scientific, F.lit(" "), F.lit(""))).otherwise(plain), F.lit("s"))

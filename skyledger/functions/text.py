@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Letters whose accent is no decomposition but a stroke are left to the last step, which drops them.
-_ACCENTED, _PLAIN = "ĄĆĘŃÓŚŹŻÁÉÍÚÜÖÄÀÈÂÊÎÔÛÇÑ", "ACENOSZZAEIUUOAAEAEIOUCN"
 NUMBER = r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*$"
 
 
@@ -32,12 +33,19 @@ def to_int(c: Column) -> Column:
 
 
 def norm(c: Column) -> Column:
-    return F.upper(F.trim(F.regexp_replace(c, r"\s+", " ")))
+    """White space of any script as one blank, none at the ends, in upper case."""
+    return F.upper(F.trim(F.regexp_replace(c, r"(?U)\s+", " ")))
+
+
+def _decomposed(values: pa.Array) -> pa.Array:
+    found = [None if v is None else unicodedata.normalize("NFKD", v).encode("ascii", "ignore").decode() for v in values.to_pylist()]
+    return pa.array(found, pa.string())
 
 
 def norm_ascii(c: Column) -> Column:
-    """Accents folded, what is not ASCII dropped, then as `norm`."""
-    return norm(F.regexp_replace(F.translate(F.upper(c), _ACCENTED, _PLAIN), r"[^\x00-\x7F]", ""))
+    """Letters decomposed and what is not ASCII dropped, then as `norm`; only texts that aren't ASCII leave the JVM."""
+    odd = F.when(c.rlike(r"[^\x00-\x7F]"), c)
+    return norm(F.coalesce(F.arrow_udf(_decomposed, "string")(odd), c))
 
 
 def norm_alnum(c: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from skyledger.functions import resolve, sky, text
 
+LIGHT = ("light", "master_light")
 NO_TELESCOPE = ("dark", "bias", "master_dark", "master_bias")
 
 
@@ -50,15 +51,19 @@ def resolved(frames: DataFrame, aliases: DataFrame, regions: list[tuple[str, flo
     their normalised text; a handful of regions is part of the expression.
     """
     known = aliases.select(F.col("alias_norm").alias("_alias"), F.struct(F.col("canon"), F.lit("alias").alias("source")).alias("_by_alias"))
-    rows = frames.withColumn("_key", F.nullif(text.norm_alnum(F.col("object_raw")), F.lit(""))).join(known, F.col("_key") == F.col("_alias"), "left")
-    ways: list[Column] = [resolve.sky_object(F.col("object_raw")), F.col("_by_alias")]
+    # A name is worked out once, however many frames have it.
+    names = frames.where(F.col("kind").isin(*LIGHT)).select(F.col("object_raw").alias("_raw")).where("_raw is not null").distinct()
+    names = names.withColumn("_key", F.nullif(text.norm_alnum(F.col("_raw")), F.lit(""))).join(known, F.col("_key") == F.col("_alias"), "left")
+    names = names.select("_raw", F.coalesce(resolve.sky_object(F.col("_raw")), F.col("_by_alias")).alias("_by_name"))
+    rows = frames.join(names, F.col("object_raw") == F.col("_raw"), "left")
+    ways: list[Column] = [F.col("_by_name")]
     if regions:
         near = [F.when(sky.separation_deg(F.col("ra_deg"), F.col("dec_deg"), F.lit(ra), F.lit(dec)) <= radius, F.struct(sky.separation_deg(F.col("ra_deg"), F.col("dec_deg"), F.lit(ra), F.lit(dec)).alias("d"), F.lit(name).alias("canon"))) for name, ra, dec, radius in regions]
         best = F.array_min(F.filter(F.array(*near), lambda r: r.isNotNull()))
         ways.append(F.when(best.isNotNull(), F.struct(best["canon"].alias("canon"), F.lit("region").alias("source"))))
     own = F.struct(F.col("user_canon").alias("canon"), F.lit("user").alias("source"))
-    found = F.when(F.col("kind").isin("light", "master_light"), F.coalesce(F.when(F.col("user_canon").isNotNull(), own), *ways))
-    return rows.withColumn("found", found).drop("_key", "_alias", "_by_alias")
+    found = F.when(F.col("kind").isin(*LIGHT), F.coalesce(F.when(F.col("user_canon").isNotNull(), own), *ways))
+    return rows.withColumn("found", found).drop("_raw", "_by_name")
 
 
 def _cells(rows: DataFrame, radius_km: float, spread: bool) -> DataFrame:
@@ -140,18 +145,34 @@ def master_path(path: Column) -> Column:
     return F.when(path.rlike(pattern), facts)
 
 
+#: Days of a key that one task orders at a time.
+SLICE_DAYS = 32
+
+
 def nearest_in_time(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """(id, other_id) for each left row with a right one of its key: the least difference of `ts`, then the least id.
 
-    Rights are put among the lefts by time and carried forward and backward, so no pairs are made;
-    a row without time, or a key without times, gets the key's least id.
+    Rights are put among the lefts by time, in slices of a key (`SLICE_DAYS` each), so a key is no
+    single task however many rows it has. Within a slice they are carried forward and backward; what a
+    slice gets from outside is the last right before it and the first after it, found among one row a
+    slice. No pairs are made. A row without time, or a key without times, gets the key's least id.
     """
+    slice_of = F.floor(F.unix_date(F.to_date("ts")) / F.lit(SLICE_DAYS)).cast("long")
     timed = right.where("ts is not null").groupBy(key, "ts").agg(F.min("id").alias("other"))
-    least = right.groupBy(key).agg(F.min("id").alias("least"), F.min(F.when(F.col("ts").isNotNull(), F.col("id"))).alias("least_timed"))
+    least = right.groupBy(key).agg(F.min("id").alias("least"))
     both = left.where("ts is not null").select(key, "ts", "id", F.lit(None).cast("long").alias("other")).unionByName(timed.select(key, "ts", F.lit(None).cast("long").alias("id"), "other"))
+    both = both.withColumn("slice", slice_of)
     spot = F.when(F.col("other").isNotNull(), F.struct("ts", "other"))
-    by = Window.partitionBy(key).orderBy("ts")
+    # One row a slice and key: its first and last right, carried over the slices before and after.
+    ends = both.groupBy(key, "slice").agg(F.min(spot).alias("first"), F.max(spot).alias("last"))
+    slices = Window.partitionBy(key).orderBy("slice")
+    ends = ends.select(
+        key, "slice", F.last("last", True).over(slices.rowsBetween(Window.unboundedPreceding, -1)).alias("earlier"),
+        F.first("first", True).over(slices.rowsBetween(1, Window.unboundedFollowing)).alias("later"),
+    )
+    by = Window.partitionBy(key, "slice").orderBy("ts")
     near = both.withColumns({"before": F.last(spot, True).over(by.rangeBetween(Window.unboundedPreceding, 0)), "after": F.first(spot, True).over(by.rangeBetween(0, Window.unboundedFollowing))}).where("id is not null")
+    near = near.join(ends, [key, "slice"]).withColumns({"before": F.coalesce("before", "earlier"), "after": F.coalesce("after", "later")})
     seconds = lambda c: F.abs(F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col(f"{c}.ts").cast("timestamp")))
     options = F.filter(F.array(*(F.when(F.col(c).isNotNull(), F.struct(seconds(c).alias("d"), F.col(f"{c}.other").alias("other"))) for c in ("before", "after"))), lambda x: x.isNotNull())
     chosen = near.select("id", F.array_min(options)["other"].alias("chosen"))

@@ -53,8 +53,11 @@ def first_cards(cards: DataFrame) -> DataFrame:
 
 def pivot(frames: DataFrame, cards: DataFrame, names: list[str]) -> DataFrame:
     """A row for each frame with (raw, num) columns of the named keywords; null and missing stay apart by `has_`."""
-    cells = first_cards(cards.where(F.col("keyword").isin(names))).groupBy("frame_id").pivot("keyword", names).agg(F.first("cell"))
-    wide = frames.select("id").join(cells.withColumnRenamed("frame_id", "id"), "id", "left")
+    # One shuffle: of each keyword the card of least occurrence, picked where the cards are.
+    own = F.struct("value_raw", "value_num")
+    picked = [F.min_by(own, F.when(F.col("keyword") == n, F.col("idx"))).alias(n) for n in names]
+    cells = cards.where(F.col("keyword").isin(names)).groupBy(F.col("frame_id").alias("id")).agg(*picked)
+    wide = frames.select("id").join(cells, "id", "left")
     return wide.select("id", *(c for n in names for c in (F.col(n).isNotNull().alias(f"has_{n}"), F.col(n)["value_raw"].alias(f"{n}_raw"), F.col(n)["value_num"].alias(f"{n}_num"))))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyledger.functions import sky, text
@@ -52,14 +52,16 @@ def composed(template=DEFAULT) -> Column:
 def renames(rows: DataFrame, template=DEFAULT) -> DataFrame:
     """Each copy's new path and why it is skipped: no time, unchanged, or several copies want one path."""
     place = F.regexp_replace("path", r"[^\\/]*$", "")
-    named = rows.withColumn("new_path", F.concat(place, composed(template)))
-    wanted = named.groupBy("volume", "new_path").agg(F.count("*").alias("_n"))
-    joined = named.join(wanted, ["volume", "new_path"], "left")
-    why = F.when(F.col("new_path").isNull(), "no time").when(F.col("new_path") == F.col("path"), "unchanged").when(F.col("_n") > 1, "collision")
-    return joined.select("id", "path", "new_path", why.alias("skipped"))
+    named = rows.select("id", "path", "volume", F.concat(place, composed(template)).alias("new_path"))
+    # One shuffle by target; rows without a target would be one group, so each has a group of its own.
+    alone = F.when(F.col("new_path").isNull(), F.col("id"))
+    n = F.count("*").over(Window.partitionBy("volume", "new_path", alone))
+    why = F.when(F.col("new_path").isNull(), "no time").when(F.col("new_path") == F.col("path"), "unchanged").when(n > 1, "collision")
+    return named.select("id", "path", "new_path", why.alias("skipped"))
 
 
-LAYOUTS = {"by-object": ("object", "filter"), "feed": ("object", "telescope", "filter")}
+#: The names that saved layouts go by, and our own.
+LAYOUTS = {"by-object": ("object", "filter"), "feed": ("object", "telescope", "filter"), "po-obiektach": ("object", "filter"), "wbpp-feed": ("object", "telescope", "filter")}
 
 
 def projection(rows: DataFrame, layout: str) -> DataFrame:

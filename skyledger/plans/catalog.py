@@ -206,9 +206,9 @@ def filter_values(c: Catalog) -> DataFrame:
     return c.frames().where("filter_canon is not null").select("filter_canon").distinct()
 
 
-@plan("SELECT f.id, l.id AS location_id, l.path, l.volume FROM frame f LEFT JOIN location l ON l.frame_id = f.id AND l.present = 1 WHERE f.id % 100 = 7")
+@plan("SELECT f.id, l.id AS location_id, l.path, l.volume FROM frame f LEFT JOIN location l ON l.frame_id = f.id AND l.present = 1")
 def present_copies(c: Catalog) -> DataFrame:
-    asked = c.frames().where("id % 100 = 7").select("id")
+    asked = c.frames().select("id")
     copies = c.locations().where("present = 1").select(F.col("frame_id").alias("id"), F.col("id").alias("location_id"), "path", "volume")
     return asked.join(copies, "id", "left")
 
@@ -503,9 +503,9 @@ def copy_size_sum(c: Catalog) -> DataFrame:
     return reviews.copy_plan(c.locations(), "O")
 
 
-@plan("SELECT round(median(h), 6) AS median_h, round(max(h) - min(h), 6) AS spread_h, count(*) AS n FROM (SELECT (epoch(f.date_ts) - epoch(l.mtime)) / 3600 AS h FROM frame f JOIN location l ON l.frame_id = f.id WHERE f.id % 10 = 3) WHERE h IS NOT NULL")
+@plan("SELECT round(median(h), 6) AS median_h, round(max(h) - min(h), 6) AS spread_h, count(*) AS n FROM (SELECT (epoch(f.date_ts) - epoch(l.mtime)) / 3600 AS h FROM frame f JOIN location l ON l.frame_id = f.id) WHERE h IS NOT NULL")
 def dt_delta_median(c: Catalog) -> DataFrame:
-    rows = c.frames().where("id % 10 = 3").join(c.locations().select(F.col("frame_id").alias("id"), "mtime"), "id")
+    rows = c.frames().join(c.locations().select(F.col("frame_id").alias("id"), "mtime"), "id")
     return facets.time_differences(rows, F.col("date_ts"), F.col("mtime"))
 
 

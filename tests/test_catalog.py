@@ -5,7 +5,7 @@ import os
 
 import pytest
 
-from skyledger.plans import catalog
+from skyledger.plans import catalog, ledger  # noqa: F401  the ledger registers more
 
 SF = os.environ.get("CATALOG_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
