@@ -63,6 +63,13 @@ def to_scan(listing: DataFrame, locations: DataFrame) -> DataFrame:
     return listing.join(done, ["volume", "path", "mtime"], "left_anti")
 
 
+def to_backfill(locations: DataFrame, frames: DataFrame, filetype: str = "xisf") -> DataFrame:
+    """Present copies of a file type whose header has never been read; empty once they have been."""
+    kinds = frames.where(F.col("filetype") == filetype).select(F.col("id").alias("frame_id"))
+    rows = locations.where("header_hash is null and present = 1").join(kinds, "frame_id", "left_semi")
+    return rows.select("id", "volume", "path")
+
+
 def missing(locations: DataFrame, listing: DataFrame, root: str, barriers: list[str] = ()) -> DataFrame:
     """Present copies under a root that a walk did not meet, and whether a barrier hides them."""
     under = lambda prefix: F.startswith(F.lower("path"), F.lit(prefix.lower().rstrip("/") + "/"))

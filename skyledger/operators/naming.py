@@ -80,6 +80,23 @@ def apply_status(planned: DataFrame, existing: DataFrame) -> DataFrame:
     return rows.select("id", "folder", "file", status.alias("status"))
 
 
+#: Names of working folders, one of which a projection's root must lie in.
+WORKING = ("_wbpp", "_review")
+
+
+def root_allowed(root: Column) -> Column:
+    """Whether a projection may be laid out there: some folder of the path is a working one."""
+    return F.exists(F.split(root, r"[\\/]+"), lambda part: F.lower(part).isin(*WORKING))
+
+
+def manifest(status: DataFrame, layout: str, root: str, at: Column) -> DataFrame:
+    """One row: a JSON text that says what a projection was made of, with the number of files by status."""
+    counts = status.groupBy("status").agg(F.count("*").alias("n"))
+    whole = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_items"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("status", "n")))).alias("counts"))
+    segments = F.array(*map(F.lit, LAYOUTS[layout]))
+    return whole.select(F.to_json(F.struct(F.lit(layout).alias("layout"), segments.alias("segments"), F.lit(root).alias("root"), at.alias("ts"), "n_items", "counts")).alias("manifest"))
+
+
 def folder_histogram(planned: DataFrame, n: int) -> DataFrame:
     rows = planned.where("folder is not null").groupBy("folder").agg(F.count("*").alias("n"))
     return rows.orderBy(F.desc("n"), "folder").limit(n)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skyledger.bridge import Catalog
 from skyledger.functions import sky, text
-from skyledger.operators import changes, derive, facets, macro, verbs, views
+from skyledger.operators import changes, derive, facets, macro, naming, verbs, views
 from skyledger.plans.catalog import plan, truths
 
 # Header edits by rule. Cards get types: GAIN is whole, PRICE a fraction, the others are texts.
@@ -496,6 +496,18 @@ def active_sites(c: Catalog) -> DataFrame:
     return derive.per_canonical(sites, c.frames().select((F.col("id") % 40).alias("site_id")), "site_id").select("id", F.col("n").cast("long").alias("n"))
 
 
+@plan("SELECT l.id, l.volume, l.path FROM location l JOIN frame f ON f.id = l.frame_id WHERE f.filetype = 'xisf' AND l.present = 1 AND l.id % 3 = 0")
+def header_backfill(c: Catalog) -> DataFrame:
+    rows = c.locations().withColumn("header_hash", F.when(F.col("id") % 3 != 0, "h"))
+    return changes.to_backfill(rows, c.frames())
+
+
+@plan("""SELECT '{"layout":"by-object","segments":["object","filter"],"root":"/out/_WBPP","ts":"2025-01-01","n_items":' || count(*) || ',"counts":{"exists":' || count(*) FILTER (id % 3 = 0) || ',"would-link":' || count(*) FILTER (id % 3 <> 0) || '}}' AS manifest FROM frame""")
+def projection_manifest(c: Catalog) -> DataFrame:
+    status = c.frames().select(F.when(F.col("id") % 3 == 0, "exists").otherwise("would-link").alias("status"))
+    return naming.manifest(status, "by-object", "/out/_WBPP", F.lit("2025-01-01"))
+
+
 # Truth tables of the remaining functions.
 HOURS = [(5400.0, "1.5 h"), (0.0, "0.0 h"), (360000.0, "100.0 h"), (90.0, "0.0 h")]
 SIZES = [(999.0, "999 B"), (1536.0, "1.5 KB"), (1024.0**2, "1.0 MB"), (3.25 * 1024**3, "3.2 GB"), (5000.0 * 1024**4, "5000.0 TB"), (0.0, "0 B")]
@@ -515,3 +527,4 @@ truths("header_time_chosen", [("2024-01-02T23:30:00", "2024-01-03 01:30:00"), ("
 truths("file_time_chosen", [("/a/x_2024-01-02_03-04-05.fits", "2024-01-02 02:04:05"), ("/2024-01-02_03-04-05/x.fits", None)], lambda c: views.chosen_time("filename", F.lit(None).cast("string"), c, -1))
 truths("kind_of_raw", [("/a/LIGHTS/x.dng", "light"), ("/a/x.dng", "unknown")], lambda c: views.frame_kind(F.lit("raw"), F.lit("Dark"), c, F.lit(True)))
 truths("kind_of_header", [("Light Frame", "light"), (None, "unknown")], lambda c: views.frame_kind(F.lit("fits"), c, F.lit("/darks/x"), F.lit(True)))
+truths("projection_root", [("/out/_WBPP/x", 1), ("C:\\\\pics\\\\_review", 1), ("/out/WBPP", 0), ("/_wbppx/y", 0)], naming.root_allowed, "int")

@@ -1,26 +1,33 @@
-"""Header records of image files: FITS, XISF and TIFF-based raw, read by Spark's binary file source.
+"""Header records of image files: FITS, XISF and TIFF-based raw.
 
-`scan` lists a tree, parses each file's header on the executors and hashes the file and its data
-section, as one row a file; what can't be parsed has an error text instead. Pixels are never decoded.
+`scan` reads each listed file by its path on the executors: the header's few blocks, and then once
+through in pieces for the hashes of file and data section. So no file has to fit in memory, and none
+goes through the JVM. One row a file; what can't be parsed has an error text instead. Pixels are never
+decoded; a compressed image has no hash of its data.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import re
 import struct
 import xml.etree.ElementTree as xml
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SUFFIXES = ("fits", "fit", "fts", "xisf", "dng", "arw", "cr2")
 PRUNED = ("_wbpp", "_review")
 CARD = "struct<keyword:string,idx:int,value_raw:string,value_num:double,value_type:string,comment:string>"
-PARSED = f"struct<filetype:string,header_hash:string,hdu:int,data_start:bigint,data_size:bigint,cards:array<{CARD}>,error:string>"
+SCANNED = f"path string, mtime timestamp, size bigint, filetype string, header_hash string, hdu int, compressed boolean, header_ceiling bigint, cards array<{CARD}>, error string, sha1_file string, sha1_data string"
+#: Bytes of a file that are hashed at a time.
+PIECE = 4 << 20
 REPEATED = ("COMMENT", "HISTORY", "")
 
 Card = dict
@@ -71,7 +78,7 @@ def fits(content: bytes) -> dict:
     if content[:6] != b"SIMPLE":
         raise ValueError("no FITS file")
     at, first = 0, None
-    for hdu in range(1000):
+    for hdu in itertools.count():
         begin, cards, ended = at, [], False
         while not ended:
             block = content[at : at + 2880]
@@ -91,6 +98,7 @@ def fits(content: bytes) -> dict:
         size = int(value.get("GCOUNT") or 1) * (size + abs(int(value.get("BITPIX") or 8)) // 8 * int(value.get("PCOUNT") or 0) * bool(axes))
         span = -(-size // 2880) * 2880
         own = {"filetype": "fits", "header_hash": hashlib.sha1(content[begin:at]).hexdigest(), "hdu": hdu, "data_start": at, "data_size": span, "cards": _numbered(cards)}
+        own["compressed"] = any(c["keyword"] == "ZIMAGE" and c["value_raw"] == "T" for c in cards)
         first = first or own
         if axes:
             return own
@@ -114,24 +122,29 @@ def _finite(value: str) -> float | None:
 
 
 def xisf(content: bytes) -> dict:
-    """Cards from keyword elements; the first image's attachment is the data section."""
+    """Cards from keyword elements; the first image's attachment is the data section.
+
+    The header may grow up to the first byte of any attachment, its ceiling.
+    """
     if content[:8] != b"XISF0100" or len(content) < 16:
         raise ValueError("no monolithic XISF file")
     size = struct.unpack("<I", content[8:12])[0]
     text = content[16 : 16 + size]
     if len(text) < size:
         raise ValueError("the header is cut off")
-    cards, span = [], None
+    cards, span, ceiling = [], None, None
     for element in xml.fromstring(text).iter():
         name = element.tag.rpartition("}")[2]
         place = (element.get("location") or "").split(":")
-        if name == "Image" and span is None and len(place) == 3 and place[0] == "attachment":
-            span = int(place[1]), int(place[2])
+        if len(place) == 3 and place[0] == "attachment":
+            ceiling = min(int(place[1]), ceiling if ceiling is not None else int(place[1]))
+            if name == "Image" and span is None:
+                span = int(place[1]), int(place[2])
         if name == "FITSKeyword" and element.get("name"):
             raw = _unquoted(element.get("value", ""))
             cards.append(_card(element.get("name").strip().upper(), raw, _finite(raw), "str", element.get("comment")))
     start, length = span or (None, None)
-    return {"filetype": "xisf", "header_hash": hashlib.sha1(text).hexdigest(), "hdu": None, "data_start": start, "data_size": length, "cards": _numbered(cards)}
+    return {"filetype": "xisf", "header_hash": hashlib.sha1(text).hexdigest(), "hdu": None, "data_start": start, "data_size": length, "header_ceiling": ceiling, "cards": _numbered(cards)}
 
 
 # TIFF tags that are read, and the sizes of TIFF value types.
@@ -141,14 +154,18 @@ TYPE_LETTERS = {1: "B", 3: "H", 4: "I", 7: "B", 9: "i"}
 TYPE_SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 7: 1, 9: 4, 10: 8}
 
 
+def _unpack(form: str, content: bytes, at: int) -> tuple:
+    return struct.unpack(form, content[at : at + struct.calcsize(form)])
+
+
 def _directory(content: bytes, at: int, order: str) -> dict:
     found = {}
-    for k in range(struct.unpack_from(order + "H", content, at)[0]):
-        tag, kind, count = struct.unpack_from(order + "HHI", content, at + 2 + 12 * k)
+    for k in range(_unpack(order + "H", content, at)[0]):
+        tag, kind, count = _unpack(order + "HHI", content, at + 2 + 12 * k)
         width = TYPE_SIZES.get(kind, 0) * count
         if not width:
             continue
-        place = at + 10 + 12 * k if width <= 4 else struct.unpack_from(order + "I", content, at + 10 + 12 * k)[0]
+        place = at + 10 + 12 * k if width <= 4 else _unpack(order + "I", content, at + 10 + 12 * k)[0]
         raw = content[place : place + width]
         if len(raw) < width:
             raise ValueError("a value lies outside the file")
@@ -167,9 +184,9 @@ def _directory(content: bytes, at: int, order: str) -> dict:
 def raw(content: bytes) -> dict:
     """A camera's raw file as header cards: camera, time, exposure, gain, lens and place."""
     order = {b"II": "<", b"MM": ">"}.get(content[:2])
-    if order is None or struct.unpack_from(order + "H", content, 2)[0] != 42:
+    if order is None or _unpack(order + "H", content, 2)[0] != 42:
         raise ValueError("no TIFF-based file")
-    top = _directory(content, struct.unpack_from(order + "I", content, 4)[0], order)
+    top = _directory(content, _unpack(order + "I", content, 4)[0], order)
     exif = _directory(content, top[EXIF], order) if EXIF in top else {}
     gps = _directory(content, top[GPS], order) if GPS in top else {}
     make, model = top.get(MAKE, ""), top.get(MODEL, "")
@@ -206,26 +223,120 @@ def parse(path: str, content: bytes) -> dict:
         return {"filetype": reader.__name__, "error": f"{type(e).__name__}: {e}"}
 
 
+def place_of(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path and the path in it; local ones are taken as they are written."""
+    if path.startswith(("file:/", "/")):
+        return fs.LocalFileSystem(), re.sub(r"^file:/+", "/", path)
+    return fs.FileSystem.from_uri(path)
+
+
+class Remote:
+    """A file by its path, whose slices are read when they are asked for; as a reader takes bytes."""
+
+    def __init__(self, path: str):
+        filesystem, inner = place_of(path)
+        self.file = filesystem.open_input_file(inner)
+        self.size = self.file.size()
+
+    def __len__(self) -> int:
+        return self.size
+
+    def __getitem__(self, part: slice) -> bytes:
+        begin, end, _ = part.indices(self.size)
+        return self.file.read_at(end - begin, begin) if end > begin else b""
+
+
+def hashes(content, span: tuple[int, int] | None) -> tuple[str, str | None]:
+    """The hash of a whole file and of a section of it, in one pass; a section past the end is hashed as far as it goes."""
+    whole, part = hashlib.sha1(), hashlib.sha1()
+    begin, end = (span[0], span[0] + span[1]) if span and span[1] else (0, 0)
+    for at in range(0, len(content), PIECE):
+        piece = content[at : at + PIECE]
+        whole.update(piece)
+        part.update(piece[max(0, begin - at) : max(0, end - at)])
+    return whole.hexdigest(), part.hexdigest() if end > begin else None
+
+
+def walk(spark: SparkSession, root: str) -> DataFrame:
+    """(kind, path, modificationTime, length) below a root: files of known suffixes, and folders that were pruned or could not be read.
+
+    Folders are listed on the executors, a level of the tree at a time, as Spark's own listing leaves
+    out every name that begins with an underscore, and is silent on folders that it can't read. The
+    root itself may have a pruned name.
+    """
+    shape = "kind string, path string, modificationTime timestamp, length long"
+    filesystem, top = place_of(root)
+    prefix = root[: len(root) - len(top)] if root.endswith(top) else ""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for folder in batch.column("path").to_pylist():
+                rows = []
+                try:
+                    inside = filesystem.get_file_info(fs.FileSelector(folder.removeprefix(prefix)))
+                except OSError:
+                    rows.append(("unreadable", folder, None, None))
+                    inside = []
+                for item in inside:
+                    name, path = item.base_name.lower(), prefix + item.path
+                    if item.type == fs.FileType.Directory:
+                        rows.append(("pruned" if name in PRUNED else "folder", path, None, None))
+                    elif item.type == fs.FileType.File and name.rpartition(".")[2] in SUFFIXES and "." in name:
+                        rows.append(("file", path, item.mtime, item.size))
+                kinds = (pa.string(), pa.string(), pa.timestamp("us", "UTC"), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["kind", "path", "modificationTime", "length"])
+
+    level = spark.createDataFrame([(prefix + top.rstrip("/"),)], "path string")
+    found = []
+    while True:
+        below = level.select("path").repartition(spark.sparkContext.defaultParallelism).mapInArrow(step, shape).checkpoint()
+        found.append(below.where("kind <> 'folder'"))
+        level = below.where("kind = 'folder'")
+        if level.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+
+
 def listing(spark: SparkSession, root: str) -> DataFrame:
     """Files of known suffixes below a root, but for pruned folders, without reading them."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    below = F.substring_index(F.col("path"), root.rstrip("/").rpartition("/")[2] + "/", -1)
-    return files.where(F.lower("path").rlike(rf"\.({'|'.join(SUFFIXES)})$") & ~F.lower(below).rlike(rf"(^|/)({'|'.join(PRUNED)})/"))
+    return walk(spark, root).where("kind = 'file'").drop("kind")
+
+
+def barriers(walked: DataFrame) -> DataFrame:
+    """(path, kind): folders that a walk did not look into."""
+    return walked.where("kind in ('pruned', 'unreadable')").select("path", "kind")
+
+
+def record(path: str, content) -> dict:
+    """All facts of one file's content: its header, and the hashes of file and data section."""
+    found = parse(path, content)
+    span = (found["data_start"], found["data_size"]) if found.get("data_start") is not None and not found.get("compressed") else None
+    found["sha1_file"], found["sha1_data"] = hashes(content, span)
+    return found
 
 
 def scan(files: DataFrame) -> DataFrame:
-    """path, mtime, size, filetype, header_hash, hdu, cards, error, sha1_file and sha1_data of each listed file."""
-
-    @F.arrow_udf(PARSED)
-    def parsed(paths: pa.Array, contents: pa.Array) -> pa.Array:
-        card = pa.struct([("keyword", pa.string()), ("idx", pa.int32()), ("value_raw", pa.string()), ("value_num", pa.float64()), ("value_type", pa.string()), ("comment", pa.string())])
-        shape = pa.struct([("filetype", pa.string()), ("header_hash", pa.string()), ("hdu", pa.int32()), ("data_start", pa.int64()), ("data_size", pa.int64()), ("cards", pa.list_(card)), ("error", pa.string())])
-        return pa.array([parse(p, c) for p, c in zip(paths.to_pylist(), contents.to_pylist())], shape)
-
-    rows = files.withColumn("h", parsed("path", "content"))
-    span = F.expr("substring(content, cast(h.data_start + 1 as int), cast(h.data_size as int))")
-    data = F.when(F.col("h.data_size") > 0, F.sha1(span))
-    return rows.select("path", F.col("modificationTime").alias("mtime"), F.col("length").alias("size"), "h.filetype", "h.header_hash", "h.hdu", "h.cards", "h.error", F.sha1("content").alias("sha1_file"), data.alias("sha1_data"))
+    """path, mtime, size, filetype, header_hash, hdu, compressed, header_ceiling, cards, error, sha1_file and sha1_data of each listed file.
+
+    Files are read by their paths, or from a column `content` where the table has one that isn't a
+    file source's.
+    """
+    card = pa.struct([("keyword", pa.string()), ("idx", pa.int32()), ("value_raw", pa.string()), ("value_num", pa.float64()), ("value_type", pa.string()), ("comment", pa.string())])
+    kinds = {"filetype": pa.string(), "header_hash": pa.string(), "hdu": pa.int32(), "compressed": pa.bool_(), "header_ceiling": pa.int64(), "cards": pa.list_(card), "error": pa.string(), "sha1_file": pa.string(), "sha1_data": pa.string()}
+    held = "content" in files.columns
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                path = batch.column("path")[k].as_py()
+                try:
+                    found = record(path, batch.column("content")[k].as_py() if held else Remote(path))
+                except OSError as e:  # a file that can't be opened or ends early
+                    found = {"error": f"{type(e).__name__}: {e}"}
+                own = [batch.column(name).slice(k, 1) for name in ("path", "modificationTime", "length")]
+                yield pa.RecordBatch.from_arrays([*own, *(pa.array([found.get(name)], kind) for name, kind in kinds.items())], ["path", "mtime", "size", *kinds])
+
+    asked = files.select("path", "modificationTime", "length", *(["content"] if held else []))
+    return asked.mapInArrow(read, SCANNED)
 
 
 def numbered(cards: DataFrame, key: str) -> DataFrame:

@@ -16,7 +16,7 @@ from skyledger.sources import headers
 def listen(spark: SparkSession, root: str) -> DataFrame:
     """A stream of header records of files that appear below a root."""
     files = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").schema("path string, modificationTime timestamp, length long, content binary").load(root)
-    return headers.scan(files.where(F.lower("path").rlike(rf"\.({'|'.join(headers.SUFFIXES)})$")))
+    return headers.scan(files.select("path", "modificationTime", "length").where(F.lower("path").rlike(rf"\.({'|'.join(headers.SUFFIXES)})$")))
 
 
 def ingest(stream: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
