@@ -111,7 +111,8 @@ def search(queries: np.ndarray, query_rows: np.ndarray, shard: np.ndarray, shard
     """
     width = max(queries.shape[1], shard.shape[1])
     queries, shard = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (queries, shard))
-    most = np.abs(queries).sum(1).max(initial=0) * np.abs(shard).max(initial=0)
+    with np.errstate(over="ignore"):
+        most = np.abs(queries).sum(1).max(initial=0) * np.abs(shard).max(initial=0)
     if most < EXACT:
         return _search_exact(queries, query_rows, shard, shard_rows, shard_ids, k, least)
     # Few vectors are large: only pairs with one of them are counted in whole numbers of any size.
@@ -178,7 +179,7 @@ def _traverse(weights, posts, own, rest, lack, floor, at, k):
 
 
 def _best(q: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    order = np.lexsort((ids, -score, q))
+    order = np.lexsort((ids, ~score, q))  # unlike a minus sign, this turns the least long around too
     q, ids, score = q[order], ids[order], score[order]
     kept = np.arange(len(q)) - np.searchsorted(q, q, "left") < k
     return q[kept], ids[kept], score[kept]

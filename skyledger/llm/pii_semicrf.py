@@ -163,7 +163,7 @@ def lesson(text: str, rng: random.Random) -> tuple[str, set[tuple[tuple[int, int
 
     spans = sorted(base_spans(text), key=lambda s: (s[1], -s[2]))
     gaps = [m.end() for m in re.finditer(r"\s+", text) if not any(b < m.end() < e for _, b, e in spans)]
-    new = {gap: rng.choice(KINDS) for gap in rng.sample(gaps, min(len(gaps), 2))}
+    new = {gap: rng.choice(KINDS) for gap in rng.sample(gaps, min(len(gaps), 3))}
     for begin, end, kind in sorted([(b, e, k) for k, b, e in spans] + [(gap, gap, kind) for gap, kind in new.items()]):
         if begin < at:
             continue
