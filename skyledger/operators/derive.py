@@ -77,13 +77,15 @@ def _cells(rows: DataFrame, radius_km: float, spread: bool) -> DataFrame:
     return rows.withColumn("_s", F.explode(steps)).withColumn("cell", F.struct(*((c + F.col(f"_s.{n}")).alias(n) for c, n in zip(own, "xyz")))).drop("_s")
 
 
-def nearest_site(points: DataFrame, sites: DataFrame, radius_km: float = sky.SITE_KM) -> DataFrame:
+def nearest_site(points: DataFrame, sites: DataFrame, radius_km: float = sky.SITE_KM, earlier: bool = False) -> DataFrame:
     """(id, site_id, km) of points(id, lat, lon) with a site in reach, the nearest, then the least id.
 
-    Both sides meet on cells as wide as the radius, so neither is broadcast nor crossed.
+    Both sides meet on cells as wide as the radius, so neither is broadcast nor crossed. With
+    `earlier`, only sites whose id is not above the point's count.
     """
     there = _cells(sites.select(F.col("id").alias("site_id"), "lat", "lon"), radius_km, True).select("cell", "site_id", F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon"))
     pairs = _cells(points.select("id", "lat", "lon"), radius_km, False).join(there, "cell")
+    pairs = pairs.where("site_id <= id") if earlier else pairs
     km = sky.haversine_km(F.col("lat"), F.col("lon"), F.col("s_lat"), F.col("s_lon"))
     near = pairs.select("id", "site_id", F.round(km, 6).alias("km")).where(F.col("km") <= radius_km)
     return near.groupBy("id").agg(F.min(F.struct("km", "site_id")).alias("b")).select("id", "b.site_id", "b.km")
@@ -92,23 +94,27 @@ def nearest_site(points: DataFrame, sites: DataFrame, radius_km: float = sky.SIT
 def site_seeds(points: DataFrame, radius_km: float = sky.SITE_KM) -> DataFrame:
     """The points that found a site when taken by id: none that founds one before lies in reach.
 
-    That is the first maximal independent set of the graph of near points. Each round settles every
-    open point with no smaller open neighbour and takes its neighbours out, on all tasks at once.
+    In each round the least open point of every cell that is also the least of the cells around it
+    founds a site, and open points in its reach are taken out. Only cells' least points meet each
+    other, and points meet sites, of which few fit around a cell; so dense places make no pairs.
     """
-    once = points.groupBy("lat", "lon").agg(F.min("id").alias("id")).checkpoint()
-    there = _cells(once, radius_km, True).select("cell", F.col("id").alias("other"), F.col("lat").alias("o_lat"), F.col("lon").alias("o_lon"))
-    pairs = _cells(once, radius_km, False).join(there, "cell").where("id <> other")
-    near = pairs.where(sky.haversine_km(F.col("lat"), F.col("lon"), F.col("o_lat"), F.col("o_lon")) <= radius_km).select("id", "other").checkpoint()
-    still, seeds = once.select("id"), []
+    once = _cells(points.groupBy("lat", "lon").agg(F.min("id").alias("id")), radius_km, False).checkpoint()
+    rest, seeds = once, []
     while True:
-        live = near.join(still, "id", "left_semi").join(still.withColumnRenamed("id", "other"), "other", "left_semi")
-        first = live.groupBy("id").agg(F.min("other").alias("other")).where("other < id").select("id")
-        new = still.join(first, "id", "left_anti").checkpoint()
+        least = rest.groupBy("cell").agg(F.min_by(F.struct("id", "lat", "lon"), "id").alias("p")).select("cell", "p.*")
+        around = _cells(least.select("id", "lat", "lon"), radius_km, True).groupBy("cell").agg(F.min("id").alias("first"))
+        new = least.join(around, "cell").where("id = first").select("id", "lat", "lon").checkpoint()
         seeds.append(new)
-        taken = near.join(new, "id", "left_semi").select(F.col("other").alias("id")).union(new).distinct()
-        still = still.join(taken, "id", "left_anti").checkpoint()
-        if still.isEmpty():
-            return once.join(reduce(DataFrame.union, seeds), "id", "left_semi")
+        reach = _cells(new.select(F.col("id").alias("site_id"), "lat", "lon"), radius_km, True).select("cell", F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon"))
+        taken = rest.join(reach, "cell").where(sky.haversine_km(F.col("lat"), F.col("lon"), F.col("s_lat"), F.col("s_lon")) <= radius_km).select("id").distinct()
+        rest = rest.join(taken, "id", "left_anti").checkpoint()
+        if rest.isEmpty():
+            return reduce(DataFrame.union, seeds)
+
+
+def observatories(points: DataFrame, radius_km: float = sky.SITE_KM) -> DataFrame:
+    """(id, site_id, km): the site of every point, which is its own if it founds one, else the nearest that was there before."""
+    return nearest_site(points, site_seeds(points, radius_km), radius_km, earlier=True)
 
 
 def profile_key(kind: Column) -> Column:

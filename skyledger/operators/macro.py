@@ -115,7 +115,7 @@ def run(targets: DataFrame, cards: DataFrame, rule: Rule) -> DataFrame:
     own = F.col(f"`c_{rule.keyword}`")
     n = F.coalesce(own["n"], F.lit(0))
     if rule.op == "set":
-        at = own["first"] if rule.idx is None else F.element_at(F.filter(own["all"], lambda c: c["idx"] == rule.idx), 1)
+        at = own["first"] if rule.idx is None else F.try_element_at(F.filter(own["all"], lambda c: c["idx"] == rule.idx), F.lit(1))
         guard = F.when(n == 0, "no card to set").when(F.lit(rule.idx is None) & (n > 1), "several cards: idx wanted").when(at.isNull(), "no card of that idx")
         idx, old, base = F.lit(rule.idx or 0), at["value_raw"], F.coalesce(F.lit(rule.value_type).cast("string"), own["first"]["value_type"])
     else:

@@ -304,6 +304,11 @@ def site_clusters(c: Catalog) -> DataFrame:
     return derive.site_seeds(c.points(), 700.0).select("id", "lat", "lon")
 
 
+@plan()
+def site_assign(c: Catalog) -> DataFrame:
+    return derive.observatories(c.points(), 700.0).select("id", "site_id")
+
+
 @plan("SELECT id, round(2 * degrees(asin(least(1, sqrt(pow(sin(radians(30.67 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(30.67)) * pow(sin(radians(312.75 - lon) / 2), 2))))), 6) AS deg FROM point")
 def region_distance(c: Catalog) -> DataFrame:
     return c.points().select("id", F.round(sky.separation_deg(F.col("lon"), F.col("lat"), F.lit(312.75), F.lit(30.67)), 6).alias("deg"))

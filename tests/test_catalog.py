@@ -61,8 +61,11 @@ def test_site_clusters_are_the_greedy_seeds(spark):
 
     from skyledger.bridge import Catalog
 
-    seeds = []
+    seeds, assigned = [], set()
     for r in Catalog(spark, SF).points().orderBy("id").collect():
-        if all(km(s, (r.id, r.lat, r.lon)) > 700.0 for s in seeds):
-            seeds.append((r.id, r.lat, r.lon))
+        point = (r.id, r.lat, r.lon)
+        if all(km(s, point) > 700.0 for s in seeds):
+            seeds.append(point)
+        assigned.add((r.id, min((round(km(s, point), 6), s[0]) for s in seeds)[1]))
+    assert {(r.id, r.site_id) for r in catalog.QUERIES["site_assign"](spark, SF).collect()} == assigned
     assert sorted(r.id for r in catalog.QUERIES["site_clusters"](spark, SF).collect()) == [s[0] for s in seeds]
