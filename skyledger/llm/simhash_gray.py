@@ -36,7 +36,7 @@ from skyledger.llm import common
 BITS, DISTANCE, SHINGLE, SEED = 64, 3, 3, 42
 BLOCK, GROUP, FAN_OUT_BITS = 8192, 32, 3
 #: Most left blocks that a task holds while right ones pass, and ways that right blocks are dealt.
-HELD, WAYS = 32, 4
+HELD, WAYS, SALTS = 32, 4, 8
 #: Further words of a fingerprint, and deviations that a pair of the wanted similarity may be off.
 CHECK_WORDS, SLACK, CHECK_SLACK = 16, 2.3, 2.0
 #: Pairs that are checked at a time.
@@ -269,18 +269,20 @@ def classes(docs: DataFrame, distance: int = DISTANCE, words: int = SHINGLE, sim
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE, words: int = SHINGLE, similarity: float | None = None) -> DataFrame:
     """For every row of `docs(doc_id, text)`: doc_id, fingerprint as 16 hex digits, component_id."""
     rows = common.keep(classes(docs, distance, words, similarity), "fingerprint-classes")
-    least = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return rows.join(least, "root").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    # Copies are one node before groups are joined, and groups are dealt in several ways, as one may be large.
+    nodes = rows.groupBy("fp", "root").agg(F.min("doc_id").alias("first")).withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int"))
+    least = nodes.groupBy("root").agg(F.min("first").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    found = common.keep(nodes.join(least, ["root", "salt"]).select("fp", "component_id"), "fingerprint-groups")
+    return rows.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, distance: int = DISTANCE, words: int = SHINGLE, similarity: float | None = None) -> DataFrame:
     """The rows of `docs` with one of each group: that of the least doc_id (null is last), then of the least hash of its text."""
     rows = common.keep(classes(docs, distance, words, similarity), "fingerprint-classes")
-    # The first row of a group, and how many rows equal it; only those few are brought together.
-    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mix")).alias("first")).select("root", "first.doc_id", "first.mix")
-    same = rows.select("root", F.col("doc_id").alias("_doc_id"), F.col("mix").alias("_mix"))
-    counted = first.join(same, "root").where(F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("mix") == F.col("_mix"))).groupBy("_doc_id", "_mix").agg(F.count("*").alias("_rows"))
-    counted = common.keep(counted, "chosen")
+    # The first row of each group, and how many rows equal it; only those few are brought together.
+    equal = rows.groupBy("root", "doc_id", "mix").agg(F.count("*").alias("n"))
+    first = equal.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mix", "n")).alias("f"))
+    counted = common.keep(first.select(F.col("f.doc_id").alias("_doc_id"), F.col("f.mix").alias("_mix"), F.col("f.n").alias("_rows")), "chosen")
     hashed = docs.withColumn("_mix_", F.xxhash64(F.col("text").cast("string")))
     match = F.col("doc_id").cast("long").eqNullSafe(F.col("_doc_id")) & (F.col("_mix_") == F.col("_mix"))
     single = hashed.join(counted.where("_rows = 1"), match, "left_semi")
