@@ -6,6 +6,7 @@ and logs nothing. What is refused has its reason in the outcome and leaves the s
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
@@ -279,3 +280,67 @@ def may_mark(counts: dict[str, int], walked: int, force: int | None = None) -> s
         return brake
     gone = counts.get("gone", 0)
     return f"{gone} copies are gone, not {force}" if force is not None and gone != force else None
+
+
+class Ingested(NamedTuple):
+    """All tables after an ingest, and its events."""
+
+    frames: DataFrame
+    locations: DataFrame
+    events: DataFrame
+
+
+COPY = ("mtime", "size_bytes", "header_hash")
+
+
+def ingested(records: DataFrame, frames: DataFrame, locations: DataFrame, now: Column, actor: str = "scan") -> Ingested:
+    """Scanned records(volume, path, sha1_data, kind, filetype, mtime, size_bytes, header_hash, error) brought into the tables.
+
+    A frame is a content: new contents become frames, kind unknown where the file could not be read. A
+    copy is a place: a new place is added, another content under a known one rebinds it, other facts
+    refresh it, and a known place that can't be read keeps its frame and gets a mark. A place that
+    repeats counts once, by its least content.
+    """
+    once = records.groupBy("volume", "path").agg(F.min(F.struct("sha1_data", "kind", "filetype", *COPY, "error")).alias("r")).select("volume", "path", "r.*")
+    known = locations.select("volume", "path", F.col("id").alias("_location"), F.col("frame_id").alias("_frame"))
+    rows = once.join(known, ["volume", "path"], "left").checkpoint()
+    seen = rows.where(F.col("error").isNull() | F.col("_location").isNull()).withColumn("kind", F.when(F.col("error").isNull(), F.col("kind")).otherwise("unknown"))
+    observed = upserted(frames, seen, "sha1_data", "frame", ["kind", "filetype"], "observed", actor)
+    ids = observed.table.select("sha1_data", F.col("id").alias("_new_frame"))
+    rows = rows.join(ids, "sha1_data", "left").checkpoint()
+    fresh = rows.where("_location is null").withColumn("_place", F.concat_ws("\u0000", "volume", "path"))
+    mark = F.when(F.col("error").isNotNull(), now)
+    numbered = upserted(locations.withColumn("_place", F.concat_ws("\u0000", "volume", "path")), fresh, "_place", "location", verb="added", actor=actor).table
+    added = numbered.select("id", "_place").join(fresh, "_place").select("id", F.col("_new_frame").alias("frame_id"), "volume", "path", F.lit(1).alias("present"), *COPY, mark.alias("unreadable_since"), "error")
+    asked = rows.where("_location is not null").select(F.col("_location").alias("id"), "_new_frame", F.col("error").alias("_error"), *(F.col(f).alias(f"_{f}") for f in COPY), F.lit(True).alias("_asked"))
+    old = locations.join(asked, "id", "left")
+    read = F.coalesce("_asked", F.lit(False)) & F.col("_error").isNull()
+    failed = F.col("_error").isNotNull()
+    rebound = read & (F.col("_new_frame") != F.col("frame_id"))
+    same = F.col("mtime").eqNullSafe(F.col("_mtime"))
+    differs = ~same | ~F.col("size_bytes").eqNullSafe(F.col("_size_bytes")) | ~F.col("header_hash").eqNullSafe(F.col("_header_hash")) | (F.col("present") != 1) | F.col("unreadable_since").isNotNull()
+    failing = failed & ~(same & F.col("unreadable_since").isNotNull() & (F.col("present") == 1))
+    old = old.withColumns({"_rebound": rebound, "_refreshed": read & ~rebound & differs, "_failing": failing}).checkpoint()
+    took = F.col("_rebound") | F.col("_refreshed")
+    new = old.withColumns({
+        "_before": F.col("frame_id"), "frame_id": F.when(F.col("_rebound"), F.col("_new_frame")).otherwise(F.col("frame_id")), "present": F.when(took | F.col("_failing"), 1).otherwise(F.col("present")),
+        "unreadable_since": F.when(F.col("_failing"), F.coalesce("unreadable_since", now)).when(~took, F.col("unreadable_since")),
+        "mtime": F.when(took | F.col("_failing"), F.col("_mtime")).otherwise(F.col("mtime")), **{f: F.when(took, F.col(f"_{f}")).otherwise(F.col(f)) for f in COPY[1:]},
+    })
+    table = new.select(locations.columns).unionByName(added.drop("error").select(locations.columns))
+    log = [
+        observed.events, _events(added, actor, "location.added", _at("location", "id"), None, F.to_json(F.struct("frame_id", "volume", "path"))),
+        _events(new.where("_rebound"), actor, "location.rebound", _at("location", "id"), None, _before_after(F.col("_before"), F.col("frame_id"))),
+        _events(new.where("_refreshed"), actor, "location.refreshed", _at("location", "id")),
+        _events(new.where("_failing"), actor, "frame.review", _at("frame", "frame_id"), F.concat(F.lit("copy not readable: "), F.col("_error"))),
+        _events(added.where("error is not null"), actor, "frame.review", _at("frame", "frame_id"), F.concat(F.lit("header not readable: "), F.col("error"))),
+    ]
+    return Ingested(observed.table, table, reduce(DataFrame.unionByName, log))
+
+
+def committed(outcome: DataFrame, headers: DataFrame, commit_id: str, at: Column) -> tuple[DataFrame, DataFrame]:
+    """(commit_id, at, n_applied, n_blocked, n_skipped) in one row, and the header that each applied copy had, for an undo."""
+    head = lambda word: F.count_if(F.startswith("outcome", F.lit(word)))
+    commit = outcome.agg(head("appl").alias("n_applied"), head("blocked").alias("n_blocked"), head("skipped").alias("n_skipped")).select(F.lit(commit_id).alias("commit_id"), at.alias("at"), "n_applied", "n_blocked", "n_skipped")
+    backups = headers.join(outcome.where(F.startswith("outcome", F.lit("appl"))).select("location_id"), "location_id", "left_semi").select(F.lit(commit_id).alias("commit_id"), "location_id", "header_text", "header_hash")
+    return commit, backups

@@ -216,3 +216,8 @@ def bytes_text(size: Column) -> Column:
         out = out.when(size < float(1024 ** (power + 1)), own) if unit != "TB" else out.otherwise(own)
         power += 1
     return out
+
+
+def falsifiers(rows: DataFrame, key: str, seed: str, n: int = 5) -> DataFrame:
+    """A sample of `n` rows to be checked by hand against their files, the same for the same seed."""
+    return rows.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(seed)))).limit(n)

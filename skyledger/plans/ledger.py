@@ -349,6 +349,52 @@ def presence_states(c: Catalog) -> DataFrame:
     return found.groupBy("state").agg(F.count("*").alias("n"))
 
 
+def _ingested(c: Catalog) -> verbs.Ingested:
+    """The test catalog scanned anew: some contents and facts have changed, some files fail, a tenth of the places is new."""
+    facts = c.frames().select(F.col("id").alias("frame_id"), "sha1_data", "kind", "filetype")
+    rows = c.locations().select("id", "frame_id", "volume", "path", "present", F.col("mtime").cast("string").alias("mtime"), F.col("size_bytes").cast("long").alias("size_bytes"), F.lit("h").alias("header_hash"))
+    rows = rows.withColumn("unreadable_since", F.lit(None).cast("string")).join(facts, "frame_id")
+    content = F.when(F.col("id") % 7 == 0, F.sha1(F.concat(F.lit("x"), F.col("id").cast("string")))).otherwise(F.col("sha1_data"))
+    records = rows.select("volume", "path", content.alias("sha1_data"), "kind", "filetype", "mtime", F.when(F.col("id") % 4 == 0, 1).otherwise(F.col("size_bytes")).alias("size_bytes"), "header_hash", F.when(F.col("id") % 31 == 0, "broken").alias("error"))
+    known = rows.where("id % 10 <> 0").drop("sha1_data", "kind", "filetype")
+    return verbs.ingested(records, c.frames().select("id", "sha1_data", "kind", "filetype"), known, F.lit("2025-01-01"))
+
+
+_INGEST = """, asked AS (SELECT *, id % 31 = 0 AS bad, id % 7 = 0 AS other, id % 10 = 0 AS fresh, present <> 1 OR (id % 4 = 0 AND size_bytes::BIGINT <> 1) AS moved FROM location)"""
+
+
+@plan(f"""{_INGEST} SELECT verb, count(*) AS n FROM (SELECT 'frame.observed' AS verb FROM asked WHERE other AND (fresh OR NOT bad) UNION ALL SELECT 'location.added' FROM asked WHERE fresh UNION ALL SELECT 'location.rebound' FROM asked WHERE NOT fresh AND NOT bad AND other
+UNION ALL SELECT 'location.refreshed' FROM asked WHERE NOT fresh AND NOT bad AND NOT other AND moved UNION ALL SELECT 'frame.review' FROM asked WHERE bad) GROUP BY 1""")
+def events_ingest(c: Catalog) -> DataFrame:
+    return _ingested(c).events.groupBy("verb").agg(F.count("*").alias("n"))
+
+
+@plan(f"""{_INGEST} SELECT volume, path, CASE WHEN fresh OR bad OR other OR moved THEN 1 ELSE present END AS present, CASE WHEN bad THEN '2025-01-01' END AS unreadable_since, CASE WHEN id % 4 = 0 AND (fresh OR NOT bad) THEN 1 ELSE size_bytes::BIGINT END AS size_bytes,
+CASE WHEN other AND (fresh OR NOT bad) THEN sha1('x' || id) ELSE sha1(frame_id::VARCHAR) END AS sha1_data FROM asked""")
+def state_ingest(c: Catalog) -> DataFrame:
+    found = _ingested(c)
+    return found.locations.join(found.frames.select(F.col("id").alias("frame_id"), "sha1_data"), "frame_id").select("volume", "path", "present", "unreadable_since", "size_bytes", "sha1_data")
+
+
+_OUTCOME = "CASE WHEN present <> 1 THEN 'skipped' WHEN id % 5 = 0 THEN 'blocked' WHEN id % 7 = 0 AND volume = 'F' THEN 'blocked' ELSE 'applied' END"
+
+
+def _committed(c: Catalog) -> tuple[DataFrame, DataFrame]:
+    outcome = verbs.rename_outcome(*_staged(c))
+    headers = c.locations().select(F.col("id").alias("location_id"), F.concat(F.lit("text "), F.col("path")).alias("header_text"), F.lit("h").alias("header_hash"))
+    return verbs.committed(outcome, headers, "c1", F.lit("2025"))
+
+
+@plan(f"SELECT 'c1' AS commit_id, '2025' AS at, count(*) FILTER (o = 'applied') AS n_applied, count(*) FILTER (o = 'blocked') AS n_blocked, count(*) FILTER (o = 'skipped') AS n_skipped FROM (SELECT {_OUTCOME} AS o FROM location)")
+def commit_record(c: Catalog) -> DataFrame:
+    return _committed(c)[0]
+
+
+@plan(f"SELECT 'c1' AS commit_id, id AS location_id, 'text ' || path AS header_text, 'h' AS header_hash FROM location WHERE {_OUTCOME} = 'applied'")
+def header_backups(c: Catalog) -> DataFrame:
+    return _committed(c)[1]
+
+
 # Views.
 _NAMED = "LEFT JOIN telescope t ON t.id = f.telescope_canon_id LEFT JOIN (SELECT frame_id, arg_min(path, id) AS path, arg_min(present, id) AS present FROM location GROUP BY 1) l ON l.frame_id = f.id"
 
@@ -508,6 +554,23 @@ def projection_manifest(c: Catalog) -> DataFrame:
     return naming.manifest(status, "by-object", "/out/_WBPP", F.lit("2025-01-01"))
 
 
+@plan("SELECT id, path FROM location ORDER BY md5(id || 'seed') LIMIT 5")
+def import_falsifiers(c: Catalog) -> DataFrame:
+    return views.falsifiers(c.locations(), "id", "seed").select("id", "path")
+
+
+_REGIONS = [("Cygnus", 312.75, 30.67, 60.0), ("Orion", 83.8, -5.4, 50.0), ("Near Orion", 90.0, 0.0, 50.0)]
+_DEG = "round(2 * degrees(asin(least(1, sqrt(pow(sin(radians({dec} - lat) / 2), 2) + cos(radians(lat)) * cos(radians({dec})) * pow(sin(radians({ra} - lon) / 2), 2))))), 9)"
+_REGION_SQL = " UNION ALL ".join(f"SELECT id, '{name}' AS canon, {_DEG.format(ra=ra, dec=dec)} AS deg, {radius} AS radius FROM point" for name, ra, dec, radius in _REGIONS)
+
+
+@plan(f"SELECT p.id, r.canon, CASE WHEN r.canon IS NOT NULL THEN 'region' END AS source FROM point p LEFT JOIN (SELECT id, arg_min(canon, deg) AS canon FROM ({_REGION_SQL}) WHERE deg <= radius GROUP BY 1) r USING (id)")
+def resolver_region(c: Catalog) -> DataFrame:
+    rows = c.points().select("id", F.col("lon").alias("ra_deg"), F.col("lat").alias("dec_deg"), F.lit("light").alias("kind"), F.lit("somewhere").alias("object_raw"), F.lit(None).cast("string").alias("user_canon"))
+    none = c.spark.createDataFrame([], "alias_norm string, canon string")
+    return derive.resolved(rows, none, _REGIONS).select("id", "found.canon", "found.source")
+
+
 # Truth tables of the remaining functions.
 HOURS = [(5400.0, "1.5 h"), (0.0, "0.0 h"), (360000.0, "100.0 h"), (90.0, "0.0 h")]
 SIZES = [(999.0, "999 B"), (1536.0, "1.5 KB"), (1024.0**2, "1.0 MB"), (3.25 * 1024**3, "3.2 GB"), (5000.0 * 1024**4, "5000.0 TB"), (0.0, "0 B")]

@@ -167,3 +167,30 @@ def test_facet_state_cycles_and_trees_have_words():
     with pytest.raises(ValueError):
         predicate.compiled({"keyword": "A;B", "operator": "exists"})
     assert predicate.described(None) == "all" and predicate.described({"keyword": "A", "operator": "gt", "value": 3}) == "A gt 3"
+
+
+def test_a_second_ingest_changes_nothing(spark):
+    records = [("V", "/1", "a", "light", "fits", "m", 5, "h", None), ("V", "/2", "a", "light", "fits", "m", 5, "h", None), ("V", "/3", "b", "dark", "fits", "m", 5, None, "broken"), ("V", "/4", "c", "light", "fits", "n", 6, "h2", None), ("V", "/5", "d", "flat", "fits", "m", 5, None, "broken"), ("V", "/1", "z", "light", "fits", "m", 5, "h", None)]
+    records = spark.createDataFrame(records, "volume string, path string, sha1_data string, kind string, filetype string, mtime string, size_bytes long, header_hash string, error string")
+    frames = spark.createDataFrame([(1, "old", "light", "fits"), (2, "c", "light", "fits")], "id long, sha1_data string, kind string, filetype string")
+    copies = [(10, 1, "V", "/2", 0, "m", 5, "h", "2020"), (11, 2, "V", "/4", 1, "m", 6, "h", None), (12, 1, "V", "/5", 1, "m", 5, "h", None), (13, 1, "V", "/9", 1, "m", 5, "h", None)]
+    copies = spark.createDataFrame(copies, "id long, frame_id long, volume string, path string, present int, mtime string, size_bytes long, header_hash string, unreadable_since string")
+    first = verbs.ingested(records, frames, copies, F.lit("now"))
+    sha = {r.id: r.sha1_data for r in first.frames.collect()}
+    assert sha == {1: "old", 2: "c", 3: "a", 4: "b"} and {r.sha1_data: r.kind for r in first.frames.collect()}["b"] == "unknown"
+    rows = {r.path: r for r in first.locations.collect()}
+    assert {p: sha[r.frame_id] for p, r in rows.items()} == {"/1": "a", "/2": "a", "/3": "b", "/4": "c", "/5": "old", "/9": "old"}
+    assert (rows["/2"].present, rows["/2"].unreadable_since, rows["/4"].mtime, rows["/5"].unreadable_since, rows["/3"].unreadable_since) == (1, None, "n", "now", "now")
+    assert sorted(r.verb for r in first.events.collect()) == ["frame.observed", "frame.observed", "frame.review", "frame.review", "location.added", "location.added", "location.rebound", "location.refreshed"]
+    again = verbs.ingested(records, first.frames, first.locations, F.lit("later"))
+    assert again.events.count() == 0 and sorted(again.locations.collect()) == sorted(first.locations.collect()) and again.frames.count() == 4
+
+
+def test_tables_take_their_shape(spark):
+    from skyledger import schemas
+
+    found = schemas.conformed(spark.createDataFrame([("7", 1)], "canon string, id int"), "object")
+    assert found.columns == ["id", "canon", "catalog", "kind"] and found.schema["id"].dataType.simpleString() == "bigint" and found.first().catalog is None
+    with pytest.raises(ValueError):
+        schemas.conformed(spark.range(1).withColumn("more", F.lit(1)), "object")
+    assert all(schemas.empty(spark, t).count() == 0 for t in schemas.TABLES[schemas.VERSION])
