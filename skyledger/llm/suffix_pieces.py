@@ -35,9 +35,9 @@ from skyledger.llm import common
 
 SPACE = "▁"
 #: Characters of text that are split at a time, and of new chunks in one index.
-SLICE_CHARS, INDEX_CHARS = 500_000, 100_000
-#: What a worker remembers: some 25 MB of chunks, 5 MB of ids and 10 MB of pairs; then it begins anew.
-KEPT_CHUNKS, KEPT_IDS, KEPT_PAIRS = 120_000, 1_200_000, 1_000_000
+SLICE_CHARS, INDEX_CHARS = 500_000, 150_000
+#: What a worker remembers: some 50 MB of chunks, 10 MB of ids and 10 MB of pairs; then it begins anew.
+KEPT_CHUNKS, KEPT_IDS, KEPT_PAIRS = 250_000, 2_500_000, 1_000_000
 _OTHER = 0xFFFF
 #: Texts by which a model is told that this encoder doesn't serve: other merging, or a normaliser.
 _PROBES = ["The quick brown fox  jumps", "ﬁne Ａ½ é e\u0301", " a\tb\nc ", "unbelievably internationalisation"]
