@@ -35,8 +35,8 @@ from skyledger.llm import common
 
 BITS, DISTANCE, SHINGLE, SEED = 64, 3, 3, 42
 BLOCK, GROUP, FAN_OUT_BITS = 8192, 32, 3
-#: Most left blocks that a task holds while right ones pass, and ways that right blocks are dealt.
-HELD, WAYS, SALTS = 32, 4, 8
+#: Most left blocks that a task holds while right ones pass, ways that right blocks are dealt at least, and right blocks in one at most.
+HELD, WAYS, PASSING, SALTS = 32, 4, 128, 8
 #: Further words of a fingerprint, and deviations that a pair of the wanted similarity may be off.
 CHECK_WORDS, SLACK, CHECK_SLACK = 16, 2.3, 2.0
 #: Pairs that are checked at a time.
@@ -228,8 +228,9 @@ def fingerprint_links(fps: DataFrame, distance: int = DISTANCE, similarity: floa
     numbered = common.numbered(blocks)  # in Gray order
     pairs = _block_pairs(numbered.drop("fps", "more"), most)
     members = numbered.select("block", "fps", "more")
-    held = max(1, min(HELD, members.count() // 8))
-    place = [F.floor(F.col("a") / held).cast("long").alias("group"), F.pmod("b", F.lit(WAYS)).alias("way")]
+    n = members.count()
+    held, ways = max(1, min(HELD, n // 8)), max(WAYS, -(-n // PASSING))
+    place = [F.floor(F.col("a") / held).cast("long").alias("group"), F.pmod("b", F.lit(ways)).alias("way")]
     asked = pairs.groupBy(*place, F.col("b").alias("block")).agg(F.collect_list("a").alias("asks"))  # at most `held` of them
     left = pairs.select(*place, F.col("a").alias("block")).distinct().withColumn("asks", F.lit(None).cast("array<long>"))
     sent = asked.unionByName(left).join(members, "block")
