@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyledger.functions import resolve, sky, text
+from skyledger.storage import cut
 
 LIGHT = ("light", "master_light")
 NO_TELESCOPE = ("dark", "bias", "master_dark", "master_bias")
@@ -98,16 +99,16 @@ def site_seeds(points: DataFrame, radius_km: float = sky.SITE_KM) -> DataFrame:
     founds a site, and open points in its reach are taken out. Only cells' least points meet each
     other, and points meet sites, of which few fit around a cell; so dense places make no pairs.
     """
-    once = _cells(points.groupBy("lat", "lon").agg(F.min("id").alias("id")), radius_km, False).checkpoint()
+    once = cut(_cells(points.groupBy("lat", "lon").agg(F.min("id").alias("id")), radius_km, False))
     rest, seeds = once, []
     while True:
         least = rest.groupBy("cell").agg(F.min_by(F.struct("id", "lat", "lon"), "id").alias("p")).select("cell", "p.*")
         around = _cells(least.select("id", "lat", "lon"), radius_km, True).groupBy("cell").agg(F.min("id").alias("first"))
-        new = least.join(around, "cell").where("id = first").select("id", "lat", "lon").checkpoint()
+        new = cut(least.join(around, "cell").where("id = first").select("id", "lat", "lon"))
         seeds.append(new)
         reach = _cells(new.select(F.col("id").alias("site_id"), "lat", "lon"), radius_km, True).select("cell", F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon"))
         taken = rest.join(reach, "cell").where(sky.haversine_km(F.col("lat"), F.col("lon"), F.col("s_lat"), F.col("s_lon")) <= radius_km).select("id").distinct()
-        rest = rest.join(taken, "id", "left_anti").checkpoint()
+        rest = cut(rest.join(taken, "id", "left_anti"))
         if rest.isEmpty():
             return reduce(DataFrame.union, seeds)
 

@@ -12,6 +12,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skyledger.storage import cut
+
 EVENT = ("actor", "verb", "target", "reason", "payload")
 
 
@@ -88,7 +90,7 @@ def upserted(entities: DataFrame, wanted: DataFrame, key: str, noun: str, facts:
     new = wanted.where(F.col(key).isNotNull()).groupBy(key).agg(*(F.min(f).alias(f) for f in facts), F.count("*").alias("_n")).drop("_n").join(entities.select(key), key, "left_anti")
     top = entities.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
     part = F.spark_partition_id()
-    ordered = new.repartitionByRange(F.col(key)).sortWithinPartitions(key).withColumns({"_part": part, "_seq": F.monotonically_increasing_id()}).checkpoint()
+    ordered = cut(new.repartitionByRange(F.col(key)).sortWithinPartitions(key).withColumns({"_part": part, "_seq": F.monotonically_increasing_id()}))
     sizes = ordered.groupBy("_part").agg(F.count("*").alias("_size"), F.min("_seq").alias("_first"))
     before = F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a task
     named = ordered.join(F.broadcast(sizes.select("_part", "_first", before.alias("_before"))), "_part").withColumn("id", F.col("_seq") - F.col("_first") + F.col("_before") + top + 1)
@@ -303,11 +305,11 @@ def ingested(records: DataFrame, frames: DataFrame, locations: DataFrame, now: C
     """
     once = records.groupBy("volume", "path").agg(F.min(F.struct("sha1_data", "kind", "filetype", *COPY, "error")).alias("r")).select("volume", "path", "r.*")
     known = locations.select("volume", "path", F.col("id").alias("_location"), F.col("frame_id").alias("_frame"))
-    rows = once.join(known, ["volume", "path"], "left").checkpoint()
+    rows = cut(once.join(known, ["volume", "path"], "left"))
     seen = rows.where(F.col("error").isNull() | F.col("_location").isNull()).withColumn("kind", F.when(F.col("error").isNull(), F.col("kind")).otherwise("unknown"))
     observed = upserted(frames, seen, "sha1_data", "frame", ["kind", "filetype"], "observed", actor)
     ids = observed.table.select("sha1_data", F.col("id").alias("_new_frame"))
-    rows = rows.join(ids, "sha1_data", "left").checkpoint()
+    rows = cut(rows.join(ids, "sha1_data", "left"))
     fresh = rows.where("_location is null").withColumn("_place", F.concat_ws("\u0000", "volume", "path"))
     mark = F.when(F.col("error").isNotNull(), now)
     numbered = upserted(locations.withColumn("_place", F.concat_ws("\u0000", "volume", "path")), fresh, "_place", "location", verb="added", actor=actor).table
@@ -320,7 +322,7 @@ def ingested(records: DataFrame, frames: DataFrame, locations: DataFrame, now: C
     same = F.col("mtime").eqNullSafe(F.col("_mtime"))
     differs = ~same | ~F.col("size_bytes").eqNullSafe(F.col("_size_bytes")) | ~F.col("header_hash").eqNullSafe(F.col("_header_hash")) | (F.col("present") != 1) | F.col("unreadable_since").isNotNull()
     failing = failed & ~(same & F.col("unreadable_since").isNotNull() & (F.col("present") == 1))
-    old = old.withColumns({"_rebound": rebound, "_refreshed": read & ~rebound & differs, "_failing": failing}).checkpoint()
+    old = cut(old.withColumns({"_rebound": rebound, "_refreshed": read & ~rebound & differs, "_failing": failing}))
     took = F.col("_rebound") | F.col("_refreshed")
     new = old.withColumns({
         "_before": F.col("frame_id"), "frame_id": F.when(F.col("_rebound"), F.col("_new_frame")).otherwise(F.col("frame_id")), "present": F.when(took | F.col("_failing"), 1).otherwise(F.col("present")),

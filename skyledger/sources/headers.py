@@ -22,6 +22,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from skyledger.storage import cut
+
 SUFFIXES = ("fits", "fit", "fts", "xisf", "dng", "arw", "cr2")
 PRUNED = ("_wbpp", "_review")
 CARD = "struct<keyword:string,idx:int,value_raw:string,value_num:double,value_type:string,comment:string>"
@@ -289,7 +291,7 @@ def walk(spark: SparkSession, root: str) -> DataFrame:
     level = spark.createDataFrame([(prefix + top.rstrip("/"),)], "path string")
     found = []
     while True:
-        below = level.select("path").repartition(spark.sparkContext.defaultParallelism).mapInArrow(step, shape).checkpoint()
+        below = cut(level.select("path").repartition(spark.sparkContext.defaultParallelism).mapInArrow(step, shape))
         found.append(below.where("kind <> 'folder'"))
         level = below.where("kind = 'folder'")
         if level.isEmpty():
