@@ -21,9 +21,8 @@ def op1_quote_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_suffix_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path(PIECES)
     docs = common.table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    coded = docs.withColumn("coded", suffix_pieces.encode_and_decode(F.col("text"), model))
-    ids = F.col("coded.ids")
-    return coded.select("doc_id", (F.octet_length(ids) / 4).cast("long").alias("n_pieces"), F.crc32(ids).alias("ids_crc32"), (F.col("coded.decoded") == F.col("text")).alias("round_trip"))
+    coded = suffix_pieces.coded(docs, model)
+    return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_pieces"), F.crc32("ids").alias("ids_crc32"), (F.col("decoded") == F.col("text")).alias("round_trip"))
 
 
 def fold(n: int):

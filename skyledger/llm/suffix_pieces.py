@@ -14,22 +14,23 @@ A chunk is a run of spaces with what follows up to the next space; no piece of s
 space after another character, and none crosses a character that it can't hold.
 
 Defined results: a null or empty text has no ids and decodes to an empty text; equal rows have equal
-results; an empty column gives none. Columns are made of columns, so others are left alone. A model
-that merges otherwise or normalises its input is refused.
+results; an empty table gives no row; other columns are left alone. A model that merges
+otherwise or normalises its input is refused.
 """
 
 from __future__ import annotations
 
 import re
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
 from skyledger.llm import common
 
@@ -242,36 +243,48 @@ def _slices(column: pa.Array) -> Iterator[list[str | None]]:
         begin = end
 
 
-def _column(shape: str, kind: pa.DataType, rows: Callable[[PieceCodec, list], pa.Array], model: str):
-    """An Arrow UDF that turns a column of texts into another, a slice at a time."""
-
-    @F.arrow_udf(shape)
-    def turned(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        own = codec(model)
-        for column in columns:
-            yield pa.concat_arrays([pa.array([], kind), *(rows(own, some) for some in _slices(column))])
-
-    return turned
-
-
 def _bytes(ids: list[np.ndarray]) -> pa.Array:
     return pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())
 
 
 def encode(text: Column, model: str) -> Column:
     """The ids of each text as little-endian unsigned 32-bit numbers in a binary column."""
-    return _column("binary", pa.binary(), lambda own, some: _bytes(own.encode(some)), model)(text.cast("string"))
 
+    @F.arrow_udf("binary")
+    def ids(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        own = codec(model)
+        for column in columns:
+            yield pa.concat_arrays([pa.array([], pa.binary()), *(_bytes(own.encode(some)) for some in _slices(column))])
+
+    return ids(text.cast("string"))
 
-def encode_and_decode(text: Column, model: str) -> Column:
-    """(ids, decoded) of each text: its ids, and the text that they decode to, in one pass."""
-    kind = pa.struct([("ids", pa.binary()), ("decoded", pa.string())])
 
-    def rows(own: PieceCodec, some: list[str | None]) -> pa.Array:
-        ids = own.encode(some)
-        return pa.StructArray.from_arrays([_bytes(ids), pa.array([own.decode(x.tolist()) for x in ids], pa.string())], fields=list(kind))
+def coded(docs: DataFrame, model: str) -> DataFrame:
+    """`docs` with two more columns, `ids` of `text` and `decoded`, the text that they decode to; in one pass.
 
-    return _column("struct<ids:binary,decoded:string>", kind, rows, model)(text.cast("string"))
+    A name that `docs` has already gets underscores before it. Rows go out a slice at a time, so a
+    batch's ids and texts are never held together.
+    """
+    taken = {c.lower() for c in docs.columns}
+    names = []
+    for name in ("ids", "decoded"):
+        while name in taken:
+            name = "_" + name
+        names.append(name)
+    shape = StructType([*docs.schema.fields, StructField(names[0], BinaryType()), StructField(names[1], StringType())])
+    columns, at = docs.columns, docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(model)
+        for batch in batches:
+            begin = 0
+            for some in _slices(batch.column(at)):
+                ids = own.encode(some)
+                more = [_bytes(ids), pa.array([own.decode(x.tolist()) for x in ids], pa.string())]
+                yield pa.RecordBatch.from_arrays([*batch.slice(begin, len(some)).columns, *more], [*columns, *names])
+                begin += len(some)
+
+    return docs.mapInArrow(run, shape)
 
 
 def decode(ids: Column, model: str) -> Column:

@@ -126,6 +126,16 @@ def test_pieces_equal_the_library(spark, folders, tables):
     assert some(map(tuple, queries.op3_suffix_pieces(spark, folders["full"]).collect())) == some(wanted)
 
 
+def test_coded_tables_keep_their_columns(spark):
+    from skyledger.llm import suffix_pieces
+
+    docs = spark.createDataFrame([(1, "ein Text  mit\nZeilen", b"x", "d"), (2, None, None, None)], "doc_id long, text string, ids binary, `_ids` string")
+    found = suffix_pieces.coded(docs, public_tokenizers.path(queries.PIECES))
+    rows = sorted(found.collect())
+    assert found.columns == ["doc_id", "text", "ids", "_ids", "__ids", "decoded"] and rows[0].ids == b"x" and rows[0].decoded == rows[0].text
+    assert bytes(rows[1]["__ids"]) == b"" and rows[1].decoded == "" and rows[1].text is None
+
+
 def valid(v) -> bool:
     return v is not None and all(x is not None and math.isfinite(x) for x in v)
 
