@@ -438,7 +438,7 @@ def test_quotation_threads(spark):
 
 def test_contract_columns(spark):
     names = queries.queries()
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
 
 
 def test_pii_digest():
