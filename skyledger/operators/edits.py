@@ -1,82 +1,11 @@
-"""Computed header edits: small arithmetic over a frame's cards, as Column expressions.
-
-An expression such as `round(EXPTIME / 60, 2)` becomes a column; a missing operand, a division by
-zero or a wrong type never raises but gives a reason for its row.
-"""
+"""Which frames a header edit may touch."""
 
 from __future__ import annotations
 
-import ast
-import operator
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_PLAIN = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul}
-
-
-class Refused(ValueError):
-    """An expression with something in it that isn't allowed."""
-
-
-def compiled(source: str) -> tuple[Column, Column, set[str]]:
-    """(value, divides by zero, names) of an expression over double columns of those names."""
-    try:
-        tree = ast.parse(source, mode="eval").body
-    except SyntaxError as e:
-        raise Refused(str(e)) from e
-    names: set[str] = set()
-    zero: list[Column] = [F.lit(False)]
-
-    def walk(node: ast.expr) -> Column:
-        if isinstance(node, ast.Constant) and isinstance(node.value, (int, float)):
-            return F.lit(float(node.value))
-        if isinstance(node, ast.Name):
-            names.add(node.id)
-            return F.col(node.id)
-        if isinstance(node, ast.UnaryOp) and isinstance(node.op, (ast.UAdd, ast.USub)):
-            return walk(node.operand) if isinstance(node.op, ast.UAdd) else -walk(node.operand)
-        if isinstance(node, ast.BinOp):
-            a, b = walk(node.left), walk(node.right)
-            if type(node.op) in _PLAIN:
-                return _PLAIN[type(node.op)](a, b)
-            if isinstance(node.op, (ast.Div, ast.FloorDiv, ast.Mod)):
-                zero.append(F.coalesce(b == 0, F.lit(False)))
-                ratio = F.try_divide(a, b)
-                # The remainder has the divisor's sign.
-                return ratio if isinstance(node.op, ast.Div) else F.floor(ratio).cast("double") if isinstance(node.op, ast.FloorDiv) else a - b * F.floor(ratio)
-        if isinstance(node, ast.Call) and isinstance(node.func, ast.Name) and not node.keywords:
-            args = [walk(x) for x in node.args[:1]] if node.func.id == "round" else [walk(x) for x in node.args]
-            if node.func.id == "round" and len(node.args) in (1, 2):
-                places = node.args[1].value if len(node.args) == 2 and isinstance(node.args[1], ast.Constant) else 0
-                return F.bround(args[0], places)
-            if node.func.id == "abs" and len(args) == 1:
-                return F.abs(args[0])
-            if node.func.id == "int" and len(args) == 1:
-                return F.when(args[0] < 0, F.ceil(args[0])).otherwise(F.floor(args[0])).cast("double")
-            if node.func.id == "float" and len(args) == 1:
-                return args[0]
-            if node.func.id in ("min", "max") and len(args) > 1:
-                least = (F.least if node.func.id == "min" else F.greatest)(*args)
-                known = args[0].isNotNull()
-                for x in args[1:]:
-                    known = known & x.isNotNull()
-                return F.when(known, least)
-        raise Refused(f"not allowed: {ast.unparse(node)}")
-
-    value = walk(tree)
-    divides = zero[0]
-    for z in zero[1:]:
-        divides = divides | z
-    return value, divides, names
-
-
-def evaluated(rows: DataFrame, target: str, source: str) -> DataFrame:
-    """`rows` with `target` and `reason`; columns of the names are numbers of cards."""
-    value, divides, names = compiled(source)
-    lacking = F.coalesce(*(F.when(F.col(n).isNull(), F.lit(f"no {n}")) for n in sorted(names)), F.lit(None).cast("string")) if names else F.lit(None).cast("string")
-    reason = F.coalesce(lacking, F.when(divides, "division by zero"))
-    return rows.withColumns({target: F.when(reason.isNull(), value), "reason": reason})
+from skyledger.operators.expression import Refused  # noqa: F401  what a refused edit raises
 
 
 def gated(targets: DataFrame) -> DataFrame:

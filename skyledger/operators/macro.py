@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyledger.operators import expression
-from skyledger.operators.edits import Refused
+from skyledger.operators.expression import Refused, Value
 
 TRUE = ("t", "true", "1", "yes")
 
@@ -121,19 +121,26 @@ def run(targets: DataFrame, cards: DataFrame, rule: Rule) -> DataFrame:
     else:
         guard = F.when(n > 0, "card exists")
         idx, old, base = F.lit(None).cast("int"), F.lit(None).cast("string"), F.lit(rule.value_type).cast("string")
-    failed: list[Column] = []
-    for name, source in trees:
-        env[name] = expression.compiled(source, env)
-        failed.append(F.concat(F.lit(f"compute {name}: "), env[name].error))
-    if names is None:
-        result = _literals(rule.value, base)
-    else:
-        value = expression.compiled(rule.value, env)
-        # A missing operand means that the text was no expression; other mistakes stand.
-        absent = F.startswith(value.error, F.lit(expression.MISSING))
-        wrong = F.struct(F.lit(None).cast("string").alias("value"), F.lit(None).cast("string").alias("type"), F.concat(F.lit("assign: "), value.error).alias("reason"))
-        result = F.when(value.error.isNull(), _written(value, base)).when(absent, _literals(rule.value, base)).otherwise(wrong)
-    rows = rows.select("id", "location_id", F.coalesce("reason", guard, *failed).alias("_why"), idx.alias("idx"), old.alias("old_value"), result.alias("_new"))
+
+    def made(trees: list[tuple[str, str]], env: dict[str, Value], failed: list[Column]) -> Column:
+        """(why, new) once each of `trees` is bound to its name, in order."""
+        if trees:
+            (name, source), *rest = trees
+            return expression.bound(source, env, lambda v: made(rest, env | {name: v}, [*failed, F.concat(F.lit(f"compute {name}: "), v.error)]))
+        why = F.coalesce(*failed, F.lit(None).cast("string")).alias("why")
+        if names is None:
+            return F.struct(why, _literals(rule.value, base).alias("new"))
+
+        def assigned(v: Value) -> Column:
+            # A missing operand means that the text was no expression; other mistakes stand.
+            absent = F.startswith(v.error, F.lit(expression.MISSING))
+            wrong = F.struct(F.lit(None).cast("string").alias("value"), F.lit(None).cast("string").alias("type"), F.concat(F.lit("assign: "), v.error).alias("reason"))
+            return F.when(v.error.isNull(), _written(v, base)).when(absent, _literals(rule.value, base)).otherwise(wrong)
+
+        return F.struct(why, expression.bound(rule.value, env, assigned).alias("new"))
+
+    rows = rows.select("id", "location_id", F.coalesce("reason", guard).alias("_guard"), idx.alias("idx"), old.alias("old_value"), made(trees, env, []).alias("_made"))
+    rows = rows.select("id", "location_id", F.coalesce("_guard", "_made.why").alias("_why"), "idx", "old_value", F.col("_made.new").alias("_new"))
     reason = F.coalesce("_why", "_new.reason")
     fine = lambda c: F.when(reason.isNull(), c)
     return rows.select(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from skyledger.bridge import SQL, Catalog
 from skyledger.functions import resolve, sky, text
-from skyledger.operators import changes, derive, edits, facets, naming, predicate, reviews
+from skyledger.operators import changes, derive, edits, expression, facets, naming, predicate, reviews
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -518,7 +518,17 @@ def dt_delta_median(c: Catalog) -> DataFrame:
 FROM (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 <> 0 THEN o_totalprice END AS price, o_orderkey % 3 * 100 AS gain FROM orders)""")
 def macro_compute_set(c: Catalog) -> DataFrame:
     wide = facets.pivot(c.frames(), c.cards(), ["PRICE", "GAIN"]).select("id", F.col("PRICE_num").alias("PRICE"), F.col("GAIN_num").alias("GAIN"))
-    return edits.evaluated(wide, "value", "PRICE / GAIN + -7 % 3").select("id", F.round("value", 7).alias("value"), "reason")
+    found = expression.evaluated(wide, "value", "PRICE / GAIN + -7 % 3")
+    return found.select("id", F.round("value", 7).alias("value"), F.regexp_replace("reason", f"^{expression.MISSING}", "no ").alias("reason"))
+
+
+@plan("""SELECT id, CASE WHEN price IS NOT NULL AND gain <> 0 THEN round(((price * 2 + gain) / gain - price % 7 + abs(gain - 150) * 3 - floor(price / 10)) + greatest(gain, 120) - -least(price, 5000, 90) + 7 - 2 * 3, 5) END AS value,
+CASE WHEN price IS NULL THEN 'missing operand: PRICE' WHEN gain = 0 THEN 'division by zero' END AS reason, CASE WHEN price IS NOT NULL AND gain <> 0 THEN 'float' END AS kind
+FROM (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 <> 0 THEN o_totalprice END AS price, o_orderkey % 3 * 100 AS gain FROM orders)""")
+def expression_many_operators(c: Catalog) -> DataFrame:
+    wide = facets.pivot(c.frames(), c.cards(), ["PRICE", "GAIN"]).select("id", F.col("PRICE_num").alias("PRICE"), F.col("GAIN_num").alias("GAIN"))
+    source = "(PRICE * 2 + GAIN) / GAIN - PRICE % 7 + abs(GAIN - 150) * 3 - PRICE // 10 + max(GAIN, 120) - -min(PRICE, 5000, 90) + 7 - 2 * 3"
+    return expression.evaluated(wide, "value", source, "kind").select("id", F.round("value", 5).alias("value"), "reason", "kind")
 
 
 @plan("""SELECT coalesce(reason, 'edited') AS outcome, count(*) AS n FROM (SELECT frame_id, CASE WHEN count(*) FILTER (present = 1) = 0 THEN 'no present copy' WHEN count(*) FILTER (present = 1) > 1 THEN 'several copies'
