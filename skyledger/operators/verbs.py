@@ -12,7 +12,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyledger.storage import cut
+from skyledger.storage import cut, numbered
 
 EVENT = ("actor", "verb", "target", "reason", "payload")
 
@@ -89,11 +89,7 @@ def upserted(entities: DataFrame, wanted: DataFrame, key: str, noun: str, facts:
     """
     new = wanted.where(F.col(key).isNotNull()).groupBy(key).agg(*(F.min(f).alias(f) for f in facts), F.count("*").alias("_n")).drop("_n").join(entities.select(key), key, "left_anti")
     top = entities.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    part = F.spark_partition_id()
-    ordered = cut(new.repartitionByRange(F.col(key)).sortWithinPartitions(key).withColumns({"_part": part, "_seq": F.monotonically_increasing_id()}))
-    sizes = ordered.groupBy("_part").agg(F.count("*").alias("_size"), F.min("_seq").alias("_first"))
-    before = F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a task
-    named = ordered.join(F.broadcast(sizes.select("_part", "_first", before.alias("_before"))), "_part").withColumn("id", F.col("_seq") - F.col("_first") + F.col("_before") + top + 1)
+    named = numbered(new, [key], top)
     added = named.select("id", key, *facts)
     payload = F.to_json(F.struct(key, *facts))
     return Change(entities.unionByName(added, allowMissingColumns=True), _events(added, actor, f"{noun}.{verb}", _at(noun, "id"), None, payload))
@@ -285,25 +281,28 @@ def may_mark(counts: dict[str, int], walked: int, force: int | None = None) -> s
 
 
 class Ingested(NamedTuple):
-    """All tables after an ingest, and its events."""
+    """All tables after an ingest, its events, and what was read of known copies: `restated` has (frame_id, volume, path, before, after) of those whose header_hash is another."""
 
     frames: DataFrame
     locations: DataFrame
     events: DataFrame
+    restated: DataFrame | None = None
 
 
-COPY = ("mtime", "size_bytes", "header_hash")
+#: What is known of a copy's file, besides that it is there and can be read; those of them that a table has are compared.
+COPY = ("mtime", "file_sha1", "header_hash", "hdu_index", "compressed", "size_bytes")
 
 
 def ingested(records: DataFrame, frames: DataFrame, locations: DataFrame, now: Column, actor: str = "scan") -> Ingested:
-    """Scanned records(volume, path, sha1_data, kind, filetype, mtime, size_bytes, header_hash, error) brought into the tables.
+    """Scanned records(volume, path, sha1_data, kind, filetype, error, and what is known of the file) brought into the tables.
 
     A frame is a content: new contents become frames, kind unknown where the file could not be read. A
     copy is a place: a new place is added, another content under a known one rebinds it, other facts
-    refresh it, and a known place that can't be read keeps its frame and gets a mark. A place that
-    repeats counts once, by its least content.
+    refresh it (its event has each changed fact before and after), and a known place that can't be read
+    keeps its frame and gets a mark. A place that repeats counts once, by its least content.
     """
-    once = records.groupBy("volume", "path").agg(F.min(F.struct("sha1_data", "kind", "filetype", *COPY, "error")).alias("r")).select("volume", "path", "r.*")
+    facts = [f for f in COPY if f in records.columns and f in locations.columns]
+    once = records.groupBy("volume", "path").agg(F.min(F.struct("sha1_data", "kind", "filetype", *facts, "error")).alias("r")).select("volume", "path", "r.*")
     known = locations.select("volume", "path", F.col("id").alias("_location"), F.col("frame_id").alias("_frame"))
     rows = cut(once.join(known, ["volume", "path"], "left"))
     seen = rows.where(F.col("error").isNull() | F.col("_location").isNull()).withColumn("kind", F.when(F.col("error").isNull(), F.col("kind")).otherwise("unknown"))
@@ -311,33 +310,42 @@ def ingested(records: DataFrame, frames: DataFrame, locations: DataFrame, now: C
     ids = observed.table.select("sha1_data", F.col("id").alias("_new_frame"))
     rows = cut(rows.join(ids, "sha1_data", "left"))
     fresh = rows.where("_location is null").withColumn("_place", F.concat_ws("\u0000", "volume", "path"))
-    mark = F.when(F.col("error").isNotNull(), now)
+    mark = F.when(F.col("error").isNotNull(), now.cast("string"))
     numbered = upserted(locations.withColumn("_place", F.concat_ws("\u0000", "volume", "path")), fresh, "_place", "location", verb="added", actor=actor).table
-    added = numbered.select("id", "_place").join(fresh, "_place").select("id", F.col("_new_frame").alias("frame_id"), "volume", "path", F.lit(1).alias("present"), *COPY, mark.alias("unreadable_since"), "error")
-    asked = rows.where("_location is not null").select(F.col("_location").alias("id"), "_new_frame", F.col("error").alias("_error"), *(F.col(f).alias(f"_{f}") for f in COPY), F.lit(True).alias("_asked"))
+    added = numbered.select("id", "_place").join(fresh, "_place").select("id", F.col("_new_frame").alias("frame_id"), "volume", "path", F.lit(1).alias("present"), *facts, mark.alias("unreadable_since"), "error")
+    asked = rows.where("_location is not null").select(F.col("_location").alias("id"), "_new_frame", F.col("error").alias("_error"), *(F.col(f).alias(f"_{f}") for f in facts), F.lit(True).alias("_asked"))
     old = locations.join(asked, "id", "left")
     read = F.coalesce("_asked", F.lit(False)) & F.col("_error").isNull()
     failed = F.col("_error").isNotNull()
     rebound = read & (F.col("_new_frame") != F.col("frame_id"))
-    same = F.col("mtime").eqNullSafe(F.col("_mtime"))
-    differs = ~same | ~F.col("size_bytes").eqNullSafe(F.col("_size_bytes")) | ~F.col("header_hash").eqNullSafe(F.col("_header_hash")) | (F.col("present") != 1) | F.col("unreadable_since").isNotNull()
-    failing = failed & ~(same & F.col("unreadable_since").isNotNull() & (F.col("present") == 1))
-    old = cut(old.withColumns({"_rebound": rebound, "_refreshed": read & ~rebound & differs, "_failing": failing}))
+    # What a copy that was read is after it, by fact.
+    after = {f: F.col(f"_{f}").cast(locations.schema[f].dataType) for f in facts} | {"unreadable_since": F.lit(None).cast("string"), "present": F.lit(1)}
+    differs = reduce(lambda a, b: a | b, (~F.col(f).eqNullSafe(new) for f, new in after.items()))
+    failing = failed & ~(F.col("mtime").eqNullSafe(F.col("_mtime")) & F.col("unreadable_since").isNotNull() & (F.col("present") == 1))
+    item = lambda f, new: F.when(~F.col(f).eqNullSafe(new), F.struct(F.lit(f).alias("key"), F.struct(F.col(f).cast("string").alias("before"), new.cast("string").alias("after")).alias("value")))
+    changed = F.map_from_entries(F.filter(F.array(*(item(f, new) for f, new in after.items())), lambda x: x.isNotNull()))
+    old = cut(old.withColumns({"_rebound": rebound, "_refreshed": read & ~rebound & differs, "_failing": failing, "_changed": F.when(read & ~rebound & differs, F.to_json(changed, {"ignoreNullFields": "false"}))}))
     took = F.col("_rebound") | F.col("_refreshed")
-    new = old.withColumns({
-        "_before": F.col("frame_id"), "frame_id": F.when(F.col("_rebound"), F.col("_new_frame")).otherwise(F.col("frame_id")), "present": F.when(took | F.col("_failing"), 1).otherwise(F.col("present")),
-        "unreadable_since": F.when(F.col("_failing"), F.coalesce("unreadable_since", now)).when(~took, F.col("unreadable_since")),
-        "mtime": F.when(took | F.col("_failing"), F.col("_mtime")).otherwise(F.col("mtime")), **{f: F.when(took, F.col(f"_{f}")).otherwise(F.col(f)) for f in COPY[1:]},
-    })
-    table = new.select(locations.columns).unionByName(added.drop("error").select(locations.columns))
+    kept = {f: F.when(took, new).otherwise(F.col(f)) for f, new in after.items()} | {
+        "unreadable_since": F.when(F.col("_failing"), F.coalesce("unreadable_since", now.cast("string"))).when(~took, F.col("unreadable_since")),
+        "present": F.when(took | F.col("_failing"), 1).otherwise(F.col("present")), "mtime": F.when(took | F.col("_failing"), F.col("_mtime")).otherwise(F.col("mtime")),
+    }
+    new = old.withColumns({"_before": F.col("frame_id"), "frame_id": F.when(F.col("_rebound"), F.col("_new_frame")).otherwise(F.col("frame_id")), **kept})
+    gained = added.drop("error")
+    for c in locations.columns:
+        if c not in gained.columns:
+            gained = gained.withColumn(c, F.lit(None).cast(locations.schema[c].dataType))
+    table = new.select(locations.columns).unionByName(gained.select(locations.columns))
     log = [
         observed.events, _events(added, actor, "location.added", _at("location", "id"), None, F.to_json(F.struct("frame_id", "volume", "path"))),
         _events(new.where("_rebound"), actor, "location.rebound", _at("location", "id"), None, _before_after(F.col("_before"), F.col("frame_id"))),
-        _events(new.where("_refreshed"), actor, "location.refreshed", _at("location", "id")),
+        _events(new.where("_refreshed"), actor, "location.refreshed", _at("location", "id"), None, F.col("_changed")),
         _events(new.where("_failing"), actor, "frame.review", _at("frame", "frame_id"), F.concat(F.lit("copy not readable: "), F.col("_error"))),
         _events(added.where("error is not null"), actor, "frame.review", _at("frame", "frame_id"), F.concat(F.lit("header not readable: "), F.col("error"))),
     ]
-    return Ingested(observed.table, table, reduce(DataFrame.unionByName, log))
+    hashes = "header_hash" in facts
+    restated = old.where("_refreshed").where(~F.col("header_hash").eqNullSafe(F.col("_header_hash"))).select("frame_id", "volume", "path", F.col("header_hash").alias("before"), F.col("_header_hash").alias("after")) if hashes else None
+    return Ingested(observed.table, table, reduce(DataFrame.unionByName, log), restated)
 
 
 def committed(outcome: DataFrame, headers: DataFrame, commit_id: str, at: Column) -> tuple[DataFrame, DataFrame]:

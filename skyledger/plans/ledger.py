@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skyledger import storage, store
 from skyledger.bridge import Catalog
 from skyledger.functions import sky, text
-from skyledger.operators import changes, derive, facets, macro, naming, verbs, views
+from skyledger.operators import changes, delivery, derive, facets, macro, naming, verbs, views
 from skyledger.plans.catalog import plan, truths
 
 # Header edits by rule. Cards get types: GAIN is whole, PRICE a fraction, the others are texts.
@@ -376,6 +377,96 @@ def state_ingest(c: Catalog) -> DataFrame:
     return found.locations.join(found.frames.select(F.col("id").alias("frame_id"), "sha1_data"), "frame_id").select("volume", "path", "present", "unreadable_since", "size_bytes", "sha1_data")
 
 
+# A second reading of every copy: other headers under the same contents, other facts, cameras that come with or without a pixel size.
+_REREAD = """, known AS (SELECT l.*, f.kind, id % 3 = 0 AS restated, (frame_id % 7)::VARCHAR AS cam, CASE WHEN frame_id % 5 <> 0 THEN 3.76 WHEN frame_id % 3 = 0 THEN 4.63 END AS pixel,
+    CASE WHEN id % 5 = 0 THEN 'dark' ELSE f.kind END AS new_kind, present <> 1 OR id % 3 = 0 OR id % 4 = 0 OR (id % 6 = 1) OR id % 11 = 0 AS moved FROM location l JOIN (SELECT id AS fid, kind FROM frame) f ON f.fid = l.frame_id),
+last AS (SELECT frame_id, max(volume || path) AS place FROM known WHERE restated GROUP BY 1),
+told AS (SELECT k.* FROM known k JOIN last USING (frame_id) WHERE restated AND volume || path = place),
+seen AS (SELECT 'CAM' || cam AS model, pixel, min(volume || path) AS place FROM known GROUP BY 1, 2),
+camera AS (SELECT 'CAM' || k AS model, CASE WHEN k > 1 THEN 3.76 END AS old, k <= 3 AS known FROM range(7) t(k)),
+sized AS (SELECT c.*, arg_min(pixel, place) FILTER (pixel IS NOT NULL) AS first, arg_min({'p': pixel}, place).p AS came FROM camera c JOIN seen USING (model) GROUP BY ALL),
+settled AS (SELECT model, known, old, CASE WHEN known THEN old ELSE came END AS begun, coalesce(CASE WHEN known THEN old ELSE came END, first) AS now FROM sized),
+other AS (SELECT model, arg_min(pixel, place) AS other FROM settled JOIN seen USING (model) WHERE pixel <> now GROUP BY 1)"""
+
+
+def _reread(c: Catalog) -> delivery.Delivered:
+    frames = c.frames().select("id", "sha1_data", "kind", "filetype", F.lit(None).cast("long").alias("camera_id"), F.lit("header").alias("kind_source"))
+    k, f = F.col("id"), F.col("frame_id")
+    known = c.locations().select(
+        "id", "frame_id", "volume", "path", "present", F.col("mtime").cast("string").alias("mtime"), F.col("size_bytes").cast("long").alias("size_bytes"), F.lit("h").alias("header_hash"),
+        F.when(k % 11 == 0, "2024").alias("unreadable_since"), F.lit("s").alias("file_sha1"), F.lit(0).alias("hdu_index"), F.lit(0).alias("compressed"),
+    )
+    own = frames.select(F.col("id").alias("frame_id"), "sha1_data", "kind", "filetype")
+    restated = k % 3 == 0
+    card = F.array(F.struct(F.lit("OBJECT").alias("keyword"), F.lit(0).alias("idx"), F.col("path").alias("value_raw"), F.lit(None).cast("double").alias("value_num"), F.lit("str").alias("value_type"), F.lit(None).cast("string").alias("comment")))
+    records = known.join(own, "frame_id").select(
+        "volume", "path", "sha1_data", F.when(k % 5 == 0, "dark").otherwise(F.col("kind")).alias("kind"), "filetype", "mtime", F.when(k % 4 == 0, F.col("size_bytes") + 1).otherwise(F.col("size_bytes")).alias("size_bytes"),
+        F.when(restated, "g").otherwise("h").alias("header_hash"), F.when(restated, "t").otherwise("s").alias("file_sha1"), F.lit(0).alias("hdu_index"), (k % 6 == 1).cast("int").alias("compressed"), F.lit(None).cast("string").alias("error"),
+        card.alias("cards"), F.concat(F.lit("CAM"), (f % 7).cast("string")).alias("model_canon"), F.lit("header").alias("kind_source"), F.when(f % 5 != 0, 3.76).when(f % 3 == 0, 4.63).alias("xpixsz"), F.col("path").alias("object_raw"),
+    )
+    cameras = c.spark.range(4).select((F.col("id") + 1).alias("id"), F.concat(F.lit("CAM"), F.col("id").cast("string")).alias("model_canon"), F.when(F.col("id") > 1, 3.76).alias("pixel_um"), F.lit(0).alias("pixel_conflict"))
+    headers = frames.select(F.col("id").alias("frame_id"), F.lit("h").alias("header_hash"), F.lit(None).cast("string").alias("object_raw"))
+    return delivery.delivered(records, frames, known, headers, c.cards(), cameras, F.lit("2025-01-01"))
+
+
+@plan(f"""{_REREAD} SELECT id, mtime::VARCHAR AS mtime, CASE WHEN restated THEN 't' ELSE 's' END AS file_sha1, CASE WHEN restated THEN 'g' ELSE 'h' END AS header_hash, 0 AS hdu_index, (id % 6 = 1)::INTEGER AS compressed,
+size_bytes::BIGINT + (id % 4 = 0)::INTEGER AS size_bytes, NULL::VARCHAR AS unreadable_since, 1 AS present FROM known""")
+def state_refreshed(c: Catalog) -> DataFrame:
+    return _reread(c).locations.select("id", "mtime", "file_sha1", "header_hash", "hdu_index", "compressed", "size_bytes", "unreadable_since", "present")
+
+
+_JSON_FACT = """CASE WHEN {test} THEN '"{fact}":{{"before":' || {before} || ',"after":' || {after} || '}}' END"""
+_FACTS = ", ".join([
+    _JSON_FACT.format(test="restated", fact="file_sha1", before="""'"s"'""", after="""'"t"'"""), _JSON_FACT.format(test="restated", fact="header_hash", before="""'"h"'""", after="""'"g"'"""),
+    _JSON_FACT.format(test="id % 6 = 1", fact="compressed", before="""'"0"'""", after="""'"1"'"""), _JSON_FACT.format(test="id % 4 = 0", fact="size_bytes", before="""'"' || size_bytes::BIGINT || '"'""", after="""'"' || (size_bytes::BIGINT + 1) || '"'"""),
+    _JSON_FACT.format(test="id % 11 = 0", fact="unreadable_since", before="""'"2024"'""", after="'null'"), _JSON_FACT.format(test="present <> 1", fact="present", before="""'"0"'""", after="""'"1"'"""),
+])
+
+
+@plan(f"""{_REREAD} SELECT verb, target, payload FROM (SELECT 'location.refreshed' AS verb, 'location:' || id AS target, '{{' || concat_ws(',', {_FACTS}) || '}}' AS payload FROM known WHERE moved
+UNION ALL SELECT 'header.refreshed', 'frame:' || frame_id, '{{"header_hash_before":"h","header_hash_after":"g"}}' FROM told
+UNION ALL SELECT 'frame.rederived', 'frame:' || frame_id, '{{"before":{{"camera_id":null,"kind":"' || kind || '"}},"after":{{"camera_id":' || (cam::INTEGER + 1) || ',"kind":"' || new_kind || '"}}}}' FROM told)""")
+def events_refreshed(c: Catalog) -> DataFrame:
+    return _reread(c).events.where(~F.startswith("verb", F.lit("camera."))).select("verb", "target", "payload")
+
+
+@plan(f"""{_REREAD} SELECT f.id, coalesce(new_kind, f.kind) AS kind, CASE WHEN t.frame_id IS NOT NULL THEN cam::BIGINT + 1 END AS camera_id, CASE WHEN t.frame_id IS NULL THEN 'h' ELSE 'g' END AS header_hash, t.path AS object_raw,
+coalesce(n, CASE WHEN t.frame_id IS NOT NULL THEN 1 ELSE 0 END) AS n_cards FROM frame f LEFT JOIN told t ON t.frame_id = f.id LEFT JOIN (SELECT frame_id AS cf, count(*) AS n FROM cards GROUP BY 1) ON cf = f.id AND t.frame_id IS NULL""")
+def state_restated(c: Catalog) -> DataFrame:
+    found = _reread(c)
+    counts = found.cards.groupBy(F.col("frame_id").alias("id")).agg(F.count("*").alias("n_cards"))
+    own = found.headers.select(F.col("frame_id").alias("id"), "header_hash", "object_raw")
+    return found.frames.join(own, "id", "left").join(counts, "id", "left").select("id", "kind", "camera_id", "header_hash", "object_raw", F.coalesce("n_cards", F.lit(0)).alias("n_cards"))
+
+
+@plan(f"""{_REREAD}, numbered AS (SELECT *, row_number() OVER (ORDER BY model) AS id FROM settled) SELECT verb, 'camera:' || id AS target, payload FROM (SELECT id, 'camera.upserted' AS verb, '{{"model_canon":"' || model || '"' || coalesce(',"pixel_um":' || begun, '') || '}}' AS payload FROM numbered WHERE NOT known
+UNION ALL SELECT id, 'camera.pixel_set', '{{"pixel_um":' || now || '}}' FROM numbered WHERE begun IS NULL AND now IS NOT NULL
+UNION ALL SELECT id, 'camera.pixel_conflict', '{{"pixel_existing":' || now || ',"pixel_new":' || other || '}}' FROM numbered JOIN other USING (model))""")
+def events_cameras(c: Catalog) -> DataFrame:
+    return _reread(c).events.where(F.startswith("verb", F.lit("camera."))).select("verb", "target", "payload")
+
+
+@plan(f"{_REREAD} SELECT model AS model_canon, now AS pixel_um, (other IS NOT NULL)::INTEGER AS pixel_conflict FROM settled LEFT JOIN other USING (model)")
+def state_cameras(c: Catalog) -> DataFrame:
+    return _reread(c).cameras.select("model_canon", "pixel_um", "pixel_conflict")
+
+
+@plan(f"""{_INGEST}, logged AS (SELECT 'frame.observed' AS verb FROM asked WHERE other AND (fresh OR NOT bad) UNION ALL SELECT 'location.added' FROM asked WHERE fresh UNION ALL SELECT 'location.rebound' FROM asked WHERE NOT fresh AND NOT bad AND other
+UNION ALL SELECT 'location.refreshed' FROM asked WHERE NOT fresh AND NOT bad AND NOT other AND moved UNION ALL SELECT 'frame.review' FROM asked WHERE bad), counted AS (SELECT verb, count(*) AS n FROM logged GROUP BY 1)
+SELECT verb, n, (sum(n) OVER (ORDER BY verb) - n + 1)::BIGINT AS first_id, (sum(n) OVER (ORDER BY verb))::BIGINT AS last_id, n AS ids, 1::BIGINT AS run, 0::BIGINT AS again FROM counted""")
+def events_published(c: Catalog) -> DataFrame:
+    """What stands in the log after an ingest was published, and how many events publishing its tables' own records again would give."""
+    kept = store.Store(c.spark, storage.scratch(c.spark, "store"))
+    found = _ingested(c)
+    kept.publish("scan", 1, found.events, F.lit("2025-01-01"), {"frame": found.frames, "location": found.locations})
+    frames, locations = kept.table("frame"), kept.table("location")
+    same = locations.where("unreadable_since is null").join(frames.select(F.col("id").alias("frame_id"), "sha1_data", "kind", "filetype"), "frame_id")
+    records = same.where("present = 1").select("volume", "path", "sha1_data", "kind", "filetype", "mtime", "size_bytes", "header_hash", F.lit(None).cast("string").alias("error"))
+    again = kept.publish("scan", 2, verbs.ingested(records, frames, locations, F.lit("2025-01-02")).events, F.lit("2025-01-02"))
+    log = kept.table("event").groupBy("verb").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.count_distinct("id").alias("ids"), F.max("run").alias("run"))
+    return log.withColumn("again", F.lit(0 if again is None else again.rows["event"]).cast("long"))
+
+
 _OUTCOME = "CASE WHEN present <> 1 THEN 'skipped' WHEN id % 5 = 0 THEN 'blocked' WHEN id % 7 = 0 AND volume = 'F' THEN 'blocked' ELSE 'applied' END"
 
 

@@ -3,19 +3,47 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """`df` written to the folder of `spark.checkpoint.dir`, without its lineage.
+def shared(spark: SparkSession) -> str:
+    """The folder of `spark.checkpoint.dir`.
 
     Only where no folder is named and all runs on one machine (tests) a temporary one is set.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not context.getCheckpointDir():
-        named = context.getConf().get("spark.checkpoint.dir")
         if not named and not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="skyledger-"))
+        named = named or "file://" + tempfile.mkdtemp(prefix="skyledger-")
+        context.setCheckpointDir(named)
+    return named
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A path of its own in the shared folder."""
+    return f"{shared(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """`df` written to the shared folder, without its lineage."""
+    shared(df.sparkSession)
     return df.checkpoint()
+
+
+def numbered(rows: DataFrame, order: list[str | Column], after: int = 0, name: str = "id") -> DataFrame:
+    """`rows` with the numbers that follow `after`, by `order`, a range of rows in each task.
+
+    Rows are dealt by ranges and written once, so that numbers are the same whenever they are read;
+    what comes together is a row a task.
+    """
+    dealt = rows.repartitionByRange(*(F.col(c) if isinstance(c, str) else c for c in order)).sortWithinPartitions(*order)
+    ordered = cut(dealt.withColumns({"_part": F.spark_partition_id(), "_seq": F.monotonically_increasing_id()}))
+    sizes = ordered.groupBy("_part").agg(F.count("*").alias("_size"), F.min("_seq").alias("_first"))
+    before = F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = ordered.join(F.broadcast(sizes.select("_part", "_first", before.alias("_before"))), "_part")
+    return placed.withColumn(name, F.col("_seq") - F.col("_first") + F.col("_before") + after + 1).drop("_part", "_seq", "_first", "_before")

@@ -1,16 +1,19 @@
 """Continuous ingest: new header files become frames, copies and events, once each.
 
-The file source's checkpoint keeps what was read; each micro-batch appends only frames whose data
-hash is new, judged against the table that the batches before have written.
+The file source's checkpoint keeps what was read; each micro-batch is a run of the store, by the same
+verbs as any other ingest, so its tables and events are there together or not at all.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from skyledger.functions import resolve
+from skyledger.operators import delivery, views
 from skyledger.sources import headers
+from skyledger.store import Manifest, Store
 
 
 def listen(spark: SparkSession, root: str) -> DataFrame:
@@ -19,31 +22,49 @@ def listen(spark: SparkSession, root: str) -> DataFrame:
     return headers.scan(files.select("path", "modificationTime", "length").where(F.lower("path").rlike(rf"\.({'|'.join(headers.SUFFIXES)})$")))
 
 
+def records_of(scanned: DataFrame, volume: str = "") -> DataFrame:
+    """Header records as deliveries take them: what a file is, and what its header says of camera and kind.
+
+    A file that can't be parsed counts by the hash of all its bytes, one that can't be opened by its path.
+    """
+    rows = headers.hot_columns(scanned)
+    keyed = lambda keyword: F.try_element_at(F.filter("cards", lambda c: c["keyword"] == keyword), F.lit(-1))["value_raw"]
+    kind = views.frame_kind(F.col("filetype"), keyed("IMAGETYP"), F.col("path"), F.col("error").isNull())
+    return rows.select(
+        F.lit(volume).alias("volume"), "path", F.coalesce("sha1_data", "sha1_file", F.sha1(F.concat(F.lit("unread:"), F.col("path")))).alias("sha1_data"), kind.alias("kind"), "filetype",
+        F.col("mtime").cast("string").alias("mtime"), F.col("size").alias("size_bytes"), "header_hash", F.col("sha1_file").alias("file_sha1"), F.coalesce("hdu", F.lit(0)).alias("hdu_index"), F.coalesce("compressed", F.lit(False)).cast("int").alias("compressed"), "error",
+        "cards", resolve.camera_identity(F.col("instrume"), F.col("bayerpat"), F.when(F.col("filetype") == "raw", "raw")).alias("model_canon"), F.when(F.col("filetype") == "raw", "path").otherwise("header").alias("kind_source"), *delivery.TYPED,
+    )
+
+
+def delivered(store: Store, scanned: DataFrame, name: str, number: int, now: Column, volume: str = "") -> Manifest | None:
+    """Header records brought into a store as one run, of all tables that they reach.
+
+    Headers and cards are added to while a run only brings new contents, and written anew where it changes what was there.
+    """
+    base = store.manifest()
+    tables = [store.table(t) for t in ("frame", "location", "header", "cards", "camera")]
+    found = delivery.delivered(records_of(scanned, volume), *tables, now)
+    replaced, added = {"frame": found.frames, "location": found.locations, "camera": found.cameras}, {}
+    if found.rewritten:
+        replaced |= {"header": found.headers, "cards": found.cards}
+    else:
+        added = delivery.last_numbers(found, base.last.get("frame", 0))
+    return store.publish(name, number, found.events, now, replaced, added, base)
+
+
 def ingest(stream: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
-    """Appends to frames, locations and events below `folder` until all files there now are read."""
-
-    def append(batch: DataFrame, number: int) -> None:
-        batch.persist()
-        spark = batch.sparkSession
-        try:
-            fine = batch.where("error is null").withColumn("batch", F.lit(number))
-            once = fine.where("sha1_data is not null").groupBy("sha1_data").agg(F.min_by(F.struct("filetype", "header_hash", "cards", "batch"), "path").alias("f")).select("sha1_data", "f.*")
-            try:
-                known = spark.read.parquet(f"{folder}/frames").where(F.col("batch") < number).select("sha1_data")
-                once = once.join(known, "sha1_data", "left_anti")
-            except Exception as e:  # noqa: BLE001
-                if "PATH_NOT_FOUND" not in str(e):
-                    raise
-            # A batch that is run again after a failure writes over its own folder.
-            once.write.mode("overwrite").parquet(f"{folder}/frames/part={number}")
-            fine.select("path", "mtime", "size", "sha1_file", "sha1_data", "batch").write.mode("overwrite").parquet(f"{folder}/locations/part={number}")
-            seen = once.select(F.lit("frame.observed").alias("verb"), F.concat(F.lit("frame:"), "sha1_data").alias("target"))
-            bad = batch.where("error is not null").select(F.lit("frame.review").alias("verb"), F.concat(F.lit("file:"), "path").alias("target"))
-            seen.unionByName(bad).write.mode("overwrite").parquet(f"{folder}/events/part={number}")
-        finally:
-            batch.unpersist()
-
-    return stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Brings files there now into the store of `folder`, each micro-batch as one run.
+
+    A batch that is run again after a failure has been published, or has left nothing.
+    """
+
+    def deliver(batch: DataFrame, number: int) -> None:
+        store = Store(batch.sparkSession, folder)
+        if store.known("stream") < number:
+            delivered(store, batch, "stream", number, F.current_timestamp())
+
+    return stream.writeStream.foreachBatch(deliver).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def nightly(stream: DataFrame, lateness: str = "2 days") -> DataFrame:

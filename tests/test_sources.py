@@ -6,6 +6,7 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
+from skyledger import store
 from skyledger.sources import headers
 from skyledger.streaming import ingest
 
@@ -150,8 +151,12 @@ def test_stream_appends_each_frame_once(spark, tree, tmp_path):
     run()
     (inbox / "copy.fits").write_bytes(files["n1/a.fits"])
     run()
-    assert spark.read.parquet(f"{out}/frames").count() == 1 and spark.read.parquet(f"{out}/locations").count() == 2
-    assert sorted(r.verb for r in spark.read.parquet(f"{out}/events").collect()) == ["frame.observed", "frame.review"]
+    kept = store.Store(spark, str(out))
+    frames, events = kept.table("frame"), kept.table("event")
+    assert frames.count() == 2 and frames.where("kind = 'unknown'").count() == 2 and kept.table("location").count() == 3
+    assert sorted(r.verb for r in events.collect()) == ["frame.observed", "frame.observed", "frame.review", "location.added", "location.added", "location.added"]
+    assert sorted(r.id for r in events.collect()) == list(range(1, 7)) and events.where("ts is null").count() == 0 and kept.runs() == [1, 2]
+    assert kept.table("cards").where("keyword = 'HISTORY'").count() == 2
 
 
 def test_nights_close_behind_the_watermark(spark, tmp_path):
