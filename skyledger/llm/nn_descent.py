@@ -2,19 +2,20 @@
 
 Exact copies become one vertex with a weight. Vertices get first neighbours from sorted sequences of
 random sign codes, in several tables, each vertex with the `WINDOW` next ones (of the same task; what
-a task's border parts stands together in other tables). Then the graph is refined: every vertex
-compares the neighbours that its lists hold, forward and backward, with each other, each of which
-keeps its best of them, and pairs that improve a list replace what is there. A list keeps its `LIST`
-best and is doubled while it is saturated with links, up to `LONGEST`. Only neighbours within twice
-the angle of a link are kept, as no two links in a row lead further. Lists steer the search only:
+a task's border parts stands together in other tables). A list keeps its `LIST` best neighbours,
+however far they are, and is doubled while it is saturated with links, up to `LONGEST`. Then the graph is
+refined: every vertex compares the neighbours that its lists hold, forward and backward, with each
+other, where one of the two is new since the round before; a pair that improves the list of either
+replaces what is there. Rounds end when few neighbours have been replaced. Lists steer the search only:
 every link that it meets goes to the components, as a forest for each vertex's neighbours.
 
-Then recall is audited: a sample of vertices is compared with all vertices, and grows until `LINKED`
-of them have a link. Recall is the share of their links that lead into their own component, by link
-and by vertex, the lesser of both. While it is under `RECALL`, more tables are searched and another
-sample is asked; what an audit finds is kept. If recall stays low, or links are so rare that the
-largest sample holds too few, every vertex is compared with every other, block by block. So the
-quadratic work is done only where the search can't be shown to have found the links without it.
+Recall is audited in two ways. A sample of vertices is compared with all vertices: the share of their
+links that lead into their own component, by link and by vertex. And probes take part in the search:
+copies of some vertices turned by just the angle of a link, the hardest to find, each of which must
+find its vertex; they count where links are too rare for the sample. While recall is under `RECALL`, more tables are
+searched, `ATTEMPTS` times at most; what an audit finds is kept. So up to one in two hundred links may be
+lost, or more where the audit says so in its column; with `closing` every vertex is compared with every
+other instead, block by block, whenever recall is under 1: exact, and quadratic.
 
 Links hang vertices together to components. Within a component, in blocks of bounded size, links
 are counted exactly, so a count never depends on how long a list was and no pairs are written out.
@@ -39,14 +40,14 @@ from pyspark.sql import functions as F
 from skyledger.llm import common, simhash_gray, vectors
 
 THRESHOLD = 0.9
-TABLES, CODE_BITS, WINDOW = 8, 24, 4
-LIST, LONGEST, ROUNDS, STILL = 8, 64, 4, 0.01
+TABLES, CODE_BITS, WINDOW = 12, 24, 4
+LIST, LONGEST, ROUNDS, STILL = 8, 64, 2, 0.02
 #: Neighbours of a vertex that meet in a round, others in each, and ways that a component is dealt.
-MEETING, SALTS = 24, 16
-#: Searches before every pair is compared; recall that ends them, and linked vertices that show it.
-ATTEMPTS, RECALL, LINKED = 3, 0.995, 200
-#: Vertices in the first and in the largest sample of an audit, and most bytes of them.
-AUDIT, AUDIT_MOST, AUDIT_BYTES = 2048, 8192, 16_000_000
+MEETING, SALTS = 20, 16
+#: Searches at most; recall that ends them, and linked vertices that show it in a sample.
+ATTEMPTS, RECALL, LINKED = 6, 0.995, 200
+#: Vertices in the sample of an audit, and most bytes of them; probes, and vertices that have none.
+AUDIT, AUDIT_BYTES, PROBES = 2048, 16_000_000, 1024
 #: Vertices in a block of link counts and of the closing pass, and how many are compared at a time.
 BLOCK, CLOSING, SLICE = 4096, 4096, 512
 
@@ -87,8 +88,8 @@ def _codes(first_table: int, tables: int):
     return codes
 
 
-def _seeds(nodes: DataFrame, first_table: int, tables: int, floor: float) -> DataFrame:
-    """Pairs (a, b, s) of vertices that stand near each other in a table and are similar enough."""
+def _seeds(nodes: DataFrame, first_table: int, tables: int) -> DataFrame:
+    """Pairs (a, b, s) of vertices that stand near each other in a table."""
 
     def window(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail_ids, tail_units = [], []
@@ -97,11 +98,10 @@ def _seeds(nodes: DataFrame, first_table: int, tables: int, floor: float) -> Dat
             rows, keys = vectors.matrix(units), np.array(ids)
             a, b, s = [], [], []
             for gap in range(1, min(WINDOW, len(keys) - 1) + 1):
-                near = np.einsum("ij,ij->i", rows[:-gap], rows[gap:])
-                hit = np.flatnonzero(near >= floor)
-                a.append(keys[hit])
-                b.append(keys[hit + gap])
-                s.append(near[hit])
+                fresh = slice(max(0, len(tail_ids) - gap), None)  # pairs within the tail have been given
+                a.append(keys[:-gap][fresh])
+                b.append(keys[gap:][fresh])
+                s.append(np.einsum("ij,ij->i", rows[:-gap][fresh], rows[gap:][fresh]))
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b, s)], ["a", "b", "s"])
             tail_ids, tail_units = ids[-WINDOW:], units[-WINDOW:]
@@ -112,66 +112,127 @@ def _seeds(nodes: DataFrame, first_table: int, tables: int, floor: float) -> Dat
     return dealt.select("node", "unit").mapInArrow(window, "a long, b long, s double").where("a <> b")
 
 
-def _lists(pairs: DataFrame) -> DataFrame:
-    """The best neighbours (a, b, s, links) of every vertex from pairs (a, b, s) taken both ways."""
-    both = pairs.union(pairs.select("b", "a", "s")).toDF("a", "b", "s").groupBy("a", "b").agg(F.max("s").alias("s"))
+def _lists(pairs: DataFrame, threshold: float) -> DataFrame:
+    """The best neighbours (a, b, s, new) of every vertex from pairs (a, b, s, new) taken both ways; a pair is new unless it was there before."""
+    both = pairs.union(pairs.select("b", "a", "s", "new")).toDF("a", "b", "s", "new").groupBy("a", "b").agg(F.max("s").alias("s"), F.min("new").alias("new"))
     order = Window.partitionBy("a").orderBy(F.desc("s"), "b")
     ranked = both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= LONGEST)
     # A list is doubled while it is full of links, and no longer than that.
-    full = ranked.groupBy("a").agg(F.count(F.when(F.col("s") >= THRESHOLD, 1)).alias("links"))
+    links = F.count(F.when(F.col("s") >= threshold, 1)).over(Window.partitionBy("a"))
     size = F.least(F.lit(LONGEST), F.lit(LIST) * F.pow(F.lit(2), F.ceil(F.log2((F.col("links") + 1) / F.lit(LIST)))))
     length = F.when(F.col("links") < LIST, F.lit(LIST)).otherwise(size)
-    return ranked.join(full, "a").where(F.col("rank") <= length).select("a", "b", "s")
+    return ranked.withColumn("links", links).where(F.col("rank") <= length).select("a", "b", "s", "new")
 
 
-def _refined(lists: DataFrame, nodes: DataFrame, floor: float, threshold: float, turn: int) -> DataFrame:
+def _refined(lists: DataFrame, nodes: DataFrame, threshold: float, turn: int) -> DataFrame:
     """Pairs (a, b, s, link) found by comparing neighbours of every vertex with each other.
 
-    `MEETING` of them meet, by a hash that each turn changes. Of a vertex's neighbours each gives its `LIST` best pairs, and all links among them are given as
-    a forest (`link` true), so a group of near copies never writes all its pairs.
+    `MEETING` of them meet, new ones before others, by a hash that each turn changes. Of those in which one
+    is new each gives its `LIST` best pairs that would improve its own list or the other's, and all links
+    among them are given as a forest (`link` true), so a group of near copies never writes all its pairs.
     """
-    around = lists.select("a", "b").union(lists.select("b", "a")).toDF("a", "b").distinct()
-    order = Window.partitionBy("a").orderBy(F.xxhash64("a", "b", F.lit(turn)))
+    around = lists.select("a", "b", "new").union(lists.select("b", "a", "new")).toDF("a", "b", "new").groupBy("a", "b").agg(F.max("new").alias("new"))
+    order = Window.partitionBy("a").orderBy(F.desc("new"), F.xxhash64("a", "b", F.lit(turn)))
     around = around.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= MEETING)
-    joined = around.join(nodes.select(F.col("node").alias("b"), "unit"), "b").select("a", "b", "unit")
-
-    def meet(group: pa.Table) -> pa.Table:
-        keys, rows = group["b"].to_numpy(), vectors.matrix(group["unit"].to_pylist())
-        near = rows @ rows.T
-        np.fill_diagonal(near, -2.0)
-        best = np.argpartition(-near, min(LIST, len(keys)) - 1, 1)[:, :LIST]
-        i, j = np.repeat(np.arange(len(keys)), best.shape[1]), best.ravel()
-        fine = near[i, j] >= floor
-        i, j = np.unique(np.sort(np.stack([i[fine], j[fine]]), 0), axis=1)
-        simhash_gray.hook(label := np.arange(len(keys)), *np.nonzero(near >= threshold))
-        moved = np.flatnonzero(label != np.arange(len(keys)))
-        a, b, s = np.concatenate([keys[i], keys[moved]]), np.concatenate([keys[j], keys[label[moved]]]), np.concatenate([near[i, j], np.ones(len(moved))])
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "s": s, "link": np.arange(len(a)) >= len(i)})
-
-    return joined.groupBy("a").applyInArrow(meet, "a long, b long, s double, link boolean").distinct()
+    # What a pair must be better than to come into a vertex's list.
+    least = lists.groupBy("a").agg(F.when(F.count("*") >= LIST, F.min("s")).otherwise(F.lit(-2.0)).alias("least"))
+    held = nodes.select(F.col("node").alias("b"), "unit").join(least.withColumnRenamed("a", "b"), "b")
+    joined = around.join(held, "b").select("a", "b", "new", "unit", "least")
+
+    def compared(a: np.ndarray, keys: np.ndarray, new: np.ndarray, least: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
+        """The pairs of whole groups, which follow each other by `a`."""
+        begin = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
+        group = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(a))))
+        seat = np.arange(len(a)) - begin[group]
+        width = int(seat.max()) + 1
+        at = np.full((len(begin), width), -1)
+        at[group, seat] = np.arange(len(a))
+        near = rows[at] @ rows[at].transpose(0, 2, 1)
+        there = at >= 0
+        near[~(there[:, :, None] & there[:, None, :])] = -2.0
+        near[:, np.arange(width), np.arange(width)] = -2.0
+        # Probes hang on vertices, but no two vertices on a probe.
+        probe = (keys < 0)[at]
+        link = (near >= threshold) & ~probe[:, None, :]
+        label = np.arange(len(a))
+        g, i, j = np.nonzero(link & ~probe[:, :, None])
+        simhash_gray.hook(label, at[g, i], at[g, j])
+        g, i = np.nonzero(link.any(2) & probe)
+        label[at[g, i]] = at[g, np.where(link[g, i], near[g, i], -2.0).argmax(1)]
+        fresh = new[at]
+        near[~(fresh[:, :, None] | fresh[:, None, :])] = -2.0
+        best = np.argpartition(-near, min(LIST, width) - 1, 2)[:, :, :LIST]
+        value = np.take_along_axis(near, best, 2)
+        bar = np.minimum(least[at][:, :, None], least[at[np.arange(len(at))[:, None, None], best]])
+        g, i, k = np.nonzero((value > bar) & (value > -2.0))
+        one, two = at[g, i], at[g, best[g, i, k]]
+        moved = np.flatnonzero(label != np.arange(len(a)))
+        left, right = np.concatenate([keys[one], keys[moved]]), np.concatenate([keys[two], keys[label[moved]]])
+        found = np.concatenate([value[g, i, k], np.ones(len(moved))])
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(left, right)), pa.array(np.maximum(left, right)), pa.array(found), pa.array(np.arange(len(found)) >= len(one))], ["a", "b", "s", "link"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tail = None
+        for batch in batches:
+            own = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b", "new", "least")] + [vectors.matrix(batch.column("unit").to_pylist())]
+            if tail is not None and len(tail[0]):
+                width = max(tail[4].shape[1], own[4].shape[1])
+                own = [np.concatenate(x) for x in zip(tail[:4], own[:4])] + [np.concatenate([vectors.widened(tail[4], width), vectors.widened(own[4], width)])]
+            if len(own[0]):
+                whole = int(np.searchsorted(own[0], own[0][-1]))  # the last group may go on
+                if whole:
+                    yield compared(*(x[:whole] for x in own))
+                own = [x[whole:] for x in own]
+            tail = own
+        if tail is not None and len(tail[0]):
+            yield compared(*tail)
+
+    dealt = joined.repartition(common.partitions(nodes.sparkSession), "a").sortWithinPartitions("a")
+    return dealt.select("a", "b", F.col("new").cast("boolean").alias("new"), "least", "unit").mapInArrow(meet, "a long, b long, s double, link boolean")
 
 
 def _search(nodes: DataFrame, lists: DataFrame | None, first_table: int, threshold: float) -> tuple[DataFrame, list[DataFrame]]:
     """The lists after seeds from `TABLES` more tables and rounds of refinement, and all links met."""
-    floor = float(np.cos(min(np.pi, 2 * np.arccos(threshold))))
-    seeds = common.keep(_seeds(nodes, first_table, TABLES, floor), "seeds")
+    seeds = common.keep(_seeds(nodes, first_table, TABLES), "seeds")
     links = [seeds.where(F.col("s") >= threshold).select("a", "b")]
-    lists = common.cut(_lists(seeds if lists is None else lists.union(seeds)))
+    fresh = seeds.withColumn("new", F.lit(1))
+    old = lambda known: known.select("a", "b", "s", F.lit(0).alias("new"))
+    lists = common.cut(_lists(fresh if lists is None else old(lists).union(fresh), threshold))
     for turn in range(ROUNDS):
-        found = common.keep(_refined(lists, nodes, floor, threshold, first_table + turn), "refined")
+        found = common.keep(_refined(lists, nodes, threshold, first_table + turn), "refined")
         links.append(found.where("link").select("a", "b"))
-        better = common.cut(_lists(lists.union(found.where("not link").drop("link"))))
-        replaced = better.join(lists, ["a", "b"], "left_anti").count()
-        lists = better
-        if replaced <= STILL * lists.count():
+        lists = common.cut(_lists(old(lists).union(found.where("not link").select("a", "b", "s", F.lit(1).alias("new"))), threshold))
+        held, replaced = lists.agg(F.count("*"), F.sum("new")).first()
+        if (replaced or 0) <= STILL * held:
             break
     return lists, links
 
 
+def _probes(nodes: DataFrame, threshold: float) -> DataFrame:
+    """(node, unit, origin): some vertices, by least hash, turned by the angle of a link in a random direction. Their names are below zero."""
+    some = nodes.withColumn("h", F.xxhash64("node", F.lit(17))).orderBy("h", "node").limit(PROBES).select("node", "unit")
+
+    def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for node, blob in zip(batch.column("node").to_pylist(), batch.column("unit").to_pylist()):
+                unit = np.frombuffer(blob, "<f8")
+                way = np.random.default_rng(node).standard_normal(len(unit))
+                way -= unit * (way @ unit)
+                size = np.sqrt(way @ way)
+                # A hair within the threshold, so that rounding can't put it outside.
+                cosine = min(1.0, threshold + 1e-9)
+                out.append((cosine * unit + np.sqrt(1 - cosine * cosine) * way / size if size > 1e-9 else unit).astype("<f8").tobytes())
+            origin = batch.column("node")
+            yield pa.RecordBatch.from_arrays([pa.array([-1 - n for n in origin.to_pylist()], pa.int64()), pa.array(out, pa.binary()), origin], ["node", "unit", "origin"])
+
+    return some.mapInArrow(turn, "node long, unit binary, origin long")
+
+
 def _audit(placed: DataFrame, n: int, size: int, seed: int, threshold: float) -> tuple[int, float, DataFrame]:
     """Of `size` vertices out of `n`: how many have a link, the share of links within components, and the others.
 
-    The sample, bounded by `AUDIT_MOST` and `AUDIT_BYTES`, is broadcast and meets all vertices of
+    The sample, bounded by `AUDIT` and `AUDIT_BYTES`, is broadcast and meets all vertices of
     `placed(node, unit, component)`; a batch gives a row a vertex asked and each pair of components once.
     """
     spark = placed.sparkSession
@@ -273,29 +334,39 @@ def _merged(placed: DataFrame, pairs: DataFrame) -> DataFrame:
     return common.keep(joined.drop("next"), "merged")
 
 
-def _grouped(nodes: DataFrame, threshold: float) -> tuple[DataFrame, float]:
+def _caught(placed: DataFrame, probes: DataFrame, links: list[DataFrame]) -> tuple[int, int]:
+    """How many probes there are, and how many have a link into their vertex's component."""
+    met = reduce(DataFrame.union, links).where("a < 0 or b < 0").select(F.least("a", "b").alias("node"), F.greatest("a", "b").alias("b")).distinct()
+    own = placed.select("node", "component")
+    wanted = probes.select("node", F.col("origin")).join(own.toDF("origin", "wanted"), "origin")
+    found = met.join(own.toDF("b", "found"), "b").join(wanted, "node").where("found = wanted").select("node").distinct()
+    return probes.count(), found.count()
+
+
+def _grouped(nodes: DataFrame, threshold: float, closing: bool) -> tuple[DataFrame, float]:
     """`nodes` with their components, and the recall that was shown (1 where every vertex was asked)."""
     n, width = nodes.agg(F.count("*"), F.max(F.octet_length("unit"))).first()
-    most = max(1, min(AUDIT_MOST, AUDIT_BYTES // max(1, width or 0)))
-    lists, links, size = None, [], min(AUDIT, most)
+    size = max(1, min(AUDIT, AUDIT_BYTES // max(1, width or 0)))
+    probes = common.keep(_probes(nodes, threshold), "probes")
+    searched = common.keep(nodes.select("node", "unit").union(probes.select("node", "unit")), "searched")
+    lists, links = None, []
     for attempt in range(ATTEMPTS):
-        lists, found = _search(nodes, lists, attempt * TABLES, threshold)
+        lists, found = _search(searched, lists, attempt * TABLES, threshold)
         links += found
-        placed = _placed(nodes, links)
-        while True:
-            linked, recall, missed = _audit(placed, n, size, attempt, threshold)
-            if linked >= LINKED or size >= min(n, most):
-                break
-            size = min(4 * size, most)
+        placed = _placed(nodes, [x.where("a >= 0 and b >= 0") for x in links])
+        asked, hit = _caught(placed, probes, links)
+        linked, recall, missed = _audit(placed, n, size, attempt, threshold)
+        shown = recall if linked >= LINKED else hit / asked if asked else 1.0
         if size >= n:
             return _merged(placed, missed), 1.0
-        if linked < LINKED:
-            break
-        if recall >= RECALL:
-            return _merged(placed, missed), recall
         # A component is named by one of its vertices, so what was missed is a link for the next attempt.
-        links.append(missed)
-    return _merged(placed, common.keep(_missed(placed, threshold), "missed-links")), 1.0
+        links.append(common.keep(missed, "missed"))
+        if shown >= RECALL:
+            break
+    placed = _merged(placed, missed)
+    if closing and shown < 1:
+        return _merged(placed, common.keep(_missed(placed, threshold), "missed-links")), 1.0
+    return placed, shown
 
 
 def _counts(members: DataFrame, threshold: float) -> DataFrame:
@@ -333,13 +404,13 @@ def _counts(members: DataFrame, threshold: float) -> DataFrame:
     return pairs.groupBy("component", "one", "two").applyInArrow(count, "node long, near long").groupBy("node").agg(F.sum("near").alias("near"))
 
 
-def near_duplicates(df: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
+def near_duplicates(df: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", threshold: float = THRESHOLD, closing: bool = False) -> DataFrame:
     """For every row: vec_id, n_links, component_id, kept, and the audited recall of the search."""
     rows = common.keep(_unit(df, id_column, vector_column), "units")
     # A vertex is a distinct vector, named by a number of its own.
     distinct = rows.where("unit is not null").groupBy("unit").agg(F.count("*").alias("weight"), F.min("id").alias("first"))
     nodes = common.keep(distinct.withColumn("node", F.monotonically_increasing_id()), "vertices")
-    whole, recall = _grouped(nodes, threshold)
+    whole, recall = _grouped(nodes, threshold, closing)
     # Components of more than one vertex are dealt in several ways, so that a large one is no single task.
     sizes = whole.groupBy("component").agg(F.min("first").alias("component_id"), F.count("*").alias("vertices")).where("vertices > 1")
     sizes = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
