@@ -38,7 +38,7 @@ BLOCK, GROUP, FAN_OUT_BITS = 8192, 32, 3
 #: Most left blocks that a task holds while right ones pass, ways that right blocks are dealt at least, and right blocks in one at most.
 HELD, WAYS, PASSING, SALTS = 32, 4, 128, 8
 #: Further words of a fingerprint, and deviations that a pair of the wanted similarity may be off.
-CHECK_WORDS, SLACK, CHECK_SLACK = 16, 2.3, 2.0
+CHECK_WORDS, SLACK, CHECK_SLACK = 16, 3.2, 2.4
 #: Pairs that are checked at a time.
 CHECKED = 20_000
 
@@ -107,30 +107,31 @@ def gray_rank(fp: Column) -> Column:
 
 
 def _blocks(fps: DataFrame) -> DataFrame:
-    """`fps(fp, more)` in Gray order as rows (part, seq, lo, hi, fps, more): AND and OR of the block, and its members."""
+    """`fps(fp, more, name)` in Gray order as rows (part, seq, lo, hi, fps, more, names): AND and OR of the block, and its members."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seq, held, rest = TaskContext.get().partitionId(), 0, [], []
+        part, seq, held, rest, named = TaskContext.get().partitionId(), 0, [], [], []
 
         def block() -> pa.RecordBatch:
             values, more = np.array(held[:BLOCK], np.int64), b"".join(rest[:BLOCK])
-            row = [part], [seq], [np.bitwise_and.reduce(values)], [np.bitwise_or.reduce(values)], [values.tobytes()], [more]
-            kinds = (pa.int64(),) * 4 + (pa.binary(),) * 2
-            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds)], ["part", "seq", "lo", "hi", "fps", "more"])
+            row = [part], [seq], [np.bitwise_and.reduce(values)], [np.bitwise_or.reduce(values)], [values.tobytes()], [more], [np.array(named[:BLOCK], np.int64).tobytes()]
+            kinds = (pa.int64(),) * 4 + (pa.binary(),) * 3
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds)], ["part", "seq", "lo", "hi", "fps", "more", "names"])
 
         for batch in batches:
             held += batch.column("fp").to_pylist()
             rest += batch.column("more").to_pylist()
+            named += batch.column("name").to_pylist()
             while len(held) >= BLOCK:
                 yield block()
                 seq += 1
-                del held[:BLOCK], rest[:BLOCK]
+                del held[:BLOCK], rest[:BLOCK], named[:BLOCK]
         if held:
             yield block()
 
     order = gray_rank(F.col("fp"))
-    dealt = fps.select("fp", "more", order.alias("rank")).repartitionByRange(common.partitions(fps.sparkSession), "rank").sortWithinPartitions("rank")
-    return dealt.select("fp", "more").mapInArrow(cut, "part long, seq long, lo long, hi long, fps binary, more binary")
+    dealt = fps.select("fp", "more", "name", order.alias("rank")).repartitionByRange(common.partitions(fps.sparkSession), "rank").sortWithinPartitions("rank")
+    return dealt.select("fp", "more", "name").mapInArrow(cut, "part long, seq long, lo long, hi long, fps binary, more binary, names binary")
 
 
 def _may_link(a: str, b: str, most: list[int]) -> Column:
@@ -172,12 +173,12 @@ def hook(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             label[:] = jumped
 
 
-def _forest(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray] | None, most: list[int], check: int) -> np.ndarray:
+def _forest(left: tuple[np.ndarray, ...], right: tuple[np.ndarray, ...] | None, most: list[int], check: int) -> np.ndarray:
     """Links within a block (right is None) or between two as pairs (member, smallest place hung to).
 
-    A block is its fingerprints and their further words; these may differ in `check` places.
+    A block is its fingerprints, their further words, which may differ in `check` places, and the nodes' names.
     """
-    nodes, more = left if right is None else (np.concatenate(x) for x in zip(left, right))
+    _, more, nodes = left if right is None else (np.concatenate(x) for x in zip(left, right))
     label = np.arange(len(nodes))
     shift = 0 if right is None else len(left[0])
     limit = np.array(most, np.uint8)
@@ -217,17 +218,18 @@ def _forest(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.nda
 
 
 def fingerprint_links(fps: DataFrame, distance: int = DISTANCE, similarity: float | None = None) -> DataFrame:
-    """A forest (a, b) of distinct fingerprints `fps(fp, more)` that hangs together as the links do.
+    """A forest (a, b) of nodes `fps(fp, more, name)` that hangs together as the links do; a fingerprint without a name is its own.
 
     Left blocks are dealt to groups of a few; a right block is sent once to each group that asks for it.
     """
     spark, most = fps.sparkSession, allowed(similarity, distance)
     fps = fps if "more" in fps.columns else fps.withColumn("more", F.lit(b""))
+    fps = fps if "name" in fps.columns else fps.withColumn("name", F.col("fp"))
     check = 0 if similarity is None else _differences(similarity, BITS * CHECK_WORDS, CHECK_SLACK)
     blocks = common.keep(_blocks(fps), "gray-blocks")
     numbered = common.numbered(blocks)  # in Gray order
-    pairs = _block_pairs(numbered.drop("fps", "more"), most)
-    members = numbered.select("block", "fps", "more")
+    pairs = _block_pairs(numbered.drop("fps", "more", "names"), most)
+    members = numbered.select("block", "fps", "more", "names")
     n = members.count()
     held, ways = max(1, min(HELD, n // 8)), max(WAYS, -(-n // PASSING))
     place = [F.floor(F.col("a") / held).cast("long").alias("group"), F.pmod("b", F.lit(ways)).alias("way")]
@@ -240,31 +242,36 @@ def fingerprint_links(fps: DataFrame, distance: int = DISTANCE, similarity: floa
         now, lefts = None, {}
         for batch in batches:
             for k in range(batch.num_rows):
-                row = {name: batch.column(name)[k].as_py() for name in ("group", "way", "block", "asks", "fps", "more")}
+                row = {name: batch.column(name)[k].as_py() for name in ("group", "way", "block", "asks", "fps", "more", "names")}
                 if (row["group"], row["way"]) != now:
                     now, lefts = (row["group"], row["way"]), {}
                 values = np.frombuffer(row["fps"], np.uint64)
-                values = values, np.frombuffer(row["more"], np.uint64).reshape(len(values), -1)
+                values = values, np.frombuffer(row["more"], np.uint64).reshape(len(values), -1), np.frombuffer(row["names"], np.int64)
                 if row["asks"] is None:
                     lefts[row["block"]] = values
                 for a in row["asks"] or []:
                     found = _forest(lefts[a], None if a == row["block"] else values, most, check)
                     if len(found):
-                        one, two = found.T.copy().view(np.int64)
+                        one, two = found.T.copy()
                         yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two)], ["a", "b"])
 
     return dealt.mapInArrow(links, "a long, b long")
 
 
 def classes(docs: DataFrame, distance: int = DISTANCE, words: int = SHINGLE, similarity: float | None = None) -> DataFrame:
-    """For every row of `docs(doc_id, text)`: doc_id, mix (a hash of the text), fp, and root, the same for all rows of a group."""
+    """For every row of `docs(doc_id, text)`: doc_id, mix (a hash of the text), fp, and root, the same for all rows of a group.
+
+    By similarity a node is a fingerprint with its further words, under a hash of both: rows that share the
+    fingerprint only are compared by those like any others.
+    """
     more = CHECK_WORDS if similarity is not None else 0
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("mix"), fingerprint(F.col("text"), words, more).alias("print"))
-    rows = common.keep(rows.select("doc_id", "mix", "print.*"), "fingerprints")
-    nodes = common.keep(rows.groupBy("fp").agg(F.min("more").alias("more")), "fingerprint-nodes")
+    name = F.col("fp") if similarity is None else F.xxhash64("fp", "more")
+    rows = common.keep(rows.select("doc_id", "mix", "print.*").withColumn("name", name), "fingerprints")
+    nodes = common.keep(rows.groupBy("name", "fp", "more").count().drop("count"), "fingerprint-nodes")
     links = common.keep(fingerprint_links(nodes, distance, similarity), "gray-links")
-    groups = common.components(links).select(F.col("id").alias("fp"), F.col("component").alias("root"))
-    return rows.drop("more").join(groups, "fp", "left").select("doc_id", "mix", "fp", F.coalesce("root", "fp").alias("root"))
+    groups = common.components(links).select(F.col("id").alias("name"), F.col("component").alias("root"))
+    return rows.drop("more").join(groups, "name", "left").select("doc_id", "mix", "fp", F.coalesce("root", "name").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE, words: int = SHINGLE, similarity: float | None = None) -> DataFrame:
@@ -283,9 +290,11 @@ def one_of_each(docs: DataFrame, distance: int = DISTANCE, words: int = SHINGLE,
     # The first row of each group, and how many rows equal it; only those few are brought together.
     equal = rows.groupBy("root", "doc_id", "mix").agg(F.count("*").alias("n"))
     first = equal.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mix", "n")).alias("f"))
-    counted = common.keep(first.select(F.col("f.doc_id").alias("_doc_id"), F.col("f.mix").alias("_mix"), F.col("f.n").alias("_rows")), "chosen")
-    hashed = docs.withColumn("_mix_", F.xxhash64(F.col("text").cast("string")))
-    match = F.col("doc_id").cast("long").eqNullSafe(F.col("_doc_id")) & (F.col("_mix_") == F.col("_mix"))
-    single = hashed.join(counted.where("_rows = 1"), match, "left_semi")
-    repeated = hashed.join(counted.where("_rows > 1"), match, "left_semi").dropDuplicates(["doc_id", "_mix_"])
-    return single.unionByName(repeated).drop("_mix_")
+    # Names that the documents don't have.
+    own_id, own_mix, n, mix = (common.fresh(c, docs) for c in ("chosen_id", "chosen_mix", "chosen_rows", "text_mix"))
+    counted = common.keep(first.select(F.col("f.doc_id").alias(own_id), F.col("f.mix").alias(own_mix), F.col("f.n").alias(n)), "chosen")
+    hashed = docs.withColumn(mix, F.xxhash64(F.col("text").cast("string")))
+    match = F.col("doc_id").cast("long").eqNullSafe(F.col(own_id)) & (F.col(mix) == F.col(own_mix))
+    single = hashed.join(counted.where(F.col(n) == 1), match, "left_semi")
+    repeated = hashed.join(counted.where(F.col(n) > 1), match, "left_semi").dropDuplicates(["doc_id", mix])
+    return single.unionByName(repeated).drop(mix)
