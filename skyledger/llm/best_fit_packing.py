@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from skyledger.llm import common, wordcache
 
@@ -85,11 +86,14 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray,
 def pack(rows: DataFrame, length: int = 2048, nearly_full: int | None = None, task_rows: int = TASK_ROWS) -> DataFrame:
     """Adds `sequence_id` and `offset` to rows that have `doc_id`, `piece` and `length`.
 
-    Every other column of `rows` is carried along.
+    Every other column of `rows` is carried along; one of these two names has an underscore before it then.
     """
     nearly_full = length - 4 if nearly_full is None else nearly_full
+    for taken in ("sequence_id", "offset"):
+        rows = rows.withColumnsRenamed({c: common.fresh("_" + taken, rows) for c in rows.columns if c.lower() == taken})
     columns = rows.columns
-    shape = f"{rows.schema.simpleString()[7:-1]},sequence_id:bigint,offset:bigint,held:bigint,final:boolean"
+    held_name, final_name = common.fresh("held", rows), common.fresh("final", rows)
+    shape = StructType([*rows.schema.fields, *(StructField(c, LongType()) for c in ("sequence_id", "offset", held_name)), StructField(final_name, BooleanType())])
 
     def pack_round(number: int, last: bool):
         def one_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,13 +103,13 @@ def pack(rows: DataFrame, length: int = 2048, nearly_full: int | None = None, ta
             table = pa.Table.from_batches(found)
             keys = np.arange(table.num_rows) if number == 0 else table["sequence_id"].to_numpy()
             _, first, item = np.unique(keys, return_index=True, return_inverse=True)
-            sizes = table["length" if number == 0 else "held"].to_numpy()[first]
+            sizes = table["length" if number == 0 else held_name].to_numpy()[first]
             bins, places, held = best_fit(sizes, length)
             offsets = places[item] + (0 if number == 0 else table["offset"].to_numpy())
             new = bins[item]
             base = (number << 56) + (TaskContext.get().partitionId() << 28)
             out = table.select(columns)
-            for name, values in (("sequence_id", new + base), ("offset", offsets), ("held", held[new]), ("final", (held[new] >= nearly_full) | last)):
+            for name, values in (("sequence_id", new + base), ("offset", offsets), (held_name, held[new]), (final_name, (held[new] >= nearly_full) | last)):
                 out = out.append_column(name, pa.array(values))
             yield from out.combine_chunks().to_batches(max_chunksize=50_000)
 
@@ -119,10 +123,10 @@ def pack(rows: DataFrame, length: int = 2048, nearly_full: int | None = None, ta
         tasks = max(1, -(-left // (task_rows * (FAN_IN if number else 1))), 0 if before is None else -(-before // FAN_IN))
         last = number > 0 and (tasks == 1 or before is not None and tasks >= before)
         packed = common.keep(todo.repartition(tasks, *key).mapInArrow(pack_round(number, last), shape), f"pack-{number}")
-        done.append(packed if last else packed.where("final"))
+        done.append(packed if last else packed.where(F.col(final_name)))
         if last:
             break
-        todo, before, number, key = packed.where("not final"), tasks, number + 1, [F.col("sequence_id")]
+        todo, before, number, key = packed.where(~F.col(final_name)), tasks, number + 1, [F.col("sequence_id")]
         items = todo.count()
         if items == 0:
             break

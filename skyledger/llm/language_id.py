@@ -133,8 +133,8 @@ def fit(labelled: DataFrame) -> KernelModel:
     return fit_rows([(lang, text) for lang, _, text in common.sampled(rows.withColumnRenamed("lang", "label"), TRAIN_DOCS, MOST_DOCS)])
 
 
-def judge(docs: DataFrame, model: KernelModel) -> DataFrame:
-    """`docs` with one more column `FOUND`: lang_pred, score and known, from its text alone."""
+def judge(docs: DataFrame, model: KernelModel, column: str = FOUND) -> DataFrame:
+    """`docs` with one more column, which must not be there yet: lang_pred, score and known, from its text alone."""
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.letters, model.places, model.weights))
 
     @F.arrow_udf("struct<lang_pred:string,score:double,known:double>")
@@ -148,7 +148,7 @@ def judge(docs: DataFrame, model: KernelModel) -> DataFrame:
 
         yield from (common.by_slices(column, rows) for column in texts)
 
-    return docs.withColumn(FOUND, predict(F.col("text").cast("string")))
+    return docs.withColumn(column, predict(F.col("text").cast("string")))
 
 
 def identify(docs: DataFrame, model: KernelModel) -> DataFrame:

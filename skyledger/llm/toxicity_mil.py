@@ -149,8 +149,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> InstanceModel:
     return fit_rows([(label, n / taken[label], text) for label, n, text in found])
 
 
-def judge(docs: DataFrame, model: InstanceModel) -> DataFrame:
-    """`docs` with one more column `FOUND`: its score, and its offending sentences as (begin, end, score)."""
+def judge(docs: DataFrame, model: InstanceModel, column: str = FOUND) -> DataFrame:
+    """`docs` with one more column, which must not be there yet: its score, and its offending sentences as (begin, end, score)."""
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
     item = pa.struct([("begin", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])
 
@@ -165,7 +165,7 @@ def judge(docs: DataFrame, model: InstanceModel) -> DataFrame:
 
         yield from (common.by_slices(column, rows) for column in texts)
 
-    return docs.withColumn(FOUND, rate(F.col("text").cast("string")))
+    return docs.withColumn(column, rate(F.col("text").cast("string")))
 
 
 def score(docs: DataFrame, model: InstanceModel) -> DataFrame:
