@@ -26,15 +26,16 @@ NEAR_WORDS, NEAR_SIMILARITY = 5, 0.8
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = queries.toxicity_model(docs, common.table(spark, sf_dir, "labels"))
-    found = F.col(toxicity_mil.FOUND)
-    return toxicity_mil.judge(docs, model).where(found["score"] < toxicity_mil.THRESHOLD).drop(toxicity_mil.FOUND)
+    column = common.fresh(toxicity_mil.FOUND, docs)
+    return toxicity_mil.judge(docs, model, column).where(F.col(column)["score"] < toxicity_mil.THRESHOLD).drop(column)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language_id.fit(docs.where(queries.fold(4) != 2).select("text", "lang"))
-    found = F.col(language_id.FOUND)
+    column = common.fresh(language_id.FOUND, docs)
+    found = F.col(column)
     known = (found["lang_pred"] != language_id.UNKNOWN) & (found["known"] >= model.least_known)
-    return language_id.judge(docs, model).where(known).drop(language_id.FOUND)
+    return language_id.judge(docs, model, column).where(known).drop(column)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
