@@ -249,19 +249,30 @@ def by_location(pending: DataFrame, run_id: str, newest_first: bool = False) ->
     return rows.groupBy("location_id").agg(F.min("id").alias("first"), F.array_join(F.transform(edits, lambda e: F.concat_ws("=", e["keyword"], e["new_value"])), ",").alias("edits"))
 
 
+def folders_above(path: Column) -> Column:
+    """All folders that a path lies in, from the root down, in lower case."""
+    parts = F.split(F.lower(path), "/")
+    return F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+
+
+def behind(rows: DataFrame, barriers: DataFrame) -> DataFrame:
+    """`rows(path)` that lie below one of `barriers(path)`, by equality of folders, so any number of barriers is one join."""
+    shut = barriers.select(F.regexp_replace(F.lower("path"), "/+$", "").alias("_folder")).distinct()
+    return rows.withColumn("_folder", F.explode(folders_above(F.col("path")))).join(shut, "_folder", "left_semi").select(rows.columns).distinct()
+
+
 def presence(locations: DataFrame, listing: DataFrame, verdicts: DataFrame, volume: str, root: str, barriers: list[str] = ()) -> DataFrame:
     """(id, path, state) of every copy in scope: seen, hidden, gone, back or undecided.
 
     `verdicts(path, gone)` is what a look at each missing file gave: true, false or null.
     """
-    under = lambda p: F.startswith(F.lower("path"), F.lit(p.lower().rstrip("/") + "/"))
-    hidden = F.lit(False)
-    for barrier in barriers:
-        hidden = hidden | under(barrier)
-    scoped = locations.where((F.col("present") == 1) & (F.col("volume") == volume) & under(root)).select("id", "path")
+    inside = F.startswith(F.lower("path"), F.lit(root.lower().rstrip("/") + "/"))
+    scoped = locations.where((F.col("present") == 1) & (F.col("volume") == volume) & inside).select("id", "path")
     seen = listing.select("path", F.lit(True).alias("_seen")).distinct()
-    rows = scoped.join(seen, "path", "left").join(verdicts.select("path", F.col("gone").alias("_gone")), "path", "left")
-    state = F.when(F.col("_seen"), "seen").when(hidden, "hidden").when(F.col("_gone"), "gone").when(~F.col("_gone"), "back").otherwise("undecided")
+    rows = scoped.join(seen, "path", "left")
+    shut = behind(rows.where("_seen is null").select("id", "path"), locations.sparkSession.createDataFrame([(b,) for b in barriers], "path string"))
+    rows = rows.join(shut.select("id", F.lit(True).alias("_hidden")), "id", "left").join(verdicts.select("path", F.col("gone").alias("_gone")), "path", "left")
+    state = F.when(F.col("_seen"), "seen").when(F.col("_hidden"), "hidden").when(F.col("_gone"), "gone").when(~F.col("_gone"), "back").otherwise("undecided")
     return rows.select("id", "path", state.alias("state"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from skyledger import storage, store
 from skyledger.bridge import Catalog
 from skyledger.functions import sky, text
-from skyledger.operators import changes, delivery, derive, facets, macro, naming, verbs, views
+from skyledger.operators import changes, delivery, derive, facets, macro, naming, presence, verbs, views
 from skyledger.plans.catalog import plan, truths
 
 # Header edits by rule. Cards get types: GAIN is whole, PRICE a fraction, the others are texts.
@@ -350,6 +350,48 @@ def presence_states(c: Catalog) -> DataFrame:
     return found.groupBy("state").agg(F.count("*").alias("n"))
 
 
+# Runs over all copies of a volume: one in 97 or in 20 is missing, those below a pruned folder are hidden, and a look gives three outcomes.
+_RUN = """, scoped AS (SELECT *, id % {one_in} <> 0 AND path NOT LIKE '/archive/darks/%' AS seen, path LIKE '/archive/darks/%' AS hidden FROM location WHERE present = 1 AND volume = 'F'),
+counted AS (SELECT count(*) AS scoped, count(*) FILTER (NOT seen AND hidden) AS hidden, count(*) FILTER (NOT seen AND NOT hidden) AS candidates, count(*) FILTER (NOT seen AND NOT hidden AND id % 3 = 0) AS gone,
+    count(*) FILTER (NOT seen AND NOT hidden AND id % 3 = 1) AS back, count(*) FILTER (NOT seen AND NOT hidden AND id % 3 = 2) AS undecided FROM scoped),
+braked AS (SELECT *, candidates > greatest(50, floor(0.02 * scoped)) AS brake FROM counted)"""
+
+
+def _presence_run(c: Catalog, one_in: int, **how) -> presence.Run:
+    locations = c.locations().withColumn("unreadable_since", F.lit(None).cast("string"))
+    files = locations.where(f"id % {one_in} <> 0 AND path NOT LIKE '/archive/darks/%'").select(F.lit("file").alias("kind"), "path")
+    folders = c.spark.createDataFrame([("pruned", "/archive/DARKS"), ("unreadable", "/archive/LIGHT"), ("pruned", "/archive/_wbpp/img")], "kind string, path string")
+    look = lambda paths: paths.join(locations.select("path", "id"), "path").select("path", F.when(F.col("id") % 3 < 2, F.col("id") % 3 == 0).alias("gone"))
+    return presence.run(locations, files.unionByName(folders), "F", "/archive", "F", "r1", look=look, **how)
+
+
+def _told(c: Catalog, s: presence.Summary) -> DataFrame:
+    row = (s.scoped, s.hidden, s.candidates, s.looked, s.gone, s.back, s.undecided, s.vanished, s.brake is not None, s.aborted is not None)
+    return c.spark.createDataFrame([row], "scoped long, hidden long, candidates long, looked boolean, gone long, back long, undecided long, vanished long, braked boolean, aborted boolean")
+
+
+@plan(f"{_RUN.format(one_in=97)} SELECT scoped, hidden, candidates, NOT brake AS looked, CASE WHEN brake THEN 0 ELSE gone END AS gone, CASE WHEN brake THEN 0 ELSE back END AS back, CASE WHEN brake THEN 0 ELSE undecided END AS undecided, 0 AS vanished, brake AS braked, false AS aborted FROM braked")
+def presence_run_dry(c: Catalog) -> DataFrame:
+    return _told(c, _presence_run(c, 97).summary)
+
+
+@plan(f"{_RUN.format(one_in=20)} SELECT scoped, hidden, candidates, NOT brake AS looked, CASE WHEN brake THEN 0 ELSE gone END AS gone, CASE WHEN brake THEN 0 ELSE back END AS back, CASE WHEN brake THEN 0 ELSE undecided END AS undecided, CASE WHEN brake THEN 0 ELSE gone END AS vanished, brake AS braked, brake AS aborted FROM braked")
+def presence_run_brake(c: Catalog) -> DataFrame:
+    return _told(c, _presence_run(c, 20, apply=True).summary)
+
+
+@plan(f"{_RUN.format(one_in=20)} SELECT id, path, CASE WHEN hidden THEN 'hidden' WHEN brake THEN 'not looked at' ELSE ['gone', 'back', 'undecided'][id % 3 + 1] END AS state FROM scoped, (SELECT brake FROM braked) WHERE NOT seen")
+def presence_run_barrier(c: Catalog) -> DataFrame:
+    return _presence_run(c, 20).missing
+
+
+@plan(f"{_RUN.format(one_in=20)} SELECT l.id, CASE WHEN s.id IS NOT NULL AND NOT seen AND NOT s.hidden AND l.id % 3 = 0 THEN 0 ELSE l.present END AS present FROM location l LEFT JOIN scoped s ON s.id = l.id")
+def presence_run_forced(c: Catalog) -> DataFrame:
+    """The number of gone copies is told by a run over the same tables that was refused."""
+    told = _presence_run(c, 20, apply=True, force=-1).summary
+    return _presence_run(c, 20, apply=True, force=told.gone).locations.select("id", "present")
+
+
 def _ingested(c: Catalog) -> verbs.Ingested:
     """The test catalog scanned anew: some contents and facts have changed, some files fail, a tenth of the places is new."""
     facts = c.frames().select(F.col("id").alias("frame_id"), "sha1_data", "kind", "filetype")
