@@ -156,45 +156,51 @@ def master_path(path: Column) -> Column:
 SLICE_DAYS = 32
 
 
-def nearest_in_time(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """(id, other_id) for each left row with a right one of its key: the least difference of `ts`, then the least id.
-
-    Rights are put among the lefts by time, in slices of a key (`SLICE_DAYS` each), so a key is no
-    single task however many rows it has. Within a slice they are carried forward and backward; what a
-    slice gets from outside is the last right before it and the first after it, found among one row a
-    slice. No pairs are made. A row without time, or a key without times, gets the key's least id.
+def nearest_in_time(rows: DataFrame, key: str, right: Column, carried: dict[str, Column] | None = None) -> DataFrame:
+    """`rows(id, ts)` that aren't `right`, with other_id: of the right ones of their key that with the least difference of `ts`, then the least id.
+
+    All rows are dealt once, by key and slice of time (`SLICE_DAYS`), so a key is no single task however
+    many rows it has. In a slice rights are carried forward, and backward in falling order; what it gets
+    from outside is the last right before it and the first after it, found among one row a slice. No pairs
+    are made. A row without time, or a key without times, gets the key's least id; one without key, nothing.
+    `carried` are aggregates over all rows of a key, by name, that go with each of its rows. `rows` should be
+    stored: they are read twice.
     """
-    slice_of = F.floor(F.unix_date(F.to_date("ts")) / F.lit(SLICE_DAYS)).cast("long")
-    timed = right.where("ts is not null").groupBy(key, "ts").agg(F.min("id").alias("other"))
-    least = right.groupBy(key).agg(F.min("id").alias("least"))
-    both = left.where("ts is not null").select(key, "ts", "id", F.lit(None).cast("long").alias("other")).unionByName(timed.select(key, "ts", F.lit(None).cast("long").alias("id"), "other"))
-    both = both.withColumn("slice", slice_of)
-    spot = F.when(F.col("other").isNotNull(), F.struct("ts", "other"))
-    # One row a slice and key: its first and last right, carried over the slices before and after.
-    ends = both.groupBy(key, "slice").agg(F.min(spot).alias("first"), F.max(spot).alias("last"))
-    slices = Window.partitionBy(key).orderBy("slice")
+    carried = carried or {}
+    spread = F.pmod(F.xxhash64("id"), F.lit(256)).cast("long")
+    slice_of = F.when(F.col(key).isNull(), spread).otherwise(F.coalesce(F.floor(F.unix_date(F.to_date("ts")) / F.lit(SLICE_DAYS)).cast("long"), F.lit(1 << 40)))
+    timed = right & F.col("ts").isNotNull() & F.col(key).isNotNull()
+    # Of rights at one time the least id is the first by the one order and the last by the other.
+    both = rows.withColumns({"_slice": slice_of, "_right": right, "_up": F.when(timed, F.struct("ts", "id")), "_down": F.when(timed, F.struct("ts", (-F.col("id")).alias("id")))})
+    ends = both.where(F.col(key).isNotNull()).groupBy(key, "_slice").agg(F.min("_up").alias("_first"), F.max("_down").alias("_last"), F.min(F.when(F.col("_right"), F.col("id"))).alias("_least"), *(c.alias(name) for name, c in carried.items()))
+    whole, rising, falling = Window.partitionBy(key), Window.partitionBy(key).orderBy("_slice"), Window.partitionBy(key).orderBy(F.desc("_slice"))
+    outside = Window.unboundedPreceding, -1
     ends = ends.select(
-        key, "slice", F.last("last", True).over(slices.rowsBetween(Window.unboundedPreceding, -1)).alias("earlier"),
-        F.first("first", True).over(slices.rowsBetween(1, Window.unboundedFollowing)).alias("later"),
+        F.col(key).alias("_key"), F.col("_slice").alias("_of"), F.max("_last").over(rising.rowsBetween(*outside)).alias("_earlier"), F.min("_first").over(falling.rowsBetween(*outside)).alias("_later"),
+        F.min("_least").over(whole).alias("_least"), *(F.max(name).over(whole).alias(name) for name in carried),
     )
-    by = Window.partitionBy(key, "slice").orderBy("ts")
-    near = both.withColumns({"before": F.last(spot, True).over(by.rangeBetween(Window.unboundedPreceding, 0)), "after": F.first(spot, True).over(by.rangeBetween(0, Window.unboundedFollowing))}).where("id is not null")
-    near = near.join(ends, [key, "slice"]).withColumns({"before": F.coalesce("before", "earlier"), "after": F.coalesce("after", "later")})
-    seconds = lambda c: F.abs(F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col(f"{c}.ts").cast("timestamp")))
-    options = F.filter(F.array(*(F.when(F.col(c).isNotNull(), F.struct(seconds(c).alias("d"), F.col(f"{c}.other").alias("other"))) for c in ("before", "after"))), lambda x: x.isNotNull())
-    chosen = near.select("id", F.array_min(options)["other"].alias("chosen"))
-    return left.join(least, key).join(chosen, "id", "left").select("id", F.coalesce("chosen", "least").alias("other_id"))
+    own = Window.partitionBy(key, "_slice")
+    upto = Window.unboundedPreceding, 0
+    near = both.withColumns({"_before": F.max("_down").over(own.orderBy("ts").rangeBetween(*upto)), "_after": F.min("_up").over(own.orderBy(F.desc("ts")).rangeBetween(*upto))}).where(~F.col("_right"))
+    near = near.join(ends, (F.col(key) == F.col("_key")) & (F.col("_slice") == F.col("_of")), "left")
+    near = near.withColumns({"_before": F.coalesce("_before", "_earlier"), "_after": F.coalesce("_after", "_later")})
+    away = lambda c: F.abs(F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col(f"{c}.ts").cast("timestamp")))
+    option = lambda c: F.when(F.col(c).isNotNull() & F.col("ts").isNotNull(), F.struct(away(c).alias("d"), F.abs(F.col(f"{c}.id")).alias("other")))
+    chosen = F.array_min(F.filter(F.array(option("_before"), option("_after")), lambda x: x.isNotNull()))["other"]
+    return near.select(*rows.columns, F.coalesce(chosen, F.col("_least")).alias("other_id"), *carried)
 
 
 def lineage(frames: DataFrame) -> DataFrame:
-    """(light_id, relation, status, master_id) of every light for its dark and its flat."""
-    relations = F.explode(F.array(F.lit("dark"), F.lit("flat"))).alias("relation")
-    lights = frames.where("kind = 'light'").select("*", relations)
-    lights = lights.select("id", "relation", F.col("date_ts").alias("ts"), profile_key(F.col("relation")).alias("key"))
-    masters = frames.where(F.col("kind").isin("master_dark", "master_flat")).select("id", F.col("date_ts").alias("ts"), profile_key(recipe_class(F.col("kind"))).alias("key")).where("key is not null")
-    recipes = frames.select(profile_key(recipe_class(F.col("kind"))).alias("key")).where("key is not null").distinct().withColumn("known", F.lit(True))
-    # A light's id alone names it only within a relation, and a key belongs to one relation.
-    linked = [nearest_in_time(lights.where((F.col("relation") == r) & F.col("key").isNotNull()).select("id", "ts", "key"), masters, "key").withColumn("relation", F.lit(r)) for r in ("dark", "flat")]
-    rows = lights.join(recipes, "key", "left").join(linked[0].unionByName(linked[1]), ["id", "relation"], "left")
+    """(light_id, relation, status, master_id) of every light for its dark and its flat.
+
+    One pass over the frames gives what asks, a row for each light and relation, and what answers, a row for each frame of a recipe.
+    """
+    kind, own = F.col("kind"), recipe_class(F.col("kind"))
+    item = lambda test, relation, key, asks: F.when(test, F.struct(relation.alias("relation"), key.alias("key"), F.lit(asks).alias("asks")))
+    asked = [item(kind == "light", F.lit(r), profile_key(F.lit(r)), True) for r in ("dark", "flat")]
+    items = F.filter(F.array(*asked, item(own.isNotNull(), own, profile_key(own), False)), lambda x: x["asks"] | x["key"].isNotNull())
+    rows = cut(frames.select("id", F.col("date_ts").alias("ts"), kind.isin("master_dark", "master_flat").alias("master"), F.explode(items).alias("_i")).select("id", "ts", "master", "_i.*"))
+    # A recipe is known by any frame of it; only masters are linked.
+    found = nearest_in_time(rows, "key", F.col("master"), {"known": F.max(~F.col("asks"))}).where("asks")
     status = F.when(F.col("key").isNull(), "incomplete").when(F.col("other_id").isNotNull(), "linked").when(F.col("known"), "no master").otherwise("no profile")
-    return rows.select(F.col("id").alias("light_id"), "relation", status.alias("status"), F.col("other_id").alias("master_id"))
+    return found.select(F.col("id").alias("light_id"), "relation", status.alias("status"), F.col("other_id").alias("master_id"))
