@@ -537,15 +537,15 @@ def object_frames(c: Catalog) -> DataFrame:
     return views.object_frames(c.frames(), c.locations(), c.telescopes(), 7, filter_canon="Ha").select("id", "kind", "filter_canon", "telescope", "camera_id", "path", "present")
 
 
-@plan(f"SELECT f.id, f.sha1_data, coalesce(nullif(t.label, ''), t.telescop_canon) AS telescope, f.camera_id, f.date_obs, l.path FROM frame f {_NAMED} WHERE f.kind IN ('light', 'master_light') AND f.object_id IS NULL AND f.object_raw = 'Moon'")
+@plan(f"SELECT f.id, f.sha1_data, coalesce(nullif(t.label, ''), t.telescop_canon) AS telescope, f.camera_id, f.date_obs, l.path FROM frame f {_NAMED} WHERE f.kind IN ('light', 'master_light') AND f.object_id IS NULL AND f.object_raw = 'Saturn'")
 def object_review_frames(c: Catalog) -> DataFrame:
-    return views.unresolved_frames(c.frames(), c.locations(), c.telescopes(), "Moon")
+    return views.unresolved_frames(c.frames(), c.locations(), c.telescopes(), "Saturn")
 
 
-@plan("SELECT n_nationkey::BIGINT AS object_id FROM nation WHERE regexp_replace(upper(n_name), '[^A-Z0-9]+', '', 'g') = 'FRANCE'")
+@plan("SELECT n_nationkey::BIGINT AS object_id FROM nation WHERE regexp_replace(upper(n_name), '[^A-Z0-9]+', '', 'g') = 'NATION7'")
 def alias_lookup(c: Catalog) -> DataFrame:
     aliases = c.objects().select(text.norm_alnum(F.col("canon")).alias("alias_norm"), F.col("id").alias("object_id"))
-    return views.alias_target(aliases, "FRANCE")
+    return views.alias_target(aliases, "NATION7")
 
 
 @plan(f", {_MARKED} SELECT m.frame_id, f.sha1_data, m.volume, m.path, m.present, m.unreadable_since FROM marked m JOIN frame f ON f.id = m.frame_id WHERE unreadable_since IS NOT NULL")
