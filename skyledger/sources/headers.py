@@ -81,7 +81,7 @@ def fits(content: bytes) -> dict:
         raise ValueError("no FITS file")
     at, first = 0, None
     for hdu in itertools.count():
-        begin, cards, ended = at, [], False
+        begin, cards, lines, ended = at, [], [], False
         while not ended:
             block = content[at : at + 2880]
             if len(block) < 2880:
@@ -94,12 +94,13 @@ def fits(content: bytes) -> dict:
                     break
                 if line.strip():
                     cards.append(fits_card(line))
+                    lines.append((line[:8].strip(), line[8:]))
         value = {c["keyword"]: c["value_num"] for c in cards}
         axes = int(value.get("NAXIS") or 0)
         size = abs(int(value.get("BITPIX") or 0)) // 8 * math.prod(int(value.get(f"NAXIS{i}") or 0) for i in range(1, axes + 1)) if axes else 0
         size = int(value.get("GCOUNT") or 1) * (size + abs(int(value.get("BITPIX") or 8)) // 8 * int(value.get("PCOUNT") or 0) * bool(axes))
         span = -(-size // 2880) * 2880
-        own = {"filetype": "fits", "header_hash": hashlib.sha1(content[begin:at]).hexdigest(), "hdu": hdu, "data_start": at, "data_size": span, "cards": _numbered(cards)}
+        own = {"filetype": "fits", "header_hash": hashlib.sha1(content[begin:at]).hexdigest(), "hdu": hdu, "data_start": at, "data_size": span, "cards": _numbered(cards), "lines": lines}
         own["compressed"] = any(c["keyword"] == "ZIMAGE" and c["value_raw"] == "T" for c in cards)
         first = first or own
         if axes:
@@ -149,6 +150,8 @@ def xisf(content: bytes) -> dict:
     return {"filetype": "xisf", "header_hash": hashlib.sha1(text).hexdigest(), "hdu": None, "data_start": start, "data_size": length, "header_ceiling": ceiling, "cards": _numbered(cards)}
 
 
+#: Keywords of a raw file's cards that are numbers.
+RAW_NUMBERS = ("EXPTIME", "FOCALLEN", "SITELAT", "SITELONG")
 # TIFF tags that are read, and the sizes of TIFF value types.
 MAKE, MODEL, DATETIME, EXIF, GPS = 0x010F, 0x0110, 0x0132, 0x8769, 0x8825
 EXPOSURE, ISO, TAKEN, FOCAL, LENS, SUBSECOND = 0x829A, 0x8827, 0x9003, 0x920A, 0xA434, 0x9291
@@ -215,10 +218,15 @@ def raw(content: bytes) -> dict:
     return {"filetype": "raw", "header_hash": hashlib.sha1(text.encode()).hexdigest(), "hdu": None, "data_start": 0, "data_size": len(content), "cards": cards}
 
 
+def filetype_of(path: str) -> str | None:
+    """What a name's suffix tells, None of names that aren't header files'."""
+    _, dot, suffix = path.lower().rpartition(".")
+    return None if not dot or suffix not in SUFFIXES else "xisf" if suffix == "xisf" else "raw" if suffix in ("dng", "arw", "cr2") else "fits"
+
+
 def parse(path: str, content: bytes) -> dict:
     """By the file's suffix; an unreadable file gives its error."""
-    suffix = path.rpartition(".")[2].lower()
-    reader = xisf if suffix == "xisf" else raw if suffix in ("dng", "arw", "cr2") else fits
+    reader = {"xisf": xisf, "raw": raw}.get(filetype_of(path), fits)
     try:
         return {"error": None, **reader(content)}
     except Exception as e:  # noqa: BLE001  any damage becomes the row's error
@@ -303,6 +311,22 @@ def listing(spark: SparkSession, root: str) -> DataFrame:
     return walk(spark, root).where("kind = 'file'").drop("kind")
 
 
+def stat(paths: DataFrame) -> DataFrame:
+    """(path, modificationTime, length) of the files of `paths(path)` that are there, looked up on the executors."""
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for path in batch.column("path").to_pylist():
+                filesystem, inner = place_of(path)
+                info = filesystem.get_file_info(inner)
+                if info.type == fs.FileType.File:
+                    found.append({"path": path, "modificationTime": info.mtime, "length": info.size})
+            yield pa.RecordBatch.from_pylist(found, pa.schema([("path", pa.string()), ("modificationTime", pa.timestamp("us", "UTC")), ("length", pa.int64())]))
+
+    return paths.select("path").mapInArrow(look, "path string, modificationTime timestamp, length long")
+
+
 def barriers(walked: DataFrame) -> DataFrame:
     """(path, kind): folders that a walk did not look into."""
     return walked.where("kind in ('pruned', 'unreadable')").select("path", "kind")

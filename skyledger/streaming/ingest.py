@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from skyledger.functions import resolve
-from skyledger.operators import delivery, views
-from skyledger.sources import headers
+from skyledger.operators import changes, delivery, views
+from skyledger.sources import header_files, headers
 from skyledger.store import Manifest, Store
 
 
@@ -67,6 +67,37 @@ def ingest(stream: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
     return stream.writeStream.foreachBatch(deliver).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def looks(spark: SparkSession, root: str) -> DataFrame:
+    """A stream of looks at a tree: every header file that is there by path, time and size, none opened."""
+    return header_files.register(spark).readStream.format("headers").option("rows", "listing").load(root)
+
+
+def ingest_looks(stream: DataFrame, folder: str, checkpoint: str, volume: str = "") -> StreamingQuery:
+    """Looks brought into the store of `folder`: only files that its copies don't have by path and time are opened.
+
+    The gate is the store, so a look that is made again, or finds nothing new, publishes nothing.
+    """
+
+    def deliver(batch: DataFrame, number: int) -> None:
+        store = Store(batch.sparkSession, folder)
+        if store.known("looks") < number:
+            listed = batch.withColumns({"volume": F.lit(volume), "mtime": F.col("modificationTime").cast("string")})
+            delivered(store, headers.scan(changes.to_scan(listed, store.table("location"))), "looks", number, F.current_timestamp(), volume)
+
+    return stream.writeStream.foreachBatch(deliver).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def backfill(store: Store, now: Column, volume: str = "", filetype: str = "xisf") -> tuple[Manifest | None, int]:
+    """Reads the headers of a volume's copies of a file type that never had theirs read, and only those.
+
+    Returns the run that was published, if any, and how many copies remain: those whose file is gone or
+    can't be read.
+    """
+    todo = lambda: changes.to_backfill(store.table("location").where(F.col("volume") == volume), store.table("frame"), filetype)
+    found = delivered(store, headers.scan(headers.stat(todo())), "backfill", store.known("backfill") + 1, now, volume)
+    return found, todo().count()
+
+
 def nightly(stream: DataFrame, lateness: str = "2 days") -> DataFrame:
     """Frames and exposure by night, from noon to noon, as the nights close; later records are dropped."""
     timed = stream.withWatermark("ts", lateness)
