@@ -78,15 +78,17 @@ def _cells(rows: DataFrame, radius_km: float, spread: bool) -> DataFrame:
     return rows.withColumn("_s", F.explode(steps)).withColumn("cell", F.struct(*((c + F.col(f"_s.{n}")).alias(n) for c, n in zip(own, "xyz")))).drop("_s")
 
 
-def nearest_site(points: DataFrame, sites: DataFrame, radius_km: float = sky.SITE_KM, earlier: bool = False) -> DataFrame:
+def nearest_site(points: DataFrame, sites: DataFrame, radius_km: float = sky.SITE_KM, earlier: bool = False, since: bool = False) -> DataFrame:
     """(id, site_id, km) of points(id, lat, lon) with a site in reach, the nearest, then the least id.
 
     Both sides meet on cells as wide as the radius, so neither is broadcast nor crossed. With
-    `earlier`, only sites whose id is not above the point's count.
+    `earlier`, only sites whose id is not above the point's count; with `since`, only those whose
+    column `since` is null or not above it.
     """
-    there = _cells(sites.select(F.col("id").alias("site_id"), "lat", "lon"), radius_km, True).select("cell", "site_id", F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon"))
+    own = sites.select(F.col("id").alias("site_id"), "lat", "lon", (F.col("since") if since else F.lit(None).cast("long")).alias("since"))
+    there = _cells(own, radius_km, True).select("cell", "site_id", "since", F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon"))
     pairs = _cells(points.select("id", "lat", "lon"), radius_km, False).join(there, "cell")
-    pairs = pairs.where("site_id <= id") if earlier else pairs
+    pairs = pairs.where("site_id <= id") if earlier else pairs.where("since is null or since <= id") if since else pairs
     km = sky.haversine_km(F.col("lat"), F.col("lon"), F.col("s_lat"), F.col("s_lon"))
     near = pairs.select("id", "site_id", F.round(km, 6).alias("km")).where(F.col("km") <= radius_km)
     return near.groupBy("id").agg(F.min(F.struct("km", "site_id")).alias("b")).select("id", "b.site_id", "b.km")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from skyledger import storage, store
 from skyledger.bridge import Catalog
 from skyledger.functions import sky, text
-from skyledger.operators import changes, delivery, derive, facets, macro, naming, presence, verbs, views
+from skyledger.operators import changes, commits, delivery, derive, facets, macro, naming, presence, sites, verbs, views
 from skyledger.plans.catalog import plan, truths
 
 # Header edits by rule. Cards get types: GAIN is whole, PRICE a fraction, the others are texts.
@@ -704,6 +704,91 @@ def resolver_region(c: Catalog) -> DataFrame:
     return derive.resolved(rows, none, _REGIONS).select("id", "found.canon", "found.source")
 
 
+# Sites run by run: suppliers' places are known, customers' frames come in, some with no place or one that can't be read.
+# Places lie on whole degrees, so within 4 km of each other only where they are equal.
+_SITES = """, known AS (SELECT s_suppkey AS id, ((s_suppkey * 53) % 160 - 80)::DOUBLE AS lat, ((s_suppkey * 97) % 340 - 170)::DOUBLE AS lon, CASE WHEN s_suppkey % 3 = 0 THEN s_name END AS name, 'approved' AS status FROM supplier),
+seen AS (SELECT id, CASE WHEN id % 11 = 0 THEN 'north' WHEN id % 13 = 0 THEN NULL ELSE lat::VARCHAR END AS lat_raw, CASE WHEN id % 13 <> 0 THEN lon::VARCHAR END AS lon_raw, CASE WHEN id % 2 = 0 THEN 1 END AS before, lat, lon FROM point),
+spot AS (SELECT * FROM seen WHERE id % 11 <> 0 AND id % 13 <> 0 AND NOT (lat = 0 AND lon = 0)),
+founded AS (SELECT lat, lon, (SELECT max(id) FROM known) + row_number() OVER (ORDER BY min(id)) AS id FROM spot WHERE (lat, lon) NOT IN (SELECT (lat, lon) FROM known) GROUP BY lat, lon),
+place AS (SELECT lat, lon, min(id) AS id FROM (SELECT id, lat, lon FROM known UNION ALL SELECT id, lat, lon FROM founded) GROUP BY 1, 2),
+given AS (SELECT s.id, p.id AS site, s.before FROM spot s JOIN place p USING (lat, lon))"""
+
+
+def _observed(c: Catalog) -> sites.Observed:
+    k = F.col("s_suppkey")
+    known = c.table("supplier").select(
+        k.alias("id"), F.when(k % 3 == 0, F.col("s_name")).alias("name"), ((k * 53) % 160 - 80).cast("double").alias("lat"), ((k * 97) % 340 - 170).cast("double").alias("lon"),
+        F.lit("approved").alias("status"), F.when((k % 10).isin(1, 2), k - k % 10).alias("merged_into"),
+    )
+    i = F.col("id")
+    frames = c.points().select(
+        "id", F.when(i % 11 == 0, "north").when(i % 13 != 0, F.col("lat").cast("string")).alias("lat_raw"), F.when(i % 13 != 0, F.col("lon").cast("string")).alias("lon_raw"),
+        F.when(i % 2 == 0, 1).cast("long").alias("observatory_id"),
+    )
+    return sites.observed(frames, known)
+
+
+@plan(f"{_SITES} SELECT id, lat, lon, name, status FROM known UNION ALL SELECT id, lat, lon, NULL, 'proposed' FROM founded")
+def state_observatories(c: Catalog) -> DataFrame:
+    return _observed(c).sites.select("id", "lat", "lon", "name", "status")
+
+
+@plan(f"{_SITES} SELECT id, coalesce(g.site, seen.before) AS observatory_id FROM seen LEFT JOIN given g USING (id)")
+def state_frame_sites(c: Catalog) -> DataFrame:
+    return _observed(c).frames.select("id", "observatory_id")
+
+
+@plan(f"""{_SITES}, odd AS (SELECT lat_raw, lon_raw, count(*) AS n FROM seen WHERE id % 11 = 0 GROUP BY 1, 2)
+SELECT 'observatory.proposed' AS verb, 'observatory:' || id AS target, NULL AS reason FROM founded UNION ALL SELECT 'observatory.assigned', 'frame:' || id, NULL FROM given WHERE site IS DISTINCT FROM given.before
+UNION ALL SELECT 'observatory.review_summary', 'frame:*', NULL FROM (SELECT count(*) AS n FROM odd) WHERE n > 0 UNION ALL SELECT 'observatory.review_item', 'frame:*', lat_raw || ', ' || coalesce(lon_raw, '') FROM odd""")
+def events_observatories(c: Catalog) -> DataFrame:
+    return _observed(c).events.select("verb", "target", "reason")
+
+
+# Header edits of every copy: its gain is set twice, and a note is added, or set where there is none.
+_COMMIT = """, verdict AS (SELECT id AS location_id, frame_id, CASE WHEN present = 0 THEN 'skipped: not present' WHEN id % 7 = 0 THEN 'skipped: compressed' WHEN id % 5 = 0 THEN 'blocked: changed since'
+    WHEN id % 3 = 0 THEN 'failed: no such card' ELSE 'applied' END AS status FROM location)"""
+
+
+def _copies(c: Catalog) -> tuple[DataFrame, DataFrame]:
+    locations = c.locations().withColumn("compressed", F.when(F.col("id") % 7 == 0, 1).otherwise(0))
+    cards = locations.select(F.col("id").alias("location_id"), "frame_id").join(_typed(c), "frame_id")
+    return locations, storage.cut(cards.select("location_id", "keyword", "idx", F.coalesce("value_raw", F.col("value_num").cast("string")).alias("value_raw"), "value_type", F.lit(None).cast("string").alias("comment")))
+
+
+def _commit(c: Catalog) -> tuple[commits.Commit, DataFrame]:
+    locations, cards = _copies(c)
+    edit = lambda n, keyword, op, value: F.struct(F.lit(n).alias("n"), F.lit(keyword).alias("keyword"), op.alias("op"), F.lit(value).alias("new_value"))
+    op = F.when(F.col("location_id") % 3 == 0, "set").otherwise("add")
+    rows = commits.header_of(cards).select("location_id", F.when(F.col("location_id") % 5 == 0, "foreign").otherwise(F.col("header_hash")).alias("expected_hash"))
+    rows = rows.select("location_id", "expected_hash", F.explode(F.array(edit(1, "GAIN", F.lit("set"), "first"), edit(2, "NOTE", op, "a note"), edit(3, "GAIN", F.lit("set"), "second"))).alias("e"))
+    none = F.lit(None).cast("string")
+    staged = rows.select(
+        (F.col("location_id") * 10 + F.col("e.n")).alias("id"), F.lit("a").alias("run_id"), "location_id", "e.keyword", F.lit(0).alias("idx"), "e.op", "e.new_value", F.lit("str").alias("new_type"),
+        none.alias("new_comment"), "expected_hash", F.lit("pending").alias("status"), none.alias("reason"),
+    )
+    return commits.committed(staged, cards, locations, "a", "c1", F.lit("2025-01-01")), locations
+
+
+@plan(f"{_COMMIT} SELECT location_id, status FROM verdict")
+def header_commit(c: Catalog) -> DataFrame:
+    return _commit(c)[0].outcome
+
+
+@plan(f"""{_COMMIT} SELECT location_id, keyword, idx, CASE WHEN status = 'applied' AND keyword = 'GAIN' THEN 'second' WHEN keyword = 'PRICE' THEN '(number)' ELSE value_raw END AS value_raw FROM verdict JOIN cards USING (frame_id)
+UNION ALL SELECT location_id, 'NOTE', 0, 'a note' FROM verdict WHERE status = 'applied'""")
+def header_commit_cards(c: Catalog) -> DataFrame:
+    return _commit(c)[0].cards.select("location_id", "keyword", "idx", F.when(F.col("keyword") == "PRICE", "(number)").otherwise(F.col("value_raw")).alias("value_raw"))
+
+
+@plan(f"{_COMMIT} SELECT location_id, CASE WHEN location_id % 11 = 0 THEN 'blocked: changed since' ELSE 'restored' END AS status FROM verdict WHERE status = 'applied'")
+def header_undo(c: Catalog) -> DataFrame:
+    """Every eleventh copy has had its gain changed by something else since the commit."""
+    made, locations = _commit(c)
+    since = made.cards.withColumn("value_raw", F.when((F.col("keyword") == "GAIN") & (F.col("location_id") % 11 == 0), "other").otherwise(F.col("value_raw")))
+    return commits.undone(made.backups, "c1", since, locations).outcome
+
+
 # Truth tables of the remaining functions.
 HOURS = [(5400.0, "1.5 h"), (0.0, "0.0 h"), (360000.0, "100.0 h"), (90.0, "0.0 h")]
 SIZES = [(999.0, "999 B"), (1536.0, "1.5 KB"), (1024.0**2, "1.0 MB"), (3.25 * 1024**3, "3.2 GB"), (5000.0 * 1024**4, "5000.0 TB"), (0.0, "0 B")]
