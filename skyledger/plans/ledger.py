@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from skyledger import storage, store
 from skyledger.bridge import Catalog
 from skyledger.functions import sky, text
-from skyledger.operators import changes, commits, delivery, derive, facets, macro, naming, presence, sites, verbs, views
+from skyledger.operators import changes, commits, delivery, derive, donor, facets, macro, naming, presence, sites, verbs, views
 from skyledger.plans.catalog import plan, truths
 
 # Header edits by rule. Cards get types: GAIN is whole, PRICE a fraction, the others are texts.
@@ -594,15 +594,16 @@ def calibrators(c: Catalog) -> DataFrame:
 _CELLS = "SELECT f.id, p.value_num AS num, p.frame_id IS NOT NULL AS there FROM frame f LEFT JOIN cards p ON p.frame_id = f.id AND p.keyword = 'PRICE'"
 
 
-@plan(f"SELECT id FROM ({_CELLS}) ORDER BY CASE WHEN there THEN 0 ELSE 1 END, CASE WHEN num IS NOT NULL THEN 0 ELSE 1 END DESC, num DESC, id LIMIT 100")
+@plan(f"SELECT id, row_number() OVER (ORDER BY CASE WHEN there THEN 0 ELSE 1 END, CASE WHEN num IS NOT NULL THEN 0 ELSE 1 END DESC, num DESC, id) AS place FROM ({_CELLS})")
 def grid_sort_keyword(c: Catalog) -> DataFrame:
     rows = facets.pivot(c.frames(), c.cards(), ["PRICE"])
-    return rows.orderBy(*views.grid_order(F.col("PRICE_num"), F.col("PRICE_raw"), F.col("has_PRICE"), descending=True), "id").limit(100).select("id")
+    keys = rows.select("id", "PRICE_num", "PRICE_raw", "has_PRICE")
+    return storage.numbered(keys, [*views.grid_order(F.col("PRICE_num"), F.col("PRICE_raw"), F.col("has_PRICE"), descending=True), "id"], name="place").select("id", "place")
 
 
-@plan("SELECT id FROM frame ORDER BY filter_canon IS NULL, lower(filter_canon), id LIMIT 200")
+@plan("SELECT id, row_number() OVER (ORDER BY filter_canon IS NULL, lower(filter_canon), id) AS place FROM frame")
 def grid_group_order(c: Catalog) -> DataFrame:
-    return c.frames().orderBy(*views.group_order(F.col("filter_canon"), False), "id").limit(200).select("id")
+    return storage.numbered(c.frames().select("id", "filter_canon"), [*views.group_order(F.col("filter_canon"), False), "id"], name="place").select("id", "place")
 
 
 @plan("SELECT keyword, count(DISTINCT frame_id) AS n FROM cards GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3")
@@ -789,6 +790,67 @@ def header_undo(c: Catalog) -> DataFrame:
     return commits.undone(made.backups, "c1", since, locations).outcome
 
 
+# Every copy as a donor's file: those in one folder are not met by a scan, a frame in 50 has been repaired, of them half late.
+_DONOR = """, donor AS (SELECT id, path, present = 1 AS reached, CASE WHEN id % 997 = 0 THEN 'unreadable' ELSE 'ok' END AS status, frame_id % 50 = 0 AS repaired, frame_id % 100 = 0 AS late, frame_id FROM location)"""
+
+
+def _donor(c: Catalog) -> tuple[DataFrame, DataFrame]:
+    i = F.col("id")
+    mtime = F.col("mtime").cast("timestamp")
+    files = c.locations().select(
+        "id", "path", F.unix_micros(mtime).cast("double").alias("_us"), F.col("size_bytes").alias("size"), F.lit("fits").alias("filetype"), F.lit(0).alias("hdu_index"), F.lit(0).alias("compressed"),
+        F.sha1("path").alias("header_hash"), F.sha1(F.concat(F.lit("file:"), "path")).alias("sha1_file"), F.sha1(F.concat(F.lit("data:"), F.col("frame_id").cast("string"))).alias("sha1_data"),
+        F.when(i % 997 == 0, "unreadable").otherwise("ok").alias("status"), mtime.alias("scanned_at"), F.lit(0).alias("sha1_data_uncomputable"), (F.col("present") == 1).alias("reached"),
+    )
+    files = files.withColumn("mtime", F.col("_us") / 1_000_000).drop("_us")
+    days = F.when(F.col("frame_id") % 100 == 0, F.expr("INTERVAL 9 DAYS")).otherwise(F.expr("INTERVAL -9 DAYS"))
+    return files, c.locations().where("frame_id % 50 = 0").select("path", (mtime + days).alias("applied_at"))
+
+
+@plan("SELECT '/archive' AS root, count(*) AS n FROM location")
+def import_root(c: Catalog) -> DataFrame:
+    return donor.common_root(_donor(c)[0])
+
+
+@plan(f"{_DONOR} SELECT path, late FROM donor WHERE repaired")
+def import_repaired(c: Catalog) -> DataFrame:
+    return donor.repaired(*_donor(c)).select("path", "late")
+
+
+_VERDICT = f"""{_DONOR}, verdict AS (SELECT path, CASE WHEN id % 17 = 0 THEN 'not readable' WHEN id % 19 = 0 THEN 'other data' WHEN id % 5 <> 0 THEN 'same' WHEN late THEN 'stale, repaired late' WHEN frame_id % 3 = 0 THEN 'stale, repaired here' ELSE 'stale' END AS verdict FROM donor)"""
+
+
+def _verdicts(c: Catalog) -> DataFrame:
+    """Every file read again, as if it were of the sample."""
+    files, repairs = _donor(c)
+    i = F.col("id")
+    read = files.select(
+        "path", F.timestamp_micros(F.round(F.col("mtime") * 1_000_000).cast("long")).alias("mtime"), F.when(i % 5 == 0, "new").otherwise(F.col("header_hash")).alias("header_hash"), "sha1_file",
+        F.when(i % 19 == 0, "new").otherwise(F.col("sha1_data")).alias("sha1_data"), F.when(i % 17 == 0, "gone").alias("error"),
+    )
+    return donor.judged(files, files, read, repairs, c.locations().where("frame_id % 3 = 0").select("path"))
+
+
+@plan(f"{_VERDICT} SELECT path, verdict, verdict IN ('not readable', 'other data', 'stale') AS stops FROM verdict")
+def import_verdicts(c: Catalog) -> DataFrame:
+    return _verdicts(c)
+
+
+@plan(f"""{_VERDICT} SELECT 'files' AS gate, count(*) AS n, true AS ok FROM donor UNION ALL SELECT 'one root', 1, true UNION ALL SELECT 'incomplete files', count(*), count(*) = 0 FROM donor WHERE status <> 'ok'
+UNION ALL SELECT 'network paths', 0, true UNION ALL SELECT 'paths that repeat', 0, true UNION ALL SELECT 'files that no scan meets', count(*), count(*) = 0 FROM donor WHERE reached AND path LIKE '%/_wbpp/%'
+UNION ALL SELECT 'sampled files that differ', count(*), count(*) = 0 FROM verdict WHERE verdict IN ('not readable', 'other data', 'stale') UNION ALL SELECT 'rows in event', count(*), count(*) = 0 FROM event UNION ALL SELECT 'rows in frame', 0, true""")
+def import_preflight(c: Catalog) -> DataFrame:
+    files = _donor(c)[0]
+    listing = files.where(~F.contains("path", F.lit("/_wbpp/")))
+    return donor.gates(files, listing, _verdicts(c), {"frame": c.frames().limit(0), "event": c.events()})
+
+
+@plan(f"""{_DONOR}, held AS (SELECT frame_id, count(*) AS n FROM cards GROUP BY 1) SELECT l.path, coalesce(n, 0)::BIGINT AS n_cards, sha1('data:' || l.frame_id) AS sha1_data, l.size_bytes::BIGINT AS size FROM location l LEFT JOIN held USING (frame_id)""")
+def import_records(c: Catalog) -> DataFrame:
+    cards = c.locations().select(F.col("id").alias("file_id"), "frame_id").join(_typed(c), "frame_id").withColumn("comment", F.lit(None).cast("string"))
+    return donor.scanned(_donor(c)[0], cards).select("path", F.size("cards").cast("long").alias("n_cards"), "sha1_data", "size")
+
+
 # Truth tables of the remaining functions.
 HOURS = [(5400.0, "1.5 h"), (0.0, "0.0 h"), (360000.0, "100.0 h"), (90.0, "0.0 h")]
 SIZES = [(999.0, "999 B"), (1536.0, "1.5 KB"), (1024.0**2, "1.0 MB"), (3.25 * 1024**3, "3.2 GB"), (5000.0 * 1024**4, "5000.0 TB"), (0.0, "0 B")]

@@ -318,7 +318,10 @@ def stat(paths: DataFrame) -> DataFrame:
         for batch in batches:
             found = []
             for path in batch.column("path").to_pylist():
-                filesystem, inner = place_of(path)
+                try:
+                    filesystem, inner = place_of(path)
+                except ValueError:  # no path of any file system that is known here
+                    continue
                 info = filesystem.get_file_info(inner)
                 if info.type == fs.FileType.File:
                     found.append({"path": path, "modificationTime": info.mtime, "length": info.size})

@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from skyledger import storage
 from skyledger.functions import resolve
-from skyledger.operators import changes, delivery, views
+from skyledger.operators import changes, delivery, donor, views
 from skyledger.sources import header_files, headers
 from skyledger.store import Manifest, Store
 
@@ -98,6 +99,31 @@ def backfill(store: Store, now: Column, volume: str = "", filetype: str = "xisf"
     return found, todo().count()
 
 
+def take_over(store: Store, files: DataFrame, cards: DataFrame, repairs: DataFrame, registry: DataFrame, now: Column, volume: str = "", seed: str = "") -> tuple[Manifest | None, DataFrame]:
+    """A donor's catalog brought into an empty store as one run, and the gates that were judged before (see `donor`).
+
+    Nothing is published where one isn't met. Files that are gone are left out. Of files that the donor
+    has repaired after it read them, all are read anew where a sampled one has other facts.
+    """
+    spark = store.spark
+    there = storage.cut(headers.stat(files.select("path").distinct()))
+    files = storage.cut(files.join(there.select("path", F.lit(True).alias("_there")), "path", "left").withColumn("reached", F.coalesce("_there", F.lit(False))).drop("_there"))
+    root = donor.common_root(files).first()["root"]
+    listing = headers.listing(spark, root) if root else there.limit(0)
+    drawn = storage.cut(donor.sample(files.where("reached"), repairs, seed))
+    read = headers.scan(there.join(drawn, "path", "left_semi"))
+    verdicts = storage.cut(donor.judged(drawn, files, read, repairs, registry))
+    gates = storage.cut(donor.gates(files, listing, verdicts, {t: store.table(t) for t in ("frame", "location", "event")}))
+    if not gates.where("not ok").isEmpty():
+        return None, gates
+    kept = files.where("reached")
+    rows = donor.scanned(kept, cards)
+    if not verdicts.where("verdict = 'stale, repaired late'").isEmpty():
+        late = donor.repaired(kept, repairs).where("late").select("path")
+        rows = rows.join(late, "path", "left_anti").unionByName(headers.scan(there.join(late, "path", "left_semi")))
+    return delivered(store, rows, "import", 0, now, volume), gates
+
+
 def nightly(stream: DataFrame, lateness: str = "2 days") -> DataFrame:
     """Frames and exposure by night, from noon to noon, as the nights close; later records are dropped."""
     timed = stream.withWatermark("ts", lateness)
