@@ -31,12 +31,12 @@ def per_canonical(entities: DataFrame, facts: DataFrame, key: str) -> DataFrame:
 
 
 def telescopes(frames: DataFrame) -> DataFrame:
-    """Telescopes by the case-blind name in headers: the first frame's spelling, and how many frames."""
-    rows = frames.where(F.col("telescop").isNotNull() & (F.trim("telescop") != "") & ~F.col("kind").isin(*NO_TELESCOPE))
+    """Telescopes by the case-blind name in headers: the first frame's spelling, the first focal length and ratio that one gives, and how many frames."""
+    rows = frames.where(F.col("telescop").isNotNull() & (F.trim("telescop") != "") & ~F.coalesce(F.col("kind").isin(*NO_TELESCOPE), F.lit(False)))
     name = F.trim("telescop")
-    return rows.groupBy(text.ascii_lower(name).alias("key")).agg(
-        F.min_by(name, "id").alias("telescop_canon"), F.min_by("focallen", F.when(F.col("focallen").isNotNull(), F.col("id"))).alias("focal"), F.count("*").alias("members")
-    )
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("id")))
+    ratio = first("focratio") if "focratio" in frames.columns else F.lit(None).cast("string")
+    return rows.groupBy(text.ascii_lower(name).alias("key")).agg(F.min_by(name, "id").alias("telescop_canon"), first("focallen").alias("focal"), ratio.alias("f_ratio"), F.count("*").alias("members"))
 
 
 def configs(frames: DataFrame) -> DataFrame:

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from skyledger import storage, store
 from skyledger.bridge import Catalog
 from skyledger.functions import sky, text
-from skyledger.operators import changes, commits, delivery, derive, donor, facets, macro, naming, presence, sites, verbs, views
-from skyledger.plans.catalog import plan, truths
+from skyledger.operators import changes, commits, delivery, derive, dimensions, donor, facets, macro, naming, presence, sites, verbs, views
+from skyledger.plans.catalog import _CLASS, _PATHS, RESOLVED_SQL, _key, plan, truths
 
 # Header edits by rule. Cards get types: GAIN is whole, PRICE a fraction, the others are texts.
 _TYPED = """typed AS (SELECT *, CASE keyword WHEN 'GAIN' THEN 'int' WHEN 'PRICE' THEN 'float' ELSE 'str' END AS value_type FROM cards),
@@ -871,3 +871,146 @@ truths("file_time_chosen", [("/a/x_2024-01-02_03-04-05.fits", "2024-01-02 02:04:
 truths("kind_of_raw", [("/a/LIGHTS/x.dng", "light"), ("/a/x.dng", "unknown")], lambda c: views.frame_kind(F.lit("raw"), F.lit("Dark"), c, F.lit(True)))
 truths("kind_of_header", [("Light Frame", "light"), (None, "unknown")], lambda c: views.frame_kind(F.lit("fits"), c, F.lit("/darks/x"), F.lit(True)))
 truths("projection_root", [("/out/_WBPP/x", 1), ("C:\\\\pics\\\\_review", 1), ("/out/WBPP", 0), ("/_wbppx/y", 0)], naming.root_allowed, "int")
+
+
+# Telescopes and their pairs with cameras. Suppliers are known telescopes, each paired with camera 0; headers call some by other names or by none,
+# and half of the frames have a pair, whatever their kind.
+_SCOPES = """, keyed AS (SELECT f.id, f.camera_id, f.exptime AS focallen, CASE WHEN f.id % 5 <> 0 THEN f.xbinning::VARCHAR END AS focratio, CASE WHEN f.id % 2 = 0 THEN f.telescope_id END AS before,
+    f.kind NOT IN ('dark', 'bias', 'master_dark', 'master_bias') AS axis, CASE WHEN f.id % 19 = 0 THEN NULL WHEN f.id % 3 = 0 THEN ' ' || lower(t.telescop_canon) || ' II' WHEN f.id % 3 = 1 THEN upper(t.telescop_canon) ELSE t.telescop_canon END AS telescop,
+    CASE WHEN axis THEN lower(trim(telescop)) END AS key FROM frame f LEFT JOIN telescope t ON t.id = f.telescope_id),
+scope AS (SELECT id, lower(telescop_canon) AS key, telescop_canon, NULL::VARCHAR AS f_ratio_nominal, NULL::BIGINT AS focal_nominal, 'approved' AS status FROM telescope
+    UNION ALL SELECT (SELECT max(id) FROM telescope) + row_number() OVER (ORDER BY key), key, arg_min(trim(telescop), id), arg_min(focratio, id) FILTER (focratio IS NOT NULL), round_even(arg_min(focallen, id) FILTER (focallen IS NOT NULL), 0)::BIGINT, 'proposed'
+    FROM keyed WHERE key IS NOT NULL AND key NOT IN (SELECT lower(telescop_canon) FROM telescope) GROUP BY key),
+asked AS (SELECT k.*, s.id AS telescope_id FROM keyed k LEFT JOIN scope s USING (key)),
+pair AS (SELECT id, id AS telescope_id, 0 AS camera_id FROM telescope UNION ALL SELECT (SELECT max(id) FROM telescope) + row_number() OVER (ORDER BY telescope_id, camera_id), telescope_id, camera_id
+    FROM (SELECT DISTINCT telescope_id, camera_id FROM asked WHERE telescope_id IS NOT NULL AND camera_id IS NOT NULL) WHERE NOT (camera_id = 0 AND telescope_id <= (SELECT max(id) FROM telescope))),
+given AS (SELECT a.*, p.id AS config_id, CASE WHEN NOT axis THEN 'kind without telescope' WHEN a.telescope_id IS NULL THEN 'no telescope' WHEN a.camera_id IS NULL THEN 'no camera' END AS why
+    FROM asked a LEFT JOIN pair p ON p.telescope_id = a.telescope_id AND p.camera_id = a.camera_id)"""
+
+
+def _grouped(c: Catalog) -> dimensions.Derived:
+    k, name = F.col("id"), F.col("telescop_canon")
+    rows = c.frames().join(c.telescopes().select(F.col("id").alias("telescope_id"), "telescop_canon"), "telescope_id", "left")
+    telescop = F.when(k % 19 == 0, None).when(k % 3 == 0, F.concat(F.lit(" "), F.lower(name), F.lit(" II"))).when(k % 3 == 1, F.upper(name)).otherwise(name)
+    frames = rows.select(
+        "id", "kind", "camera_id", F.when(k % 2 == 0, F.col("telescope_id")).alias("config_id"), telescop.alias("telescop"), F.col("exptime").alias("focallen"), F.when(k % 5 != 0, F.col("xbinning").cast("string")).alias("focratio")
+    )
+    none = lambda t: F.lit(None).cast(t)
+    known = c.telescopes().select("id", "telescop_canon", none("string").alias("f_ratio_nominal"), none("long").alias("focal_nominal"), F.lit("approved").alias("status"))
+    pairs = c.telescopes().select("id", F.col("id").alias("telescope_id"), F.lit(0).cast("long").alias("camera_id"))
+    return dimensions.grouped(storage.cut(frames), known, pairs)
+
+
+@plan(f"{_SCOPES} SELECT id, telescop_canon, f_ratio_nominal, focal_nominal, status FROM scope")
+def state_telescopes(c: Catalog) -> DataFrame:
+    return _grouped(c).tables["telescope"]
+
+
+@plan(f"{_SCOPES} SELECT id, telescope_id, camera_id::BIGINT AS camera_id FROM pair")
+def state_configs(c: Catalog) -> DataFrame:
+    return _grouped(c).tables["config"]
+
+
+@plan(f"{_SCOPES} SELECT id, config_id FROM given")
+def state_frame_configs(c: Catalog) -> DataFrame:
+    return _grouped(c).frames.select("id", "config_id")
+
+
+@plan(f"""{_SCOPES} SELECT 'telescope.proposed' AS verb, 'telescope:' || id AS target, NULL AS reason FROM scope WHERE status = 'proposed'
+UNION ALL SELECT 'config.proposed', 'config:' || id, NULL FROM pair WHERE id > (SELECT max(id) FROM telescope) UNION ALL SELECT 'config.assigned', 'frame:' || id, NULL FROM given WHERE config_id IS NOT NULL AND config_id IS DISTINCT FROM before
+UNION ALL SELECT 'config.unassigned', 'frame:' || id, why FROM given WHERE config_id IS NULL AND before IS NOT NULL UNION ALL SELECT 'config.review', 'frame:' || id, why FROM given WHERE axis AND config_id IS NULL""")
+def events_grouper(c: Catalog) -> DataFrame:
+    return _grouped(c).events.select("verb", "target", "reason")
+
+
+# The run after it: headers have lost their telescopes where a frame's number says so, and only those frames are looked at.
+@plan(f"""{_SCOPES} SELECT 'config.unassigned' AS verb, 'frame:' || id AS target, 'no telescope' AS reason FROM given WHERE id % 23 = 0 AND axis AND config_id IS NOT NULL
+UNION ALL SELECT 'config.review', 'frame:' || id, 'no telescope' FROM given WHERE id % 23 = 0 AND axis AND why IS DISTINCT FROM 'no telescope'""")
+def events_grouper_touched(c: Catalog) -> DataFrame:
+    one = _grouped(c)
+    frames = one.frames.withColumn("telescop", F.when(F.col("id") % 23 != 0, F.col("telescop")))
+    log = one.events.select(F.monotonically_increasing_id().alias("id"), "verb", "target", "reason", "payload")
+    two = dimensions.grouped(frames, one.tables["telescope"], one.tables["config"], frames.where("id % 23 = 0").select("id"), log)
+    return two.events.select("verb", "target", "reason")
+
+
+# Objects and filters: nations are known objects, one has an alias, some frames are a user's.
+_NAMED = f""", res AS (SELECT id, CASE WHEN r.canon = 'Veil' THEN (SELECT canon FROM object WHERE id = 5) ELSE r.canon END AS canon, r.source FROM {RESOLVED_SQL} r WHERE id % 50 <> 0 AND r.canon IS NOT NULL),
+obj AS (SELECT id, canon, NULL AS kind FROM object UNION ALL SELECT (SELECT max(id) FROM object) + row_number() OVER (ORDER BY canon), canon, CASE WHEN canon IN ('Moon', 'Saturn') THEN 'solar_system' WHEN canon LIKE 'C/%' THEN 'comet' ELSE 'deep_sky' END
+    FROM (SELECT DISTINCT canon FROM res WHERE canon NOT IN (SELECT canon FROM object))),
+sky AS (SELECT f.id, f.kind IN ('light', 'master_light') AS light, f.object_raw, f.object_id AS id_before, CASE WHEN f.id % 50 = 0 THEN 'user' WHEN f.object_id IS NOT NULL THEN 'header' END AS source_before, r.source, o.id AS found,
+    coalesce(o.id, f.object_id) AS object_id, coalesce(r.source, source_before) AS object_source, f.filter_canon AS filter_before, CASE f.id % 4 WHEN 0 THEN 'Ha' WHEN 1 THEN NULL ELSE f.filter_canon END AS filter_new
+    FROM frame f LEFT JOIN res r USING (id) LEFT JOIN obj o ON o.canon = r.canon),
+still AS (SELECT object_raw AS raw, count(*) AS n FROM sky WHERE light AND object_id IS NULL AND object_raw IS NOT NULL GROUP BY 1)"""
+
+
+def _named(c: Catalog) -> dimensions.Derived:
+    k, none = F.col("id"), F.lit(None).cast("double")
+    frames = c.frames().select(
+        "id", "kind", "object_id", F.when(k % 50 == 0, "user").when(F.col("object_id").isNotNull(), "header").alias("object_source"), "object_raw", none.alias("ra_deg"), none.alias("dec_deg"),
+        F.when(k % 4 == 0, "H-alpha").when(k % 4 == 1, "3").otherwise(F.col("filter_canon")).alias("filter_raw"), "filter_canon",
+    )
+    unknown = F.lit(None).cast("string")
+    aliases = c.objects().where("id = 5").select(F.lit("THEVEIL").alias("alias_norm"), F.col("id").alias("object_id"), F.lit("user").alias("source"))
+    return dimensions.named(frames, c.objects().select("id", "canon", unknown.alias("catalog"), unknown.alias("kind")), aliases)
+
+
+@plan(f"{_NAMED} SELECT id, object_id, object_source, coalesce(filter_new, filter_before) AS filter_canon FROM sky")
+def state_frame_objects(c: Catalog) -> DataFrame:
+    return _named(c).frames.select("id", "object_id", "object_source", "filter_canon")
+
+
+@plan(f"{_NAMED} SELECT id, canon, kind FROM obj")
+def state_object_kinds(c: Catalog) -> DataFrame:
+    return _named(c).tables["object"].select("id", "canon", "kind")
+
+
+@plan(f"""{_NAMED} SELECT 'object.upserted' AS verb, 'object:' || id AS target, NULL AS reason, kind FROM obj WHERE kind IS NOT NULL UNION ALL SELECT 'object.aliased', 'object:' || found, NULL, NULL FROM (SELECT DISTINCT object_raw, found FROM sky WHERE source <> 'alias')
+UNION ALL SELECT 'object.assigned', 'frame:' || id, NULL, NULL FROM sky WHERE found IS NOT NULL AND (object_id IS DISTINCT FROM id_before OR object_source IS DISTINCT FROM source_before)
+UNION ALL SELECT 'filter.backfilled', 'frame:*', NULL, count(*)::VARCHAR FROM sky WHERE filter_new IS NOT NULL AND filter_new IS DISTINCT FROM filter_before HAVING count(*) > 0
+UNION ALL SELECT 'object.review_item', 'frame:*', raw, n::VARCHAR FROM still UNION ALL SELECT 'object.review_summary', 'frame:*', NULL, count(*)::VARCHAR FROM still HAVING count(*) > 0""")
+def events_resolver(c: Catalog) -> DataFrame:
+    told = F.coalesce(*(F.get_json_object("payload", f"$.{name}") for name in ("kind", "count", "n", "distinct")))
+    return _named(c).events.select("verb", "target", "reason", told.alias("kind"))
+
+
+# Recipes: headers lack facts here and there, every frame has one stored, by a user or from a path, and half of the frames have an old recipe.
+_RECIPES = f""", head AS (SELECT id, {_CLASS} AS class, camera_id, xbinning, telescope_id, filter_canon, CASE WHEN exptime IS NOT NULL THEN (id % 4 + 1) * 60.0 END AS exptime,
+    CASE id % 3 WHEN 0 THEN 'gain' WHEN 1 THEN 'set_temp_c' ELSE 'note' END AS k, id % 4 * 50 AS v, id % 2 = 0 AS said, set_temp, CASE WHEN id % 5 <> 0 THEN gain END AS gain, CASE WHEN id % 7 <> 0 THEN offset_adu END AS offset_adu, id // 2 % 3 + 1 AS p FROM frame),
+own AS (SELECT * REPLACE (CASE WHEN k = 'gain' AND said THEN v ELSE coalesce(gain, CASE WHEN k = 'gain' THEN v END) END AS gain, CASE WHEN k = 'set_temp_c' AND said THEN v ELSE coalesce(set_temp, CASE WHEN k = 'set_temp_c' THEN v END) END AS set_temp) FROM head WHERE class IS NOT NULL),
+silent AS (SELECT *, class = 'dark' AND (camera_id IS NULL OR exptime IS NULL OR set_temp IS NULL OR gain IS NULL OR offset_adu IS NULL) AS asks FROM own),
+path AS (SELECT *, CASE WHEN asks AND gain IS NULL THEN list_extract([100, 5, NULL], p) END AS p_gain, CASE WHEN asks AND offset_adu IS NULL THEN list_extract([21, 0, NULL], p) END AS p_offset, CASE WHEN asks AND set_temp IS NULL THEN list_extract([-10, 0, NULL], p) END AS p_temp FROM silent),
+fact AS (SELECT * REPLACE (coalesce(gain, p_gain) AS gain, coalesce(offset_adu, p_offset) AS offset_adu, coalesce(set_temp, p_temp) AS set_temp) FROM path),
+recipe AS (SELECT id, class, p_gain, p_offset, p_temp, CASE class WHEN 'dark' THEN {_key("dark")} ELSE {_key("flat")} END AS key, class || ': lacks ' || CASE class WHEN 'dark' THEN concat_ws(', ', CASE WHEN camera_id IS NULL THEN 'camera_id' END, CASE WHEN exptime IS NULL THEN 'exptime' END,
+    CASE WHEN set_temp IS NULL THEN 'set_temp' END, CASE WHEN gain IS NULL THEN 'gain' END, CASE WHEN offset_adu IS NULL THEN 'offset_adu' END) ELSE concat_ws(', ', CASE WHEN camera_id IS NULL THEN 'camera_id' END, CASE WHEN telescope_id IS NULL THEN 'telescope_id' END) END AS why FROM fact),
+profile AS (SELECT 1::BIGINT AS id, 'old' AS key, 'dark' AS class UNION ALL SELECT 1 + row_number() OVER (ORDER BY key), key, min(class) FROM recipe WHERE key IS NOT NULL GROUP BY key),
+held AS (SELECT f.id, CASE WHEN f.id % 2 = 0 THEN 1 END AS before, p.id AS profile_id, CASE WHEN r.id IS NULL THEN 'no calibration frame' WHEN r.key IS NULL THEN r.why END AS why FROM frame f LEFT JOIN recipe r USING (id) LEFT JOIN profile p ON p.key = r.key)"""
+
+
+def _recipes(c: Catalog) -> dimensions.Derived:
+    k = F.col("id")
+    frames = storage.cut(c.frames().select(
+        "id", "kind", "camera_id", "telescope_id", "filter_canon", F.when(F.col("exptime").isNotNull(), (k % 4 + 1) * 60.0).alias("exptime"), F.col("set_temp").cast("long").alias("set_temp"), F.when(k % 5 != 0, F.col("gain")).cast("long").alias("gain"),
+        F.when(k % 7 != 0, F.col("offset_adu")).alias("offset_adu"), "xbinning", F.element_at(F.array(*map(F.lit, _PATHS)), (F.floor(k / 2) % 3 + 1).cast("int")).alias("path"), F.when(k % 2 == 0, 1).cast("long").alias("profile_id"),
+    ))
+    facts = frames.select(F.col("id").alias("frame_id"), F.when(k % 3 == 0, "gain").when(k % 3 == 1, "set_temp_c").otherwise("note").alias("key"), (k % 4 * 50).cast("string").alias("value"), F.when(k % 2 == 0, "user").otherwise("path").alias("source"))
+    old = c.spark.createDataFrame([(1, "old", "dark")], "id long, profile_key string, recipe_class string")
+    return dimensions.calibrated(frames, old, facts)
+
+
+@plan(f"{_RECIPES} SELECT id, key AS profile_key, class AS recipe_class FROM profile")
+def state_recipes(c: Catalog) -> DataFrame:
+    return _recipes(c).tables["calibration_profile"]
+
+
+@plan(f"{_RECIPES} SELECT id, profile_id FROM held")
+def state_frame_recipes(c: Catalog) -> DataFrame:
+    return _recipes(c).frames.select("id", "profile_id")
+
+
+@plan(f"""{_RECIPES}, open AS (SELECT why, count(*) AS n FROM recipe WHERE key IS NULL GROUP BY 1), found AS (SELECT id, unnest([p_gain, p_offset, p_temp]) AS value FROM recipe)
+SELECT 'calibration_profile.proposed' AS verb, 'calibration_profile:' || id AS target, NULL AS reason FROM profile WHERE id > 1 UNION ALL SELECT 'calibration.fact', 'frame:' || id, NULL FROM found WHERE value IS NOT NULL
+UNION ALL SELECT 'calibration_profile.unassigned', 'frame:' || id, why FROM held WHERE before IS NOT NULL UNION ALL SELECT 'calibration_profile.assigned', 'frame:' || id, NULL FROM held WHERE profile_id IS NOT NULL
+UNION ALL SELECT 'calibration.review_item', 'frame:*', why FROM open UNION ALL SELECT 'calibration.review_summary', 'frame:*', NULL FROM open HAVING count(*) > 0""")
+def events_calibration(c: Catalog) -> DataFrame:
+    return _recipes(c).events.select("verb", "target", "reason")
