@@ -18,7 +18,7 @@ from skyledger.operators import verbs
 from skyledger.storage import cut
 
 #: What a header gives, besides its hash: typed columns of the `header` table.
-TYPED = ("date_obs", "exptime", "filter_raw", "instrume", "telescop", "xpixsz", "gain", "object_raw")
+TYPED = ("date_obs", "exptime", "filter_raw", "instrume", "telescop", "xpixsz", "gain", "object_raw", "focallen", "focratio_raw", "offset_adu", "set_temp", "xbinning", "ra_deg", "dec_deg", "lat_raw", "lon_raw")
 
 
 class Delivered(NamedTuple):

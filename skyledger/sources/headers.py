@@ -390,6 +390,7 @@ HOT = {
     "focallen": ("FOCALLEN", "float"), "focratio_raw": ("FOCRATIO", "float"), "xpixsz": ("XPIXSZ", "float"), "ypixsz": ("YPIXSZ", "float"), "gain": ("GAIN", "text"), "offset_adu": ("OFFSET", "int"),
     "ccd_temp": ("CCD-TEMP", "float"), "usblimit": ("USBLIMIT", "int"), "xbinning": ("XBINNING", "int"), "ybinning": ("YBINNING", "int"), "bayerpat": ("BAYERPAT", "text"),
     "ra_deg": ("RA", "float"), "dec_deg": ("DEC", "float"), "object_raw": ("OBJECT", "text"),
+    "set_temp": ("SET-TEMP", "int"), "lat_raw": ("SITELAT", "text"), "lon_raw": ("SITELONG", "text"),
 }
 
 
