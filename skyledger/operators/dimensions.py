@@ -24,6 +24,10 @@ from skyledger.storage import cut, numbered
 FACTS = {"exptime": ("exptime", text.to_float), "set_temp_c": ("set_temp", text.to_int), "gain": ("gain", text.to_int), "offset_adu": ("offset_adu", text.to_int), "xbinning": ("xbinning", text.to_int), "telescope_id": ("telescope_id", text.to_int)}
 
 
+#: How many ways rows of one key are dealt where they meet the entity of their key.
+WAYS = 8
+
+
 class Derived(NamedTuple):
     """Frames after a run, the tables of entities by name, and the events."""
 
@@ -50,6 +54,13 @@ def _looked_at(frames: DataFrame, ids: DataFrame | None) -> DataFrame:
     return frames if ids is None else frames.join(ids.select("id").distinct(), "id", "left_semi")
 
 
+def led(rows: DataFrame, entities: DataFrame, keys: list[str]) -> DataFrame:
+    """`rows` with the entity of their keys, one at most, or nulls; rows of one key, or of none, are dealt in several ways by id."""
+    way = F.pmod(F.xxhash64("id"), F.lit(WAYS)).cast("int")
+    there = entities.withColumn("_way", F.explode(F.sequence(F.lit(0), F.lit(WAYS - 1))))
+    return rows.withColumn("_way", way).join(there, [*keys, "_way"], "left").drop("_way")
+
+
 def _founded(entities: DataFrame, new: DataFrame, keys: list[str], noun: str, told: list[str], actor: str) -> verbs.Change:
     """Entities for rows of keys that have none, with ids that follow in the order of the keys."""
     top = entities.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
@@ -91,12 +102,12 @@ def grouped(frames: DataFrame, telescopes: DataFrame, configs: DataFrame, ids: D
     whole = derive.telescopes(keyed.join(cut(new), "_key", "left_semi"))
     whole = whole.select("key", "telescop_canon", F.col("f_ratio").alias("f_ratio_nominal"), F.bround("focal", 0).cast("long").alias("focal_nominal"), F.lit("proposed").alias("status"), F.col("members").alias("member_count"))
     made = _founded(telescopes, whole, ["key"], "telescope", ["telescop_canon", "f_ratio_nominal", "focal_nominal", "member_count"], actor)
-    rows = cut(rows.join(by_key(made.table), "_key", "left"))
+    rows = cut(led(rows, by_key(made.table), ["_key"]))
     pairs = rows.where("telescope_id is not null and camera_id is not null").select("telescope_id", "camera_id").distinct()
     paired = _founded(configs, pairs.join(configs.select("telescope_id", "camera_id"), ["telescope_id", "camera_id"], "left_anti"), ["telescope_id", "camera_id"], "config", ["telescope_id", "camera_id"], actor)
     known = paired.table.groupBy("telescope_id", "camera_id").agg(F.min("id").alias("_new"))
     why = F.when(~F.col("_axis"), "kind without telescope").when(F.col("telescope_id").isNull(), "no telescope").when(F.col("camera_id").isNull(), "no camera")
-    wanted = cut(rows.join(known, ["telescope_id", "camera_id"], "left").select("id", "_new", why.alias("_why"), "_axis"))
+    wanted = cut(led(rows, known, ["telescope_id", "camera_id"]).select("id", "_new", why.alias("_why"), "_axis"))
     given = _pointed(frames, wanted, "config_id", "config", "config_id", actor, False)
     review = verbs._events(wanted.where("_axis and _new is null"), actor, "config.review", verbs._at("frame", "id"), F.col("_why"))
     log = None if log is None else log.where("verb = 'config.review'")
@@ -185,7 +196,7 @@ def calibrated(frames: DataFrame, profiles: DataFrame, facts: DataFrame, ids: Da
     new = rows.where("profile_key is not null").groupBy("profile_key").agg(F.min("_class").alias("recipe_class")).join(profiles.select("profile_key"), "profile_key", "left_anti")
     made = _founded(profiles, new, ["profile_key"], "calibration_profile", ["profile_key", "recipe_class"], actor)
     known = made.table.groupBy("profile_key").agg(F.min("id").alias("_new"))
-    wanted = rows.join(known, "profile_key", "left").select("id", "_new", "_why")
+    wanted = led(rows, known, ["profile_key"]).select("id", "_new", "_why")
     stale = looked.where("_class is null and profile_id is not null").select("id", F.lit(None).cast("long").alias("_new"), F.lit("no calibration frame").alias("_why"))
     given = _pointed(frames, cut(wanted.unionByName(stale)), "profile_id", "calibration_profile", "profile_id", actor, True)
     items = rows.where("profile_key is null").groupBy(F.coalesce("_why", F.concat(F.col("_class"), F.lit(": lacks a fact"))).alias("raw")).agg(F.count("*").alias("n"))

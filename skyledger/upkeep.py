@@ -61,7 +61,7 @@ def derived(store: Store, now: Column, regions: list[tuple[str, float, float, fl
     frames = frames.join(at, "id", "left").withColumn("observatory_id", F.when(F.col("_seen"), F.col("_site")).otherwise(F.col("observatory_id"))).drop("_site", "_seen")
     grouped = dimensions.grouped(cut(frames), table("telescope"), table("config"), ids, log)
     pairs = cut(grouped.tables["config"])
-    frames = cut(grouped.frames.drop("telescope_id").join(pairs.select(F.col("id").alias("config_id"), "telescope_id"), "config_id", "left"))
+    frames = cut(dimensions.led(grouped.frames.drop("telescope_id"), pairs.select(F.col("id").alias("config_id"), "telescope_id"), ["config_id"]))
     again = cut(ids.union(dimensions.touched(named.events)).union(dimensions.touched(grouped.events)).distinct())
     recipes = dimensions.calibrated(frames, table("calibration_profile"), table("calibration_fact"), again, log)
     frames, facts = cut(recipes.frames), cut(recipes.tables["calibration_fact"])
