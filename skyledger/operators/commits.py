@@ -13,6 +13,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from skyledger.operators import verbs
 from skyledger.storage import cut
@@ -34,23 +35,43 @@ class Commit(NamedTuple):
 def header_of(cards: DataFrame) -> DataFrame:
     """(location_id, header, header_hash): a copy's cards in order and their hash. A header is a bounded list."""
     grouped = cards.groupBy("location_id").agg(F.array_sort(F.collect_list(F.struct(*CARD))).alias("header"))
-    return grouped.withColumn("header_hash", F.sha1(F.to_json("header", {"ignoreNullFields": "false"})))
+    return grouped.withColumn("header_hash", hashed(F.col("header")))
 
 
-def folded(edits: DataFrame, cards: DataFrame) -> DataFrame:
-    """(location_id, keyword, idx, last, wrong): edits of a card in the order of their ids as one, and why they can't be made.
+def hashed(header: Column) -> Column:
+    """The hash of a list of cards in order."""
+    return F.sha1(F.to_json(header, {"ignoreNullFields": "false"}))
 
-    `set` needs a card, `add` none; after an `add` the card is there for those that follow.
+
+def _folded(header: Column, edits: Column, kind: DataType) -> tuple[Column, Column]:
+    """A copy's header after its edits, and why they can't be made: edits of a card, in the order of their ids, are one.
+
+    `set` needs a card, `add` none; after an `add` the card is there for those that follow. A header and
+    the edits of a copy are bounded lists, so all happens in the copy's row.
     """
-    step = F.struct("id", "op", "new_value", "new_type", "new_comment")
-    rows = edits.groupBy("location_id", "keyword", "idx").agg(F.min(step).alias("first"), F.max(step).alias("last"), F.count_if(F.col("op") == "add").alias("adds"), F.count_if(F.coalesce(~F.col("op").isin("set", "add"), F.lit(True))).alias("others"))
-    there = cards.select("location_id", "keyword", "idx", F.lit(True).alias("there"))
-    rows = rows.join(there, ["location_id", "keyword", "idx"], "left")
-    wrong = (
-        F.when(F.col("others") > 0, "unknown operation").when(F.col("there").isNull() & (F.col("first.op") == "set"), "no such card")
-        .when(F.col("adds") > F.when(F.col("there").isNull(), 1).otherwise(0), "the card is there")
-    )
-    return rows.select("location_id", "keyword", "idx", "last", wrong.alias("wrong"))
+    key = lambda c: F.struct(c["keyword"].alias("keyword"), c["idx"].alias("idx"))
+    of = lambda c: F.filter(edits, lambda e: (e["keyword"] == c["keyword"]) & (e["idx"] == c["idx"]))
+    there = lambda k: F.coalesce(F.exists(header, lambda h: (h["keyword"] == k["keyword"]) & (h["idx"] == k["idx"])), F.lit(False))
+    keys = F.array_distinct(F.transform(edits, key))
+    own = F.transform(keys, lambda k: F.struct(k.alias("k"), F.filter(edits, lambda e: key(e).eqNullSafe(k)).alias("edits"), there(k).alias("there")))
+
+    def wrong(x: Column) -> Column:
+        adds, others = F.size(F.filter(x["edits"], lambda e: e["op"] == "add")), F.exists(x["edits"], lambda e: F.coalesce(~e["op"].isin("set", "add"), F.lit(True)))
+        return (
+            F.when(others, "unknown operation").when(~x["there"] & (x["edits"][0]["op"] == "set"), "no such card").when(adds > F.when(x["there"], 0).otherwise(1), "the card is there")
+        )
+
+    def changed(h: Column) -> Column:
+        last = F.try_element_at(of(h), F.lit(-1))
+        # A comment that an edit doesn't give stays.
+        return F.when(last.isNotNull(), F.struct(h["keyword"], h["idx"], last["new_value"], F.coalesce(last["new_type"], h["value_type"]), F.coalesce(last["new_comment"], h["comment"])).cast(kind.elementType)).otherwise(h)
+
+    def added(x: Column) -> Column:
+        last = F.element_at(x["edits"], -1)
+        return F.struct(x["k"]["keyword"], x["k"]["idx"], last["new_value"], last["new_type"], last["new_comment"]).cast(kind.elementType)
+
+    new = F.concat(F.transform(header, changed), F.transform(F.filter(own, lambda x: ~x["there"]), added))
+    return F.array_sort(new), F.array_min(F.filter(F.transform(own, wrong), lambda w: w.isNotNull()))
 
 
 def committed(staged: DataFrame, cards: DataFrame, locations: DataFrame, run_id: str, commit_id: str, at: Column, actor: str = "user:local") -> Commit:
@@ -61,41 +82,34 @@ def committed(staged: DataFrame, cards: DataFrame, locations: DataFrame, run_id:
     or an edit can't be made. Of those, none of its cards changes. Other runs' rows stay as they are.
     """
     mine = (F.col("run_id") == run_id) & (F.col("status") == "pending")
-    asked = cut(staged.where(mine))
-    touched = cut(cards.join(asked.select("location_id").distinct(), "location_id", "left_semi"))
-    before = cut(header_of(touched))
-    edits = cut(folded(asked, touched))
-    copies = asked.groupBy("location_id").agg(F.min(F.struct("id", "expected_hash")).alias("f")).select("location_id", "f.expected_hash")
-    wrong = edits.groupBy("location_id").agg(F.min("wrong").alias("wrong"))
+    step = F.struct("id", "keyword", "idx", "op", "new_value", "new_type", "new_comment")
+    copies = staged.where(mine).groupBy("location_id").agg(F.array_sort(F.collect_list(step)).alias("edits"), F.min(F.struct("id", "expected_hash")).alias("f"))
+    copies = cut(copies.select("location_id", "edits", "f.expected_hash"))
     known = locations.select(F.col("id").alias("location_id"), "frame_id", "present", "compressed")
-    rows = copies.join(known, "location_id", "left").join(before.select("location_id", "header_hash"), "location_id", "left").join(wrong, "location_id", "left")
+    before = header_of(cards.join(copies.select("location_id"), "location_id", "left_semi"))
+    kind = before.schema["header"].dataType
+    rows = copies.join(known, "location_id", "left").join(before, "location_id", "left")
+    new, wrong = _folded(F.coalesce("header", F.array().cast(kind)), F.col("edits"), kind)
+    rows = rows.withColumn("wrong", wrong)
     status = (
         F.when(F.col("present").isNull(), "failed: no copy").when(F.col("present") == 0, "skipped: not present").when(F.col("compressed") == 1, "skipped: compressed")
         .when(~F.col("header_hash").eqNullSafe(F.col("expected_hash")), "blocked: changed since").when(F.col("wrong").isNotNull(), F.concat(F.lit("failed: "), F.col("wrong"))).otherwise("applied")
     )
-    rows = cut(rows.withColumn("status", status))
+    applied = F.col("status") == "applied"
+    rows = rows.withColumn("status", status).select("location_id", "frame_id", "status", F.when(applied, F.col("header")).alias("header"), "header_hash", F.when(applied, new).alias("new"))
+    rows = cut(rows.withColumn("post_hash", F.when(applied, hashed(F.col("new")))))
     outcome = rows.select("location_id", "status")
-    done = rows.where("status = 'applied'").select("location_id", "frame_id", "header_hash")
-    place = ["location_id", "keyword", "idx"]
-    made = edits.join(done.select("location_id"), "location_id", "left_semi").select(*place, "last")
-    old = touched.join(done.select("location_id"), "location_id", "left_semi").select("location_id", *CARD)
-    new = old.join(made, place, "full_outer")
-    took = lambda c, n: F.when(F.col("last").isNotNull(), F.col(f"last.{n}")).otherwise(F.col(c))
-    # A comment that an edit doesn't give stays.
-    note = F.coalesce("last.new_comment", "comment")
-    new = cut(new.select(*place, took("value_raw", "new_value").alias("value_raw"), F.coalesce("last.new_type", "value_type").alias("value_type"), note.alias("comment")))
-    after = header_of(new).select("location_id", F.col("header_hash").alias("post_hash"))
-    changed = cut(done.join(after, "location_id"))
-    backups = changed.select("location_id", "post_hash").join(before, "location_id", "left").select(F.lit(commit_id).alias("commit_id"), "location_id", "header", "header_hash", "post_hash")
+    done = rows.where(applied)
+    backups = done.select(F.lit(commit_id).alias("commit_id"), "location_id", "header", "header_hash", "post_hash")
     head = lambda word: F.count_if(F.startswith("status", F.lit(word))).alias(f"n_{word}")
     words = ("applied", "blocked", "failed", "skipped")
     commit = outcome.agg(*map(head, words)).where("n_applied > 0").select(F.lit(commit_id).alias("commit_id"), F.lit(run_id).alias("run_id"), at.alias("at"), *(f"n_{w}" for w in words))
     hashes = F.to_json(F.struct(F.col("header_hash").alias("header_hash_before"), F.col("post_hash").alias("header_hash_after")), {"ignoreNullFields": "false"})
-    events = verbs._events(changed.where(~F.col("header_hash").eqNullSafe(F.col("post_hash"))), actor, "header.refreshed", verbs._at("frame", "frame_id"), None, hashes)
+    events = verbs._events(done.where(~F.col("header_hash").eqNullSafe(F.col("post_hash"))), actor, "header.refreshed", verbs._at("frame", "frame_id"), None, hashes)
     rest = cards.join(done.select("location_id"), "location_id", "left_anti")
     told = outcome.select("location_id", F.split("status", ": ", 2).alias("_s"))
     log = staged.join(told, "location_id", "left").withColumns({"status": F.when(mine, F.col("_s")[0]).otherwise(F.col("status")), "reason": F.when(mine, F.get("_s", F.lit(1))).otherwise(F.col("reason"))})
-    return Commit(rest.unionByName(new, allowMissingColumns=True).select(cards.columns), log.select(staged.columns), outcome, commit, backups, events)
+    return Commit(rest.unionByName(done.select("location_id", F.inline("new")), allowMissingColumns=True).select(cards.columns), log.select(staged.columns), outcome, commit, backups, events)
 
 
 class Undo(NamedTuple):

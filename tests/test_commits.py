@@ -82,3 +82,14 @@ def test_undo_newest_first_and_once(spark, base):
     assert set(status(commits.undone(backups, "c1", whole.cards, places)).values()) == {"blocked: changed since"}
     gone = commits.undone(backups, "c1", back.cards, places.where("id <> 4"))
     assert status(gone) == {1: "restored", 4: "failed: no copy"}
+
+
+def test_a_commit_moves_a_copy_once_and_stores_columns(spark, base, monkeypatch):
+    cards, places, hashes = base
+    kept, cut = [], commits.cut
+    monkeypatch.setattr(commits, "cut", lambda df: kept.append(cut(df)) or kept[-1])
+    found = commits.committed(staged(spark, [(1, 1, "GAIN", 0, "set", "x")], hashes), cards, places, "a", "c1", F.lit(NOW))
+    assert len(kept) == 2 and all(df.inputFiles() for df in kept)
+    # All that follows is read from a row for each copy: what became of it needs no shuffle any more.
+    assert "Exchange" not in found.outcome._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in found.backups._jdf.queryExecution().executedPlan().toString()
