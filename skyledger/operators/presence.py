@@ -84,12 +84,11 @@ def run(
     scoped = locations.where((F.col("present") == 1) & (F.col("volume") == volume) & inside & known).select("id", "path", "frame_id")
     files = walked.where("kind = 'file'").select("path").distinct()
     seen = F.lit(True).alias("_seen")
-    rows = cut(scoped.join(files.select("path", seen), "path", "left"))
-    missing = rows.where("_seen is null").select("id", "path", "frame_id")
+    missing = cut(scoped.join(files.select("path", seen), "path", "left").where("_seen is null").select("id", "path", "frame_id"))
     shut = verbs.behind(missing.select("id", "path"), headers.barriers(walked)).select("id", F.lit(True).alias("_hidden"))
     missing = cut(missing.join(shut, "id", "left"))
     open_ = missing.where("_hidden is null")
-    n_scoped, n_walked, n_hidden, n = rows.count(), files.count(), missing.where("_hidden").count(), open_.count()
+    n_scoped, n_walked, n_hidden, n = scoped.count(), files.count(), missing.where("_hidden").count(), open_.count()
     brake = changes.brake(n_scoped, n_walked, n)
     counted = {"scoped": n_scoped, "walked": n_walked, "hidden": n_hidden, "candidates": n, "brake": brake}
     plain = missing.select("id", "path", F.when(F.col("_hidden"), "hidden").otherwise("not looked at").alias("state"))

@@ -59,14 +59,16 @@ def unreadable(locations: DataFrame, failures: DataFrame, now: Column, actor: st
 
 def vanished(locations: DataFrame, gone: DataFrame, run_id: str, forced: bool = False, actor: str = "presence") -> Change:
     """Copies whose file is gone, from gone(id, path): not present, no mark; a path that has changed since is left alone."""
-    asked = gone.select("id", F.col("path").alias("_path"))
-    rows = locations.join(asked, "id", "left")
-    moved = F.col("_path").isNotNull() & (F.col("_path") == F.col("path")) & (F.col("present") == 1)
-    rows = rows.withColumn("_moved", F.coalesce(moved, F.lit(False)))
+    # Rows meet by path, and ids in that path's list: where copies are dealt by path, none is dealt again.
+    asked = gone.where("path is not null").groupBy("path").agg(F.collect_set("id").alias("_ids"))
+    rows = locations.join(asked, "path", "left").withColumn("_asked", F.coalesce(F.array_contains("_ids", F.col("id")), F.lit(False)))
+    rows = rows.withColumn("_moved", F.coalesce(F.col("_asked") & (F.col("present") == 1), F.lit(False)))
     new = rows.withColumns({"present": F.when(F.col("_moved"), 0).otherwise(F.col("present")), "unreadable_since": F.when(~F.col("_moved"), F.col("unreadable_since"))})
     payload = F.to_json(F.struct("path", "volume", F.lit(run_id).alias("run_id"), F.col("unreadable_since").alias("unreadable_since_before"), F.lit(forced).alias("forced")), {"ignoreNullFields": "false"})
-    outcome = rows.where("_path is not null").select("id", F.when(F.col("_moved"), "vanished").when(F.col("path") != F.col("_path"), "drifted").otherwise("already gone").alias("outcome"))
-    return Change(new.select(locations.columns), _events(rows.where("_moved"), actor, "location.vanished", _at("location", "id"), None, payload), outcome)
+    met = cut(rows.where("_asked").select("id", F.when(F.col("_moved"), "vanished").otherwise("already gone").alias("outcome")))
+    other = gone.where("path is not null").select("id").distinct().join(met, "id", "left_anti")
+    strayed = locations.select("id", F.col("path").isNotNull().alias("_placed")).join(other, "id").select("id", F.when(F.col("_placed"), "drifted").otherwise("already gone").alias("outcome"))
+    return Change(new.select(locations.columns), _events(rows.where("_moved"), actor, "location.vanished", _at("location", "id"), None, payload), met.unionByName(strayed))
 
 
 def flagged(frames: DataFrame, flags: dict[str, tuple[Column, Column]], actor: str = "scan") -> DataFrame:

@@ -52,6 +52,20 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """`df` written as `cut` does, dealt by `keys`: rows read of it meet and are counted by just these keys without being dealt again.
+
+    Its name in the session's catalog is taken away again; the files stay.
+    """
+    spark = df.sparkSession
+    n, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"dealt_{uuid.uuid4().hex}"
+    rows = df.repartition(n, *keys).write.bucketBy(n, *keys).option("compression", "zstd").option("path", scratch(spark, "dealt"))
+    rows.format("parquet").saveAsTable(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return table
+
+
 def numbered(rows: DataFrame, order: list[str | Column], after: int = 0, name: str = "id") -> DataFrame:
     """`rows` with the numbers that follow `after`, by `order`, a range of rows in each task.
 

@@ -1,6 +1,10 @@
 """Queries that read copies several times number them once."""
 
+import pytest
+from pyspark.sql import functions as F
+
 from skyledger.bridge import Catalog
+from skyledger.operators import donor, verbs
 from skyledger.plans import ledger
 
 SF = "/root/testdata/sf0.001"
@@ -13,3 +17,38 @@ def test_copies_are_numbered_once_and_stay_the_same(spark):
         assert "Window" not in df._jdf.queryExecution().executedPlan().toString()
     stored = c.stored_locations()
     assert stored is c.stored_locations() and stored.exceptAll(c.locations()).isEmpty() and stored.count() == c.locations().count()
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture
+def shuffled(spark):
+    """Joins as over large tables: none by broadcast."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield Catalog(spark, SF)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_donor_files_meet_by_path_without_being_dealt_again(shuffled):
+    assert "hashpartitioning(path" not in plan(ledger._verdicts(shuffled))
+
+
+def test_gone_copies_are_marked_without_dealing_the_table_again(spark, shuffled):
+    locations = shuffled.stored_locations("path").withColumn("unreadable_since", F.lit(None).cast("string"))
+    row = locations.where("present = 1").first()
+    twin = locations.where(F.col("id") == row.id).withColumns({"id": F.lit(-1).cast("long"), "volume": F.lit("other")})
+    gone = spark.createDataFrame([(row.id, row.path), (-2, row.path), (-1, "/moved")], "id long, path string")
+    found = verbs.vanished(locations, gone, "r")
+    assert "hashpartitioning(id" not in plan(found.table) and plan(found.table).count("hashpartitioning(path") == 1
+    found = verbs.vanished(locations.unionByName(twin), gone, "r")
+    assert found.table.where(F.col("path") == row.path).where("present = 1").select("id").collect() == [(-1,)] and found.table.count() == locations.count() + 1
+    assert {tuple(r) for r in found.outcome.collect()} == {(row.id, "vanished"), (-1, "drifted")}
+
+
+def test_records_of_a_donor_are_dealt_once_for_their_cards(shuffled):
+    files = ledger._donor(shuffled, "id")[0]
+    cards = files.select(F.col("id").alias("file_id"), F.lit("A").alias("keyword"), F.lit(0).alias("idx"), F.lit("a").alias("value_raw"), F.lit(None).cast("double").alias("value_num"), F.lit("str").alias("value_type"), F.lit(None).cast("string").alias("comment"))
+    assert "hashpartitioning(id" not in plan(donor.scanned(files, cards))
