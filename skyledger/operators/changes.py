@@ -49,7 +49,10 @@ def classified(records: DataFrame, frames: DataFrame, locations: DataFrame) -> D
     """What becomes of each scanned record (volume, path, sha1_data, mtime): the ingest's action."""
     known = locations.select("volume", "path", F.col("frame_sha1").alias("old_sha1"), F.col("mtime").alias("old_mtime"), F.col("present").alias("was_present"))
     data = frames.select("sha1_data", F.lit(True).alias("frame_known")).distinct()
-    rows = records.join(known, ["volume", "path"], "left").join(data, "sha1_data", "left")
+    rows = records.join(known, ["volume", "path"], "left")
+    # Only places without a known content ask whether theirs is known.
+    asks = F.col("error").isNull() & F.col("old_sha1").isNull()
+    rows = rows.where(asks).join(data, "sha1_data", "left").unionByName(rows.where(~asks), allowMissingColumns=True)
     action = (
         F.when(F.col("error").isNotNull(), "unreadable").when(F.col("old_sha1").isNull() & F.col("frame_known").isNull(), "new frame").when(F.col("old_sha1").isNull(), "new copy")
         .when(F.col("old_sha1") != F.col("sha1_data"), "rebound").when((F.col("old_mtime") != F.col("mtime")) | (F.col("was_present") == 0), "refreshed").otherwise("unchanged")

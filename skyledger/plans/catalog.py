@@ -410,7 +410,7 @@ def incremental_gate(c: Catalog) -> DataFrame:
 
 @plan("""SELECT volume, path, CASE WHEN id % 31 = 0 THEN 'unreadable' WHEN id % 7 = 0 THEN 'new copy' WHEN id % 6 = 0 AND frame_id <> 1 THEN 'rebound' WHEN present = 0 THEN 'refreshed' ELSE 'unchanged' END AS action FROM location""")
 def ingest_actions(c: Catalog) -> DataFrame:
-    rows = c.stored_locations().join(c.frames().select(F.col("id").alias("frame_id"), "sha1_data"), "frame_id")
+    rows = c.stored_copies()
     known = rows.where("id % 7 <> 0").withColumn("frame_sha1", F.col("sha1_data"))
     scanned = rows.select("volume", "path", F.when(F.col("id") % 6 == 0, F.sha1(F.lit("1"))).otherwise(F.col("sha1_data")).alias("sha1_data"), "mtime", F.when(F.col("id") % 31 == 0, "broken").alias("error"), "id")
     return changes.classified(scanned, c.frames(), known)
