@@ -294,41 +294,59 @@ def may_mark(counts: dict[str, int], walked: int, force: int | None = None) -> s
 
 
 class Ingested(NamedTuple):
-    """All tables after an ingest, its events, and what was read of known copies: `restated` has (frame_id, volume, path, before, after) of those whose header_hash is another."""
+    """All tables after an ingest, its events, and what was read of known copies: `restated` has (frame_id, volume, path, before, after) of those whose header_hash is another.
+
+    `looked` has (volume, path, sha1_data) of what could be read and is new or has another content: only there can new frames come from.
+    """
 
     frames: DataFrame
     locations: DataFrame
     events: DataFrame
     restated: DataFrame | None = None
+    looked: DataFrame | None = None
 
 
 #: What is known of a copy's file, besides that it is there and can be read; those of them that a table has are compared.
 COPY = ("mtime", "file_sha1", "header_hash", "hdu_index", "compressed", "size_bytes")
 
 
-def ingested(records: DataFrame, frames: DataFrame, locations: DataFrame, now: Column, actor: str = "scan") -> Ingested:
+def ingested(records: DataFrame, frames: DataFrame, locations: DataFrame, now: Column, actor: str = "scan", keep: bool = True) -> Ingested:
     """Scanned records(volume, path, sha1_data, kind, filetype, error, and what is known of the file) brought into the tables.
 
     A frame is a content: new contents become frames, kind unknown where the file could not be read. A
     copy is a place: a new place is added, another content under a known one rebinds it, other facts
     refresh it (its event has each changed fact before and after), and a known place that can't be read
     keeps its frame and gets a mark. A place that repeats counts once, by its least content.
+
+    Records and copies meet once, by place. Only rows that are new or have another content than their
+    frame, whose content `locations` may have as `frame_sha1`, look frames up. What has met is stored, as all tables read
+    it; with `keep` false each meets it anew, which costs less where both sides are stored dealt by place.
     """
     facts = [f for f in COPY if f in records.columns and f in locations.columns]
-    once = records.groupBy("volume", "path").agg(F.min(F.struct("sha1_data", "kind", "filetype", *facts, "error")).alias("r")).select("volume", "path", "r.*")
-    known = locations.select("volume", "path", F.col("id").alias("_location"), F.col("frame_id").alias("_frame"))
-    rows = cut(once.join(known, ["volume", "path"], "left"))
-    seen = rows.where(F.col("error").isNull() | F.col("_location").isNull()).withColumn("kind", F.when(F.col("error").isNull(), F.col("kind")).otherwise("unknown"))
+    once = records.groupBy("volume", "path").agg(F.min(F.struct("sha1_data", "kind", "filetype", *facts, "error")).alias("r"))
+    once = once.select("volume", "path", F.col("r.sha1_data").alias("sha1_data"), F.col("r.kind").alias("_kind"), F.col("r.filetype").alias("_filetype"), F.col("r.error").alias("_error"), *(F.col(f"r.{f}").alias(f"_{f}") for f in facts), F.lit(True).alias("_asked"))
+    held = locations
+    if "frame_sha1" not in locations.columns:
+        held = locations.join(frames.select(F.col("id").alias("frame_id"), F.col("sha1_data").alias("frame_sha1")).dropDuplicates(["frame_id"]), "frame_id", "left")
+    rows = once.join(held.withColumn("_held", F.lit(True)), ["volume", "path"], "full_outer")
+    rows = rows.withColumns({"_asked": F.coalesce("_asked", F.lit(False)), "_held": F.coalesce("_held", F.lit(False))})
+    rows = rows.withColumn("_other", F.col("_asked") & (~F.col("_held") | (F.col("_error").isNull() & ~F.col("sha1_data").eqNullSafe(F.col("frame_sha1")))))
+    rows = cut(rows) if keep else rows
+    looking = cut(rows.where("_other"))
+    seen = looking.select("sha1_data", F.when(F.col("_error").isNull(), F.col("_kind")).otherwise("unknown").alias("kind"), F.col("_filetype").alias("filetype"))
     observed = upserted(frames, seen, "sha1_data", "frame", ["kind", "filetype"], "observed", actor)
-    ids = observed.table.select("sha1_data", F.col("id").alias("_new_frame"))
-    rows = cut(rows.join(ids, "sha1_data", "left"))
-    fresh = rows.where("_location is null").withColumn("_place", F.concat_ws("\u0000", "volume", "path"))
-    mark = F.when(F.col("error").isNotNull(), now.cast("string"))
-    numbered = upserted(locations.withColumn("_place", F.concat_ws("\u0000", "volume", "path")), fresh, "_place", "location", verb="added", actor=actor).table
-    added = numbered.select("id", "_place").join(fresh, "_place").select("id", F.col("_new_frame").alias("frame_id"), "volume", "path", F.lit(1).alias("present"), *facts, mark.alias("unreadable_since"), "error")
-    asked = rows.where("_location is not null").select(F.col("_location").alias("id"), "_new_frame", F.col("error").alias("_error"), *(F.col(f).alias(f"_{f}") for f in facts), F.lit(True).alias("_asked"))
-    old = locations.join(asked, "id", "left")
-    read = F.coalesce("_asked", F.lit(False)) & F.col("_error").isNull()
+    found = cut(looking.join(observed.table.select("sha1_data", F.col("id").alias("_new_frame")), "sha1_data", "left"))
+    # New places; those that lack a part equal no other in a join, so they are held against the copies by their text.
+    fresh = found.where("not _held").withColumn("_place", F.concat_ws("\u0000", "volume", "path"))
+    part = F.col("volume").isNull() | F.col("path").isNull()
+    there = locations.where(part).select(F.concat_ws("\u0000", "volume", "path").alias("_place"))
+    fresh = fresh.where(~part).unionByName(fresh.where(part).join(there, "_place", "left_anti").dropDuplicates(["_place"]))
+    mark = F.when(F.col("_error").isNotNull(), now.cast("string"))
+    top = locations.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    fresh = fresh.select("_place", F.col("_new_frame").alias("frame_id"), "volume", "path", F.lit(1).alias("present"), *(F.col(f"_{f}").alias(f) for f in facts), mark.alias("unreadable_since"), F.col("_error").alias("error"), F.col("sha1_data").alias("frame_sha1"))
+    added = numbered(fresh, ["_place"], top).drop("_place")
+    old = rows.where("_held and not _other").withColumn("_new_frame", F.col("frame_id")).unionByName(found.where("_held"), allowMissingColumns=True)
+    read = F.col("_asked") & F.col("_error").isNull()
     failed = F.col("_error").isNotNull()
     rebound = read & (F.col("_new_frame") != F.col("frame_id"))
     # What a copy that was read is after it, by fact.
@@ -337,28 +355,32 @@ def ingested(records: DataFrame, frames: DataFrame, locations: DataFrame, now: C
     failing = failed & ~(F.col("mtime").eqNullSafe(F.col("_mtime")) & F.col("unreadable_since").isNotNull() & (F.col("present") == 1))
     item = lambda f, new: F.when(~F.col(f).eqNullSafe(new), F.struct(F.lit(f).alias("key"), F.struct(F.col(f).cast("string").alias("before"), new.cast("string").alias("after")).alias("value")))
     changed = F.map_from_entries(F.filter(F.array(*(item(f, new) for f, new in after.items())), lambda x: x.isNotNull()))
-    old = cut(old.withColumns({"_rebound": rebound, "_refreshed": read & ~rebound & differs, "_failing": failing, "_changed": F.when(read & ~rebound & differs, F.to_json(changed, {"ignoreNullFields": "false"}))}))
+    old = old.withColumns({"_rebound": F.coalesce(rebound, F.lit(False)), "_failing": F.coalesce(failing, F.lit(False))}).withColumn("_refreshed", read & ~F.col("_rebound") & differs)
     took = F.col("_rebound") | F.col("_refreshed")
     kept = {f: F.when(took, new).otherwise(F.col(f)) for f, new in after.items()} | {
         "unreadable_since": F.when(F.col("_failing"), F.coalesce("unreadable_since", now.cast("string"))).when(~took, F.col("unreadable_since")),
         "present": F.when(took | F.col("_failing"), 1).otherwise(F.col("present")), "mtime": F.when(took | F.col("_failing"), F.col("_mtime")).otherwise(F.col("mtime")),
     }
-    new = old.withColumns({"_before": F.col("frame_id"), "frame_id": F.when(F.col("_rebound"), F.col("_new_frame")).otherwise(F.col("frame_id")), **kept})
+    kept |= {"frame_sha1": F.when(F.col("_rebound"), F.col("sha1_data")).otherwise(F.col("frame_sha1"))}
+    new = old.withColumns({"_before": F.col("frame_id"), "_changed": F.when(F.col("_refreshed"), F.to_json(changed, {"ignoreNullFields": "false"})), "frame_id": F.when(F.col("_rebound"), F.col("_new_frame")).otherwise(F.col("frame_id")), **kept})
     gained = added.drop("error")
     for c in locations.columns:
         if c not in gained.columns:
             gained = gained.withColumn(c, F.lit(None).cast(locations.schema[c].dataType))
     table = new.select(locations.columns).unionByName(gained.select(locations.columns))
+    # One event of a copy that was there, all kinds in one pass.
+    verb = F.when(F.col("_rebound"), "location.rebound").when(F.col("_refreshed"), "location.refreshed").otherwise("frame.review")
+    payload = F.when(F.col("_rebound"), _before_after(F.col("_before"), F.col("frame_id"))).otherwise(F.col("_changed"))
+    target = F.when(F.col("_failing"), _at("frame", "frame_id")).otherwise(_at("location", "id"))
+    reason = F.when(F.col("_failing"), F.concat(F.lit("copy not readable: "), F.col("_error")))
     log = [
         observed.events, _events(added, actor, "location.added", _at("location", "id"), None, F.to_json(F.struct("frame_id", "volume", "path"))),
-        _events(new.where("_rebound"), actor, "location.rebound", _at("location", "id"), None, _before_after(F.col("_before"), F.col("frame_id"))),
-        _events(new.where("_refreshed"), actor, "location.refreshed", _at("location", "id"), None, F.col("_changed")),
-        _events(new.where("_failing"), actor, "frame.review", _at("frame", "frame_id"), F.concat(F.lit("copy not readable: "), F.col("_error"))),
+        _events(new.where(took | F.col("_failing")), actor, verb, target, reason, payload),
         _events(added.where("error is not null"), actor, "frame.review", _at("frame", "frame_id"), F.concat(F.lit("header not readable: "), F.col("error"))),
     ]
     hashes = "header_hash" in facts
     restated = old.where("_refreshed").where(~F.col("header_hash").eqNullSafe(F.col("_header_hash"))).select("frame_id", "volume", "path", F.col("header_hash").alias("before"), F.col("_header_hash").alias("after")) if hashes else None
-    return Ingested(observed.table, table, reduce(DataFrame.unionByName, log), restated)
+    return Ingested(observed.table, table, reduce(DataFrame.unionByName, log), restated, looking.where("_error is null").select("volume", "path", "sha1_data"))
 
 
 def committed(outcome: DataFrame, headers: DataFrame, commit_id: str, at: Column) -> tuple[DataFrame, DataFrame]:

@@ -394,13 +394,12 @@ def presence_run_forced(c: Catalog) -> DataFrame:
 
 def _ingested(c: Catalog) -> verbs.Ingested:
     """The test catalog scanned anew: some contents and facts have changed, some files fail, a tenth of the places is new."""
-    facts = c.frames().select(F.col("id").alias("frame_id"), "sha1_data", "kind", "filetype")
-    rows = c.stored_locations().select("id", "frame_id", "volume", "path", "present", F.col("mtime").cast("string").alias("mtime"), F.col("size_bytes").cast("long").alias("size_bytes"), F.lit("h").alias("header_hash"))
-    rows = rows.withColumn("unreadable_since", F.lit(None).cast("string")).join(facts, "frame_id")
+    rows = c.stored_copies().select("id", "frame_id", "volume", "path", "present", F.col("mtime").cast("string").alias("mtime"), F.col("size_bytes").cast("long").alias("size_bytes"), F.lit("h").alias("header_hash"), "sha1_data", "kind", "filetype")
+    rows = rows.withColumn("unreadable_since", F.lit(None).cast("string"))
     content = F.when(F.col("id") % 7 == 0, F.sha1(F.concat(F.lit("x"), F.col("id").cast("string")))).otherwise(F.col("sha1_data"))
     records = rows.select("volume", "path", content.alias("sha1_data"), "kind", "filetype", "mtime", F.when(F.col("id") % 4 == 0, 1).otherwise(F.col("size_bytes")).alias("size_bytes"), "header_hash", F.when(F.col("id") % 31 == 0, "broken").alias("error"))
-    known = rows.where("id % 10 <> 0").drop("sha1_data", "kind", "filetype")
-    return verbs.ingested(records, c.frames().select("id", "sha1_data", "kind", "filetype"), known, F.lit("2025-01-01"))
+    known = rows.where("id % 10 <> 0").withColumnRenamed("sha1_data", "frame_sha1").drop("kind", "filetype")
+    return verbs.ingested(records, c.frames().select("id", "sha1_data", "kind", "filetype"), known, F.lit("2025-01-01"), keep=False)
 
 
 _INGEST = """, asked AS (SELECT *, id % 31 = 0 AS bad, id % 7 = 0 AS other, id % 10 = 0 AS fresh, present <> 1 OR (id % 4 = 0 AND size_bytes::BIGINT <> 1) AS moved FROM location)"""
@@ -434,21 +433,21 @@ other AS (SELECT model, arg_min(pixel, place) AS other FROM settled JOIN seen US
 def _reread(c: Catalog) -> delivery.Delivered:
     frames = c.frames().select("id", "sha1_data", "kind", "filetype", F.lit(None).cast("long").alias("camera_id"), F.lit("header").alias("kind_source"))
     k, f = F.col("id"), F.col("frame_id")
-    known = c.stored_locations().select(
+    copies = c.stored_copies()
+    known = copies.select(
         "id", "frame_id", "volume", "path", "present", F.col("mtime").cast("string").alias("mtime"), F.col("size_bytes").cast("long").alias("size_bytes"), F.lit("h").alias("header_hash"),
-        F.when(k % 11 == 0, "2024").alias("unreadable_since"), F.lit("s").alias("file_sha1"), F.lit(0).alias("hdu_index"), F.lit(0).alias("compressed"),
+        F.when(k % 11 == 0, "2024").alias("unreadable_since"), F.lit("s").alias("file_sha1"), F.lit(0).alias("hdu_index"), F.lit(0).alias("compressed"), F.col("sha1_data").alias("frame_sha1"), "kind", "filetype",
     )
-    own = frames.select(F.col("id").alias("frame_id"), "sha1_data", "kind", "filetype")
     restated = k % 3 == 0
     card = F.array(F.struct(F.lit("OBJECT").alias("keyword"), F.lit(0).alias("idx"), F.col("path").alias("value_raw"), F.lit(None).cast("double").alias("value_num"), F.lit("str").alias("value_type"), F.lit(None).cast("string").alias("comment")))
-    records = known.join(own, "frame_id").select(
-        "volume", "path", "sha1_data", F.when(k % 5 == 0, "dark").otherwise(F.col("kind")).alias("kind"), "filetype", "mtime", F.when(k % 4 == 0, F.col("size_bytes") + 1).otherwise(F.col("size_bytes")).alias("size_bytes"),
+    records = known.select(
+        "volume", "path", F.col("frame_sha1").alias("sha1_data"), F.when(k % 5 == 0, "dark").otherwise(F.col("kind")).alias("kind"), "filetype", "mtime", F.when(k % 4 == 0, F.col("size_bytes") + 1).otherwise(F.col("size_bytes")).alias("size_bytes"),
         F.when(restated, "g").otherwise("h").alias("header_hash"), F.when(restated, "t").otherwise("s").alias("file_sha1"), F.lit(0).alias("hdu_index"), (k % 6 == 1).cast("int").alias("compressed"), F.lit(None).cast("string").alias("error"),
         card.alias("cards"), F.concat(F.lit("CAM"), (f % 7).cast("string")).alias("model_canon"), F.lit("header").alias("kind_source"), F.when(f % 5 != 0, 3.76).when(f % 3 == 0, 4.63).alias("xpixsz"), F.col("path").alias("object_raw"),
     )
     cameras = c.spark.range(4).select((F.col("id") + 1).alias("id"), F.concat(F.lit("CAM"), F.col("id").cast("string")).alias("model_canon"), F.when(F.col("id") > 1, 3.76).alias("pixel_um"), F.lit(0).alias("pixel_conflict"))
     headers = frames.select(F.col("id").alias("frame_id"), F.lit("h").alias("header_hash"), F.lit(None).cast("string").alias("object_raw"))
-    return delivery.delivered(records, frames, known, headers, c.cards(), cameras, F.lit("2025-01-01"))
+    return delivery.delivered(records, frames, known.drop("kind", "filetype"), headers, c.cards(), cameras, F.lit("2025-01-01"), keep=False)
 
 
 @plan(f"""{_REREAD} SELECT id, mtime::VARCHAR AS mtime, CASE WHEN restated THEN 't' ELSE 's' END AS file_sha1, CASE WHEN restated THEN 'g' ELSE 'h' END AS header_hash, 0 AS hdu_index, (id % 6 = 1)::INTEGER AS compressed,
@@ -485,7 +484,7 @@ def state_restated(c: Catalog) -> DataFrame:
 UNION ALL SELECT id, 'camera.pixel_set', '{{"pixel_um":' || now || '}}' FROM numbered WHERE begun IS NULL AND now IS NOT NULL
 UNION ALL SELECT id, 'camera.pixel_conflict', '{{"pixel_existing":' || now || ',"pixel_new":' || other || '}}' FROM numbered JOIN other USING (model))""")
 def events_cameras(c: Catalog) -> DataFrame:
-    return _reread(c).events.where(F.startswith("verb", F.lit("camera."))).select("verb", "target", "payload")
+    return _reread(c).camera_events.select("verb", "target", "payload")
 
 
 @plan(f"{_REREAD} SELECT model AS model_canon, now AS pixel_um, (other IS NOT NULL)::INTEGER AS pixel_conflict FROM settled LEFT JOIN other USING (model)")
@@ -500,7 +499,7 @@ def events_published(c: Catalog) -> DataFrame:
     """What stands in the log after an ingest was published, and how many events publishing its tables' own records again would give."""
     kept = store.Store(c.spark, storage.scratch(c.spark, "store"))
     found = _ingested(c)
-    kept.publish("scan", 1, found.events, F.lit("2025-01-01"), {"frame": found.frames, "location": found.locations})
+    kept.publish("scan", 1, found.events, F.lit("2025-01-01"), {"frame": found.frames, "location": found.locations.drop("frame_sha1")})
     frames, locations = kept.table("frame"), kept.table("location")
     same = locations.where("unreadable_since is null").join(frames.select(F.col("id").alias("frame_id"), "sha1_data", "kind", "filetype"), "frame_id")
     records = same.where("present = 1").select("volume", "path", "sha1_data", "kind", "filetype", "mtime", "size_bytes", "header_hash", F.lit(None).cast("string").alias("error"))

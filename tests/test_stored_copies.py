@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from skyledger.bridge import Catalog
 from skyledger.operators import donor, verbs
-from skyledger.plans import ledger
+from skyledger.plans import catalog, ledger
 
 SF = "/root/testdata/sf0.001"
 
@@ -48,6 +48,17 @@ def test_gone_copies_are_marked_without_dealing_the_table_again(spark, shuffled)
     assert {tuple(r) for r in found.outcome.collect()} == {(row.id, "vanished"), (-1, "drifted")}
 
 
+def test_records_and_copies_meet_by_place_without_being_dealt_again(shuffled):
+    found = ledger._ingested(shuffled)
+    for df in (found.locations, found.events, catalog.ingest_actions(shuffled)):
+        assert "hashpartitioning(volume" not in plan(df) and "hashpartitioning(path" not in plan(df)
+
+
+def test_a_delivery_finds_only_what_is_asked_for(shuffled, monkeypatch):
+    monkeypatch.setattr(verbs, "ingested", lambda *a: pytest.fail("cameras don't need it"))
+    assert ledger._reread(shuffled).cameras.count() == 7
+
+
 def test_records_of_a_donor_are_dealt_once_for_their_cards(shuffled):
     files = ledger._donor(shuffled, "id")[0]
     cards = files.select(F.col("id").alias("file_id"), F.lit("A").alias("keyword"), F.lit(0).alias("idx"), F.lit("a").alias("value_raw"), F.lit(None).cast("double").alias("value_num"), F.lit("str").alias("value_type"), F.lit(None).cast("string").alias("comment"))
