@@ -52,14 +52,16 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def dealt(df: DataFrame, *keys: str) -> DataFrame:
+def dealt(df: DataFrame, *keys: str, made: dict[str, Column] | None = None) -> DataFrame:
     """`df` written as `cut` does, dealt by `keys`: rows read of it meet and are counted by just these keys without being dealt again.
 
+    Columns `made`, keys among them, are added once rows are dealt, so that only what they are made of is moved.
     Its name in the session's catalog is taken away again; the files stay.
     """
     spark = df.sparkSession
     n, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"dealt_{uuid.uuid4().hex}"
-    rows = df.repartition(n, *keys).write.bucketBy(n, *keys).option("compression", "zstd").option("path", scratch(spark, "dealt"))
+    made = made or {}
+    rows = df.repartition(n, *(made.get(k, F.col(k)) for k in keys)).withColumns(made).write.bucketBy(n, *keys).option("compression", "zstd").option("path", scratch(spark, "dealt"))
     rows.format("parquet").saveAsTable(name)
     table = spark.table(name)
     spark.sql(f"DROP TABLE {name}")

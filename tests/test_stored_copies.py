@@ -63,3 +63,15 @@ def test_records_of_a_donor_are_dealt_once_for_their_cards(shuffled):
     files = ledger._donor(shuffled, "id")[0]
     cards = files.select(F.col("id").alias("file_id"), F.lit("A").alias("keyword"), F.lit(0).alias("idx"), F.lit("a").alias("value_raw"), F.lit(None).cast("double").alias("value_num"), F.lit("str").alias("value_type"), F.lit(None).cast("string").alias("comment"))
     assert "hashpartitioning(id" not in plan(donor.scanned(files, cards))
+
+
+def test_copies_are_dealt_as_what_their_paths_and_contents_are_made_of(shuffled, monkeypatch):
+    moved = []
+    repartition = type(shuffled.locations()).repartition
+    monkeypatch.setattr(type(shuffled.locations()), "repartition", lambda df, *a: moved.append(df.columns) or repartition(df, *a))
+    stored = shuffled.stored_copies()
+    assert len(moved) == 1 and not {"id", "path", "sha1_data", "filetype"} & set(moved[0])
+    facts = shuffled.frames().select(F.col("id").alias("frame_id"), "sha1_data", "kind", "filetype")
+    told = shuffled.locations().join(facts, "frame_id").select(stored.columns)
+    assert stored.exceptAll(told).isEmpty() and told.exceptAll(stored).isEmpty()
+    assert "Exchange" not in plan(stored.groupBy("volume", "path").count())
