@@ -334,7 +334,9 @@ def ingested(records: DataFrame, frames: DataFrame, locations: DataFrame, now: C
     rows = cut(rows) if keep else rows
     looking = cut(rows.where("_other"))
     seen = looking.select("sha1_data", F.when(F.col("_error").isNull(), F.col("_kind")).otherwise("unknown").alias("kind"), F.col("_filetype").alias("filetype"))
-    observed = upserted(frames, seen, "sha1_data", "frame", ["kind", "filetype"], "observed", actor)
+    # A scan that finds nothing new moves no frame.
+    quiet = looking.isEmpty()
+    observed = upserted(frames.where(F.lit(not quiet)), seen, "sha1_data", "frame", ["kind", "filetype"], "observed", actor)
     found = cut(looking.join(observed.table.select("sha1_data", F.col("id").alias("_new_frame")), "sha1_data", "left"))
     # New places; those that lack a part equal no other in a join, so they are held against the copies by their text.
     fresh = found.where("not _held").withColumn("_place", F.concat_ws("\u0000", "volume", "path"))
@@ -380,7 +382,7 @@ def ingested(records: DataFrame, frames: DataFrame, locations: DataFrame, now: C
     ]
     hashes = "header_hash" in facts
     restated = old.where("_refreshed").where(~F.col("header_hash").eqNullSafe(F.col("_header_hash"))).select("frame_id", "volume", "path", F.col("header_hash").alias("before"), F.col("_header_hash").alias("after")) if hashes else None
-    return Ingested(observed.table, table, reduce(DataFrame.unionByName, log), restated, looking.where("_error is null").select("volume", "path", "sha1_data"))
+    return Ingested(frames if quiet else observed.table, table, reduce(DataFrame.unionByName, log), restated, looking.where("_error is null").select("volume", "path", "sha1_data"))
 
 
 def committed(outcome: DataFrame, headers: DataFrame, commit_id: str, at: Column) -> tuple[DataFrame, DataFrame]:

@@ -75,3 +75,12 @@ def test_copies_are_dealt_as_what_their_paths_and_contents_are_made_of(shuffled,
     told = shuffled.locations().join(facts, "frame_id").select(stored.columns)
     assert stored.exceptAll(told).isEmpty() and told.exceptAll(stored).isEmpty()
     assert "Exchange" not in plan(stored.groupBy("volume", "path").count())
+
+
+def test_a_scan_of_known_contents_moves_no_frames(spark):
+    frames = spark.range(1, 3).select("id", F.when(F.col("id") > 0, F.raise_error(F.lit("frames are looked up"))).cast("string").alias("sha1_data"), F.lit("dark").alias("kind"), F.lit("fits").alias("filetype"))
+    locations = spark.createDataFrame([(1, 1, "v", "/a", 1, "m", None, "s1"), (2, 2, "v", "/b", 0, "m", None, "s2")], "id long, frame_id long, volume string, path string, present int, mtime string, unreadable_since string, frame_sha1 string")
+    records = locations.select("volume", "path", F.col("frame_sha1").alias("sha1_data"), F.lit("dark").alias("kind"), F.lit("fits").alias("filetype"), "mtime", F.lit(None).cast("string").alias("error"))
+    found = verbs.ingested(records, frames, locations, F.lit("now"))
+    assert [e.verb for e in found.events.collect()] == ["location.refreshed"] and found.locations.where("present = 1").count() == 2
+    assert found.frames.select("id").collect() == [(1,), (2,)]
