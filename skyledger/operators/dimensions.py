@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from skyledger.functions import resolve, text
 from skyledger.operators import derive, verbs
-from skyledger.storage import cut, numbered
+from skyledger.storage import cut, many, numbered
 
 #: Stored facts of a recipe by name, with the column of a frame that they stand for and its type.
 FACTS = {"exptime": ("exptime", text.to_float), "set_temp_c": ("set_temp", text.to_int), "gain": ("gain", text.to_int), "offset_adu": ("offset_adu", text.to_int), "xbinning": ("xbinning", text.to_int), "telescope_id": ("telescope_id", text.to_int)}
@@ -47,18 +47,18 @@ def untold(events: DataFrame, log: DataFrame | None) -> DataFrame:
         return events
     last = log.groupBy(F.col("verb").alias("_verb"), F.col("target").alias("_target"), F.col("reason").alias("_reason")).agg(F.max_by(F.struct("payload"), "id").alias("_last"))
     same = (F.col("verb") == F.col("_verb")) & F.col("target").eqNullSafe(F.col("_target")) & F.col("reason").eqNullSafe(F.col("_reason")) & F.col("payload").eqNullSafe(F.col("_last.payload"))
-    return events.join(last, same, "left_anti")
+    return events.join(many(last), same, "left_anti")
 
 
 def _looked_at(frames: DataFrame, ids: DataFrame | None) -> DataFrame:
-    return frames if ids is None else frames.join(ids.select("id").distinct(), "id", "left_semi")
+    return frames if ids is None else frames.join(many(ids.select("id").distinct()), "id", "left_semi")
 
 
 def led(rows: DataFrame, entities: DataFrame, keys: list[str]) -> DataFrame:
     """`rows` with the entity of their keys, one at most, or nulls; rows of one key, or of none, are dealt in several ways by id."""
     way = F.pmod(F.xxhash64("id"), F.lit(WAYS)).cast("int")
     there = entities.withColumn("_way", F.explode(F.sequence(F.lit(0), F.lit(WAYS - 1))))
-    return rows.withColumn("_way", way).join(there, [*keys, "_way"], "left").drop("_way")
+    return rows.withColumn("_way", way).join(many(there), [*keys, "_way"], "left").drop("_way")
 
 
 def _founded(entities: DataFrame, new: DataFrame, keys: list[str], noun: str, told: list[str], actor: str) -> verbs.Change:
@@ -75,7 +75,7 @@ def _pointed(frames: DataFrame, wanted: DataFrame, column: str, noun: str, shown
 
     With `both`, one that is moved is told as taken away and given, else as given only.
     """
-    rows = frames.join(wanted.select("id", "_new", "_why", F.lit(True).alias("_asked")), "id", "left")
+    rows = frames.join(many(wanted.select("id", "_new", "_why", F.lit(True).alias("_asked"))), "id", "left")
     rows = rows.withColumn("_moved", F.coalesce("_asked", F.lit(False)) & ~F.col(column).eqNullSafe(F.col("_new")))
     gone = F.col(column).isNotNull() & (F.lit(both) | F.col("_new").isNull())
     step = lambda test, verb, value, why: F.when(test, F.struct(F.lit(f"{noun}.{verb}").alias("verb"), value.cast("long").alias("value"), why.cast("string").alias("why")))
@@ -130,7 +130,7 @@ def named(frames: DataFrame, objects: DataFrame, aliases: DataFrame, ids: DataFr
     rows = _looked_at(frames, ids)
     if ids is not None and keys is not None:
         called = frames.where(light).join(keys.select("alias_norm").distinct(), text.norm_alnum(F.col("object_raw")) == F.col("alias_norm"), "left_semi")
-        rows = frames.join(rows.select("id").union(called.select("id")).distinct(), "id", "left_semi")
+        rows = frames.join(many(rows.select("id").union(called.select("id")).distinct()), "id", "left_semi")
     rows = cut(rows.select("id", "kind", "object_source", "ra_deg", "dec_deg", "filter_raw", raw.alias("object_raw"), F.lit(None).cast("string").alias("user_canon")))
     by_name = aliases.join(objects.select(F.col("id").alias("object_id"), "canon"), "object_id").select("alias_norm", "canon")
     free = light & ~F.col("object_source").eqNullSafe("user")
@@ -162,7 +162,7 @@ def facts_of(frames: DataFrame, facts: DataFrame) -> DataFrame:
     """
     rank = lambda key: F.when(F.col("key") == key, F.when(F.col("source") == "user", 2).otherwise(1))
     stored = facts.where(F.col("key").isin(*FACTS)).groupBy(F.col("frame_id").alias("_frame")).agg(*(F.max_by(F.struct("value", "source"), rank(k)).alias(f"_{k}") for k in FACTS))
-    rows = frames.join(stored, F.col("id") == F.col("_frame"), "left")
+    rows = frames.join(many(stored), F.col("id") == F.col("_frame"), "left")
 
     def best(key: str) -> Column:
         name, typed = FACTS[key]
@@ -183,7 +183,7 @@ def calibrated(frames: DataFrame, profiles: DataFrame, facts: DataFrame, ids: Da
     """
     columns = ["id", "kind", "camera_id", "telescope_id", "filter_canon", "exptime", "set_temp", "gain", "offset_adu", "xbinning", "path"]
     looked = _looked_at(frames, ids).select(*columns, "profile_id").withColumn("_class", derive.recipe_class(F.col("kind")))
-    mine = facts if ids is None else facts.join(ids.select(F.col("id").alias("frame_id")).distinct(), "frame_id", "left_semi")
+    mine = facts if ids is None else facts.join(many(ids.select(F.col("id").alias("frame_id")).distinct()), "frame_id", "left_semi")
     rows = cut(facts_of(looked.where("_class is not null"), mine))
     lacking = lambda: F.nullif(derive.missing_facts(F.col("_class")), F.lit(""))
     asked = rows.where(F.col("_class").isin("dark", "bias") & lacking().isNotNull()).withColumn("_path", derive.master_path(F.col("path")))
@@ -191,9 +191,9 @@ def calibrated(frames: DataFrame, profiles: DataFrame, facts: DataFrame, ids: Da
     read = cut(asked.select(F.col("id").alias("frame_id"), F.explode(F.filter(F.array(*told), lambda x: x.isNotNull())).alias("f")).select("frame_id", "f.key", "f.value", F.lit("path").alias("source")))
     recorded = verbs.facts_recorded(facts, read, actor)
     taken = read.groupBy(F.col("frame_id").alias("id")).agg(*(F.max(F.when(F.col("key") == key, F.col("value").cast("long"))).alias(f"_from_{name}") for key, name in (("gain", "gain"), ("offset_adu", "offset_adu"), ("set_temp_c", "set_temp"))))
-    rows = rows.join(taken, "id", "left").withColumns({name: F.coalesce(name, f"_from_{name}") for name in ("gain", "offset_adu", "set_temp")})
+    rows = rows.join(many(taken), "id", "left").withColumns({name: F.coalesce(name, f"_from_{name}") for name in ("gain", "offset_adu", "set_temp")})
     rows = cut(rows.select("id", "_class", F.when(lacking().isNull(), derive.profile_key(F.col("_class"))).alias("profile_key"), F.concat(F.col("_class"), F.lit(": lacks "), lacking()).alias("_why")))
-    new = rows.where("profile_key is not null").groupBy("profile_key").agg(F.min("_class").alias("recipe_class")).join(profiles.select("profile_key"), "profile_key", "left_anti")
+    new = rows.where("profile_key is not null").groupBy("profile_key").agg(F.min("_class").alias("recipe_class")).join(many(profiles.select("profile_key")), "profile_key", "left_anti")
     made = _founded(profiles, new, ["profile_key"], "calibration_profile", ["profile_key", "recipe_class"], actor)
     known = made.table.groupBy("profile_key").agg(F.min("id").alias("_new"))
     wanted = led(rows, known, ["profile_key"]).select("id", "_new", "_why")

@@ -12,7 +12,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyledger.storage import cut, numbered
+from skyledger.storage import cut, many, numbered
 
 EVENT = ("actor", "verb", "target", "reason", "payload")
 
@@ -108,7 +108,7 @@ def assigned(frames: DataFrame, wanted: DataFrame, column: str, verb: str, sourc
     """A pointer of frames, from wanted(id, `column`): an event where it differs from what is there; a null takes it away."""
     facts = [column, *([source] if source else [])]
     asked = wanted.select("id", *(F.col(f).alias(f"_{f}") for f in facts), F.lit(True).alias("_asked"))
-    rows = frames.join(asked, "id", "left")
+    rows = frames.join(many(asked), "id", "left")
     same = F.lit(True)
     for f in facts:
         same = same & F.col(f).eqNullSafe(F.col(f"_{f}"))
@@ -121,7 +121,7 @@ def assigned(frames: DataFrame, wanted: DataFrame, column: str, verb: str, sourc
 def backfilled(frames: DataFrame, wanted: DataFrame, column: str, actor: str = "resolver") -> Change:
     """A derived column where it differs, nulls in `wanted(id, column)` left out; one event with the number of rows, none for none."""
     asked = wanted.where(F.col(column).isNotNull()).select("id", F.col(column).alias("_new"))
-    rows = frames.join(asked, "id", "left").withColumn("_moved", F.col("_new").isNotNull() & ~F.col(column).eqNullSafe(F.col("_new")))
+    rows = frames.join(many(asked), "id", "left").withColumn("_moved", F.col("_new").isNotNull() & ~F.col(column).eqNullSafe(F.col("_new")))
     new = rows.withColumn(column, F.when(F.col("_moved"), F.col("_new")).otherwise(F.col(column)))
     count = rows.where("_moved").agg(F.count("*").alias("count")).where("count > 0")
     return Change(new.select(frames.columns), _events(count, actor, "filter.backfilled", F.lit("frame:*"), None, F.to_json(F.struct("count"))))
@@ -188,7 +188,7 @@ def facts_recorded(facts: DataFrame, wanted: DataFrame, actor: str = "calibratio
     """facts(frame_id, key, value, source): a user's word beats a path's; what is there already, or weaker, changes nothing."""
     rank = lambda c: F.when(F.col(c) == "user", 0).otherwise(1)
     best = wanted.groupBy("frame_id", "key").agg(F.min(F.struct(rank("source").alias("r"), "value", "source")).alias("b")).select("frame_id", "key", F.col("b.value").alias("_value"), F.col("b.source").alias("_source"))
-    rows = facts.join(best, ["frame_id", "key"], "full_outer")
+    rows = facts.join(many(best), ["frame_id", "key"], "full_outer")
     moved = F.col("_source").isNotNull() & (F.col("source").isNull() | (rank("_source") <= rank("source"))) & ~(F.col("value").eqNullSafe(F.col("_value")) & F.col("source").eqNullSafe(F.col("_source")))
     rows = rows.withColumn("_moved", moved)
     new = rows.select("frame_id", "key", F.when(F.col("_moved"), F.col("_value")).otherwise(F.col("value")).alias("value"), F.when(F.col("_moved"), F.col("_source")).otherwise(F.col("source")).alias("source"))
@@ -199,7 +199,7 @@ def facts_recorded(facts: DataFrame, wanted: DataFrame, actor: str = "calibratio
 def linked(links: DataFrame, wanted: DataFrame, actor: str = "calibration") -> Change:
     """links(light_id, relation, master_id), one for each light and relation: a new master gives an unlinked and a linked event."""
     asked = wanted.select("light_id", "relation", F.col("master_id").alias("_new"))
-    rows = links.join(asked, ["light_id", "relation"], "full_outer").withColumn("_moved", F.col("_new").isNotNull() & ~F.col("master_id").eqNullSafe(F.col("_new")))
+    rows = links.join(many(asked), ["light_id", "relation"], "full_outer").withColumn("_moved", F.col("_new").isNotNull() & ~F.col("master_id").eqNullSafe(F.col("_new")))
     new = rows.select("light_id", "relation", F.when(F.col("_moved"), F.col("_new")).otherwise(F.col("master_id")).alias("master_id"))
     steps = F.array(F.when(F.col("master_id").isNotNull(), F.struct(F.lit("calibration.unlinked").alias("verb"), F.col("master_id").alias("m"))), F.struct(F.lit("calibration.linked").alias("verb"), F.col("_new").alias("m")))
     moved = rows.where("_moved").select("light_id", "relation", F.explode(F.filter(steps, lambda s: s.isNotNull())).alias("s"))

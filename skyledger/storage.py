@@ -68,6 +68,15 @@ def dealt(df: DataFrame, *keys: str, made: dict[str, Column] | None = None) -> D
     return table
 
 
+def many(df: DataFrame) -> DataFrame:
+    """`df` as a side of a join that grows with the data: both sides are dealt by the keys, and it isn't sent whole to the driver and to every task.
+
+    The planner knows stored tables by the size of their files, and ids and texts that repeat take a small part
+    there of what they take in memory: millions of rows seem small enough for a broadcast.
+    """
+    return df.hint("merge")
+
+
 def numbered(rows: DataFrame, order: list[str | Column], after: int = 0, name: str = "id") -> DataFrame:
     """`rows` with the numbers that follow `after`, by `order`, a range of rows in each task.
 

@@ -1,11 +1,13 @@
 """Derived dimensions as a difference, on small tables and against a fold over frames."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from skyledger.operators import dimensions
+from skyledger.storage import cut
 
 FRAME = "id long, kind string, camera_id long, config_id long, telescop string, focallen double, focratio string"
 TELESCOPE = "id long, telescop_canon string, f_ratio_nominal string, focal_nominal long, label string, status string, merged_into long"
@@ -153,3 +155,13 @@ def test_empty(spark):
     none = lambda ddl: spark.createDataFrame([], ddl)
     runs = [dimensions.grouped(none(FRAME), none(TELESCOPE), none(CONFIG), log=none(LOG)), dimensions.named(none(SKY), none(OBJECT), none(ALIAS), log=none(LOG)), dimensions.calibrated(none(RECIPE), none(PROFILE), none(FACT), log=none(LOG))]
     assert all(r.events.count() == 0 and r.frames.count() == 0 for r in runs)
+
+
+def test_rows_of_frames_are_never_sent_whole_to_the_driver(spark):
+    """Stored tables are small files of many rows: only the sizes of a numbering's parts, a row a task, are broadcast."""
+    frames, facts = spark.createDataFrame(DARKS, RECIPE), spark.createDataFrame([(3, "gain", "100", "user")], FACT)
+    ids, profiles, log = cut(frames.select("id")), cut(spark.createDataFrame([(90, "old", "dark")], PROFILE)), cut(spark.createDataFrame([], LOG))
+    runs = [dimensions.calibrated(cut(frames), profiles, cut(facts), ids, log), dimensions.grouped(cut(spark.createDataFrame(FRAMES, FRAME)), cut(spark.createDataFrame([], TELESCOPE)), cut(spark.createDataFrame([], CONFIG)), ids, log)]
+    for df in (df for run in runs for df in (run.frames, run.events)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert set(re.findall(r"BroadcastHashJoin \[(\w+?)#", plan)) <= {"_part"}
