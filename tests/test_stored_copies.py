@@ -96,3 +96,13 @@ def test_edits_and_headers_meet_by_copy_without_being_dealt_again(spark, monkeyp
     assert all("Broadcast" not in plan(df) for df in (*met, made.cards, made.staged, undo.cards)) and "header" not in met[1].columns
     back = undo.cards.groupBy().agg(F.count("*"), F.count_if(F.col("keyword") == "NOTE")).first()
     assert back == (sum(r.n for r in catalog.QUERIES["header_commit_cards"](spark, SF).groupBy().agg((F.count("*") - F.count_if(F.col("keyword") == "NOTE")).alias("n")).collect()), 0)
+
+
+def test_published_copies_are_dealt_once_for_their_own_records(spark, shuffled, monkeypatch):
+    met, ingested = [], verbs.ingested
+    monkeypatch.setattr(verbs, "ingested", lambda *tables, **how: met.append(tables) or ingested(*tables, **how))
+    assert {r.again for r in catalog.QUERIES["events_published"](spark, SF).collect()} == {0}
+    records, frames, locations, _ = met[1]
+    assert all("Exchange" not in plan(df.groupBy("volume", "path").count()) for df in (records, locations))
+    assert locations.join(frames, (F.col("frame_id") == frames["id"]) & (F.col("frame_sha1") == frames["sha1_data"])).count() == locations.count() > 0
+    assert all(".zstd." in f for f in frames.inputFiles())
